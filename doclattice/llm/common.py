@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_BYTES = 1 << 20
-BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -46,8 +46,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, as texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches bounded by bytes, as texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_of(col: str = "text") -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .mixing import mix_plan
+from .token_output import token_output
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -24,9 +25,20 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(documents(spark, sf_dir), word_tokenizer())
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
+    "op9_token_output": op9_token_output,
 }
 
 ORACLE_SQL = {
