@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .fm_dedup import substring_dedup
 from .jaccard_join import jaccard_classes
 from .mixing import mix_plan
 from .suffix_dedup import suffix_dedup
@@ -45,12 +46,17 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(documents(spark, sf_dir), word_tokenizer())
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op9_token_output": op9_token_output,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL = {

@@ -74,6 +74,28 @@ class WaveletMatrix:
             i = np.where(one, self.zeros[level] + up, i - up)
         return out
 
+    def locate(self, value: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """rank() of many (value, i) pairs given as arrays of one length."""
+        value, hi = value.astype(np.int64), i.astype(np.int64)
+        starts = self._starts()
+        for level in range(self.bits):
+            up = self.rank1(level, hi)
+            one = (value >> (self.bits - 1 - level) & 1).astype(bool)
+            hi = np.where(one, self.zeros[level] + up, hi - up)
+        return hi - starts[value]
+
+    def _starts(self) -> np.ndarray:
+        """Where the block of each value begins below the last plane."""
+        if not hasattr(self, "_first"):
+            value = np.arange(1 << self.bits, dtype=np.int64)
+            lo = np.zeros(len(value), np.int64)
+            for level in range(self.bits):
+                one = (value >> (self.bits - 1 - level) & 1).astype(bool)
+                a = self.rank1(level, lo)
+                lo = np.where(one, self.zeros[level] + a, lo - a)
+            self._first = lo
+        return self._first
+
     def rank(self, value: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often value occurs among the first i entries; value and i broadcast."""
         value, hi = np.broadcast_arrays(np.atleast_1d(np.asarray(value, np.int64)), np.atleast_1d(np.asarray(i, np.int64)))
