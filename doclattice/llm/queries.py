@@ -9,6 +9,7 @@ from .exact_dedup import exact_dedup
 from .fm_dedup import substring_dedup
 from .jaccard_join import jaccard_classes
 from .mixing import mix_plan
+from .quality import quality_sample
 from .suffix_dedup import suffix_dedup
 from .token_output import token_output
 
@@ -36,6 +37,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_sample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op9_token_output": op9_token_output,
     "op10_substring_dedup": op10_substring_dedup,
 }
