@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
 from .fm_dedup import substring_dedup
 from .jaccard_join import jaccard_classes
@@ -41,6 +42,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_sample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_decontamination": op6_decontamination,
     "op9_token_output": op9_token_output,
     "op10_substring_dedup": op10_substring_dedup,
 }
