@@ -10,9 +10,11 @@ from .exact_dedup import exact_dedup
 from .fm_dedup import substring_dedup
 from .jaccard_join import jaccard_classes
 from .mixing import mix_plan
+from .pii import find_pii
 from .quality import quality_sample
 from .suffix_dedup import suffix_dedup
 from .token_output import token_output
+from .toxicity import toxicity
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -46,6 +48,24 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(documents(spark, sf_dir))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    rank = {k: i for i, k in enumerate(("email", "ip", "card", "phone", "number", "secret", "contact"))}
+    order = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
+    every = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(order[s["kind"]].alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(k) for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    scored = toxicity(documents(spark, sf_dir), labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -67,6 +87,8 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_decontamination": op6_decontamination,
+    "op7_pii": op7_pii,
+    "op8_toxicity": op8_toxicity,
     "op9_token_output": op9_token_output,
     "op10_substring_dedup": op10_substring_dedup,
 }
