@@ -40,7 +40,7 @@ _tokenizers: dict = {}
 class WordEncoder:
     """ids of texts, with a bounded memory of words already encoded."""
 
-    def __init__(self, path: str, by_word: bool, limit: int = 200_000):
+    def __init__(self, path: str, by_word: bool, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
