@@ -1,4 +1,6 @@
 """All registered queries of the engine's own operators and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import corpus, search
+
+QUERIES: dict = {**corpus.QUERIES, **search.QUERIES}
+ORACLE_SQL: dict[str, str] = {**corpus.ORACLE_SQL, **search.ORACLE_SQL}
