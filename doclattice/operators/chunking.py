@@ -1,11 +1,12 @@
 """Cutting documents into chunks: segments with carried sections, the greedy fold, section aggregation.
 
-The fold is not associative, so it runs once for each document (``applyInPandas``); all else is Column work.
+The fold is not associative, so it runs through each document's sorted rows (``mapInPandas``); all else is Column work.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -108,13 +109,28 @@ def chunk(docs: DataFrame, kind: str = "otro") -> DataFrame:
 
     target = TARGETS[kind]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["line_no", "part"])
-        made = fold(list(zip(pdf["segment"], pdf["is_heading"], pdf["safety"], pdf["section"].where(pdf["section"].notna(), None), strict=True)), target)
-        rows = [(c, t, s, f) for text, t, s, f in made for c in split_oversize(text)]
-        return pd.DataFrame([(int(pdf["doc_id"].iloc[0]), i, c, count_tokens(c), s, bool(f)) for i, (c, _, s, f) in enumerate(rows)], columns=["doc_id", "chunk_index", "content", "tokens", "section", "safety"])
-
-    return segments(docs).withColumn("safety", is_safety(F.col("segment"))).groupBy("doc_id").applyInPandas(run, CHUNKS)
+    def made(doc_id: int, rows: list[tuple]) -> list[tuple]:
+        parts = [(c, s, f) for text, _, s, f in fold(rows, target) for c in split_oversize(text)]
+        return [(doc_id, i, c, count_tokens(c), s, bool(f)) for i, (c, s, f) in enumerate(parts)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, []
+        for pdf in batches:  # a document's rows follow each other, over batches too
+            out = []
+            columns = (pdf[c].tolist() for c in ("doc_id", "segment", "is_heading", "safety", "section"))
+            for doc_id, *row in zip(*columns, strict=True):
+                if doc_id != last and held:
+                    out += made(last, held)
+                    held = []
+                last = doc_id
+                held.append(tuple(row))
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(made(last, held), columns=names)
+
+    names = ["doc_id", "chunk_index", "content", "tokens", "section", "safety"]
+    rows = segments(docs.where("doc_id IS NOT NULL").repartition("doc_id")).withColumn("safety", is_safety(F.col("segment")))
+    return rows.sortWithinPartitions("doc_id", "line_no", "part").select("doc_id", "segment", "is_heading", "safety", "section").mapInPandas(run, CHUNKS)
 
 
 def block_chunks(blocks: DataFrame, header_lines: int, least: int, most: int = MOST) -> DataFrame:

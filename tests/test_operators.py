@@ -82,6 +82,10 @@ def test_chunks_of_documents(spark):
     rows = chunking.segments(df).orderBy("line_no", "part").collect()
     assert [r["segment"] for r in rows] == ["1. Alcance General", "Una frase.", "Otra frase!", "Fin?"] and rows[-1]["section"] == "1. Alcance General"
     assert [r["doc_id"] for r in chunking.chunk(df).collect()] == [1]
+    many = spark.createDataFrame([(i, ". ".join(f"word{i} again{k}" for k in range(i * 9))) for i in range(1, 60)], "doc_id long, text string")
+    got = chunking.chunk(many, "tabla").collect()
+    assert {r["doc_id"] for r in got} == set(range(1, 60)) and all(f"word{r['doc_id']} " in r["content"] and r["content"].count("word") == r["content"].count(f"word{r['doc_id']} ") for r in got)
+    assert all(any(f"again{k}" in r["content"] for r in got if r["doc_id"] == 50) for k in range(450))
 
 
 def test_upserts_patch_and_sessions(spark):
