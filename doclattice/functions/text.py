@@ -137,3 +137,57 @@ def longest_run(query: Column, target: Column) -> Column:
     """Longest run of consecutive query tokens that are in target."""
     step = F.aggregate(query, F.struct(F.lit(0).alias("run"), F.lit(0).alias("most")), lambda acc, t: F.struct(F.when(F.array_contains(target, t), acc["run"] + 1).otherwise(0).alias("run"), F.greatest(acc["most"], F.when(F.array_contains(target, t), acc["run"] + 1).otherwise(0)).alias("most")))
     return step["most"]
+
+
+def human_tokens(n: Column) -> Column:
+    return F.when(n < 1000, n.cast("string")).when(n < 1_000_000, F.format_string("%.1fk", n / 1000)).otherwise(F.format_string("%.2fM", n / 1_000_000))
+
+
+def json_block(text: Column) -> Column:
+    """The first to the last brace of an answer, without code fences; empty if there is none."""
+    return F.regexp_extract(F.regexp_replace(text, "```(?:json)?", ""), r"(?s)(\{.*\})", 1)
+
+
+def bounding_box(polygon: Column) -> Column:
+    """Least and greatest of the x and y values of x, y, x, y, ..."""
+    x, y = F.filter(polygon, lambda _, i: i % 2 == 0), F.filter(polygon, lambda _, i: i % 2 == 1)
+    return F.struct(F.array_min(x).alias("x0"), F.array_min(y).alias("y0"), F.array_max(x).alias("x1"), F.array_max(y).alias("y1"))
+
+
+def markdown_table(headers: Column, rows: Column) -> Column:
+    """Headers and rows (array of arrays) as a pipe table."""
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("/"))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("|"), F.array_join(F.transform(headers, lambda _: F.lit(" --- ")), "|"), F.lit("|"))
+    return F.array_join(F.concat(F.array(line(headers), rule), F.transform(rows, line)), "\n")
+
+
+def suggest_kind(name: Column, extension: Column) -> Column:
+    """Document type from a file's extension, then from words of its name."""
+    n, has = F.lower(name), lambda *ws: F.lower(name).rlike("|".join(ws))
+    return (
+        F.when(extension.isin(".xlsx", ".xls", ".csv"), "tabla")
+        .when(extension == ".pptx", "presentacion")
+        .when(extension == ".docx", "guia")
+        .when(has("sop", "procedimiento", "progs"), "sop")
+        .when(has("guia", "guigs"), "guia")
+        .when(has("norma", "ncc"), "norma")
+        .when(has("fmeca", "rcm"), "tabla")
+        .when(has("plano") | n.rlike(r"\d{3}[a-z]{2}-\d{5}"), "plano")
+        .when(n.rlike(r"\bifc\b"), "sop")
+        .when(extension == ".pdf", "manual_oem")
+        .otherwise("otro")
+    )
+
+
+def is_relevant(kind: Column, title: Column, content: Column, want_kind: Column, titles: Column, contents: Column, keywords: Column) -> Column:
+    """Whether a hit answers a golden case: type, any title (in the title, else anywhere), any content, then keywords decide; false without criteria."""
+    every = F.lower(F.concat_ws(" ", title, content))
+    some = lambda words, where: F.exists(words, lambda w: F.contains(where, F.lower(w)))
+    asked = lambda words: F.coalesce(F.size(words), F.lit(0)) > 0
+    return (
+        F.when(want_kind.isNotNull() & ~want_kind.eqNullSafe(kind), False)
+        .when(asked(titles) & ~some(titles, F.lower(title)) & ~some(titles, every), False)
+        .when(asked(contents) & ~some(contents, every), False)
+        .when(asked(keywords), some(keywords, every))
+        .otherwise(want_kind.isNotNull() | asked(titles) | asked(contents))
+    )

@@ -180,3 +180,13 @@ def test_fusion_keeps_one_sided_hits(spark, k):
     got = {r["doc_id"]: r["score"] for r in retrieval.rrf(a, b, k).collect()}
     assert got == {10: round(1 / (k + 1), 9), 11: round(1 / (k + 2) + 1 / (k + 1), 9)}
     assert retrieval.rrf(a, b.limit(0), k).count() == 2
+
+
+def test_tables_boxes_and_relevance(spark):
+    df = spark.createDataFrame([(["a", "b"], [["1", "x|y"], [None, "2"]], [3.0, 9.0, 1.0, 4.0], 'so ```json {"k": {"v": 1}} ``` end', "GUIGS-4 bomba.pdf")], "h array<string>, r array<array<string>>, p array<double>, j string, n string")
+    r = one(df.select(T.markdown_table(F.col("h"), F.col("r")).alias("m"), T.bounding_box(F.col("p")).alias("b"), T.json_block(F.col("j")).alias("j"), T.suggest_kind(F.col("n"), F.lit(".pdf")).alias("k"), T.human_tokens(F.lit(1500)).alias("t"), T.human_size(F.lit(2048)).alias("s")))
+    assert r["m"] == "| a | b |\n| --- | --- |\n| 1 | x/y |\n|  | 2 |" and tuple(r["b"]) == (1.0, 4.0, 3.0, 9.0)
+    assert r["j"] == '{"k": {"v": 1}}' and r["k"] == "guia" and r["t"] == "1.5k" and r["s"] == "2.0 KB"
+    rows = [("sop", "Bomba P-1", "limite 95", None, ["bomba"], None, None, True), ("sop", "Bomba", "x", "guia", ["bomba"], None, None, False), ("sop", "a", "x", None, None, ["y"], None, False), ("sop", "a", "x", "sop", None, None, ["q"], False), ("sop", "a", "x", None, None, None, None, False)]
+    cases = spark.createDataFrame(rows, "kind string, title string, content string, want string, ti array<string>, co array<string>, kw array<string>, expect boolean")
+    assert all(r["got"] == r["expect"] for r in cases.withColumn("got", T.is_relevant(*[F.col(c) for c in ("kind", "title", "content", "want", "ti", "co", "kw")])).collect())
