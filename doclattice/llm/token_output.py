@@ -8,9 +8,9 @@ shard, token count, the documents' ids and lengths, and the compressed wavelet m
 alone answers access, count and occurrence lookup (``WaveletMatrix``). Task retries are safe, as
 Spark commits each partition's file once.
 
-``by_word=True`` encodes each distinct word once per task. It holds for tokenizers whose
-pre-tokenizer cuts at every ASCII blank and whose normaliser never joins over one, as for
-word_bpe_49k; other tokenizers take ``by_word=False``.
+``by_word=True`` encodes each distinct word once per worker. It holds for tokenizers whose
+pre-tokenizer cuts at every ASCII blank and between letters or digits and full stops or commas, and whose normaliser
+never joins over these, as for word_bpe_49k; other tokenizers take ``by_word=False``.
 
 Edge cases: null text counts as empty and gives the end id alone; a repeated doc_id gives a
 row for each, ordered by text hash; a null doc_id comes first; one very long document makes one
@@ -52,7 +52,16 @@ class WordEncoder:
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        """Full stops and commas at a word's end are tokens of their own after a letter or digit, so the word before them is encoded once."""
+        cut = [w.rstrip(".,") for w in words]
+        cut = [c if c and c[-1].isalnum() else w for c, w in zip(cut, words, strict=True)]
+        new = [w for w in dict.fromkeys([*cut, *(w[len(c) :] for c, w in zip(cut, words, strict=True) if len(c) < len(w))]) if w not in self.known]
+        self._add(new, [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)])
+        ends = [(w, c) for c, w in zip(cut, words, strict=True) if len(c) < len(w) and w not in self.known]
+        of = lambda w: self.ids[self.first[self.known[w]] : self.first[self.known[w] + 1]].tolist()
+        self._add([w for w, _ in ends], [of(c) + of(w[len(c) :]) for w, c in ends])
+
+    def _add(self, words: list[str], found: list[list[int]]) -> None:
         base = len(self.known)
         self.known.update((w, base + i) for i, w in enumerate(words))
         sizes = np.fromiter((len(x) for x in found), np.int64, len(found))

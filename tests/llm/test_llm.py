@@ -182,7 +182,7 @@ def test_wavelet_matrix_round_trip_and_lookups():
 def test_token_output_round_trip(spark):
     from tokenizers import Tokenizer
 
-    rows = [*corpus(), (2000, "it's <|endoftext|> İstanbul é 'S ẛ̣ 漢字 12ab")]
+    rows = [*corpus(), (2000, "it's <|endoftext|> İstanbul é 'S ẛ̣ 漢字 12ab heed, Heed. heed.., é. 3.5. x\u0301. \u0301. ., '. it's.")]
     coder, start = Tokenizer.from_file(word_tokenizer()), 0
     for options in ({"shard_tokens": 500}, {"by_word": False}):
         got, start = by_id(token_output.token_output(frame(spark, rows), word_tokenizer(), **options)), 0
