@@ -55,13 +55,13 @@ def exact_dedup(docs: DataFrame, digest=lambda norm: F.sha2(norm, 256), salts: i
     winners = merged.groupBy("digest", "norm").agg(F.sum("n").alias("group_size"), F.max("rank").alias("rank"))
     groups = stash(winners.select("digest", F.sha2("norm", 256).alias("text_sha256"), "group_size", "rank"), "exact-groups")
 
-    per_digest = groups.groupBy("digest").agg(F.count("*").alias("n_texts"), F.max("text_sha256").alias("text_sha256"), F.max("group_size").alias("group_size"), F.max("rank").alias("rank"))
-    collided = per_digest.filter("n_texts > 1").select("digest")
+    collided = groups.groupBy("digest").agg(F.count("*").alias("n_texts")).where("n_texts > 1").select("digest")
+    some = not collided.isEmpty()
     narrow = keyed.select("doc_id", "digest")
-    out = narrow.join(per_digest.filter("n_texts = 1").drop("n_texts"), "digest")
-    if not collided.isEmpty():
-        by_text = winners.select("norm", F.sha2("norm", 256).alias("text_sha256"), "group_size", "rank", "digest").join(collided, "digest", "left_semi")
-        out = out.unionByName(keyed.select("doc_id", "norm", "digest").join(by_text, ["digest", "norm"]).select(*out.columns))
+    out = narrow.join(groups.join(collided, "digest", "left_anti") if some else groups, "digest")
+    if some:
+        by_text = winners.select("digest", "norm", F.sha2("norm", 256).alias("text_sha256"), "group_size", "rank").join(collided, "digest", "left_semi")
+        out = out.unionByName(keyed.select("doc_id", "digest", "norm").join(by_text, ["digest", "norm"]).select(*out.columns))
     keep = _id_of(F.col("rank"))
     kept = F.col("doc_id").eqNullSafe(keep)
     return out.select("doc_id", keep.alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
