@@ -24,7 +24,7 @@ broadcast, and don't enter the buckets.
 Edge cases: null and blank texts have an empty set and link with nothing; fewer than five words
 make one shingle of the whole sequence; words are lower-cased for A-Z only; repeated rows
 of a document get the same result; a doc_id that comes with different texts links with nothing
-(component: itself), nor do the sets of which it is the least id; a null doc_id gets a null component; empty tables give no rows; other
+(component: itself), but other documents with one of its texts link as usual; a null doc_id gets a null component; empty tables give no rows; other
 columns are ignored.
 """
 
@@ -218,7 +218,7 @@ def signatures(n: int, h: np.ndarray, cls: np.ndarray, rare: int) -> tuple[np.nd
     """Single-shingle and pair signatures of a set of n with the shared shingles h, ordered by class and hash."""
     need = n // 5 + 1 - (n - len(h))
     none = np.zeros(0, np.int64)
-    if need <= 0 or n < 5:
+    if need <= 0 or n < 4:  # sets of 3 or less link with equal ones only
         return none, none
     n_rare = int(np.searchsorted(cls, frequency_class(np.array([rare]))[0], "right"))
     ones = h[: min(n_rare, need)]
@@ -408,14 +408,17 @@ def jaccard_classes(docs: DataFrame, rare: int = 16) -> DataFrame:
         raise ValueError("sets are too large for the broadcast of frequent shingles")
     hot = np.sort(np.array([r[0] for r in hot], np.int64).view(_U))
 
-    # the least id stands for all of one set; ids of several texts stand aside
+    # ids of several texts stand aside; the least of the others stands for all of one set
     many = stash(rows.where("id IS NOT NULL").groupBy("id").agg(F.min("d1").alias("a1"), F.max("d1").alias("b1"), F.min("d2").alias("a2"), F.max("d2").alias("b2")).where("a1 <> b1 OR a2 <> b2").select("id"), "jaccard-aside")
     some = not many.isEmpty()
     aside = (lambda df: df.join(many, "id", "left_anti")) if some else (lambda df: df)
-    named = rows.where("id IS NOT NULL AND n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"))
-    classes = stash(aside(named).withColumnRenamed("id", "rep"), "jaccard-reps")
-    shared = shared_shingles(docs.where("doc_id IS NOT NULL"), hot, buckets, parts)
-    sets = stash(candidates(shared, classes.where("n >= 5").select(F.col("rep").alias("id"), "n"), parts, rare), "jaccard-sets")
+    named = aside(rows.where("id IS NOT NULL AND n > 0")).groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
+    classes = stash(named.select("rep", "d1", "d2", "n"), "jaccard-reps")
+    linking = docs.where("doc_id IS NOT NULL")
+    if some:
+        linking = linking.join(many.withColumnRenamed("id", "doc_id"), "doc_id", "left_anti").select("doc_id", "text")
+    shared = shared_shingles(linking, hot, buckets, parts)
+    sets = stash(candidates(shared, classes.where("n >= 4").select(F.col("rep").alias("id"), "n"), parts, rare), "jaccard-sets")
     stars = link_components(sets, buckets)
     named = stash(classes.join(stars.select(F.col("u").alias("rep"), "v"), "rep", "left").select("d1", "d2", "n", F.coalesce("v", "rep").alias("component")), "jaccard-named")
     out = aside(rows).join(named, ["d1", "d2", "n"], "left").select("id", "n", "component")

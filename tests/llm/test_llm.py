@@ -100,6 +100,30 @@ def test_jaccard_components_equal_brute_force(spark):
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in odd) == [("1", "1"), ("1", "1"), ("2", "2"), ("2", "2"), ("None", "None")]
 
 
+def test_jaccard_links_sets_of_four_and_texts_of_ids_set_aside(spark):
+    letters = [f"l{k}" for k in range(60)]
+    say = lambda a, n: " ".join(letters[a : a + n])
+    texts = [say(0, 8), say(0, 9), say(1, 8), say(20, 7), say(20, 8), "p " + say(20, 8), say(40, 6), say(40, 7), "one two", "one two three"]
+    texts += [f"{say(20, 8)} tail{k}" for k in range(30)] + [f"head{k} {say(0, 8)}" for k in range(4)]
+    rows = [(i + 1, t) for i, t in enumerate(texts)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    want = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            for j in sets:
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    want[i] = min(want[i], want[j])
+    assert (len(sets[1]), len(sets[2]), want[2]) == (4, 5, 1)
+    for rare in (1, 16):
+        got = by_id(jaccard_join.jaccard_classes(frame(spark, rows), rare))
+        assert {i: r["component_id"] for i, r in got.items()} == want
+    long = say(0, 30)
+    clash = [(1, long), (1, "some other text of seven words"), (2, long), (3, long), (4, long + " more"), (5, "a b"), (5, "c d"), (6, "a b"), (7, "a b")]
+    for parts in (1, 9):
+        table = spark.createDataFrame(clash, "doc_id long, text string").repartition(parts)
+        assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_classes(table).collect()} == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 5), (6, 6), (7, 6)}
+
+
 def test_suffix_dedup_equals_brute_force(spark):
     rows = corpus()
     got, seen = by_id(suffix_dedup.suffix_dedup(frame(spark, rows))), set()
