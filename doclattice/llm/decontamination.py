@@ -3,21 +3,21 @@
 Texts are compared after lower-casing A-Z and collapsing blanks to one space. An item of n bytes is found in
 a document where some part of it is within k = n // 5 edits.
 
-1. Windows: exact seeds of ``seed`` bytes of every item are looked up in every document (a bitmap, then a sorted
-   table). A seed hit at item position o and text position p gives the item-sized window that starts at p - o;
-   hits of one item on neighbouring diagonals are one window, and need two different seeds.
-2. LSH: the CGK embedding walks through a string, emitting its current byte and stepping on or not by a random
-   bit of (step, byte); strings within few edits fall back in step, so edit distance becomes Hamming
-   distance. Each of ``walks`` walks gives ``tables`` samples of ``bits`` output positions; a window stays when any
-   sample equals the item's. Repetitions are set so that windows within k edits are met with the target recall
-   (measured in the tests).
-3. Verification: exact semi-global edit distance in a band, so that the best part of the surroundings counts.
+1. Pieces: an item is cut into n // q disjoint pieces of q bytes, q = 4 (less for some short items, so that there
+   are more pieces than edits). Each edit spoils one piece at most, so n // q - k pieces of any match stand in the document
+   unchanged, on diagonals (text position less item position) at most k apart.
+2. Counts: all hits of pieces are counted in cells of k + 1 diagonals for every item; two neighbouring cells with fewer hits
+   than that hold no match. In the others the diagonals are sorted, and a hit opens a window where enough hits follow it
+   within k diagonals and some chain of them in rising order needs no more than k edits: as many between two pieces as pieces
+   are left out there, and as their diagonals differ. Every match has such a hit, wherever its edits lie.
+3. Verification: exact semi-global edit distance over the windows, so nothing depends on chance.
 
+The work grows with documents times benchmark: about 7 hits for each byte of text and 11,000 pieces (200 items).
 The benchmark is read in blocks of at most ``block_bytes`` of text, so what tasks hold of it is bounded; documents
 are read once for each block and never shuffled, whatever their text.
 
-Edge cases: null and empty texts hold nothing; items of fewer than ``2 * seed`` normalised bytes can't be told from
-chance and match nothing; equal items are all reported; repeated doc_ids give one row each;
+Edge cases: null and empty texts hold nothing; items of fewer than 5 normalised bytes match exactly only, and any
+document that holds them; null and blank items match nothing; equal items are all reported; repeated doc_ids give one row each;
 a null doc_id or item_id is reported as null; empty tables give no rows; other columns are ignored.
 """
 
@@ -30,9 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, lower_ascii, mix, small_batches, text_arrays, text_of, _SPACE
+from .common import blocks, lower_ascii, small_batches, text_arrays, text_of, _SPACE
 
-_U = np.uint64
 MATCHES = "doc_id long, item_id long, at int, distance int, item_bytes int"
 
 
@@ -50,113 +49,193 @@ def normalise(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def grams(buf: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all spans of ``size`` bytes, 9 to 16."""
-    n = len(buf) - size + 1
-    if n <= 0:
-        return np.zeros(0, _U)
-    eight = np.lib.stride_tricks.sliding_window_view(buf, 8)
-    words = np.ascontiguousarray(eight).view("<u8").ravel()
-    return mix(words[:n] * _U(0x9E3779B97F4A7C15) ^ mix(words[size - 8 : size - 8 + n]))
+    """All spans of ``size`` bytes, 1 to 4, as numbers."""
+    n = max(0, len(buf) - size + 1)
+    out = np.zeros(n, np.uint32)
+    for i in range(size):
+        out = out << np.uint32(8) | buf[i : i + n]
+    return out
+
+
+SLOTS, PIECES, CHUNK = 20, 12_000, 1 << 17
+
+
+def piece_size(n: int) -> int:
+    """The greatest size of up to 4 bytes with more pieces than edits."""
+    return max(q for q in range(1, 5) if n // q > n // 5)
+
+
+class Pieces:
+    """A table of the pieces of some items, all of one size."""
+
+    def __init__(self, items: Items, which: list[int], q: int):
+        self.q, n = q, items.sizes[which]
+        self.k, self.need = n // 5, n // q - n // 5
+        self.item, self.n = np.array(which), n
+        per = n // q
+        owner = np.repeat(np.arange(len(which)), per)
+        place = q * (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
+        gram = np.concatenate([grams(items.texts[i], q)[::q] for i in which])
+        slot = self.slot(gram)
+        order = np.argsort(slot, kind="stable")
+        self.gram, self.owner, self.place = gram[order], owner[order].astype(np.int32), place[order].astype(np.int32)
+        self.first = np.searchsorted(slot[order], np.arange((1 << SLOTS) + 1)).astype(np.int32)
+
+    def slot(self, gram: np.ndarray) -> np.ndarray:
+        return (gram * np.uint32(2654435761)) >> np.uint32(32 - SLOTS)
+
+    def windows(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """item, position of a piece that opens a window, its diagonal."""
+        gram = grams(text, self.q)
+        slot = self.slot(gram)
+        lo = self.first[slot]
+        n = self.first[slot + np.uint32(1)] - lo
+        at = np.flatnonzero(n)
+        lo, n = lo[at], n[at]
+        which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = np.repeat(at, n)
+        same = self.gram[which] == gram[at]
+        if not same.all():
+            which, at = which[same], at[same]
+        cells = (len(text) + self.n) // (self.k + 1) + 2
+        base = (np.cumsum(cells) - cells)[self.owner]
+        part = 1.0 / (self.k + 1)[self.owner]
+        cell = (at * part[which] + ((self.n[self.owner] - self.place + 0.5) * part + base)[which]).astype(np.int64)
+        hits = np.bincount(cell, minlength=int(cells.sum()) + 1)
+        need = np.repeat(self.need, cells)
+        two = hits[:-1] + hits[1:] >= need
+        open_ = np.zeros(len(hits), bool)
+        open_[:-1] = two
+        open_[1:] |= two
+        pick = np.flatnonzero(open_[cell])
+        which, at = which[pick], at[pick]
+        owner, place = self.owner[which].astype(np.int64), self.place[which].astype(np.int64)
+        diag = at - place
+        order = np.lexsort((diag, owner))
+        owner, at, diag, place = owner[order], at[order], diag[order], place[order]
+        last = np.arange(len(owner)) + self.need[owner] - 1
+        inside = last < len(owner)
+        last = np.minimum(last, max(0, len(owner) - 1))
+        good = np.flatnonzero(inside & (owner[last] == owner) & (diag[last] - diag <= self.k[owner])) if len(owner) else np.zeros(0, np.int64)
+        key = owner * (1 << 40) + diag + (1 << 30)
+        good = good[self.chained(good, np.searchsorted(key, key[good] + self.k[owner[good]], "right") - good, owner, place // self.q, diag)]
+        return self.item[owner[good]], at[good], diag[good]
+
+    def chained(self, first: np.ndarray, many: np.ndarray, owner: np.ndarray, nth: np.ndarray, diag: np.ndarray, most: int = 64) -> np.ndarray:
+        """Whether the hits from each ``first`` on can belong to a match; more than ``most`` hits always pass.
+
+        Between two unchanged pieces lie at least as many edits as spoiled pieces, and as diagonals they differ by, so the
+        cheapest chain of hits in rising order is a lower bound of the distance.
+        """
+        keep = many > most
+        order = np.argsort(many, kind="stable")
+        order = order[~keep[order]]
+        for lo in range(0, len(order), 2048):
+            some = order[lo : lo + 2048]
+            h = int(many[some].max())
+            at = first[some][:, None] + np.arange(h)
+            void = np.arange(h) >= many[some][:, None]
+            at[void] = 0
+            piece, place = np.where(void, 1 << 20, nth[at]).astype(np.int32), diag[at].astype(np.int32)
+            rank = np.argsort(piece, axis=1)
+            piece, place = np.take_along_axis(piece, rank, 1).T.copy(), np.take_along_axis(place, rank, 1).T.copy()
+            own = owner[first[some]]
+            enough = 1 + ((piece[1:] > piece[:-1]) & (piece[1:] < 1 << 20)).sum(axis=0) >= self.need[own]  # different pieces
+            some, own, piece, place = some[enough], own[enough], piece[:, enough], place[:, enough]
+            cost = piece.copy()
+            for r in range(1, h):
+                gap = piece[r] - piece[:r] - 1
+                step = cost[:r] + np.maximum(gap, np.abs(place[r] - place[:r]))
+                step[gap < 0] = 1 << 20
+                cost[r] = np.minimum(cost[r], step.min(axis=0))
+            keep[some] = (cost + (self.n[own] // self.q - 1 - piece)).min(axis=0, where=piece < 1 << 20, initial=1 << 20) <= self.k[own]
+        return keep
 
 
 class Items:
-    def __init__(self, rows: list, seed: int, walks: int, tables: int, bits: int, rng_seed: int):
-        self.seed, self.walks, self.tables, self.bits, self.rng_seed = seed, walks, tables, bits, rng_seed
+    def __init__(self, rows: list, *_: int):
         self.ids = [r[0] for r in rows]
         self.texts = []
         for r in rows:
             raw = np.frombuffer((r[1] or "").encode(), np.uint8)
-            text, _ = normalise(raw, np.array([0, len(raw)]))
-            text = np.frombuffer(text.tobytes().strip(), np.uint8)
-            self.texts.append(text if len(text) >= 2 * seed else text[:0])
+            text, _offs = normalise(raw, np.array([0, len(raw)]))
+            self.texts.append(np.frombuffer(text.tobytes().strip(), np.uint8))
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         self.padded = np.zeros((len(rows), int(self.sizes.max(initial=1))), np.uint8)
         for i, t in enumerate(self.texts):
             self.padded[i, : len(t)] = t
-        self.embedded: dict[int, np.ndarray] = {}
-        g = [grams(t, seed) for t in self.texts]
-        self.gram = np.concatenate([np.zeros(0, _U), *g])
-        self.item = np.repeat(np.arange(len(g)), [len(x) for x in g])
-        self.place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(x)) for x in g)])
-        order = np.argsort(self.gram, kind="stable")
-        self.gram, self.item, self.place = self.gram[order], self.item[order], self.place[order]
-        self.bitmap = np.zeros(1 << 24, bool)
-        self.bitmap[(self.gram >> _U(40)).astype(np.int64)] = True
+        self.step = np.maximum(1, self.sizes // 10)
+        self.tables: list[Pieces] = []
+        for q in range(1, 5):
+            some = [i for i, n in enumerate(self.sizes.tolist()) if n and piece_size(n) == q]
+            group = np.cumsum(self.sizes[some] // q) // PIECES
+            self.tables += [Pieces(self, [i for i, g in zip(some, group, strict=True) if g == x], q) for x in np.unique(group)]
 
     def windows(self, text: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """doc, item, start (in the block) of candidate windows."""
-        h = grams(text, self.seed)
-        at = np.flatnonzero(self.bitmap[(h >> _U(40)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.gram, h[at], "left"), np.searchsorted(self.gram, h[at], "right")
-        n = hi - lo
-        at = np.repeat(at, n)
-        which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        doc = np.searchsorted(offs, at, "right") - 1
-        inside = at + self.seed <= offs[doc + 1]
-        doc, at, which = doc[inside], at[inside], which[inside]
-        item, diag = self.item[which], at - self.place[which]
-        order = np.lexsort((diag, item, doc))
-        doc, item, diag, place = doc[order], item[order], diag[order], self.place[which][order]
-        far = np.ones(len(doc), bool)
-        far[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diag[1:] - diag[:-1] > self.sizes[item[1:]] // 10 + 1)
-        first = np.flatnonzero(far)
-        n = np.diff(first, append=len(doc))
-        group = np.repeat(np.arange(len(first)), n)
-        least, most = (np.full(len(first), 1 << 60), np.full(len(first), -1))
-        np.minimum.at(least, group, place)
-        np.maximum.at(most, group, place)
-        mid = first + n // 2
-        two = most > least
-        return doc[mid][two], item[mid][two], diag[mid][two]
-
-    def embed(self, rows: np.ndarray, sizes: np.ndarray, walk: int) -> np.ndarray:
-        """CGK outputs (rows, tables, bits) at the walk's sampled steps; rows are zero-padded, samples lie at fractions of 1.5 times the size."""
-        rng = np.random.default_rng([self.rng_seed, walk])
-        part = rng.random((self.tables, self.bits))
-        last = 3 * int(sizes.max()) // 2
-        emitted, at = np.zeros((last + 1, len(rows)), np.uint8), np.zeros(len(rows), np.int64)
-        padded = np.concatenate([rows, np.zeros((len(rows), 1), np.uint8)], axis=1)
-        base, flat = np.arange(len(rows)) * padded.shape[1], padded.ravel()
-        for j in range(last + 1):
-            byte = flat[base + at]
-            emitted[j] = byte
-            at = np.minimum(at + rng.integers(0, 2, 256)[byte], sizes)
-        steps = (part[None] * (3 * sizes[:, None, None] // 2)).astype(np.int64)
-        return emitted[steps, np.arange(len(rows))[:, None, None]]
-
-    def collide(self, item: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Which windows share a bit sample with their item in any repetition."""
-        sizes, hit = self.sizes[item], np.zeros(len(rows), bool)
-        for walk in range(self.walks):
-            if walk not in self.embedded:
-                self.embedded[walk] = self.embed(self.padded, self.sizes, walk)
-            hit |= (self.embed(rows, sizes, walk) == self.embedded[walk][item]).all(axis=2).any(axis=1)
-        return hit
+        """doc, item, start (in the block) of candidate windows: a match starts at most k before and k + step behind that."""
+        found = []
+        over = 2 * self.padded.shape[1]
+        for a in range(0, max(1, len(text)), CHUNK):  # chunks overlap by more than a match
+            for pieces in self.tables:
+                item, at, diag = pieces.windows(text[a : a + CHUNK + over])
+                doc = np.searchsorted(offs, at + a, "right") - 1
+                start = (diag + a - offs[doc]) // self.step[item] * self.step[item] + offs[doc]
+                found.append((doc, item, start))
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        doc, item, start = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((start, item, doc))
+        doc, item, start = doc[order], item[order], start[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1])
+        return doc[new], item[new], start[new]
 
     def matches(self, found: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """found: (doc, item, start in document, window bytes with margins) of many blocks, margins of k bytes at either side."""
+        """found: (doc, item, start in document, window bytes with margins) of many blocks; margins of k bytes at either side, and step."""
         doc, item, start, rows = (np.concatenate(x) for x in zip(*found, strict=True))
-        k = self.sizes[item] // 5
-        middle = rows[np.arange(len(rows))[:, None], k[:, None] + np.arange(self.padded.shape[1])]
-        middle[np.arange(middle.shape[1]) >= self.sizes[item][:, None]] = 0
-        near = self.collide(item, middle)
-        doc, item, start, rows = doc[near], item[near], start[near], rows[near]
-        for which in np.unique(item).tolist():
-            pick = np.flatnonzero(item == which)
-            most = int(self.sizes[which]) // 5
-            best, _ = semiglobal(self.texts[which], rows[pick, : int(self.sizes[which]) + 2 * most], most)
-            pick, best = pick[best <= most], best[best <= most]
-            yield doc[pick], item[pick], start[pick], best
+        order = np.argsort(-self.sizes[item], kind="stable")
+        for lo in range(0, len(order), 256):
+            pick = order[lo : lo + 256]
+            n = self.sizes[item[pick]]
+            best, end = semiglobal_many(self.padded[item[pick]], n, rows[pick, : int((n + 2 * (n // 5) + self.step[item[pick]]).max())])
+            near = best <= n // 5
+            pick, best = pick[near], best[near]
+            yield doc[pick], item[pick], start[pick] + end[near] - n[near] - n[near] // 5, best
 
     def cut(self, text: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         """Candidate windows of a block with their bytes; zero outside the document."""
-        doc, item, start = self.windows(text, offs)
-        at = (start - self.sizes[item] // 5)[:, None] + np.arange(self.padded.shape[1] * 7 // 5 + 2)
+        return self.bytes_of(text, offs, *self.windows(text, offs))
+
+    def bytes_of(self, text: np.ndarray, offs: np.ndarray, doc: np.ndarray, item: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+        width = self.padded.shape[1]
+        at = (start - self.sizes[item] // 5)[:, None] + np.arange(width + 2 * (width // 5) + width // 10 + 2)
         inside = (at >= offs[doc][:, None]) & (at < offs[doc + 1][:, None])
         rows = np.where(inside, text[np.clip(at, 0, max(0, len(text) - 1))], 0).astype(np.uint8) if len(doc) else np.zeros(at.shape, np.uint8)
         return doc, item, start - offs[doc], rows
 
 
+def semiglobal_many(patterns: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``semiglobal`` of each row with a pattern of its own; sizes don't rise."""
+    m, width = rows.shape
+    kind = np.int16 if 2 * width < 1 << 15 else np.int32
+    ramp = np.arange(width + 1, dtype=kind)
+    prev = np.zeros((m, width + 1), kind)
+    best, end = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    for i in range(1, int(sizes.max(initial=0)) + 1):
+        now = np.empty_like(prev)
+        now[:, 0] = i
+        np.minimum(prev[:, :-1] + (rows[: len(prev)] != patterns[: len(prev), i - 1 : i]), prev[:, 1:] + kind(1), out=now[:, 1:])
+        now -= ramp
+        prev = np.minimum.accumulate(now, axis=1, out=now)
+        prev += ramp
+        left = int(np.searchsorted(-sizes, -i, "left"))  # rows with longer patterns
+        done = int(np.searchsorted(-sizes, -i, "right"))
+        if done > left:
+            best[left:done], end[left:done] = prev[left:done].min(axis=1), prev[left:done].argmin(axis=1)
+            prev = prev[:left]
+    return best, end
+
+
 def semiglobal(pattern: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Least edit distance of the pattern to any part of each row (row 0 bytes match nothing), and where that part ends."""
     m, width = len(rows), rows.shape[1]
@@ -171,7 +250,10 @@ def semiglobal(pattern: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarra
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 12, walks: int = 8, tables: int = 32, bits: int = 3, rng_seed: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, item_id, at (byte position in the normalised text), distance, item_bytes: the best match of each item in each document."""
+    """doc_id, item_id, at (byte position in the normalised text), distance, item_bytes: the best match of each item in each document.
+
+    The search is complete, so seed, walks, tables, bits and rng_seed of the former sampling have no effect.
+    """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
@@ -203,11 +285,12 @@ def _scan(docs: DataFrame, items: Items) -> DataFrame:
 
             for i, j in blocks(offs):
                 text, at = normalise(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                doc, item, start, rows = known.cut(text, at)
-                if len(doc):
+                windows = known.windows(text, at)
+                for lo in range(0, len(windows[0]), 4096):
+                    doc, item, start, rows = known.bytes_of(text, at, *(x[lo : lo + 4096] for x in windows))
                     found.append((doc + i, item, start, rows))
-                if sum(len(f[0]) for f in found) > 4096:
-                    settle()
+                    if sum(len(f[0]) for f in found) > 4096:
+                        settle()
             if found:
                 settle()
             if best:

@@ -285,6 +285,32 @@ def test_leaks_exact_edited_and_clean(spark):
     assert decontamination.find_leaks(frame(spark, EMPTY), bench).count() == 0 and decontamination.find_leaks(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_equal_brute_force_for_spread_edits_and_short_items(spark):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 9))))
+    noise = lambda n: " ".join(word() for _ in range(n))
+    texts = [noise(60)[:n].strip() for n in (240, 240, 240, 239, 200, 81, 60, 24, 24, 23, 16, 15, 12, 11, 10, 9, 7, 6, 5, 4, 3)]
+
+    def every(text, step, kind):  # one edit in every ``step`` bytes
+        parts = [text[i : i + step] for i in range(0, len(text), step)]
+        edit = {"change": lambda x: x[:2] + "#" + x[3:], "insert": lambda x: x[:2] + "#" + x[2:], "delete": lambda x: x[:2] + x[3:]}[kind]
+        return "".join(edit(x) if len(x) == step else x for x in parts)
+
+    docs = [every(t, step, kind) for t in texts for step in (5, 6, 12, 30) for kind in ("change", "insert", "delete")] + texts
+    docs += [" ".join("zz" if i % 9 == 4 else w for i, w in enumerate(t.split())) for t in texts[:5]]
+    rows = [(i, f"{noise(12)} {t} {noise(12)}" if i % 3 else t) for i, t in enumerate(docs)] + [(5000, noise(4000) + " " + every(texts[0], 5, "insert") + " " + noise(4000))]
+    want = {}
+    for i, t in rows:
+        line = np.frombuffer(t.strip().encode(), np.uint8)[None]
+        for k, x in enumerate(texts):
+            best = int(decontamination.semiglobal(np.frombuffer(x.encode(), np.uint8), line, len(x) // 5)[0][0])
+            if best <= len(x) // 5:
+                want[i, k] = best
+    bench = spark.createDataFrame([*enumerate(texts), (90, None), (91, "  ")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontamination.find_leaks(frame(spark, rows), bench).collect()}
+    assert got == want and len(want) > 200
+
+
 def test_lsh_reaches_its_recall():
     rng = np.random.default_rng(9)
     texts = [bytes(rng.integers(97, 123, int(n)).astype(np.uint8)) for n in rng.integers(80, 350, 60)]
