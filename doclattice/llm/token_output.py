@@ -3,14 +3,15 @@
 Documents are range-partitioned by (doc_id, text hash) and sorted, so that partition, shard and
 row order give the order of all documents. A task encodes its documents with a tokenizer of the
 ``tokenizers`` library and closes a shard after the document that brings it to
-``shard_tokens`` ids. A shard is one row of a Parquet table in the output folder: partition,
-shard, token count, the documents' ids and lengths, and the compressed wavelet matrix, which
-alone answers access, count and occurrence lookup (``WaveletMatrix``). Task retries are safe, as
-Spark commits each partition's file once.
+``shard_tokens`` ids. A shard is one self-contained file: document ids and lengths, the compressed
+bit planes of the wavelet matrix, and their rank directory, so that access, count and occurrence lookup
+(``WaveletMatrix``) need nothing else. The files are the ``file`` column of a Parquet table in the shared folder, which
+also names partition, shard and sizes: billions of small objects would not serve a store. Task retries are safe, as Spark commits
+each partition's file once. Reading back takes all positions of a shard at once, plane by plane (``decode``).
 
 ``by_word=True`` encodes each distinct word once per worker. It holds for tokenizers whose
-pre-tokenizer cuts at every ASCII blank and between letters or digits and full stops or commas, and whose normaliser
-never joins over these, as for word_bpe_49k; other tokenizers take ``by_word=False``.
+pre-tokenizer cuts at every ASCII blank and between letters or digits and signs, and whose normaliser is NFC and
+lower case, as for word_bpe_49k; other tokenizers take ``by_word=False``.
 
 Edge cases: null text counts as empty and gives the end id alone; a repeated doc_id gives a
 row for each, ordered by text hash; a null doc_id comes first; one very long document makes one
@@ -20,12 +21,16 @@ longer shard; empty input writes no shard and gives no rows; other columns are i
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,40 +38,67 @@ from pyspark.sql import functions as F
 from .common import partitions, small_batches, stash, text_of
 from .wavelet import WaveletMatrix
 
-SHARDS = "part int, shard int, n_tokens long, n_docs long, doc_ids binary, has_id binary, lengths binary, matrix binary"
+SHARDS = "part int, shard int, n_tokens long, n_docs long, file binary"
+MAGIC = b"TSH1"
 _tokenizers: dict = {}
 
 
+PUNCTUATION = ".,;:!?()[]\"*-"  # ends a word's letters in every pre-tokenizer that cuts between letters and signs
+
+
 class WordEncoder:
-    """ids of texts, with a bounded memory of words already encoded."""
+    """ids of texts, with a bounded memory of words already encoded.
 
-    def __init__(self, path: str, by_word: bool, limit: int = 1_000_000):
+    A new word is cut into signs, core and signs, as the pre-tokenizer does. A core of Latin letters goes straight to the
+    tokenizer's model in lower case, as normaliser and pre-tokenizer leave it whole; all else takes the full path.
+    """
+
+    def __init__(self, path: str, by_word: bool, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.by_word, self.limit = Tokenizer.from_file(path), by_word, limit
+        letters = [chr(c) for c in range(256) if chr(c).isalpha() and chr(c) == chr(c).lower() and c not in (0xAA, 0xB5, 0xBA)]
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.table = str.maketrans({c: as_bytes.pre_tokenize_str(c)[0][0] for c in letters})
+        self.plain = re.compile(f"[{''.join(letters)}]+").fullmatch
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.first, self.ids = array("q", [0]), array("I")
 
     def learn(self, words: list[str]) -> None:
-        """Full stops and commas at a word's end are tokens of their own after a letter or digit, so the word before them is encoded once."""
-        cut = [w.rstrip(".,") for w in words]
-        cut = [c if c and c[-1].isalnum() else w for c, w in zip(cut, words, strict=True)]
-        new = [w for w in dict.fromkeys([*cut, *(w[len(c) :] for c, w in zip(cut, words, strict=True) if len(c) < len(w))]) if w not in self.known]
-        self._add(new, [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)])
-        ends = [(w, c) for c, w in zip(cut, words, strict=True) if len(c) < len(w) and w not in self.known]
-        of = lambda w: self.ids[self.first[self.known[w]] : self.first[self.known[w] + 1]].tolist()
-        self._add([w for w, _ in ends], [of(c) + of(w[len(c) :]) for w, c in ends])
-
-    def _add(self, words: list[str], found: list[list[int]]) -> None:
-        base = len(self.known)
-        self.known.update((w, base + i) for i, w in enumerate(words))
-        sizes = np.fromiter((len(x) for x in found), np.int64, len(found))
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))])
+        """Encode ``words`` (distinct and new) and remember them."""
+        cut, slow, tokenize, plain, table = [], {}, self.tokenizer.model.tokenize, self.plain, self.table
+        parts: dict[str, list[int]] = {"": []}
+
+        def take(part: str) -> str:
+            low = part.lower()
+            if low in parts:
+                return low
+            if plain(low):
+                parts[low] = [t.id for t in tokenize(low if low.isascii() else low.translate(table))]
+                return low
+            slow[part] = None
+            return part
+
+        for w in words:
+            core = w.strip(PUNCTUATION)
+            if len(core) == len(w) or not core or not (core[0].isalnum() and core[-1].isalnum()):
+                cut.append((take(w),))
+            else:
+                at = w.index(core)
+                cut.append((take(w[:at]), take(core), take(w[at + len(core) :])))
+        new = [w for w in slow if w not in parts]
+        parts.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+        base, ids, first = len(self.known), self.ids, self.first
+        self.known.update(zip(words, range(base, base + len(words)), strict=True))
+        for c in cut:
+            for part in c:
+                ids.extend(parts[part])
+            first.append(len(ids))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by end_id, and the number of ids of each text."""
@@ -82,8 +114,9 @@ class WordEncoder:
             new = values
         if new:
             self.learn(new)
-        row = np.fromiter((self.known[w] for w in values), np.int64, len(values))[words.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(words) else np.zeros(0, np.int64)
-        sizes = self.first[row + 1] - self.first[row]
+        first, known = np.array(self.first, np.int64), np.array(self.ids, np.uint32)
+        row = np.fromiter(map(self.known.__getitem__, values), np.int64, len(values))[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+        sizes = first[row + 1] - first[row]
         before = np.concatenate([[0], np.cumsum(sizes)])
         ends = before[np.asarray(lists.offsets)[1:] - np.asarray(lists.offsets)[0]]  # ids up to each text's end
         n = np.arange(1, len(texts) + 1)
@@ -91,8 +124,8 @@ class WordEncoder:
         mask = np.ones(len(out), bool)
         mask[ends + n - 1] = False
         out[~mask] = end_id
-        at = np.repeat(self.first[row] - before[:-1], sizes) + np.arange(int(before[-1]))
-        out[mask] = self.ids[at]
+        at = np.repeat(first[row] - before[:-1], sizes) + np.arange(int(before[-1]))
+        out[mask] = known[at]
         return out, np.diff(ends + n, prepend=0)
 
 
@@ -102,6 +135,24 @@ def _encoder(path: str, by_word: bool) -> WordEncoder:
     return _tokenizers[path, by_word]
 
 
+def pack_shard(doc_ids: pa.Array, lengths: np.ndarray, matrix: WaveletMatrix) -> bytes:
+    """One self-contained shard file: the documents' ids and lengths, then the matrix with its rank directory."""
+    known = np.asarray(doc_ids.is_valid()).astype(np.uint8)
+    parts = [pc.fill_null(doc_ids, 0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), known.tobytes(), lengths.astype("<u8").tobytes()]
+    index = zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return MAGIC + struct.pack("<QQ", len(lengths), len(index)) + index + matrix.to_bytes()
+
+
+def unpack_shard(data: bytes) -> tuple[pa.Array, np.ndarray, WaveletMatrix]:
+    """Document ids, their numbers of tokens, and the matrix of a shard file."""
+    if data[:4] != MAGIC:
+        raise ValueError("not a shard file")
+    n, size = struct.unpack_from("<QQ", data, 4)
+    index = zstandard.ZstdDecompressor().decompress(data[20 : 20 + size])
+    ids, known, lengths = np.frombuffer(index, "<i8", n), np.frombuffer(index, np.uint8, n, 8 * n), np.frombuffer(index, "<u8", n, 9 * n)
+    return pa.array(ids, mask=known == 0), lengths.astype(np.int64), WaveletMatrix.from_bytes(data[20 + size :])
+
+
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, bits: int = 16, by_word: bool = True, shard_tokens: int = 1 << 20) -> DataFrame:
     """Encode ``docs`` (doc_id, text), write the shards, and return the table read back from its files."""
     spark = docs.sparkSession
@@ -116,10 +167,10 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, bits: int = 1
             ids, lengths = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
             if len(ids) and int(ids.max()) >> bits:
                 raise ValueError(f"an id needs more than {bits} bits")
-            keys = pa.concat_arrays([h[0] for h in held])
-            row = [part, shard, len(ids), len(lengths), pc.fill_null(keys, 0).to_numpy().astype("<i8").tobytes(), np.asarray(keys.is_valid()).astype(np.uint8).tobytes(), lengths.astype("<u8").tobytes(), WaveletMatrix.build(ids, bits).to_bytes()]
+            file = pack_shard(pa.concat_arrays([h[0] for h in held]), lengths, WaveletMatrix.build(ids, bits))
+            row = [part, shard, len(ids), len(lengths), file]
             shard, held = shard + 1, []
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4], strict=True)], ["part", "shard", "n_tokens", "n_docs", "doc_ids", "has_id", "lengths", "matrix"])
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()], strict=True)], ["part", "shard", "n_tokens", "n_docs", "file"])
 
         for batch in batches:
             ids, lengths = coder.encode(batch.column(1), end_id)
@@ -145,18 +196,16 @@ def read_shards(shards: DataFrame) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = WaveletMatrix.from_bytes(row["matrix"]).decode().astype("<u4")
-                lengths = np.frombuffer(row["lengths"], "<u8").astype(np.int64)
-                ends = np.cumsum(lengths)
+                keys, lengths, matrix = unpack_shard(row["file"])
+                ids, ends = matrix.decode().astype("<u4"), np.cumsum(lengths)
                 crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                keys = pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=np.frombuffer(row["has_id"], np.uint8) == 0)
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(n, row["part"], np.int32)), pa.array(np.full(n, row["shard"], np.int32)), pa.array(ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "part", "shard", "within", "n_tokens", "ids_crc32"])
 
     small_batches(shards.sparkSession)
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("part_n")).select("part", (F.sum("part_n").over(Window.orderBy("part")) - F.col("part_n")).alias("part_start"))
     starts = shards.select("part", "shard", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")).alias("shard_start")).join(totals, "part")
-    docs = shards.select("part", "shard", "doc_ids", "has_id", "lengths", "matrix").mapInArrow(decode, "doc_id long, part int, shard int, within long, n_tokens long, ids_crc32 long")
+    docs = shards.select("part", "shard", "file").mapInArrow(decode, "doc_id long, part int, shard int, within long, n_tokens long, ids_crc32 long")
     return docs.join(starts, ["part", "shard"]).select("doc_id", (F.col("part_start") + F.col("shard_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
