@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,14 +27,16 @@ def _print(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """Edges (u, v) to stars (u, v) with v the least node of u's component; the least node itself has no row.
 
-    Every step is written to the shared folder, so lineage stays short and lost executors cost one step. Stars are a
-    fixed point of both steps.
+    Every step is written to the shared folder, so lineage stays short and lost executors cost one step; the tables of the
+    step before are removed then. Stars are a fixed point of both steps.
     """
     edges = stash(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     seen = None
     while True:
-        edges = stash(_star(stash(_star(edges, True), "cc"), False), "cc")
-        now = _print(edges)
+        large = stash(_star(edges, True), "cc")
+        small = stash(_star(large, False), "cc")
+        discard(edges, large)
+        edges, now = small, _print(small)
         if now == seen or not now[0]:
             return edges
         seen = now

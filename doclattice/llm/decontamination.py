@@ -1,24 +1,29 @@
-"""Benchmark decontamination: documents that hold a benchmark passage, up to an edit similarity of 0.8.
-
-Texts are compared after lower-casing A-Z and collapsing blanks to one space. An item of n bytes is found in
-a document where some part of it is within k = n // 5 edits.
-
-1. Pieces: an item is cut into n // q disjoint pieces of q bytes, q = 4 (less for some short items, so that there
-   are more pieces than edits). Each edit spoils one piece at most, so n // q - k pieces of any match stand in the document
-   unchanged, on diagonals (text position less item position) at most k apart.
-2. Counts: all hits of pieces are counted in cells of k + 1 diagonals for every item; two neighbouring cells with fewer hits
-   than that hold no match. In the others the diagonals are sorted, and a hit opens a window where enough hits follow it
-   within k diagonals and some chain of them in rising order needs no more than k edits: as many between two pieces as pieces
-   are left out there, and as their diagonals differ. Every match has such a hit, wherever its edits lie.
-3. Verification: exact semi-global edit distance over the windows, so nothing depends on chance.
-
-The work grows with documents times benchmark: about 7 hits for each byte of text and 11,000 pieces (200 items).
-The benchmark is read in blocks of at most ``block_bytes`` of text, so what tasks hold of it is bounded; documents
-are read once for each block and never shuffled, whatever their text.
-
-Edge cases: null and empty texts hold nothing; items of fewer than 5 normalised bytes match exactly only, and any
-document that holds them; null and blank items match nothing; equal items are all reported; repeated doc_ids give one row each;
-a null doc_id or item_id is reported as null; empty tables give no rows; other columns are ignored.
+"""Benchmark decontamination: documents that hold a benchmark passage within a fifth of its words in edits.
+
+Texts are sequences of words: runs of letters and digits in lower case (A-Z and the Latin letters of U+00C0 to U+00DE), signs and
+blanks left out; each CJK character is a word. An item of n words is found in a document where some part of it is within
+k = n // 5 word edits (insert, delete, substitute).
+
+1. Embedding: the CGK walk reads a sequence, emits its current word and steps on or not by a random bit of (step, word). Two
+   sequences within few edits fall back in step after each, so edit distance becomes Hamming distance. Every window of a
+   document, one at each word and as long as the item it is held against, is embedded by ``walks`` walks. An item is embedded
+   from each of its words on, so that a match whose first words are changed still meets it.
+2. Bit sampling: each walk has ``tables`` tables. A table's key is the emitted words of the first and three more sampled steps
+   (of ``steps``); windows that share ``least`` keys with an item at one shift are candidates. The numbers are set so that windows at the limit of
+   k edits are met with a recall of 0.95 or more (measured in the tests at the limit: random edits, evenly spread
+   substitutions).
+3. Verification: exact semi-global edit distance of item and window with k words of margin, so nothing but recall depends on chance.
+
+Items of fewer than ``SHORT`` words leave too few steps to sample: they are cut into k + 1 pieces, of which one must stand
+unchanged, and any window with a piece is verified: exact, with nothing left to chance. Items under 5 words match exactly only.
+
+The benchmark is read in blocks of at most ``block_bytes`` of text, one after another, so what driver and tasks hold of it is
+bounded (about 60 times the block); documents are read once for each block and never shuffled, whatever their text. The
+work grows with documents times blocks, not items: each window costs one look-up a table.
+
+Edge cases: null and empty texts hold nothing; items without words match nothing; equal items are all reported; repeated doc_ids
+give one row each; of several matches of an item in a document the nearest, then the first, is reported; a null
+doc_id or item_id is reported as null; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,230 +35,221 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, lower_ascii, small_batches, text_arrays, text_of, _SPACE
-
-MATCHES = "doc_id long, item_id long, at int, distance int, item_bytes int"
-
-
-def normalise(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased bytes with each run of blanks as one space; new offsets."""
-    space = _SPACE[buf]
-    keep = np.ones(len(buf), bool)
-    keep[1:] = ~(space[1:] & space[:-1])
-    inner = offs[(offs > 0) & (offs < len(buf))]
-    keep[inner] = True
-    out = lower_ascii(buf)
-    out[space] = 32
-    before = np.concatenate([[0], np.cumsum(keep)])
-    return out[keep], before[offs]
-
-
-def grams(buf: np.ndarray, size: int) -> np.ndarray:
-    """All spans of ``size`` bytes, 1 to 4, as numbers."""
-    n = max(0, len(buf) - size + 1)
-    out = np.zeros(n, np.uint32)
-    for i in range(size):
-        out = out << np.uint32(8) | buf[i : i + n]
-    return out
-
-
-SLOTS, PIECES, CHUNK = 20, 12_000, 1 << 17
-
-
-def piece_size(n: int) -> int:
-    """The greatest size of up to 4 bytes with more pieces than edits."""
-    return max(q for q in range(1, 5) if n // q > n // 5)
-
-
-class Pieces:
-    """A table of the pieces of some items, all of one size."""
-
-    def __init__(self, items: Items, which: list[int], q: int):
-        self.q, n = q, items.sizes[which]
-        self.k, self.need = n // 5, n // q - n // 5
-        self.item, self.n = np.array(which), n
-        per = n // q
-        owner = np.repeat(np.arange(len(which)), per)
-        place = q * (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
-        gram = np.concatenate([grams(items.texts[i], q)[::q] for i in which])
-        slot = self.slot(gram)
-        order = np.argsort(slot, kind="stable")
-        self.gram, self.owner, self.place = gram[order], owner[order].astype(np.int32), place[order].astype(np.int32)
-        self.first = np.searchsorted(slot[order], np.arange((1 << SLOTS) + 1)).astype(np.int32)
-
-    def slot(self, gram: np.ndarray) -> np.ndarray:
-        return (gram * np.uint32(2654435761)) >> np.uint32(32 - SLOTS)
-
-    def windows(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """item, position of a piece that opens a window, its diagonal."""
-        gram = grams(text, self.q)
-        slot = self.slot(gram)
-        lo = self.first[slot]
-        n = self.first[slot + np.uint32(1)] - lo
-        at = np.flatnonzero(n)
-        lo, n = lo[at], n[at]
+from .common import SpanHash, blocks, lower_ascii, mix, small_batches, stash, text_arrays, text_of, word_hashes
+
+_U = np.uint64
+MATCHES = "doc_id long, item_id long, distance int, item_words int, end_word int"
+SHORT = 10
+
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, starts and ends of all words, and each text's first word (n + 1)."""
+    n = len(buf)
+    raw = lower_ascii(buf)
+    after_c3 = np.flatnonzero(buf[:-1] == 0xC3) + 1
+    after_c3 = after_c3[(buf[after_c3] >= 0x80) & (buf[after_c3] <= 0x9E) & (buf[after_c3] != 0x97)]
+    raw[after_c3] += 0x20
+    inside = _WORD[raw]
+    for lead, size in ((0xC2, 2), (0xE2, 3)):  # signs of U+0080 to U+00BF and U+2000 to U+2FFF
+        at = np.flatnonzero(buf == lead)
+        for k in range(size):
+            inside[np.minimum(at + k, n - 1)] = False
+    edge = np.zeros(n + 1, bool)
+    edge[offs] = True
+    wide = np.flatnonzero((buf >= 0xE3) & (buf <= 0xE9))
+    edge[wide] = True
+    edge[np.minimum(wide + 3, n)] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:n]
+    last[:-1] &= ~inside[1:] | edge[1:n]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return raw, starts, ends, np.searchsorted(starts, offs)
+
+
+def word_sequences(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of texts with a 0 after each text, and where each text begins (n + 1)."""
+    if not len(buf):
+        return np.zeros(len(offs) - 1, _U), np.arange(len(offs))
+    raw, starts, ends, first = word_spans(buf, offs)
+    begin = first + np.arange(len(first))
+    out = np.zeros(int(begin[-1]), _U)
+    out[np.arange(len(starts)) + np.repeat(np.arange(len(offs) - 1), np.diff(first))] = word_hashes(raw, starts, ends) | _U(1)
+    return out, begin
+
+
+class Walks:
+    """CGK embeddings and sampled keys; the same for items and windows."""
+
+    def __init__(self, walks: int, tables: int, steps: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.odd = rng.integers(1, 1 << 62, walks).astype(_U) * _U(2) + _U(1)
+        self.samples = [[tuple(np.cumsum(rng.integers(2, max(3, steps // 3) + 1, 3)).tolist()) for _ in range(tables)] for _ in range(walks)]
+
+    def positions(self, words: np.ndarray, walk: int) -> dict[int, np.ndarray]:
+        """Where the walk from every word stands at each sampled step; a text's closing 0 holds it."""
+        wanted = {s for steps in self.samples[walk] for s in steps}
+        bits = np.where(words == 0, _U(0), mix(words * self.odd[walk]) >> _U(32)).astype(np.uint32)
+        at, out = np.arange(len(words), dtype=np.int32), {}
+        for step in range(max(wanted) + 1):
+            if step in wanted:
+                out[step] = at.copy()
+            at += ((bits[at] >> np.uint32(step)) & np.uint32(1)).astype(np.int32)
+        return out
+
+    def keys(self, words: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+        """For every table: number, places of its samples after the first."""
+        number = 0
+        for walk, tables in enumerate(self.samples):
+            at = self.positions(words, walk)
+            for steps in tables:
+                yield number, tuple(at[s] for s in steps)
+                number += 1
+
+
+_FACTORS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F))
+
+
+def key32(words: np.ndarray, samples: tuple[np.ndarray, ...]) -> np.ndarray:
+    """A 32-bit key of the words at every place and at its samples."""
+    key = words * _FACTORS[0]
+    for x, factor in zip(samples, _FACTORS[1:]):
+        key += words[x] * factor
+    return key ^ (key >> np.uint32(15))
+
+
+def full_key(words: np.ndarray, at: np.ndarray, samples: tuple[np.ndarray, ...]) -> np.ndarray:
+    key = words[at]
+    for x in samples:
+        key = mix(key) * _U(3) + words[x[at]]
+    return mix(key)
+
+
+class Table:
+    """Sorted 64-bit keys with their item and offset, behind a bitmap of 32-bit keys."""
+
+    def __init__(self, small: np.ndarray, full: np.ndarray, item: np.ndarray, offset: np.ndarray):
+        order = np.argsort(full, kind="stable")
+        self.full, self.item, self.offset = full[order], item[order].astype(np.int32), offset[order].astype(np.int32)
+        self.shift = np.uint32(32 - min(28, max(16, int(len(full) * 32).bit_length())))
+        self.hit = np.zeros(1 << (32 - int(self.shift)), bool)
+        self.hit[small >> self.shift] = True
+
+    def find(self, small: np.ndarray, full) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """place, item, offset of equal keys; full(places) gives their 64-bit keys."""
+        at = np.flatnonzero(self.hit[small >> self.shift])
+        key = full(at)
+        lo, hi = np.searchsorted(self.full, key, "left"), np.searchsorted(self.full, key, "right")
+        n = hi - lo
         which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        at = np.repeat(at, n)
-        same = self.gram[which] == gram[at]
-        if not same.all():
-            which, at = which[same], at[same]
-        cells = (len(text) + self.n) // (self.k + 1) + 2
-        base = (np.cumsum(cells) - cells)[self.owner]
-        part = 1.0 / (self.k + 1)[self.owner]
-        cell = (at * part[which] + ((self.n[self.owner] - self.place + 0.5) * part + base)[which]).astype(np.int64)
-        hits = np.bincount(cell, minlength=int(cells.sum()) + 1)
-        need = np.repeat(self.need, cells)
-        two = hits[:-1] + hits[1:] >= need
-        open_ = np.zeros(len(hits), bool)
-        open_[:-1] = two
-        open_[1:] |= two
-        pick = np.flatnonzero(open_[cell])
-        which, at = which[pick], at[pick]
-        owner, place = self.owner[which].astype(np.int64), self.place[which].astype(np.int64)
-        diag = at - place
-        order = np.lexsort((diag, owner))
-        owner, at, diag, place = owner[order], at[order], diag[order], place[order]
-        last = np.arange(len(owner)) + self.need[owner] - 1
-        inside = last < len(owner)
-        last = np.minimum(last, max(0, len(owner) - 1))
-        good = np.flatnonzero(inside & (owner[last] == owner) & (diag[last] - diag <= self.k[owner])) if len(owner) else np.zeros(0, np.int64)
-        key = owner * (1 << 40) + diag + (1 << 30)
-        good = good[self.chained(good, np.searchsorted(key, key[good] + self.k[owner[good]], "right") - good, owner, place // self.q, diag)]
-        return self.item[owner[good]], at[good], diag[good]
-
-    def chained(self, first: np.ndarray, many: np.ndarray, owner: np.ndarray, nth: np.ndarray, diag: np.ndarray, most: int = 64) -> np.ndarray:
-        """Whether the hits from each ``first`` on can belong to a match; more than ``most`` hits always pass.
-
-        Between two unchanged pieces lie at least as many edits as spoiled pieces, and as diagonals they differ by, so the
-        cheapest chain of hits in rising order is a lower bound of the distance.
-        """
-        keep = many > most
-        order = np.argsort(many, kind="stable")
-        order = order[~keep[order]]
-        for lo in range(0, len(order), 2048):
-            some = order[lo : lo + 2048]
-            h = int(many[some].max())
-            at = first[some][:, None] + np.arange(h)
-            void = np.arange(h) >= many[some][:, None]
-            at[void] = 0
-            piece, place = np.where(void, 1 << 20, nth[at]).astype(np.int32), diag[at].astype(np.int32)
-            rank = np.argsort(piece, axis=1)
-            piece, place = np.take_along_axis(piece, rank, 1).T.copy(), np.take_along_axis(place, rank, 1).T.copy()
-            own = owner[first[some]]
-            enough = 1 + ((piece[1:] > piece[:-1]) & (piece[1:] < 1 << 20)).sum(axis=0) >= self.need[own]  # different pieces
-            some, own, piece, place = some[enough], own[enough], piece[:, enough], place[:, enough]
-            cost = piece.copy()
-            for r in range(1, h):
-                gap = piece[r] - piece[:r] - 1
-                step = cost[:r] + np.maximum(gap, np.abs(place[r] - place[:r]))
-                step[gap < 0] = 1 << 20
-                cost[r] = np.minimum(cost[r], step.min(axis=0))
-            keep[some] = (cost + (self.n[own] // self.q - 1 - piece)).min(axis=0, where=piece < 1 << 20, initial=1 << 20) <= self.k[own]
-        return keep
+        return np.repeat(at, n), self.item[which], self.offset[which]
 
 
 class Items:
-    def __init__(self, rows: list, *_: int):
+    """The index of a block of items: rows of (item_id, text)."""
+
+    def __init__(self, rows: list, walks: int = 4, tables: int = 8, steps: int = 15, least: int = 4, seed: int = 5):
         self.ids = [r[0] for r in rows]
-        self.texts = []
-        for r in rows:
-            raw = np.frombuffer((r[1] or "").encode(), np.uint8)
-            text, _offs = normalise(raw, np.array([0, len(raw)]))
-            self.texts.append(np.frombuffer(text.tobytes().strip(), np.uint8))
-        self.sizes = np.array([len(t) for t in self.texts], np.int64)
-        self.padded = np.zeros((len(rows), int(self.sizes.max(initial=1))), np.uint8)
-        for i, t in enumerate(self.texts):
-            self.padded[i, : len(t)] = t
-        self.step = np.maximum(1, self.sizes // 10)
-        self.tables: list[Pieces] = []
-        for q in range(1, 5):
-            some = [i for i, n in enumerate(self.sizes.tolist()) if n and piece_size(n) == q]
-            group = np.cumsum(self.sizes[some] // q) // PIECES
-            self.tables += [Pieces(self, [i for i, g in zip(some, group, strict=True) if g == x], q) for x in np.unique(group)]
-
-    def windows(self, text: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """doc, item, start (in the block) of candidate windows: a match starts at most k before and k + step behind that."""
-        found = []
-        over = 2 * self.padded.shape[1]
-        for a in range(0, max(1, len(text)), CHUNK):  # chunks overlap by more than a match
-            for pieces in self.tables:
-                item, at, diag = pieces.windows(text[a : a + CHUNK + over])
-                doc = np.searchsorted(offs, at + a, "right") - 1
-                start = (diag + a - offs[doc]) // self.step[item] * self.step[item] + offs[doc]
-                found.append((doc, item, start))
+        raw = [(r[1] or "").encode() for r in rows]
+        words, begin = word_sequences(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
+        self.words, self.begin, self.sizes = words, begin, np.diff(begin) - 1
+        self.walks, self.least = Walks(walks, tables, steps, seed), least
+        item = np.repeat(np.arange(len(rows)), np.diff(begin))
+        offset = np.arange(len(words)) - begin[:-1][item]
+        low = (words >> _U(32)).astype(np.uint32)
+        self.tables = []
+        if (self.sizes >= SHORT).any():
+            for _, samples in self.walks.keys(words):  # the last sample lies inside the item
+                good = np.flatnonzero((words[samples[-1]] != 0) & (self.sizes[item] >= SHORT))
+                self.tables.append(Table(key32(low, samples)[good], full_key(words, good, samples), item[good], offset[good]))
+        spans, pieces = SpanHash(words), {}
+        for i, n in enumerate(self.sizes.tolist()):
+            if 0 < n < SHORT:
+                cuts = [j * n // (n // 5 + 1) for j in range(n // 5 + 2)]
+                for a, b in zip(cuts, cuts[1:]):
+                    pieces.setdefault(b - a, []).append((int(spans(begin[i : i + 1] + a, begin[i : i + 1] + b)[0]), i, a))
+        self.pieces = {size: Table(*(lambda key, i, a: ((key >> _U(32)).astype(np.uint32), key, i, a))(*(np.array(c, t) for c, t in zip(zip(*rows, strict=True), (_U, np.int64, np.int64), strict=True)))) for size, rows in pieces.items()}
+
+    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """item and start (place in ``words`` that meets the item's first word) of distinct candidate windows."""
+        low, found = (words >> _U(32)).astype(np.uint32), []
+        if self.tables:
+            for number, samples in self.walks.keys(words):
+                at, item, offset = self.tables[number].find(key32(low, samples), lambda p: full_key(words, p, samples))  # noqa: B023
+                found.append((item.astype(np.int64), at - offset))
+        spans = SpanHash(words)
+        for size, table in self.pieces.items():
+            key = spans.grams(size)
+            at, item, offset = table.find((key >> _U(32)).astype(np.uint32), lambda p: key[p])  # noqa: B023
+            found.append((item.astype(np.int64), at - offset))
         if not found:
-            return (np.zeros(0, np.int64),) * 3
-        doc, item, start = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((start, item, doc))
-        doc, item, start = doc[order], item[order], start[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1])
-        return doc[new], item[new], start[new]
-
-    def matches(self, found: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """found: (doc, item, start in document, window bytes with margins) of many blocks; margins of k bytes at either side, and step."""
-        doc, item, start, rows = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(-self.sizes[item], kind="stable")
-        for lo in range(0, len(order), 256):
-            pick = order[lo : lo + 256]
-            n = self.sizes[item[pick]]
-            best, end = semiglobal_many(self.padded[item[pick]], n, rows[pick, : int((n + 2 * (n // 5) + self.step[item[pick]]).max())])
-            near = best <= n // 5
-            pick, best = pick[near], best[near]
-            yield doc[pick], item[pick], start[pick] + end[near] - n[near] - n[near] // 5, best
-
-    def cut(self, text: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Candidate windows of a block with their bytes; zero outside the document."""
-        return self.bytes_of(text, offs, *self.windows(text, offs))
-
-    def bytes_of(self, text: np.ndarray, offs: np.ndarray, doc: np.ndarray, item: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
-        width = self.padded.shape[1]
-        at = (start - self.sizes[item] // 5)[:, None] + np.arange(width + 2 * (width // 5) + width // 10 + 2)
-        inside = (at >= offs[doc][:, None]) & (at < offs[doc + 1][:, None])
-        rows = np.where(inside, text[np.clip(at, 0, max(0, len(text) - 1))], 0).astype(np.uint8) if len(doc) else np.zeros(at.shape, np.uint8)
-        return doc, item, start - offs[doc], rows
-
-
-def semiglobal_many(patterns: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``semiglobal`` of each row with a pattern of its own; sizes don't rise."""
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        item, start = (np.concatenate(c) for c in zip(*found, strict=True))
+        key, hits = np.unique(item * (1 << 40) + start + (1 << 39), return_counts=True)
+        key = key[(hits >= self.least) | (self.sizes[key >> 40] < SHORT)]
+        return key >> 40, (key & ((1 << 40) - 1)) - (1 << 39)
+
+    def matches(self, words: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """text, item, distance, end word of every verified window of texts that begin at ``begin``."""
+        item, start = self.candidates(words)
+        n = self.sizes[item]
+        k = n // 5
+        # the text of a candidate: that of the window's middle, which lies inside any match
+        text = np.searchsorted(begin, np.clip(start + n // 2, 0, max(0, len(words) - 1)), "right") - 1
+        lo, hi = np.maximum(start - k, begin[text]), np.minimum(start + n + k, begin[text + 1] - 1)
+        same = np.zeros(len(n), bool)
+        for i in np.flatnonzero((n > 256) & (lo <= start) & (hi >= start + n)).tolist():  # long exact copies need no table of distances
+            same[i] = np.array_equal(words[start[i] : start[i] + n[i]], self.words[self.begin[item[i]] : self.begin[item[i]] + n[i]])
+        if same.any():
+            yield text[same], item[same], np.zeros(int(same.sum()), np.int64), (start + n - begin[text])[same]
+        some = np.flatnonzero((hi - lo >= n - k) & ~same)
+        order = some[np.argsort(-n[some], kind="stable")]
+        at = 0
+        while at < len(order):  # batches of about 2 million cells
+            width = int(n[order[at]] + 2 * k[order[at]])
+            pick = order[at : at + max(1, (1 << 21) // max(1, width))]
+            at += len(pick)
+            cells = lo[pick][:, None] + np.arange(width)
+            rows = np.where(cells < hi[pick][:, None], words[np.minimum(cells, len(words) - 1)], _U(0))
+            width = int(n[pick[0]])
+            cells = self.begin[item[pick]][:, None] + np.arange(width)
+            patterns = self.words[np.minimum(cells, len(self.words) - 1)]
+            best, end = semiglobal(patterns, n[pick], rows, k[pick])
+            near = best <= k[pick]
+            pick = pick[near]
+            yield text[pick], item[pick], best[near], lo[pick] + end[near] - begin[text[pick]]
+
+
+def semiglobal(patterns: np.ndarray, sizes: np.ndarray, rows: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least edit distance of each pattern (of ``sizes``) to any part of its row, and where the first such part ends; any value above
+    ``most`` where it is greater. A 0 in a row equals nothing.
+    """
     m, width = rows.shape
-    kind = np.int16 if 2 * width < 1 << 15 else np.int32
-    ramp = np.arange(width + 1, dtype=kind)
-    prev = np.zeros((m, width + 1), kind)
-    best, end = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    ramp = np.arange(width + 1, dtype=np.int16 if width < 1 << 14 else np.int32)
+    live, prev = np.arange(m), np.zeros((m, width + 1), ramp.dtype)
+    best, end = np.full(m, 1 << 30), np.zeros(m, np.int64)
     for i in range(1, int(sizes.max(initial=0)) + 1):
         now = np.empty_like(prev)
         now[:, 0] = i
-        np.minimum(prev[:, :-1] + (rows[: len(prev)] != patterns[: len(prev), i - 1 : i]), prev[:, 1:] + kind(1), out=now[:, 1:])
+        np.minimum(prev[:, :-1] + (rows != patterns[:, i - 1 : i]), prev[:, 1:] + ramp.dtype.type(1), out=now[:, 1:])
         now -= ramp
         prev = np.minimum.accumulate(now, axis=1, out=now)
         prev += ramp
-        left = int(np.searchsorted(-sizes, -i, "left"))  # rows with longer patterns
-        done = int(np.searchsorted(-sizes, -i, "right"))
-        if done > left:
-            best[left:done], end[left:done] = prev[left:done].min(axis=1), prev[left:done].argmin(axis=1)
-            prev = prev[:left]
+        done = sizes == i
+        if done.any():
+            best[live[done]], end[live[done]] = prev[done].min(axis=1), prev[done].argmin(axis=1)
+        if done.any() or i % 6 == 0:  # the least value of a row never falls
+            keep = ~done & (prev.min(axis=1) <= most)
+            live, prev, rows, patterns, sizes, most = live[keep], prev[keep], rows[keep], patterns[keep], sizes[keep], most[keep]
+            if not len(live):
+                break
     return best, end
 
 
-def semiglobal(pattern: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least edit distance of the pattern to any part of each row (row 0 bytes match nothing), and where that part ends."""
-    m, width = len(rows), rows.shape[1]
-    ramp = np.arange(width + 1, dtype=np.int32)
-    prev = np.zeros((m, width + 1), np.int32)
-    for i, byte in enumerate(pattern.tolist(), 1):
-        now = np.empty_like(prev)
-        now[:, 0] = i
-        now[:, 1:] = np.minimum(prev[:, :-1] + (rows != byte), prev[:, 1:] + 1)
-        prev = np.minimum.accumulate(now - ramp, axis=1) + ramp
-    return prev.min(axis=1), prev.argmin(axis=1)
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 12, walks: int = 8, tables: int = 32, bits: int = 3, rng_seed: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, item_id, at (byte position in the normalised text), distance, item_bytes: the best match of each item in each document.
-
-    The search is complete, so seed, walks, tables, bits and rng_seed of the former sampling have no effect.
-    """
+def find_leaks(docs: DataFrame, benchmark: DataFrame, walks: int = 4, tables: int = 8, steps: int = 15, least: int = 4, seed: int = 5, block_bytes: int = 4 << 20) -> DataFrame:
+    """doc_id, item_id, distance, item_words, end_word (words of the document up to the match's end): the best match of each item in each document."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
@@ -262,39 +258,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 12, walks: int
     out = None
     for b in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).orderBy("item_id", "text").collect()
-        found = _scan(docs, Items(rows, seed, walks, tables, bits, rng_seed))
+        shared = docs.sparkSession.sparkContext.broadcast(Items(rows, walks, tables, steps, least, seed))
+        found = docs.mapInArrow(_scanner(shared), MATCHES)
+        if n_blocks > 1:  # one block at a time
+            found = stash(found, "leaks")
+            shared.unpersist()
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _scan(docs: DataFrame, items: Items) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
+def _scanner(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             buf, offs = text_arrays(batch.column(1))
-            found: list[tuple[np.ndarray, ...]] = []
             best: dict[tuple[int, int], tuple[int, int]] = {}
-
-            def settle() -> None:
-                for doc, item, start, distance in known.matches(found):  # noqa: B023
-                    for d, t, at, e in zip(doc.tolist(), item.tolist(), start.tolist(), distance.tolist(), strict=True):
-                        best[d, t] = min(best.get((d, t), (1 << 30, 0)), (e, max(0, at)))  # noqa: B023
-                found.clear()  # noqa: B023
-
             for i, j in blocks(offs):
-                text, at = normalise(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                windows = known.windows(text, at)
-                for lo in range(0, len(windows[0]), 4096):
-                    doc, item, start, rows = known.bytes_of(text, at, *(x[lo : lo + 4096] for x in windows))
-                    found.append((doc + i, item, start, rows))
-                    if sum(len(f[0]) for f in found) > 4096:
-                        settle()
-            if found:
-                settle()
+                words, begin = word_sequences(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                for doc, item, distance, end in known.matches(words, begin):
+                    for d, t, e, p in zip((doc + i).tolist(), item.tolist(), distance.tolist(), end.tolist(), strict=True):
+                        best[d, t] = min(best.get((d, t), (1 << 30, 0)), (e, p))
             if best:
                 rows = sorted(best.items())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([d for (d, _), _ in rows])), pa.array([known.ids[t] for (_, t), _ in rows], pa.int64()), pa.array([at for _, (_, at) in rows], pa.int32()), pa.array([e for _, (e, _) in rows], pa.int32()), pa.array([len(known.texts[t]) for (_, t), _ in rows], pa.int32())], ["doc_id", "item_id", "at", "distance", "item_bytes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([d for (d, _), _ in rows])), pa.array([known.ids[t] for (_, t), _ in rows], pa.int64()), pa.array([e for _, (e, _) in rows], pa.int32()), pa.array([int(known.sizes[t]) for (_, t), _ in rows], pa.int32()), pa.array([p for _, (_, p) in rows], pa.int32())], ["doc_id", "item_id", "distance", "item_words", "end_word"])
 
-    return docs.mapInArrow(scan, MATCHES)
+    return scan

@@ -17,7 +17,8 @@ Method (token-combination prefixes):
   pair of a group becomes a row.
 * Verification counts the exact overlap of the shared shingles (56-bit hashes of shingles).
 
-Hash buckets number twice ``spark.sql.shuffle.partitions``. Shingles of more than a thousandth of all
+Hash buckets hold about ``BUCKET`` hashes each, from the measured number of all shingles, so that a worker's memory
+doesn't grow with the corpus; tasks send more at once where there are many buckets. Shingles of more than a thousandth of all
 documents are found first (a mean set size times a thousand at most, which is checked), are
 broadcast, and don't enter the buckets.
 
@@ -34,17 +35,18 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, blocks, lower_ascii, mix, partitions, small_batches, stash, text_arrays, text_of, word_hashes, word_spans
+from .common import SpanHash, blocks, discard, lower_ascii, mix, partitions, small_batches, stash, text_arrays, text_of, word_hashes, word_spans
 from .components import components
 
 _U = np.uint64
-FLUSH = 1 << 21
+FLUSH = 1 << 19  # hashes held by a task before they are sorted and sent
+BUCKET = 1 << 20  # hashes of a bucket
 MAX_HOT = 4_000_000
 
 
@@ -158,6 +160,7 @@ HOT_CLASS = 255
 def shared_shingles(docs: DataFrame, hot: np.ndarray, buckets: int, parts: int) -> DataFrame:
     """Rows (part, kind, data): packed shared shingles with their frequency classes, dealt by document."""
     spread = docs.sparkSession.sparkContext.broadcast(hot)
+    room = min(max(FLUSH, 16 * buckets), 4 * FLUSH)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -181,7 +184,7 @@ def shared_shingles(docs: DataFrame, hot: np.ndarray, buckets: int, parts: int)
             for i, j, h, off in shingle_sets(batch.column(1)):
                 ids = batch.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)
                 held.append((ids, h, np.diff(off), *_digests(h, off)))
-                if sum(len(x[1]) for x in held) >= FLUSH:
+                if sum(len(x[1]) for x in held) >= room:
                     yield from flush()
                     held = []
         if held:
@@ -283,16 +286,21 @@ def _with_part(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
         yield _batch("part id n", part.astype(np.int32), b.column(0), b.column(1))
 
 
-def overlaps(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of u, v, their set sizes and their shared shingles: the pairs that link."""
+    for batch in batches:
+        keep = []
+        for nu, nv, x, y in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True):
+            common = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+            keep.append(100 * common >= 80 * (nu + nv - common))
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) that link, by exact overlap."""
     side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
-    counted = both.withColumn("common", F.pandas_udf(overlaps, "long")("su", "sv"))
-    return counted.where("100 * common >= 80 * (nu + nv - common)").select("u", "v")
+    return both.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_overlaps, "u long, v long")
 
 
 def _fits(a: str, b: str) -> str:
@@ -338,21 +346,27 @@ def rest_links(postings: DataFrame, stars: DataFrame, sets: DataFrame, buckets:
     rows = outer.unionByName(inner).select(F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)).cast("int").alias("bucket"), "g", "i", "j", "out", "id", "label", "n", "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
-        pdf = table.to_pandas()
         found: set[tuple[int, int]] = set()
-        for _, part in pdf.groupby(["g", "i", "j"], sort=False):
-            found.update(block_links(part[part["out"]], part[~part["out"]]))
+        at = np.lexsort([table[c].to_numpy() for c in ("j", "i", "g")])
+        table = table.take(pa.array(at))
+        g, i, j = (table[c].to_numpy() for c in ("g", "i", "j"))
+        new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])).tolist()
+        for a, b in zip(new, [*new[1:], len(g)], strict=True):
+            part, out = table.slice(a, b - a), table["out"].slice(a, b - a)
+            found.update(block_links(part.filter(out), part.filter(pc.invert(out))))
         u, v = zip(*sorted(found), strict=True) if found else ((), ())
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return stash(rows.groupBy("bucket").applyInArrow(compare, "u long, v long").distinct(), "jaccard-links")
+    links = stash(rows.groupBy("bucket").applyInArrow(compare, "u long, v long").distinct(), "jaccard-links")
+    discard(member, groups, docs)
+    return links
 
 
-def block_links(a: pd.DataFrame, b: pd.DataFrame, columns: int = 4096) -> list[tuple[int, int]]:
+def block_links(a: pa.Table, b: pa.Table, columns: int = 4096) -> list[tuple[int, int]]:
     """Links of the documents a with b, one for each component of b."""
     if not len(a) or not len(b):
         return []
-    tokens = [[np.frombuffer(x, "<u8") for x in side["shingles"]] for side in (a, b)]
+    tokens = [[np.frombuffer(x, "<u8") for x in side["shingles"].to_pylist()] for side in (a, b)]
     sizes = [np.array([len(t) for t in side]) for side in tokens]
     flat = [np.concatenate(side) for side in tokens]
     both = np.intersect1d(flat[0], flat[1])
@@ -363,23 +377,22 @@ def block_links(a: pd.DataFrame, b: pd.DataFrame, columns: int = 4096) -> list[t
         hit = both[where] == f if len(both) else np.zeros(len(f), bool)
         rows.append(np.repeat(np.arange(len(n)), n)[hit])
         cols.append(where[hit])
-    common = np.zeros((len(a), len(b)), np.float32)
-    for lo in range(0, len(both), columns):
-        part = []
-        for r, c, n in zip(rows, cols, (len(a), len(b)), strict=True):
-            m = np.zeros((n, min(columns, len(both) - lo)), np.float32)
-            inside = (c >= lo) & (c < lo + columns)
-            m[r[inside], c[inside] - lo] = 1
-            part.append(m)
-        common += part[0] @ part[1].T
-    na, nb = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
-    label_a, label_b = a["label"].to_numpy()[:, None], b["label"].to_numpy()[None, :]
-    common = np.rint(common).astype(np.int64)
-    i, j = np.nonzero((100 * common >= 80 * (na + nb - common)) & (label_a != label_b))
+    (na, la, ia), (nb, lb, ib) = ([side[c].to_numpy() for c in ("n", "label", "id")] for side in (a, b))
     first = {}
-    ids_a, ids_b, labels = a["id"].to_numpy(), b["id"].to_numpy(), b["label"].to_numpy()
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        first.setdefault((x, int(labels[y])), (int(ids_a[x]), int(ids_b[y])))
+    for top in range(0, len(a), 1024):  # rows of a at a time, so that a block of many small sets stays small
+        common = np.zeros((min(1024, len(a) - top), len(b)), np.float32)
+        for lo in range(0, len(both), columns):
+            part = []
+            for r, c, n, base in ((rows[0], cols[0], len(common), top), (rows[1], cols[1], len(b), 0)):
+                m = np.zeros((n, min(columns, len(both) - lo)), np.float32)
+                inside = (c >= lo) & (c < lo + columns) & (r >= base) & (r < base + n)
+                m[r[inside] - base, c[inside] - lo] = 1
+                part.append(m)
+            common += part[0] @ part[1].T
+        common = np.rint(common).astype(np.int64)
+        i, j = np.nonzero((100 * common >= 80 * (na[top : top + len(common), None] + nb[None, :] - common)) & (la[top : top + len(common), None] != lb[None, :]))
+        for x, y in zip((i + top).tolist(), j.tolist(), strict=True):
+            first.setdefault((x, int(lb[y])), (int(ia[x]), int(ib[y])))
     return list(first.values())
 
 
@@ -389,7 +402,10 @@ def link_components(sets: DataFrame, buckets: int) -> DataFrame:
     crowded = postings.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
     postings = stash(postings.join(crowded, "sig"), "jaccard-postings")
     stars = components(verify(rare_pairs(sets).unionByName(pivot_pairs(postings)).distinct(), sets))
-    return components(stars.unionByName(rest_links(postings, stars, sets, buckets)))
+    links = rest_links(postings, stars, sets, buckets)
+    out = components(stars.unionByName(links))
+    discard(postings, stars, links)
+    return out
 
 
 def jaccard_classes(docs: DataFrame, rare: int = 16) -> DataFrame:
@@ -397,11 +413,11 @@ def jaccard_classes(docs: DataFrame, rare: int = 16) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    parts = partitions(spark)
-    buckets = 2 * parts
     found = stash(summary(docs), "jaccard-summary")
     rows = found.where("kind = 0").select("id", "n", "d1", "d2")
-    n_rows = rows.count()
+    n_rows, n_shingles = rows.agg(F.count("*"), F.sum("n")).first()
+    parts = max(partitions(spark), (n_shingles or 0) // BUCKET)
+    buckets = 2 * parts
     floor = max(1000, n_rows / 1000)
     hot = found.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).select("d1").limit(MAX_HOT + 1).collect()
     if len(hot) > MAX_HOT:
@@ -421,6 +437,7 @@ def jaccard_classes(docs: DataFrame, rare: int = 16) -> DataFrame:
     sets = stash(candidates(shared, classes.where("n >= 4").select(F.col("rep").alias("id"), "n"), parts, rare), "jaccard-sets")
     stars = link_components(sets, buckets)
     named = stash(classes.join(stars.select(F.col("u").alias("rep"), "v"), "rep", "left").select("d1", "d2", "n", F.coalesce("v", "rep").alias("component")), "jaccard-named")
+    discard(sets, stars, classes)
     out = aside(rows).join(named, ["d1", "d2", "n"], "left").select("id", "n", "component")
     if some:
         out = out.unionByName(rows.join(many, "id").select("id", "n", F.col("id").alias("component")))
