@@ -10,7 +10,7 @@ Words are compared by 64-bit hashes.
 
 Edge cases: null and blank texts have no words; texts under 35 words are kept, their words joined by one
 space; windows never cross documents; a window repeated inside its own document counts; rows of a
-repeated doc_id count as separate texts and share the ranges found in any; a null doc_id is kept whole and removes
+repeated doc_id are texts of their own (equal ones remove each other); a null doc_id is kept whole and removes
 nothing; empty tables give no rows; other columns are ignored.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, partitions, small_batches, text_arrays, text_of, word_hashes, word_spans
+from .common import blocks, small_batches, text_arrays, text_of, word_hashes, word_spans
 from .repeats import apply_ranges, covered, removed_ranges, runs_of
 from .wavelet import WaveletMatrix
 
@@ -140,9 +140,8 @@ def _cut(ids: pa.Array, texts: pa.Array, lists: pa.Array) -> pa.RecordBatch:
 
 
 def repeated_word_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(documents with an id, doc_id with its removed word ranges)."""
-    buckets = 4 * partitions(docs.sparkSession)
-    return removed_ranges(docs, word_units, lambda head, body: standing_elsewhere(head, body, length), length, gram, False, "<u8", buckets)
+    """(rows with an id, their keys with removed word ranges)."""
+    return removed_ranges(docs, word_units, lambda head, body: standing_elsewhere(head, body, length), length, gram, False, "<u8")
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -36,10 +36,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 50
     return w
 
 
-def bounded_labels(labels: DataFrame, column: str, most: int) -> DataFrame:
-    """At most ``most`` labelled rows (doc_id, label), chosen by hash of doc_id: the bound of what is broadcast and fitted on. Of contradicting labels the greatest counts."""
+def distinct_labels(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label) of every labelled document. Of contradicting labels the greatest counts."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
-    return rows.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def bounded(labels: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` labelled rows, chosen by hash of doc_id: the bound of what is broadcast and fitted on."""
+    return labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def bounded_labels(labels: DataFrame, column: str, most: int) -> DataFrame:
+    return bounded(distinct_labels(labels, column), most)
 
 
 def gather_counts(rows: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray], None], shape: tuple[int, ...]) -> np.ndarray:

@@ -12,8 +12,12 @@ Shared by substring dedup over words (FM-index) and suffix-array dedup over byte
    by the operator's own index, which answers with removed ranges.
 4. Ranges are collected per document and applied to its text.
 
-A document's order is its doc_id; copies of a context are decided by ``keep_first``: True leaves the
-context of the least doc_id, False none.
+Rows are told apart by a key and documents by key >> shift: the doc_id itself, or, where a doc_id comes with several texts, its
+rank among all ids and a number for each text (``keyed``). A document's order is its doc_id; copies of a context
+are decided by ``keep_first``: True leaves the context of the least document, False none.
+
+Buckets hold the runs of about ``BUCKET_BYTES`` of text, from the measured size of the corpus, so a worker's memory doesn't grow with
+it; tasks send more at once where there are many buckets.
 """
 
 from __future__ import annotations
@@ -24,15 +28,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SpanHash, mix, stash
+from .common import SpanHash, mix, partitions, stash
 
 _U = np.uint64
-_SHIFT = _U(28)  # positions inside a block: 2**28 units
-FLUSH_RUNS = 1 << 20
-RANGE = "doc_id long, kind byte, at int, len int, offset short, anchor long"
+_SHIFT = _U(31)  # positions inside a block: 2**31 units
+FLUSH_RUNS = 1 << 19
+RANGE = "key long, kind byte, at int, len int, offset short, anchor long"
 
 
 def anchored_runs(values: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -120,12 +124,39 @@ def _settle(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return winner, twice, rest
 
 
-def decided_and_open(docs: DataFrame, units: Callable, length: int, gram: int, keep_first: bool, buckets: int) -> DataFrame:
+BUCKET_BYTES = 8 << 20
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """(doc_id, text, key) of the rows with an id, the shift from keys to documents, and the bytes of all texts.
+
+    Equal rows share a key. Only where a doc_id has different texts are ids ranked (by range partitions) and their texts numbered by hash.
+    """
+    base = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    hashed = base.select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("b"))
+    each = hashed.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.sum("b").alias("b"))
+    size, several = each.agg(F.sum("b"), F.max(F.col("lo") != F.col("hi"))).first()
+    if not several:
+        return base.withColumn("key", F.col("doc_id")), 0, size or 0
+    many = each.where("lo <> hi").select("doc_id")
+    nth = hashed.join(many, "doc_id", "left_semi").select("doc_id", "h").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("h")) - 1)
+    at = F.monotonically_increasing_id()
+    ids = stash(each.select("doc_id").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id").select("doc_id", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("row")), "repeat-ids")
+    before, starts = 0, []
+    for r in ids.groupBy("part").count().orderBy("part").collect():
+        starts.append((r["part"], before))
+        before += r["count"]
+    ranks = ids.join(F.broadcast(docs.sparkSession.createDataFrame(starts, "part long, start long")), "part").select("doc_id", (F.col("start") + F.col("row")).alias("rank"))
+    full = base.withColumn("h", F.xxhash64("text")).join(nth, ["doc_id", "h"], "left").join(ranks, "doc_id")
+    return full.select("doc_id", "text", (F.col("rank") * (1 << 24) + F.coalesce("nth", F.lit(0))).alias("key")), 24, size or 0
+
+
+def decided_and_open(docs: DataFrame, units: Callable, length: int, gram: int, keep_first: bool, buckets: int, shift: int) -> DataFrame:
     """Rows RANGE: kind 0 is a range of removed units (at, len); kind 1 a run (at, len windows, offset, anchor) to be compared.
 
     units(column) yields (i, j, values, offsets) for blocks of texts.
     """
-    mask = _U((1 << 48) - 1)
+    mask, room = _U((1 << 48) - 1), min(max(FLUSH_RUNS, 16 * buckets), 8 * FLUSH_RUNS)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -137,7 +168,7 @@ def decided_and_open(docs: DataFrame, units: Callable, length: int, gram: int, k
             runs[6][winner] = twice
             target = (mix(runs[4]) % _U(buckets)).astype(np.int64)
             # what a part can settle itself passes through the buckets untouched
-            settled = rest & ~_same_doc_copies(runs, winner, rest) if keep_first else rest
+            settled = rest & ~_same_doc_copies(runs, winner, rest, shift) if keep_first else rest
             for kind, which in ((0, ~settled), (1, settled)):
                 pick = np.flatnonzero(which)
                 pick = pick[np.lexsort((runs[1][pick], runs[0][pick], target[pick]))]
@@ -151,7 +182,7 @@ def decided_and_open(docs: DataFrame, units: Callable, length: int, gram: int, k
             for i, j, values, offs in units(batch.column(1)):
                 doc, start, windows, offset, anchor, context = anchored_runs(values, offs, length, gram)
                 held.append((ids[i:j][doc], start, windows, offset, anchor & mask, context & mask))
-                if sum(len(x[0]) for x in held) >= FLUSH_RUNS:
+                if sum(len(x[0]) for x in held) >= room:
                     yield from flush()
                     held = []
         if held:
@@ -168,7 +199,7 @@ def decided_and_open(docs: DataFrame, units: Callable, length: int, gram: int, k
         if loose:
             r = [np.concatenate(c) for c in zip(*loose, strict=True)]
             winner, twice, rest = _settle(r)
-            alike = _same_doc_copies(r, winner, rest) if keep_first else np.zeros(len(rest), bool)
+            alike = _same_doc_copies(r, winner, rest, shift) if keep_first else np.zeros(len(rest), bool)
             gone = rest & ~alike
             if not keep_first:
                 gone[winner[twice]] = True
@@ -182,9 +213,9 @@ def decided_and_open(docs: DataFrame, units: Callable, length: int, gram: int, k
             pick = np.flatnonzero(going & np.isin(r[4], mixed))
             out.append((r[0][pick], np.where(gone[pick], 2, 1).astype(np.int8), r[1][pick], r[2][pick], r[3][pick], r[4][pick]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 6
-        return pa.table([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(t)) for c, t in zip(cols, (np.int64, np.int8, np.int32, np.int32, np.int16, np.int64), strict=True)], names=["doc_id", "kind", "at", "len", "offset", "anchor"])
+        return pa.table([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(t)) for c, t in zip(cols, (np.int64, np.int8, np.int32, np.int32, np.int16, np.int64), strict=True)], names=["key", "kind", "at", "len", "offset", "anchor"])
 
-    rows = docs.mapInArrow(scan, "bucket int, kind byte, data binary")
+    rows = docs.select("key", "text").mapInArrow(scan, "bucket int, kind byte, data binary")
     return rows.groupBy("bucket").applyInArrow(meet, RANGE)
 
 
@@ -193,17 +224,17 @@ def _removed(doc: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndar
     return doc, none, at, size, none, none
 
 
-def _same_doc_copies(runs: list[np.ndarray], winner: np.ndarray, rest: np.ndarray) -> np.ndarray:
+def _same_doc_copies(runs: list[np.ndarray], winner: np.ndarray, rest: np.ndarray, shift: int) -> np.ndarray:
     """Rows of ``rest`` in the document of their context's winner: not removed for being copies."""
     key = runs[4] ^ mix(runs[5])
     order = np.argsort(key[winner])
     least = runs[0][winner[order]][np.searchsorted(key[winner[order]], key)]
-    return rest & (runs[0] == least)
+    return rest & (runs[0] >> shift == least >> shift)
 
 
 def open_contexts(base: DataFrame, decided: DataFrame, units: Callable, length: int, symbol: str, buckets: int) -> DataFrame:
     """Cut the runs to be compared from their texts: rows (bucket, data), packed, dealt by anchor."""
-    per_doc = decided.where("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("at", "len", "offset", "kind", "anchor")).alias("runs"))
+    per_doc = decided.where("kind > 0").groupBy("key").agg(F.collect_list(F.struct("at", "len", "offset", "kind", "anchor")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -248,11 +279,11 @@ def open_contexts(base: DataFrame, decided: DataFrame, units: Callable, length:
         if held:
             yield from flush()
 
-    return base.join(per_doc, "doc_id").select("doc_id", "text", "runs").mapInArrow(cut, "bucket int, data binary")
+    return base.join(per_doc, "key").select("key", "text", "runs").mapInArrow(cut, "bucket int, data binary")
 
 
 def unpack_contexts(column: pa.ChunkedArray, symbol: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """doc, start, windows, offset, kind, anchor of the contexts of a bucket, and their units one after another."""
+    """key, start, windows, offset, kind, anchor of the contexts of a bucket, and their units one after another."""
     heads, bodies = [], []
     for cell in column:
         data = cell.as_py()
@@ -267,30 +298,31 @@ def unpack_contexts(column: pa.ChunkedArray, symbol: str) -> tuple[list[np.ndarr
 
 
 def window_ranges(doc: np.ndarray, start: np.ndarray, row: np.ndarray, window: np.ndarray, length: int) -> pa.Table:
-    """Found windows (context row, window number) as ranges (doc_id, at, len), neighbours merged."""
+    """Found windows (context row, window number) as ranges (key, at, len), neighbours merged."""
     order = np.lexsort((window, row))
     row, window = row[order], window[order]
     first = np.ones(len(row), bool)
     first[1:] = (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)
     at = np.flatnonzero(first)
     size = np.diff(at, append=len(row))
-    return pa.table([pa.array(doc[row[at]]), pa.array((start[row[at]] + window[at]).astype(np.int32)), pa.array((size + length - 1).astype(np.int32))], names=["doc_id", "at", "len"])
+    return pa.table([pa.array(doc[row[at]]), pa.array((start[row[at]] + window[at]).astype(np.int32)), pa.array((size + length - 1).astype(np.int32))], names=["key", "at", "len"])
 
 
-def removed_ranges(docs: DataFrame, units: Callable, compare: Callable, length: int, gram: int, keep_first: bool, symbol: str, buckets: int, raw: Callable | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents with an id, their removed ranges as doc_id, ranges array<struct<at, len>>)."""
-    base = docs.where("doc_id IS NOT NULL")
-    decided = stash(decided_and_open(base, units, length, gram, keep_first, buckets), "repeats")
+def removed_ranges(docs: DataFrame, units: Callable, compare: Callable, length: int, gram: int, keep_first: bool, symbol: str, raw: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with an id and their key, removed ranges of each key as ranges array<struct<at, len>>)."""
+    base, shift, size = keyed(docs)
+    buckets = max(4 * partitions(docs.sparkSession), size // BUCKET_BYTES)
+    decided = stash(decided_and_open(base, units, length, gram, keep_first, buckets, shift), "repeats")
     contexts = open_contexts(base, decided, raw or units, length, symbol, buckets)
 
     def answer(table: pa.Table) -> pa.Table:
         head, body = unpack_contexts(table["data"], symbol)
-        row, window = compare(head, body)
+        row, window = compare([head[0] >> shift, *head[1:]], body)
         return window_ranges(head[0], head[1], row, window, length)
 
-    compared = contexts.groupBy("bucket").applyInArrow(answer, "doc_id long, at int, len int")
-    ranges = decided.where("kind = 0").select("doc_id", "at", "len").unionByName(compared)
-    return base, ranges.groupBy("doc_id").agg(F.collect_list(F.struct("at", "len")).alias("ranges"))
+    compared = contexts.groupBy("bucket").applyInArrow(answer, "key long, at int, len int")
+    ranges = decided.where("kind = 0").select("key", "at", "len").unionByName(compared)
+    return base, ranges.groupBy("key").agg(F.collect_list(F.struct("at", "len")).alias("ranges"))
 
 
 def apply_ranges(docs: DataFrame, base: DataFrame, ranges: DataFrame, apply: Callable, schema: str) -> DataFrame:
@@ -300,7 +332,7 @@ def apply_ranges(docs: DataFrame, base: DataFrame, ranges: DataFrame, apply: Cal
         for batch in batches:
             yield apply(batch.column(0), batch.column(1), batch.column(2))
 
-    joined = base.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges")
+    joined = base.join(ranges, "key", "left").select("doc_id", "text", "ranges")
     nameless = docs.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<struct<at:int,len:int>>").alias("ranges"))
     return joined.unionByName(nameless).mapInArrow(work, schema)
 

@@ -11,7 +11,7 @@ while they met. Spark's shuffle and written tables are the sequential external f
 100,000 symbols would take as many passes over the corpus as the longest document has bytes.
 
 Edge cases: null counts as empty; texts under 50 bytes are kept; matches never cross documents;
-rows of a repeated doc_id share the ranges found in any of them; a null doc_id is kept whole and
+rows of one doc_id are one document, which removes nothing of itself, and each row of different text has its own ranges; a null doc_id is kept whole and
 removes nothing; empty tables give no rows; other columns are ignored.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_values, partitions, small_batches, text_arrays, text_of
+from .common import blocks, byte_values, small_batches, text_arrays, text_of
 from .repeats import apply_ranges, covered, removed_ranges, runs_of
 
 LENGTH, GRAM = 50, 16
@@ -135,9 +135,8 @@ def _cut(ids: pa.Array, texts: pa.Array, lists: pa.Array) -> pa.RecordBatch:
 
 
 def suffix_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(documents with an id, doc_id with its removed byte ranges)."""
-    buckets = 4 * partitions(docs.sparkSession)
-    return removed_ranges(docs, byte_units, lambda head, body: smaller_elsewhere(head, body, length), length, gram, True, "<u1", buckets, raw_units)
+    """(rows with an id, their keys with removed byte ranges)."""
+    return removed_ranges(docs, byte_units, lambda head, body: smaller_elsewhere(head, body, length), length, gram, True, "<u1", raw_units)
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

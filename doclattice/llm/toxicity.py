@@ -11,7 +11,7 @@
 * Segment scores of clean documents follow an extreme-value law: P(S > s) = 1 - exp(-K n exp(-lambda s)) for n tokens.
   lambda solves E[exp(lambda x)] = 1 over the clean token scores; K is fitted on the clean documents. Segments
   with an expected number (E-value) of at most ``significant`` by chance are the toxic passages.
-* The score is a logistic fit of the calibrated greatest segment and of all significant ones together.
+* The score is a logistic fit of two terms: the calibrated greatest segment, and the calibrated sum of all significant segments.
 
 Training uses at most ``most_labels`` labelled rows, chosen by hash of doc_id; nothing but the text enters a score. The tables
 have 2**19 slots a level, whatever the corpus.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SpanHash, blocks, byte_values, lower_ascii, small_batches, stash, text_arrays, text_of, word_spans
@@ -119,12 +119,13 @@ def best_segments(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def extreme_lambda(x: np.ndarray) -> float:
-    """The positive root of E[exp(lambda x)] = 1, for scores of negative mean."""
-    if not len(x) or x.max() <= 0 or x.mean() >= 0:
+def extreme_lambda(x: np.ndarray, weight: np.ndarray) -> float:
+    """The positive root of E[exp(lambda x)] = 1, for scores x of negative mean that occur ``weight`` times."""
+    x, weight = x[weight > 0], weight[weight > 0]
+    if not len(x) or x.max() <= 0 or (x * weight).sum() >= 0:
         return 1.0
     lo, hi = 1e-6, 1.0
-    f = lambda t: np.log(np.mean(np.exp(np.minimum(t * x, 700))))
+    f = lambda t: np.log((weight * np.exp(np.minimum(t * x, 700))).sum() / weight.sum())
     while f(hi) < 0 and hi < 64:
         hi *= 2
     for _ in range(60):
@@ -136,8 +137,8 @@ def extreme_lambda(x: np.ndarray) -> float:
 SEGMENTS = "doc_id long, n long, best double, significant double, passages array<struct<first:int,last:int,score:double>>"
 
 
-def segment_scan(docs: DataFrame, scores: TokenScores, lam: float, log_k: float, significant: float) -> DataFrame:
-    """doc_id, tokens, greatest segment (calibrated), sum of the significant ones (calibrated), and those passages as word ranges."""
+def segment_scan(docs: DataFrame, scores: TokenScores, lam: float, log_k: float, significant: float, lists: bool = True) -> DataFrame:
+    """doc_id, tokens, greatest segment (calibrated), sum of the significant ones (calibrated), and those passages as word ranges (if ``lists``)."""
     shared = docs.sparkSession.sparkContext.broadcast(scores)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,14 +148,15 @@ def segment_scan(docs: DataFrame, scores: TokenScores, lam: float, log_k: float,
                 x, n = score(slots), np.diff(first)
                 norm = log_k + np.log(np.maximum(n, 1))
                 best = lam * best_segments(x, first) - norm
-                total, lists = np.zeros(j - i), [[] for _ in range(j - i)]
+                total, passages = np.zeros(j - i), [[] for _ in range(j - i)]
                 for d in np.flatnonzero(best >= -np.log(significant)).tolist():  # only these can hold a significant passage
                     for a, b, s in maximal_segments(x[first[d] : first[d + 1]]):
                         level = lam * s - norm[d]
                         if level >= -np.log(significant):
                             total[d] += level
-                            lists[d].append({"first": a, "last": b - 1, "score": s})
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(best), pa.array(total), pa.array(lists, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())])))], ["doc_id", "n", "best", "significant", "passages"])
+                            if lists:
+                                passages[d].append({"first": a, "last": b - 1, "score": s})
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(best), pa.array(total), pa.array(passages, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())])))], ["doc_id", "n", "best", "significant", "passages"])
 
     return docs.mapInArrow(scan, SEGMENTS)
 
@@ -173,39 +175,45 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000, pri
     half = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2))
     counts = [gather_counts(marked.where(half == h).select("text", "label"), _count, (len(PREFIXES), 2, SLOTS)) for h in (0, 1)]
     full = TokenScores(counts[0] + counts[1], prior, drift)
-    sample: list[np.ndarray] = []
-    for h in (0, 1):
-        other = TokenScores(counts[1 - h], prior, drift)
-        got = _raw_segments(marked.where(half == h), other).toPandas()
-        sample.append(got)
-    x = np.concatenate([np.concatenate([np.frombuffer(b, np.float32) for b in s["clean_scores"]]) if len(s) else np.zeros(0, np.float32) for s in sample]).astype(float)
-    lam = extreme_lambda(x)
-    best, n, y = (np.concatenate([s[c].to_numpy(float) for s in sample]) for c in ("best", "n", "label"))
-    clean = (y == 0) & (n > 0)
+    other = [TokenScores(counts[1 - h], prior, drift) for h in (0, 1)]
+    # the law of segment scores, from token scores of clean rows and the segments of all labelled rows
+    bins = sum(gather_counts(marked.where(half == h).select("text", "label"), _histogram(spark, other[h]), (BINS,)) for h in (0, 1))
+    lam = extreme_lambda(_centres(), bins.astype(float))
+    raw = [segment_scan(marked.where(half == h).select("doc_id", "text"), other[h], 1.0, 0.0, significant, lists=False) for h in (0, 1)]
+    raw = stash(raw[0].unionByName(raw[1]).select("doc_id", "n", "best").join(F.broadcast(known), "doc_id"), "toxic-raw").select("n", "best", "label").toPandas()
+    # best is without law here: best + log n is the plain sum
+    clean = (raw["label"] == 0) & (raw["n"] > 0)
+    plain = raw["best"] + np.log(np.maximum(raw["n"], 1))
     # half of the clean documents lie below the law's median, where K n exp(-lambda s) = log 2
-    log_k = float(np.median(lam * best[clean] - np.log(n[clean])) + np.log(np.log(2))) if clean.any() else 0.0
-    level = lam * best - log_k - np.log(np.maximum(n, 1))
-    w = fit_logistic(_squash(level)[:, None], y)
-    scored = segment_scan(docs, full, lam, log_k, significant)
-    z = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("best")))
-    return scored.select("doc_id", (1 / (1 + F.exp(-(F.lit(float(w[0])) * z + F.lit(float(w[1])))))).alias("score"), "passages")
+    log_k = float(np.median(lam * plain[clean] - np.log(raw["n"][clean])) + np.log(np.log(2))) if clean.any() else 0.0
+    fit = [segment_scan(marked.where(half == h).select("doc_id", "text"), other[h], lam, log_k, significant, lists=False) for h in (0, 1)]
+    fit = fit[0].unionByName(fit[1]).join(F.broadcast(known), "doc_id").select(*_terms(), "label").toPandas()
+    w = fit_logistic(fit[["top", "all"]].to_numpy(float), fit["label"].to_numpy(float))
+    scored = segment_scan(docs, full, lam, log_k, significant).select("doc_id", "passages", *_terms())
+    z = F.lit(float(w[0])) * F.col("top") + F.lit(float(w[1])) * F.col("all") + F.lit(float(w[2]))
+    return scored.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"), "passages")
 
 
-def _squash(level: np.ndarray) -> np.ndarray:
-    return np.clip(level, -20, 20)
+def _terms() -> list[Column]:
+    """The two inputs of the fit: greatest segment, clipped, and the logarithm of the sum of significant ones."""
+    return [F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("best"))).alias("top"), F.log1p("significant").alias("all")]
 
 
-def _raw_segments(marked: DataFrame, scores: TokenScores) -> DataFrame:
-    """Of labelled rows: greatest segment sum, tokens, label, and every 64th token score of clean ones."""
-    shared = marked.sparkSession.sparkContext.broadcast(scores)
+BINS, LEAST, STEP = 4096, -24.0, 1 / 85.0
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = shared.value
-        for batch in batches:
-            label = batch.column(1).to_numpy(zero_copy_only=False)
-            for i, j, slots, first in token_slots(batch.column(0)):
-                x, own = score(slots), np.repeat(label[i:j], np.diff(first))
-                some = x[own == 0][::64].astype(np.float32).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(best_segments(x, first)), pa.array(np.diff(first)), pa.array(label[i:j].astype(np.int32)), pa.array([some] + [b""] * (j - i - 1), pa.binary())], ["best", "n", "label", "clean_scores"])
 
-    return marked.select("text", "label").mapInArrow(scan, "best double, n long, label int, clean_scores binary")
+def _centres() -> np.ndarray:
+    return LEAST + (np.arange(BINS) + 0.5) * STEP
+
+
+def _histogram(spark, scores: TokenScores):
+    """Counter of token scores of clean rows by bins of STEP; what lies outside goes to the end bins."""
+    shared = spark.sparkContext.broadcast(scores)
+
+    def count(batch: pa.RecordBatch, own: np.ndarray) -> None:
+        label = batch.column(1).to_numpy(zero_copy_only=False)
+        for i, j, slots, first in token_slots(batch.column(0)):
+            x = shared.value(slots)[np.repeat(label[i:j], np.diff(first)) == 0]
+            own += np.bincount(np.clip(((x - LEAST) / STEP).astype(np.int64), 0, BINS - 1), minlength=BINS)
+
+    return count
