@@ -48,8 +48,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of 150% of all words, a row for each copy, shuffled inside its shard."""
-    rows = mix_sources(_columns(docs))
-    return _columns(rows.repartition(F.col("mix_shard")).sortWithinPartitions("mix_shard", F.xxhash64("mix_order", "mix_copy")))
+    return _columns(mix_sources(_columns(docs)))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
