@@ -1,6 +1,6 @@
 """All registered queries of the engine's own operators and their oracle SQL."""
 
-from .plans import corpus, search
+from .plans import assets, corpus, search
 
-QUERIES: dict = {**corpus.QUERIES, **search.QUERIES}
-ORACLE_SQL: dict[str, str] = {**corpus.ORACLE_SQL, **search.ORACLE_SQL}
+QUERIES: dict = {**corpus.QUERIES, **search.QUERIES, **assets.QUERIES}
+ORACLE_SQL: dict[str, str] = {**corpus.ORACLE_SQL, **search.ORACLE_SQL, **assets.ORACLE_SQL}

@@ -44,6 +44,22 @@ def tokenize(text: Column) -> Column:
     return F.filter(words, lambda t: (F.length(t) > 2) & ~t.isin(*STOPWORDS))
 
 
+def token_count(text: Column) -> Column:
+    """How many tokens ``tokenize`` finds, without making them."""
+    low, stops = F.lower(text), "|".join(w for w in STOPWORDS if len(w) > 2)
+    char = TOKEN[:-1]
+    return F.regexp_count(low, F.lit(char + "{3,}")) - F.regexp_count(low, F.lit(f"(?<!{char})(?:{stops})(?!{char})"))
+
+
+def token_rows(text: Column) -> Column:
+    """The maximal runs of token characters as an array; of these, tokens are those of ``is_token``."""
+    return F.split(F.lower(text), f"[^{TOKEN[1:-2]}]+")
+
+
+def is_token(word: Column) -> Column:
+    return (F.length(word) > 2) & ~word.isin(*STOPWORDS)
+
+
 def asset_tags(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({ASSET_TAG})"), 1)))
 
@@ -133,9 +149,10 @@ def human_size(n: Column) -> Column:
     return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024**2, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / 1024**2))
 
 
-def longest_run(query: Column, target: Column) -> Column:
-    """Longest run of consecutive query tokens that are in target."""
-    step = F.aggregate(query, F.struct(F.lit(0).alias("run"), F.lit(0).alias("most")), lambda acc, t: F.struct(F.when(F.array_contains(target, t), acc["run"] + 1).otherwise(0).alias("run"), F.greatest(acc["most"], F.when(F.array_contains(target, t), acc["run"] + 1).otherwise(0)).alias("most")))
+def longest_run(query: Column, title: Column) -> Column:
+    """Longest run of consecutive query tokens that stand in the lower-cased title, as parts of it."""
+    found = lambda t: F.contains(title, t)
+    step = F.aggregate(query, F.struct(F.lit(0).alias("run"), F.lit(0).alias("most")), lambda acc, t: F.struct(F.when(found(t), acc["run"] + 1).otherwise(0).alias("run"), F.greatest(acc["most"], F.when(found(t), acc["run"] + 1).otherwise(0)).alias("most")))
     return step["most"]
 
 
@@ -191,3 +208,89 @@ def is_relevant(kind: Column, title: Column, content: Column, want_kind: Column,
         .when(asked(keywords), some(keywords, every))
         .otherwise(want_kind.isNotNull() | asked(titles) | asked(contents))
     )
+
+
+# Domains by document type, document types of an index, labels of states.
+DOMAINS = {"norma": "criticidad", "guia": "mantenibilidad", "sop": "mantenibilidad", "tabla": "mantenibilidad", "presentacion": "confiabilidad", "otro": "ingenieria"}
+INDEX_KINDS = ("norma", "guia", "sop", "manual_oem", "tabla", "presentacion", "otro")
+INDEX_LABELS = {"active": "Indexado", "indexed": "Indexado", "indexado": "Indexado", "duplicado": "Duplicado", "mismo_contenido": "Mismo contenido", "needs_review": "Identidad dudosa", "error": "Error índice"}
+STATUS_LABELS = {"pendiente": "Pendiente", "pendiente_extractor": "Pendiente extractor", "pass": "OK — listo", "review": "Revisar", "reject": "Rechazado", "error": "Error extracción", "excluido": "Excluido"}
+
+
+def looked_up(key: Column, table: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
+def index_kind(raw: Column) -> Column:
+    return F.when(raw.isin(*INDEX_KINDS), raw).otherwise("otro")
+
+
+def domain(kind: Column) -> Column:
+    return F.coalesce(looked_up(index_kind(kind), DOMAINS), F.lit("ingenieria"))
+
+
+def index_label(state: Column) -> Column:
+    return F.when(F.coalesce(state, F.lit("")) == "", "Pendiente índice").otherwise(F.coalesce(looked_up(state, INDEX_LABELS), state))
+
+
+def status_label(state: Column) -> Column:
+    return F.coalesce(looked_up(state, STATUS_LABELS), state)
+
+
+def slide_hash(title: Column, section: Column, notes: Column, visual: Column, elements: Column) -> Column:
+    """Hash of a slide over its title, section, notes, visual text and elements (array of arrays)."""
+    return F.sha2(F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in (title, section, notes, visual)], F.array_join(F.flatten(elements), "\n")), 256)
+
+
+def path_key(path: Column) -> Column:
+    return F.lower(F.replace(path, F.lit("/"), F.lit("\\")))
+
+
+def document_key(key: Column, title: Column, citation_: Column, doc_id: Column) -> Column:
+    """The key, else the title (or citation, or id) without revision, upper-cased, 160 characters at most."""
+    some = F.coalesce(*[F.nullif(c, F.lit("")) for c in (title, citation_, doc_id)], F.lit(""))
+    bare = F.regexp_replace(some, r"(?iu)\b(rev\.?|versi[oó]n|version)\s*[a-z0-9.]+\b", "")
+    bare = F.substring(F.upper(F.trim(F.regexp_replace(bare, r"\s+", " "))), 1, 160)
+    return F.coalesce(F.nullif(F.trim(key), F.lit("")), F.nullif(bare, F.lit("")), F.nullif(doc_id, F.lit("")), F.lit("unknown"))
+
+
+def folder_key(relative_path: Column) -> Column:
+    """The first folder of a relative path, or a name for the root."""
+    parts = F.filter(F.split(F.replace(relative_path, F.lit("\\"), F.lit("/")), "/"), lambda p: p != "")
+    return F.when(F.size(parts) > 1, F.element_at(parts, 1)).otherwise("(root)")
+
+
+def engineering_number(name: Column) -> Column:
+    return F.nullif(F.regexp_extract(name, r"(\d{6,}-\d{5}-\d{3}[A-Za-z]{2}-\d{5})", 1), F.lit(""))
+
+
+def clamp_percent(value: Column) -> Column:
+    """0 to 100, 50 where it is no number."""
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(F.bround(value.try_cast("double")).cast("int"), F.lit(50))))
+
+
+def valid_indices(raw: Column, n: Column) -> Column:
+    """Distinct whole numbers from 1 to n of an array of strings, in order."""
+    return F.array_distinct(F.filter(F.transform(raw, lambda x: x.try_cast("int")), lambda i: i.isNotNull() & (i >= 1) & (i <= n)))
+
+
+def search_text(symptom: Column, asset: Column, module: Column) -> Column:
+    return F.concat_ws(" ", *[F.nullif(F.trim(c), F.lit("")) for c in (symptom, F.concat(F.lit("activo "), F.nullif(F.trim(asset), F.lit(""))), module)])
+
+
+def parsed_time(text: Column) -> Column:
+    """A timestamp from ISO text, Z as UTC; null if it is none."""
+    return F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))
+
+
+def days_since(text: Column, today: Column) -> Column:
+    return F.coalesce(F.datediff(today, F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")).cast("date")), F.lit(0))
+
+
+def effective_count(extension: Column, pages: Column, slides: Column, blocks: Column, rows: Column) -> Column:
+    """The count that tells a file's size: pages, slides, blocks or rows by its format."""
+    return F.coalesce(F.when(extension == ".pdf", pages).when(extension == ".pptx", slides).when(extension == ".docx", blocks).when(extension.isin(".xlsx", ".xls"), rows), pages, slides, blocks, rows, F.lit(0))
+
+
+def evidence_line(index: Column, citation_: Column, content: Column, size: int = 3500) -> Column:
+    return F.concat(F.lit("["), index.cast("string"), F.lit("] "), citation_, F.lit("\n"), F.substring(content, 1, size))

@@ -9,10 +9,10 @@ from ..functions.text import concept_slug, decimal_comma
 
 # Patterns of quantities in texts.
 METRICS = {
-    "temperature": r"(?i)(\d+(?:[.,]\d+)?)\s*°?\s*C\b",
+    "temp_c": r"(?i)(\d+(?:[.,]\d+)?)\s*°?\s*C\b",
     "rpn": r"(?i)\bRPN\s*[:=]?\s*(\d+)\b",
-    "criticality": r"(?i)\bcriticidad\s*[:=]?\s*(\d+)\b",
-    "limit": r"(?i)(?:l[ií]mite|m[aá]x(?:ima)?|alarma|umbral)\s*[^.\n]{0,25}?(\d+(?:[.,]\d+)?)\s*°?\s*C\b",
+    "criticidad": r"(?i)\bcriticidad\s*[:=]?\s*(\d+)\b",
+    "limit_c": r"(?i)(?:l[ií]mite|m[aá]x(?:ima)?|alarma|umbral)\s*[^.\n]{0,25}?(\d+(?:[.,]\d+)?)\s*°?\s*C\b",
 }
 FAILURE = r"(?i)modo\s+de\s+falla[:\s\-]+([^\n.;]{4,72})"
 EFFECT = r"(?i)efecto[s]?\s+(?:del\s+)?(?:modo\s+de\s+)?falla[:\s\-]+([^\n.;]{4,72})"
@@ -107,3 +107,27 @@ def keep_inner_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def merge_nodes(existing: DataFrame, found: DataFrame) -> DataFrame:
     return existing.unionByName(found.join(existing.select("node_id"), "node_id", "left_anti"))
+
+
+VIEWS = {"documents": ("chunk", "document"), "concepts": ("asset", "concept")}
+
+
+def view(nodes: DataFrame, edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and inner edges of a view: global, documents or concepts."""
+    if name not in VIEWS:
+        return nodes, edges
+    kept = nodes.where(F.col("kind").isin(*VIEWS[name]))
+    return kept, keep_inner_edges(edges, kept)
+
+
+def concept_edges(found: DataFrame) -> DataFrame:
+    """co_occurs edges (0.75) of chunks and their concepts (chunk_id, kind, label)."""
+    return found.select(F.concat(F.lit("chunk:"), F.col("chunk_id").cast("string")).alias("source"), F.concat(F.lit("concept:"), "kind", F.lit(":"), "label").alias("target"), F.lit(0.75).alias("weight")).distinct()
+
+
+def conflict_edges(chunks: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """conflicts_with edges (1.0) between chunks (chunk_id, document_key) of documents in conflict, each to the next: m - 1 for m chunks."""
+    bad = chunks.join(conflicts.select("document_key").distinct(), "document_key", "left_semi")
+    after = F.lead("chunk_id").over(Window.partitionBy("document_key").orderBy("chunk_id"))
+    name = lambda c: F.concat(F.lit("chunk:"), F.col(c).cast("string"))
+    return bad.withColumn("after", after).where("after IS NOT NULL").select(name("chunk_id").alias("source"), name("after").alias("target"), F.lit(1.0).alias("weight"))

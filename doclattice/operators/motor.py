@@ -16,28 +16,6 @@ def sensor_window(readings: DataFrame, window: str, now: Column, upper: bool = F
     return kept.where(F.col("ts") <= now) if upper else kept
 
 
-def unit_fits(reading: Column, limit: Column) -> Column:
-    r, m = F.lower(F.replace(reading, F.lit(" "), F.lit(""))), F.lower(F.replace(limit, F.lit(" "), F.lit("")))
-    return F.contains(m, r) | F.contains(r, m)
-
-
-def match_limits(readings: DataFrame, limits: DataFrame) -> DataFrame:
-    """Best limit of each reading: tag +3, unit +2, kind that suits the unit +1; a tag mismatch or another unit excludes; first limit on ties.
-
-    readings: reading_id, tag, unit, value, nominal; limits: limit_id, kind, limit_value, limit_unit, limit_tag.
-    Limits join by tag, and those without a tag by unit, so no pair is made only to be thrown away.
-    """
-    tagged = readings.join(limits.where("limit_tag IS NOT NULL"), F.col("tag") == F.col("limit_tag"))
-    general = readings.join(limits.where("limit_tag IS NULL"), F.lower("unit") == F.lower("limit_unit"))
-    both = tagged.where(unit_fits(F.col("unit"), F.col("limit_unit"))).unionByName(general)
-    suits = F.when(F.contains("unit", F.lit("°")) & (F.col("kind") == "max_temp"), 1).when((F.lower("unit") == "l/min") & F.col("kind").isin("nominal_flow", "min_flow"), 1).when(F.startswith(F.lower("unit"), F.lit("mm")) & (F.col("kind") == "max_vibration"), 1).otherwise(0)
-    score = F.when(F.col("limit_tag").isNotNull(), 3).otherwise(0) + 2 + suits
-    w = Window.partitionBy("reading_id").orderBy(F.desc("match_score"), F.asc("limit_id"))
-    best = both.withColumn("match_score", score).withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    found = best.select("reading_id", "limit_id", "kind", "limit_value", "match_score")
-    return readings.join(found, "reading_id", "left")
-
-
 def exceeded(kind: Column, value: Column, limit: Column, nominal: Column) -> Column:
     """Over a maximum, under a minimum, or more than 15 % off the nominal; null if nothing is known."""
     off = lambda base: F.abs(value - base) > 0.15 * base

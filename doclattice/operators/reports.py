@@ -24,11 +24,12 @@ def pivot_status(files: DataFrame, by: str, statuses: tuple[str, ...] = ("pass",
 
 
 def reject_reasons(files: DataFrame, top: int = 15, samples: int = 3) -> DataFrame:
-    """Most frequent reasons (cut to 120 characters) with their first sample names, in order of id."""
+    """Most frequent reasons (cut to 120 characters) with their first sample names, in order of id. Samples are limited before they are shuffled."""
     rows = files.where("status = 'reject'").withColumn("reason", F.substring("reason", 1, 120))
-    nth = F.row_number().over(Window.partitionBy("reason").orderBy("file_id"))
-    g = rows.withColumn("nth", nth).groupBy("reason").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("nth") <= samples, F.struct("file_id", "name")))).alias("s"), F.min("file_id").alias("first_id"))
-    return g.orderBy(F.desc("n"), F.asc("first_id")).limit(top).select("reason", "n", F.array_join(F.transform("s", lambda x: x["name"]), ", ").alias("samples"))
+    first = top_per_group(rows.withColumn("turn", -F.col("file_id")), "reason", "turn", "file_id", samples)
+    names = first.groupBy("reason").agg(F.array_sort(F.collect_list(F.struct("file_id", "name"))).alias("s"))
+    best = rows.groupBy("reason").agg(F.count("*").alias("n"), F.min("file_id").alias("first_id")).orderBy(F.desc("n"), F.asc("first_id")).limit(top)
+    return best.join(names, "reason").select("reason", "n", F.array_join(F.transform("s", lambda x: x["name"]), ", ").alias("samples"))
 
 
 def top_per_group(rows: DataFrame, by: str, value: str, key: str, k: int) -> DataFrame:
@@ -65,3 +66,30 @@ def recommendations(folders: DataFrame, rejected: int = 40, pct: float = 70.0, f
     low = folders.where((F.col("pct") < pct) & (F.col("total") > files)).select(F.lit("low_coverage").alias("rule"), F.col("folder").alias("subject"), F.col("pct").cast("double").alias("value"))
     many = folders.agg(F.sum("rejected").alias("r")).where(F.col("r") > rejected).select(F.lit("many_rejects").alias("rule"), F.lit("corpus").alias("subject"), F.col("r").cast("double").alias("value"))
     return low.unionByName(many)
+
+
+def weak_cases(per_case: DataFrame, k: int = 5) -> DataFrame:
+    """Cases (q_id, best: rank of the first relevant hit) that miss the first k hits."""
+    return per_case.where(F.col("best").isNull() | (F.col("best") > k))
+
+
+def kind_counts(scanned: DataFrame) -> DataFrame:
+    """Drawings, documents and doubtful files of a scan, with those whose recognition is blocked."""
+    return scanned.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("block_ocr").alias("blocked"))
+
+
+def pilot(scanned: DataFrame, by: str, pages: int = 12) -> DataFrame:
+    """The best candidate of each group for a pilot: greatest confidence less 0.01 a page, of at most so many pages."""
+    kept = scanned.where(F.col("pages") <= pages).withColumn("pilot_score", F.round(F.col("confidence") - 0.01 * F.col("pages"), 6))
+    return kept.groupBy(by).agg(F.max_by(F.struct("file_id", "pilot_score"), F.struct("pilot_score", -F.col("file_id"))).alias("x")).select(by, "x.*")
+
+
+def result_rows(hits: DataFrame, columns: list[str], snippet: int = 280) -> DataFrame:
+    """Hits as an interface shows them: the named columns, score to four places, the head of the content."""
+    return hits.select(*columns, F.round("score", 4).alias("score"), F.trim(F.substring("content", 1, snippet)).alias("snippet"))
+
+
+def pool_sizes(k: int, prefetch: int = 0, rerank_pool: int = 0) -> tuple[int, int]:
+    """(rerank pool, prefetch) of a search for k hits."""
+    pool = rerank_pool or max(prefetch, 4 * k)
+    return pool, max(pool, prefetch)

@@ -6,10 +6,15 @@ the side of the queries is small by nature, but the planner decides whether to b
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import longest_run, tokenize
+from ..functions.text import STOPWORDS, TOKEN, exact_tags, is_token, longest_run, token_count, token_rows, tokenize
 
 K1, B, RRF_K = 1.2, 0.75, 60
 SAFETY_BOOST, CURRENT_BOOST = 1.5, 1.1
@@ -19,20 +24,20 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, term, tf, dl from (doc_id, text)."""
-    tokens = docs.select("doc_id", tokenize(F.col("text")).alias("t"))
-    return tokens.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, term, tf, dl of (doc_id, text), for the given terms (term) alone: they are matched before anything is counted."""
+    words = docs.select("doc_id", token_count(F.col("text")).alias("dl"), F.explode(token_rows(F.col("text"))).alias("term")).where(is_token(F.col("term")))
+    return words.join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """q_id, doc_id, score of every pair that shares a term. Only the queries' terms are weighted."""
+    """q_id, doc_id, score of every pair that shares a term. Only the queries' terms are counted and weighted."""
     terms = queries.select("q_id", F.explode(F.array_distinct(tokenize(F.col("q_text")))).alias("term"))
-    post = postings(docs).join(terms.select("term").distinct(), "term", "left_semi")
-    stats = docs.select(F.size(tokenize(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighted = post.join(idf, "term").select("term", "doc_id", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"))
+    post = postings(docs, terms.select("term").distinct())
+    stats = docs.agg(F.count("*").alias("n"), F.avg(token_count(F.col("text"))).alias("avgdl")).first()
+    n, avgdl = F.lit(stats["n"]), F.lit(stats["avgdl"])
+    idf = post.groupBy("term").agg(F.log(1 + (n - F.count("*") + 0.5) / (F.count("*") + 0.5)).alias("idf"))
+    weighted = post.join(idf, "term").select("term", "doc_id", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))).alias("w"))
     return terms.join(weighted, "term").groupBy("q_id", "doc_id").agg(F.sum("w").alias("score"))
 
 
@@ -40,27 +45,84 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
     return top(scores.withColumn("score", F.round("score", 6)), ["q_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
-def dot(a: str | Column, b: str | Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+RANKED = "q_id long, doc_id long, score double"
+
+
+def _best(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, others: bool) -> list[pd.DataFrame]:
+    """The k most similar rows of x for every query; ``others`` leaves out the query's own id."""
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    sim, out = np.round(unit(x) @ unit(q).T, 6), []
+    for j, q_id in enumerate(q_ids):
+        s = sim[:, j]
+        mine = np.flatnonzero(ids != q_id) if others else np.arange(len(ids))
+        if len(mine) > 4 * k:
+            mine = mine[s[mine] >= np.partition(s[mine], -k)[-k]]
+        mine = mine[np.lexsort((ids[mine], -s[mine]))][:k]
+        out.append(pd.DataFrame({"q_id": q_id, "doc_id": ids[mine], "score": s[mine]}))
+    return out
+
+
+def _blocks(queries: DataFrame, block: int):
+    """Queries (q_id, ...) in blocks of about ``block`` rows on the driver, one at a time."""
+    n = max(1, -(-queries.count() // block))
+    for b in range(n):
+        yield (queries.where(F.pmod(F.xxhash64("q_id"), F.lit(n)) == b) if n > 1 else queries).toPandas()
+
+
+def dense_ranked(vectors: DataFrame, queries: DataFrame, k: int, block: int = 10_000, others: bool = True) -> DataFrame:
+    """Top k of (doc_id, vec) for each of (q_id, qvec) by cosine. Queries go out in blocks of a checked size; each batch of vectors is one matrix product, of which
+    k rows for each query reach the sort."""
+    out = None
+    for q in _blocks(queries, block):
+        q_ids, qm = q["q_id"].to_numpy(), np.array([np.asarray(v, float) for v in q["qvec"]])
+
+        def run(batches, q_ids=q_ids, qm=qm):
+            for pdf in batches:
+                if len(q_ids) and len(pdf):
+                    yield pd.concat(_best(pdf["doc_id"].to_numpy(), np.array([np.asarray(v, float) for v in pdf["vec"]]), q_ids, qm, k, others))
+
+        found = vectors.select(F.col("doc_id").cast("long"), "vec").mapInPandas(run, RANKED)
+        out = found if out is None else out.unionByName(found)
+    return top(out, ["q_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
-def cosine(a: str | Column, b: str | Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+DIMS = 64
+_TOKENS = re.compile(TOKEN)
 
 
-def dense_ranked(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 10_000) -> DataFrame:
-    """Top k of (doc_id, vec) for each of (q_id, qvec); the queries are a stated set, whose size is checked before it is broadcast."""
-    q = queries.limit(max_queries + 1).cache()
-    if q.count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries; run them in blocks")
-    pairs = vectors.crossJoin(F.broadcast(q)).where("doc_id <> q_id")
-    return top(pairs.select("q_id", "doc_id", F.round(cosine("vec", "qvec"), 6).alias("score")), ["q_id"], [F.desc("score"), F.asc("doc_id")], k)
+def hashed_vectors(texts: list[str], slots: dict[str, int]) -> np.ndarray:
+    """A deterministic stand-in for an embedding service: token counts by the first four hex digits of MD5. ``slots`` remembers tokens."""
+    out = np.zeros((len(texts), DIMS))
+    if len(slots) > 200_000:
+        slots.clear()
+    for i, text in enumerate(texts):
+        for t in _TOKENS.findall((text or "").lower()):
+            if len(t) > 2 and t not in STOPWORDS:
+                if t not in slots:
+                    slots[t] = int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % DIMS
+                out[i, slots[t]] += 1
+    return out
 
 
-def hashed_vector(tokens: Column, dims: int = 64) -> Column:
-    """A deterministic stand-in for an embedding service: token counts by the first hex digits of MD5."""
-    slots = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % dims)
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("double"))
+def hashed_ranked(docs: DataFrame, queries: DataFrame, k: int, block: int = 10_000) -> DataFrame:
+    """The dense ranking of (doc_id, text) for (q_id, q_text) by hashed vectors; texts without tokens aren't ranked."""
+    out = None
+    for q in _blocks(queries.select("q_id", "q_text"), block):
+        q_ids, qm = q["q_id"].to_numpy(), hashed_vectors(q["q_text"].tolist(), {})
+        some = qm.any(axis=1)
+
+        def run(batches, q_ids=q_ids[some], qm=qm[some]):
+            slots: dict[str, int] = {}
+            for pdf in batches:
+                x = hashed_vectors(pdf["text"].tolist(), slots)
+                full = x.any(axis=1)
+                if len(q_ids) and full.any():
+                    for found in _best(pdf["doc_id"].to_numpy()[full], x[full], q_ids, qm, k, False):
+                        yield found[found["score"] > 0]
+
+        found = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, RANKED)
+        out = found if out is None else out.unionByName(found)
+    return top(out, ["q_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
 def rrf(first: DataFrame, second: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -84,14 +146,27 @@ def dedup_sections(hits: DataFrame) -> DataFrame:
     return top(hits, ["q_id", "doc_id", "section"], [F.asc("rank"), F.asc("hit_id")], 1, "_rn").drop("_rn")
 
 
-def rerank_score(base: Column, query: Column, text: Column, title: Column, tags: Column, codes: Column) -> Column:
+def tag_boost(query_text: Column, title: Column, content: Column, citation: Column, codes: Column) -> Column:
+    """0.18 for every exact tag of the query in title, content or citation, 0.22 for every asset code of the hit in the query."""
+    haystack = F.upper(F.concat_ws(" ", title, content, citation))
+    tags = F.size(F.filter(exact_tags(query_text), lambda t: F.contains(haystack, t)))
+    named = F.size(F.filter(F.coalesce(codes, F.array().cast("array<string>")), lambda c: (c != "") & F.contains(F.upper(query_text), F.upper(c))))
+    return 0.18 * tags + 0.22 * named
+
+
+def title_boost(query: Column, title: Column) -> Column:
+    """0.25 if the head of the query stands in the title, else 0.2 or 0.1 for runs of three or two of its tokens."""
+    low = F.lower(F.coalesce(title, F.lit("")))
+    run = longest_run(query, low)
+    head = F.substring(F.array_join(query, " "), 1, 24)
+    return F.when((F.size(query) < 2) | (low == ""), 0.0).when(F.contains(low, head), 0.25).when(run >= 3, 0.2).when(run >= 2, 0.1).otherwise(0.0)
+
+
+def rerank_score(base: Column, query: Column, text: Column, title: Column, tags: Column) -> Column:
     """0.35 base + 0.45 overlap + tag boost (0.8 at most) + title boost; query is the token array."""
-    words, heading = tokenize(text), tokenize(title)
+    words = tokenize(text)
     overlap = F.size(F.filter(query, lambda t: F.array_contains(words, t))) / F.greatest(F.size(query), F.lit(1))
-    run = longest_run(query, heading)
-    head = F.substring(F.array_join(query, " "), 1, 24)
-    titled = F.when(F.size(query) < 2, 0.0).when(F.contains(F.lower(title), head), 0.25).when(run >= 3, 0.2).when(run >= 2, 0.1).otherwise(0.0)
-    return 0.35 * base + 0.45 * overlap + F.least(0.18 * tags + 0.22 * codes, F.lit(0.8)) + titled
+    return 0.35 * base + 0.45 * overlap + F.least(tags, F.lit(0.8)) + title_boost(query, title)
 
 
 def neighbours(vectors: DataFrame, seeds: DataFrame, least: float, k: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, dml, identity, quality, reports
+from ..operators import assets, chunking, dml, identity, quality, reports
 from ..sources import readers
 
 QUERIES: dict = {}
@@ -60,9 +60,9 @@ def tokenize_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
-@query("SELECT doc_id, regexp_matches(lower(text), '\\b(warning|caution|danger|riesgo|peligro)\\b') AS hazard FROM documents".replace("\\\\", "\\"))
+@query(f"SELECT doc_id, regexp_matches(text, '(?i){T.SAFETY_TERMS}') AS hazard FROM documents")
 def safety_flag(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.lower("text").rlike(r"\b(warning|caution|danger|riesgo|peligro)\b").alias("hazard"))
+    return table(spark, d, "documents").select("doc_id", T.is_safety(F.col("text")).alias("hazard"))
 
 
 PART_TEXT = "'Rev ' || (p_size % 5) || ' FMECA p-' || p_partkey || ' ' || upper(substr(p_type, 1, 2)) || '-' || (100 + p_size) || ' RPN ' || (p_size * 3) || ' limite ' || (60 + p_size) || ' °C modo de falla: ' || p_type || '. GUIGS-' || p_size"
@@ -132,9 +132,14 @@ def identity_decisions(spark, d):
     return identity.decisions(identity_files(spark, d))
 
 
-@query(ORACLE_SQL["identity_decisions"])
+@query(f"""WITH f AS (SELECT doc_id, doc_id // 100 AS tenant, source, sha256({NORM}) AS h FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY tenant, h ORDER BY doc_id) AS nth FROM f),
+r AS (SELECT *, lag(h) OVER (PARTITION BY tenant, source ORDER BY doc_id) AS before, row_number() OVER (PARTITION BY tenant, source ORDER BY doc_id) AS key_nth FROM n WHERE nth = 1)
+SELECT doc_id AS file_id, source AS logical_key, CASE WHEN key_nth = 1 THEN 'new_document' WHEN before = h THEN 'same_content' ELSE 'new_version' END AS decision FROM r
+UNION ALL SELECT doc_id, source, 'duplicate' FROM n WHERE nth > 1""")
 def identity_replay(spark, d):
-    rows = identity_files(spark, d).withColumns({"tenant": F.lit("t1"), "name": F.col("file_id").cast("string"), "code": F.lit(""), "asset": F.lit(""), "confidence": F.lit("high")})
+    """A tenant for every hundred documents: histories are replayed side by side."""
+    rows = identity_files(spark, d).withColumns({"tenant": F.floor(F.col("file_id") / 100), "name": F.col("file_id").cast("string"), "code": F.lit(""), "asset": F.lit(""), "confidence": F.lit("high")})
     return identity.replay(rows).select("file_id", "logical_key", "decision")
 
 
@@ -202,7 +207,14 @@ def segment_lines(spark, d):
     return chunking.lines(table(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 
-@query()
+HEADING = chunking.HEADING.replace("'", "''")
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+h AS (SELECT doc_id, line_no, trim(line) AS line, regexp_matches(trim(line), '{HEADING}') AS is_heading FROM l WHERE trim(line) <> ''),
+s AS (SELECT *, last_value(CASE WHEN is_heading THEN regexp_replace(line, '{HEADING}', '\\1 \\2') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM h),
+p AS (SELECT doc_id, line_no, is_heading, section, CASE WHEN is_heading THEN [line] ELSE string_split(regexp_replace(line, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS x FROM s)
+SELECT * FROM (SELECT doc_id, line_no, is_heading, section, generate_subscripts(x, 1) - 1 AS part, unnest(x) AS segment FROM p) WHERE segment <> ''""")
 def segment_sentences(spark, d):
     return chunking.segments(table(spark, d, "documents"))
 
@@ -218,21 +230,20 @@ def section_aggregate(spark, d):
     return chunking.section_text(blocks, 3)
 
 
-@query("""WITH b AS (SELECT conv_id, turn, text, length(text) AS n, CASE WHEN length(text) >= 200 OR row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 THEN 1 ELSE 0 END AS s FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL)),
-g AS (SELECT *, sum(s) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - 1 AS c FROM b)
-SELECT conv_id AS doc_id, CAST(c AS BIGINT) AS chunk_index, string_agg(text, chr(10) ORDER BY turn) AS content, CAST(sum(n) AS BIGINT) AS tokens FROM g GROUP BY conv_id, c""")
+@query("""WITH RECURSIVE b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, text, length(text) AS n FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL) WHERE trim(text) <> ''),
+f AS (SELECT conv_id, i, 0 AS c, text AS content FROM b WHERE i = 1
+UNION ALL SELECT b.conv_id, b.i, CASE WHEN b.n < 3000 AND length(f.content) + b.n <= 5000 THEN f.c ELSE f.c + 1 END, CASE WHEN b.n < 3000 AND length(f.content) + b.n <= 5000 THEN f.content || chr(10) || chr(10) || b.text ELSE b.text END FROM f JOIN b ON b.conv_id = f.conv_id AND b.i = f.i + 1)
+SELECT conv_id AS doc_id, c AS chunk_index, max_by(content, i) AS content, length(max_by(content, i)) AS tokens FROM f GROUP BY conv_id, c""")
 def merge_small_blocks(spark, d):
     turns = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    blocks = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("block_no"), "text", F.length("text").cast("long").alias("n"))
-    return chunking.block_chunks(blocks, 4, 200).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "content", "tokens")
+    blocks = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("block_no"), "text", F.lit("").alias("section"), F.lit(True).alias("whole"))
+    return chunking.block_chunks(blocks, 4, 3000, 1 << 30, 5000, count=len).select("doc_id", "chunk_index", "content", "tokens")
 
 
 @query("SELECT conv_id, turn, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)")
 def neighbour_titles(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.lag("role").over(w).alias("before"), F.lead("role").over(w).alias("after"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return chunking.beside(rows, "conv_id", ["turn", "role", "text"], "role").select("conv_id", "turn", "before", "after")
 
 
 @query(f"WITH {FILES} SELECT count(*) AS total, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'review') AS review, count(*) FILTER (status = 'reject') AS rejected, count(*) FILTER (status IS NULL) AS unknown, count(*) FILTER (indexed) AS indexed, count(*) FILTER (status = 'pass' AND NOT indexed) AS pass_not_indexed, CAST(sum(CASE WHEN indexed THEN n_tokens ELSE 0 END) AS BIGINT) AS tokens FROM files")
@@ -312,13 +323,35 @@ def plan_detect(spark, d):
     return quality.drawing_scores(rows).select("page_id", "drawing_score", "document_score", "kind")
 
 
-@query("""SELECT n_regionkey AS sheet_id, n_nationkey AS row_no, 'name: ' || n_name || ' | name_2: ' || n_nationkey AS text_line FROM nation""")
+SHEET = "c AS (SELECT c_nationkey AS sheet_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 3 AS row_no, * FROM customer)"
+
+
+def customer_sheets(spark, d):
+    """A sheet of customers for every nation: a title, a row of groups, the header, a sub-header, then the rows; the last column stays empty."""
+    from pyspark.sql import Window
+
+    c = table(spark, d, "customer")
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    cells = lambda *x: F.array(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    body = c.select(F.col("c_nationkey").alias("sheet_id"), (F.row_number().over(w) + 3).alias("row_no"), cells(F.col("c_custkey").cast("string"), " ", "c_name" and F.col("c_name"), F.col("c_mktsegment"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit("z"), F.col("c_custkey").cast("string"))), "").alias("cells"))
+    sheets = c.select(F.col("c_nationkey").alias("sheet_id")).distinct()
+    fixed = [cells("Customers", "", "", "", "", ""), cells("Key", "", "Person", "", "", ""), cells("id", "ref", "name", "segment", "name", ""), cells("a", "b", "c", "", "", "")]
+    for i, row in enumerate(fixed):
+        body = body.unionByName(sheets.select("sheet_id", F.lit(i).alias("row_no"), row.alias("cells")))
+    return body
+
+
+@query(f"""WITH {SHEET} SELECT sheet_id, row_no, 'Key > id > a: ' || c_custkey || ' | Key > ref > b: null | Person > name > c: ' || c_name || ' | Person > segment: ' || c_mktsegment || ' | Person > name: ' || CASE WHEN c_custkey % 3 = 0 THEN 'null' ELSE 'z' || c_custkey END || ' | Person > name_2: null' AS text_line FROM c""")
 def excel_header_detect(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("sheet_id"), F.col("n_nationkey").cast("int").alias("row_no"), F.array(F.col("n_name"), F.lit(None).cast("string"), F.col("n_nationkey").cast("string")).alias("cells"))
-    head = n.select("sheet_id").distinct().select("sheet_id", F.lit(-1).alias("row_no"), F.array(F.lit("name"), F.lit(""), F.lit("name")).alias("cells"))
-    wide = n.withColumn("cells", F.array(F.col("cells")[0], F.lit(""), F.col("cells")[2]))
-    title = head.select("sheet_id", F.lit(-2).alias("row_no"), F.array(F.lit("Report"), F.lit(""), F.lit("")).alias("cells"))
-    return readers.grid_records(title.unionByName(head).unionByName(wide).withColumn("row_no", F.col("row_no"))).select("sheet_id", "row_no", F.replace("text_line", F.lit("name_3"), F.lit("name_2")).alias("text_line"))
+    return readers.grid_records(customer_sheets(spark, d))
+
+
+@query(f"WITH {SHEET} SELECT sheet_id, 2 AS header_row, count(*) AS n_rows, 'ok' AS status FROM c GROUP BY sheet_id UNION ALL SELECT 1000 + c_nationkey, 0, 0, 'template_only' FROM customer GROUP BY c_nationkey UNION ALL SELECT 2000 + c_nationkey, NULL, 0, 'no_table' FROM customer GROUP BY c_nationkey")
+def sheet_status(spark, d):
+    sheets = table(spark, d, "customer").select("c_nationkey").distinct()
+    bare = sheets.select((F.col("c_nationkey") + 1000).alias("sheet_id"), F.lit(0).alias("row_no"), F.array(F.lit("name"), F.lit("value of it")).alias("cells"))
+    none = sheets.select((F.col("c_nationkey") + 2000).alias("sheet_id"), F.lit(0).alias("row_no"), F.array(F.lit("only one"), F.lit("")).alias("cells"))
+    return readers.sheet_states(customer_sheets(spark, d).unionByName(bare).unionByName(none))
 
 
 @query("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE')")
@@ -343,10 +376,10 @@ def hybrid_pages(spark, d):
     return readers.merge_ocr_pages(native, ocr)
 
 
-@query("""SELECT source, count(*) AS n FROM (SELECT source, row_number() OVER (PARTITION BY n_chars ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1 GROUP BY source""")
+@query("""WITH p AS (SELECT 0 AS turn, url AS path, 'local' AS origin FROM pages WHERE page_id % 3 > 0 UNION ALL SELECT 1, upper(url), 'remote' FROM pages WHERE page_id % 2 = 0)
+SELECT origin, count(*) AS n, min(path) AS first_path FROM (SELECT *, row_number() OVER (PARTITION BY lower(path) ORDER BY turn, path) AS rn FROM p) WHERE rn = 1 GROUP BY origin""")
 def inventory_union(spark, d):
-    from pyspark.sql import Window
-
-    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
-    w = Window.partitionBy("n_chars").orderBy("doc_id")
-    return docs.withColumn("rn", F.row_number().over(w)).where("rn = 1").groupBy("source").agg(F.count("*").alias("n"))
+    p = table(spark, d, "pages")
+    local = p.where("page_id % 3 > 0").select(F.col("url").alias("path"), F.lit("local").alias("origin"))
+    remote = p.where("page_id % 2 = 0").select(F.upper("url").alias("path"), F.lit("remote").alias("origin"))
+    return assets.union_inventories([local, remote]).groupBy("origin").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import insight, motor, reports, retrieval
+from ..operators import insight, limits, motor, reports, retrieval
 from ..streaming import streams
 from .corpus import STOP, TOKENS, part_texts, table, PART_TEXT
 
@@ -24,8 +24,9 @@ def query(sql: str | None = None):
     return add
 
 
-# The head of every benchmark passage is the query, its document is the relevant one.
-ASK = "q AS (SELECT item_id AS q_id, substr(text, 1, 60) AS text FROM benchmark)"
+# Every benchmark passage is a query; documents that hold its head are the relevant ones.
+ASK = "q AS (SELECT item_id AS q_id, text FROM benchmark)"
+HEAD = 60
 BM25 = f"""{ASK}, terms AS (SELECT DISTINCT q_id, unnest({TOKENS}) AS term FROM q), d AS (SELECT doc_id, {TOKENS} AS t FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d), post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY ALL),
 idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post, stats GROUP BY term, n),
@@ -33,7 +34,7 @@ bm AS (SELECT q_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.substring("text", 1, 60).alias("q_text"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("q_text"))
 
 
 @query(f"WITH {BM25} SELECT q_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 10")
@@ -64,21 +65,18 @@ def neighbours_threshold(spark, d):
     return retrieval.neighbours(vectors(spark, d), seeds(spark, d), 0.3, 12).select("q_id", "doc_id", "score")
 
 
-# A second ranking: documents by the share of the query's terms they hold.
-OVERLAP = f"ov AS (SELECT q_id, doc_id, round(count(*) / any_value(nq), 6) AS score FROM (SELECT q_id, term, count(*) OVER (PARTITION BY q_id) AS nq FROM terms) JOIN (SELECT DISTINCT doc_id, term FROM post) USING (term) GROUP BY q_id, doc_id)"
+# The dense ranking: cosine of hashed token counts, a stand-in for an embedding service.
+SLOT = "CAST('0x' || substr(md5(term), 1, 4) AS INT) % 64"
+OVERLAP = f"""qv AS (SELECT q_id, {SLOT} AS slot, count(*)::DOUBLE AS c FROM (SELECT q_id, unnest({TOKENS}) AS term FROM q) GROUP BY ALL), dv AS (SELECT doc_id, {SLOT} AS slot, sum(tf)::DOUBLE AS c FROM post GROUP BY ALL),
+qn AS (SELECT q_id, sqrt(sum(c * c)) AS n FROM qv GROUP BY q_id), dn AS (SELECT doc_id, sqrt(sum(c * c)) AS n FROM dv GROUP BY doc_id),
+ov AS (SELECT q_id, doc_id, round(sum(qv.c * dv.c) / (any_value(qn.n) * any_value(dn.n)), 6) AS score FROM qv JOIN dv USING (slot) JOIN qn USING (q_id) JOIN dn USING (doc_id) GROUP BY q_id, doc_id)"""
 RANKS = f"""{BM25}, {OVERLAP}, r1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 20), r2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM ov) WHERE rank <= 20),
 fused AS (SELECT q_id, doc_id, round(coalesce(1.0::DOUBLE / (60 + r1.rank), 0) + coalesce(1.0::DOUBLE / (60 + r2.rank), 0), 9) AS score FROM r1 FULL JOIN r2 USING (q_id, doc_id))"""
 
 
-def term_share(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    terms = queries.select("q_id", F.array_distinct(T.tokenize(F.col("q_text"))).alias("t")).select("q_id", F.size("t").alias("nq"), F.explode("t").alias("term"))
-    post = docs.select("doc_id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("term"))
-    return terms.join(post, "term").groupBy("q_id", "doc_id", "nq").agg(F.count("*").alias("n")).select("q_id", "doc_id", F.round(F.col("n") / F.col("nq"), 6).alias("score"))
-
-
 def fused(spark, d):
     docs, q = table(spark, d, "documents"), asked(spark, d)
-    return retrieval.rrf(retrieval.ranked(retrieval.bm25(docs, q), 20), retrieval.ranked(term_share(docs, q), 20))
+    return retrieval.rrf(retrieval.ranked(retrieval.bm25(docs, q), 20), retrieval.hashed_ranked(docs, q, 20))
 
 
 @query(f"WITH {RANKS} SELECT q_id, doc_id, score FROM fused")
@@ -113,7 +111,7 @@ def reranked(spark, d):
     kept = retrieval.dedup_sections(by_source).withColumn("doc_id", F.col("doc")).drop("doc")
     texts = table(spark, d, "documents").select("doc_id", "text")
     q = asked(spark, d).select("q_id", T.tokenize(F.col("q_text")).alias("qt"))
-    score = retrieval.rerank_score(F.col("score"), F.col("qt"), F.col("text"), F.lit(""), F.lit(0), F.lit(0))
+    score = retrieval.rerank_score(F.col("score"), F.col("qt"), F.col("text"), F.lit(""), F.lit(0))
     return kept.join(q, "q_id").join(texts, "doc_id").select("q_id", "doc_id", "rank", "section", F.round(score, 6).alias("final"))
 
 
@@ -137,14 +135,14 @@ def search_enriched(spark, d):
     return best.join(docs, "doc_id", "left").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("q_id", "doc_id", "lang", F.coalesce("quality", F.lit(-1)).alias("quality"), "n_text")
 
 
-JUDGED = "j AS (SELECT r.q_id, pos AS rank, contains(x.text, q.text) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY {by}, doc_id) AS pos FROM rr) r JOIN documents x USING (doc_id) JOIN q USING (q_id)), per AS (SELECT q_id, min(rank) FILTER (relevant) AS best, count(*) FILTER (relevant AND rank <= 1) AS n1, count(*) FILTER (relevant AND rank <= 3) AS n3, count(*) FILTER (relevant AND rank <= 5) AS n5, count(*) FILTER (relevant AND rank <= 8) AS n8 FROM j GROUP BY q_id)"
+JUDGED = "j AS (SELECT r.q_id, pos AS rank, contains(x.text, substr(q.text, 1, 60)) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY {by}, doc_id) AS pos FROM rr) r JOIN documents x USING (doc_id) JOIN q USING (q_id)), per AS (SELECT q_id, min(rank) FILTER (relevant) AS best, count(*) FILTER (relevant AND rank <= 1) AS n1, count(*) FILTER (relevant AND rank <= 3) AS n3, count(*) FILTER (relevant AND rank <= 5) AS n5, count(*) FILTER (relevant AND rank <= 8) AS n8 FROM j GROUP BY q_id)"
 METRICS = "count(*) AS n_cases, round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr, " + ", ".join(f"round(avg(CASE WHEN best <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate_at_{k}, round(avg(coalesce(n{k}, 0) / {k}.0::DOUBLE), 6) AS precision_at_{k}" for k in (1, 3, 5, 8))
 
 
 def judged(spark, d, order):
     rows = retrieval.top(reranked(spark, d).withColumnRenamed("rank", "first_rank"), ["q_id"], [order, F.asc("doc_id")], 1 << 30)
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return rows.join(docs, "doc_id").join(asked(spark, d), "q_id").select("q_id", "rank", F.contains("text", F.col("q_text")).alias("relevant"))
+    return rows.join(docs, "doc_id").join(asked(spark, d), "q_id").select("q_id", "rank", F.contains("text", F.substring("q_text", 1, HEAD)).alias("relevant"))
 
 
 def cases(spark, d):
@@ -169,7 +167,7 @@ def version_conflicts(spark, d):
     return insight.version_conflicts(rows)
 
 
-@query("""SELECT document_key, metric, min(v)::DOUBLE AS lo, max(v)::DOUBLE AS hi, count(DISTINCT v) AS n_values FROM (SELECT p_brand AS document_key, 'temperature' AS metric, p_size + 60 AS v FROM part UNION ALL SELECT p_brand, 'rpn', p_size * 3 FROM part UNION ALL SELECT p_brand, 'limit', p_size + 60 FROM part) GROUP BY ALL HAVING max(v) > min(v) AND (max(v) - min(v)) / max(v) > 0.02""")
+@query("""SELECT document_key, metric, min(v)::DOUBLE AS lo, max(v)::DOUBLE AS hi, count(DISTINCT v) AS n_values FROM (SELECT p_brand AS document_key, 'temp_c' AS metric, p_size + 60 AS v FROM part UNION ALL SELECT p_brand, 'rpn', p_size * 3 FROM part UNION ALL SELECT p_brand, 'limit_c', p_size + 60 FROM part) GROUP BY ALL HAVING max(v) > min(v) AND (max(v) - min(v)) / max(v) > 0.02""")
 def numeric_conflicts(spark, d):
     rows = part_texts(spark, d).select(F.col("p_brand").alias("document_key"), F.col("p_partkey").alias("doc_id"), "text")
     return insight.numeric_conflicts(insight.metrics(rows))
@@ -267,15 +265,29 @@ m AS (SELECT r.*, limit_id, CASE WHEN event_type < 'd' THEN 'max_temp' ELSE 'min
 
 def matched(spark, d):
     e = table(spark, d, "events")
-    limits = e.groupBy(F.col("event_type").alias("limit_tag")).agg(F.min("event_id").alias("limit_id"), F.percentile("value", 0.9).alias("limit_value"))
-    limits = limits.withColumns({"limit_unit": F.lit("°C"), "kind": F.when(F.col("limit_tag") < "d", "max_temp").otherwise("min_flow")})
+    found = e.groupBy(F.col("event_type").alias("limit_tag")).agg(F.min("event_id").alias("limit_id"), F.percentile("value", 0.9).alias("limit_value"))
+    found = found.withColumns({"limit_unit": F.lit("°C"), "kind": F.when(F.col("limit_tag") < "d", "max_temp").otherwise("min_flow")})
     readings = e.select(F.col("event_id").alias("reading_id"), F.col("event_type").alias("tag"), F.lit("°C").alias("unit"), "value", F.when(F.col("event_id") % 2 == 0, 20.0).alias("nominal"))
-    return motor.match_limits(readings, limits)
+    return limits.match_limits(readings, found)
+
+
+# Limits of suppliers with and without tags, with equal, partial, blank and other units, against readings of several units; the oracle tries every pair.
+UNITS = ["°C", "C", "mm/s", "mm", "L/min", "l/min", "bar", ""]
+LIMIT_PAIRS = f"""u AS (SELECT {UNITS} AS u), r AS (SELECT l_orderkey * 10 + l_linenumber AS reading_id, 'T-' || (l_suppkey % 23) AS tag, u[1 + l_partkey % 8] AS unit FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL), u),
+m AS (SELECT s_suppkey AS limit_id, CASE WHEN s_suppkey % 2 = 0 THEN 't-' || (s_suppkey % 31) END AS limit_tag, u[1 + s_suppkey % 8] AS limit_unit, ['max_temp', 'max_vibration', 'nominal_flow', 'generic_limit'][1 + s_suppkey % 4] AS kind FROM supplier, u),
+rr AS (SELECT DISTINCT tag, unit FROM r), j AS (SELECT rr.tag, rr.unit, m.*, CASE WHEN limit_tag IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN unit <> '' AND limit_unit <> '' AND contains(lower(limit_unit), lower(unit)) THEN 2 ELSE 0 END + CASE WHEN contains(unit, '°') AND kind = 'max_temp' THEN 1 WHEN contains(lower(unit), 'l/min') AND kind = 'nominal_flow' THEN 1 WHEN contains(lower(unit), 'mm') AND kind = 'max_vibration' THEN 1 ELSE 0 END AS match_score
+FROM rr JOIN m ON (limit_tag IS NULL OR upper(limit_tag) = upper(tag)) AND (contains(lower(limit_unit), lower(unit)) OR contains(lower(unit), lower(limit_unit))))"""
 
 
-@query(f"WITH {LIMITS} SELECT reading_id, limit_id, 5 + CASE WHEN kind = 'max_temp' THEN 1 ELSE 0 END AS match_score FROM m")
+@query(f"WITH {LIMIT_PAIRS} SELECT reading_id, limit_id, match_score FROM r LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY tag, unit ORDER BY match_score DESC, limit_id) AS rn FROM j) b ON b.tag = r.tag AND b.unit = r.unit AND rn = 1")
 def limit_match(spark, d):
-    return matched(spark, d).select("reading_id", "limit_id", "match_score")
+    u = F.array(*[F.lit(x) for x in UNITS])
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey"))
+    readings = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("reading_id"), F.concat(F.lit("T-"), (F.col("l_suppkey") % 23).cast("string")).alias("tag"), F.element_at(u, (1 + F.col("l_partkey") % 8).cast("int")).alias("unit"))
+    k = F.col("s_suppkey")
+    kinds = F.array(*[F.lit(x) for x in ("max_temp", "max_vibration", "nominal_flow", "generic_limit")])
+    found = table(spark, d, "supplier").select(k.alias("limit_id"), F.when(k % 2 == 0, F.concat(F.lit("t-"), (k % 31).cast("string"))).alias("limit_tag"), F.element_at(u, (1 + k % 8).cast("int")).alias("limit_unit"), F.element_at(kinds, (1 + k % 4).cast("int")).alias("kind"), F.lit(1.0).alias("limit_value"))
+    return limits.match_limits(readings, found).select("reading_id", "limit_id", "match_score")
 
 
 @query(f"WITH {LIMITS} SELECT event_type AS tag, count(*) FILTER (CASE WHEN kind = 'min_flow' THEN value < limit_value ELSE value > limit_value END) AS n_over, sum(least(98, 90 + CASE WHEN nominal IS NOT NULL THEN 5 ELSE 0 END))::BIGINT AS confidence FROM m GROUP BY event_type")

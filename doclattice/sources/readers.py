@@ -93,22 +93,79 @@ def merge_ocr_pages(native: DataFrame, ocr: DataFrame) -> DataFrame:
     return native.join(o, ["doc_id", "page"], "left").select("doc_id", "page", F.when(empty, F.col("ocr_text")).otherwise(F.col("text")).alias("text"), (empty & F.col("ocr_text").isNotNull()).alias("from_ocr"))
 
 
-def grid_records(grids: DataFrame, search: int = 40) -> DataFrame:
-    """Spreadsheet rows (sheet_id, row_no, cells array<string>) as records under the located header.
+def _filled(cells: Column) -> Column:
+    return F.size(F.filter(cells, lambda c: c != ""))
+
+
+def _carry(cells: Column) -> Column:
+    """Blank cells take the one before."""
+    step = lambda acc, c: F.concat(acc, F.array(F.when(c != "", c).otherwise(F.coalesce(F.element_at(F.reverse(acc), 1), F.lit("")))))
+    return F.aggregate(cells, F.array().cast("array<string>"), step)
+
+
+def _joined(parent: Column, child: Column) -> Column:
+    return F.regexp_replace(F.concat(parent, F.lit(" > "), child), "^[ >]+|[ >]+$", "")
 
-    The header is the fullest of the first ``search`` rows with two cells at least (the first of equals); blank header names
-    take the one before, duplicates a number; records are the non-empty rows below, as "name: value | ...".
+
+def grid_headers(grids: DataFrame, search: int = 40) -> DataFrame:
+    """Header of every sheet of rows (sheet_id, row_no from 0, cells array<string>): sheet_id, header_row, data_row, names.
+
+    The header is the fullest of the first ``search`` rows with two cells at least (the first of equals), blanks filled from the left. A row above with two cells
+    gives "parent > child" names. A row below of mostly (60 %) values up to four characters is a sub-header, whose values join too. Of
+    equal names all but the first get a number.
     """
-    filled = F.size(F.filter("cells", lambda c: F.coalesce(F.trim(c), F.lit("")) != ""))
-    rows = grids.withColumn("filled", filled)
-    head = rows.where((F.col("row_no") < search) & (F.col("filled") >= 2)).groupBy("sheet_id").agg(F.max_by(F.struct("row_no", "cells"), F.struct("filled", -F.col("row_no"))).alias("h"))
-    step = lambda acc, c: F.concat(acc, F.array(F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.trim(c)).otherwise(F.coalesce(F.element_at(acc, -1), F.lit("column")))))
-    carried = head.select("sheet_id", F.col("h.row_no").alias("header_row"), F.aggregate(F.col("h.cells"), F.array().cast("array<string>"), step).alias("names"))
-    numbered = F.transform("names", lambda n, i: F.concat(n, F.when(F.size(F.filter(F.slice("names", 1, i), lambda m: m == n)) > 0, F.concat(F.lit("_"), (F.size(F.filter(F.slice("names", 1, i), lambda m: m == n)) + 1).cast("string"))).otherwise("")))
-    carried = carried.withColumn("names", numbered)
-    body = rows.join(carried, "sheet_id").where((F.col("row_no") > F.col("header_row")) & (F.col("filled") > 0))
-    pairs = F.filter(F.zip_with("names", "cells", lambda n, c: F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.concat(n, F.lit(": "), F.trim(c)))), lambda x: x.isNotNull())
-    return body.select("sheet_id", "row_no", F.array_join(pairs, " | ").alias("text_line"))
+    clean = F.transform("cells", lambda c: F.coalesce(F.trim(c), F.lit("")))
+    head = grids.where(F.col("row_no") <= search).select("sheet_id", "row_no", clean.alias("cells")).withColumn("n", _filled(F.col("cells")))
+    of = head.groupBy("sheet_id").agg(F.max_by("row_no", F.when((F.col("row_no") < search) & (F.col("n") >= 2), F.struct("n", -F.col("row_no")))).alias("h"), F.map_from_entries(F.collect_list(F.struct("row_no", "cells"))).alias("rows")).where("h IS NOT NULL")
+    none = F.array().cast("array<string>")
+    at = lambda d: F.coalesce(F.try_element_at("rows", F.col("h") + d), none)
+    wide = of.select("sheet_id", "h", _carry(at(0)).alias("main"), at(-1).alias("above"), at(1).alias("below"))
+    top = F.when(_filled(F.col("above")) >= 2, _carry(F.col("above"))).otherwise(none)
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    wide = wide.withColumn("main", F.when(F.size(top) > 0, F.zip_with(top, "main", lambda t, m: F.when((blank(t) != "") & (blank(t) != blank(m)), _joined(blank(t), blank(m))).otherwise(F.when(blank(m) != "", m).otherwise(blank(t))))).otherwise(F.col("main")))
+    said = F.filter("below", lambda c: c != "")
+    sub = (F.size(said) >= 2) & (F.size(F.filter(said, lambda c: F.length(c) <= 4)) >= 0.6 * F.size(said))
+    wide = wide.withColumns({"sub": sub, "main": F.when(sub, F.slice(F.zip_with("main", "below", lambda m, s: F.when(blank(s) != "", _joined(blank(m), s)).otherwise(blank(m))), F.lit(1), F.size("main"))).otherwise(F.col("main"))})
+    same = lambda n, i: F.size(F.filter(F.slice("main", F.lit(1), i), lambda m: m == n))
+    names = F.transform("main", lambda n, i: F.when((n != "") & (same(n, i) > 0), F.concat(n, F.lit("_"), (same(n, i) + 1).cast("string"))).otherwise(n))
+    return wide.select("sheet_id", F.col("h").alias("header_row"), (F.col("h") + F.when(F.col("sub"), 2).otherwise(1)).alias("data_row"), names.alias("names"))
+
+
+def grid_records(grids: DataFrame, search: int = 40) -> DataFrame:
+    """Non-empty rows below the header (``grid_headers``) as "name: value | ...", null where a cell is empty; columns without name and value in the whole sheet are left out, others without a name are col_n."""
+    rows = grids.select("sheet_id", "row_no", F.transform("cells", lambda c: F.coalesce(F.trim(c), F.lit(""))).alias("cells"))
+    body = rows.join(grid_headers(grids, search), "sheet_id").where((F.col("row_no") >= F.col("data_row")) & (_filled(F.col("cells")) > 0))
+    used = body.select("sheet_id", F.posexplode("cells").alias("c", "v")).where("v <> ''").groupBy("sheet_id").agg(F.collect_set("c").alias("used"))
+    cell = lambda n, i: F.when((n != "") | F.array_contains("used", i), F.concat(F.when(n != "", n).otherwise(F.concat(F.lit("col_"), (i + 1).cast("string"))), F.lit(": "), F.coalesce(F.nullif(F.try_element_at("cells", i + 1), F.lit("")), F.lit("null"))))
+    line = F.array_join(F.filter(F.transform("names", cell), lambda x: x.isNotNull()), " | ")
+    return body.join(used, "sheet_id").select("sheet_id", "row_no", line.alias("text_line"))
+
+
+def sheet_states(grids: DataFrame, search: int = 40) -> DataFrame:
+    """ok, template_only (a header without data rows) or no_table for every sheet, with its data rows."""
+    n = grid_records(grids, search).groupBy("sheet_id").agg(F.count("*").alias("n_rows"))
+    heads = grid_headers(grids, search).select("sheet_id", "header_row")
+    rows = grids.select("sheet_id").distinct().join(heads, "sheet_id", "left").join(n, "sheet_id", "left")
+    return rows.select("sheet_id", "header_row", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.when(F.col("header_row").isNull(), "no_table").when(F.col("n_rows").isNull(), "template_only").otherwise("ok").alias("status"))
+
+
+def staging_pages(pages: DataFrame) -> DataFrame:
+    """Recognised pages with their number as such; order by it where order matters."""
+    return pages.withColumn("page", F.col("page").cast("int"))
+
+
+def retrieve(points: DataFrame, ids: DataFrame, key: str = "point_id") -> DataFrame:
+    """The points of the given ids."""
+    return points.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def extract_formats(files: DataFrame, parsers: dict[str, Callable[[str, bytes], list[dict]]]) -> DataFrame:
+    """Blocks of binary files by the parser of their extension, united; files without one give none."""
+    out = None
+    for extension, parse in parsers.items():
+        one = extract_with(files.where(F.lower("path").endswith(extension)), parse)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def log_progress(lines: DataFrame, pattern: str, fields: list[str]) -> DataFrame:

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="doclattice-")
+    """A new folder under spark.checkpoint.dir. Only a local session (tests) may leave that unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="doclattice-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -27,3 +31,20 @@ def overwrite_keys(df: DataFrame, path: str, by: list[str]) -> None:
 
 def append_log(df: DataFrame, path: str) -> None:
     df.withColumn("logged_at", F.current_timestamp()).write.mode("append").json(path)
+
+
+def write_artifacts(blocks: DataFrame, path: str) -> None:
+    """Extracted blocks as JSON, a folder for each document; a document's files are replaced as a whole."""
+    blocks.repartition("doc_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").json(path)
+
+
+def staging_to_extract(pages: DataFrame) -> DataFrame:
+    """Recognised pages (doc_id, page as text, text_normalized, text_raw, confidence) as extracted blocks: normalised text first, pages in order of number."""
+    text = F.coalesce(F.nullif("text_normalized", F.lit("")), F.nullif("text_raw", F.lit("")), F.lit(""))
+    return pages.select("doc_id", F.col("page").cast("int").alias("page"), text.alias("text"), "confidence", (text == "").alias("needs_ocr"))
+
+
+def write_manifest(files: DataFrame, path: str) -> DataFrame:
+    """Write the files of a manifest as JSON lines and return its counters: total, included, by state of extension."""
+    files.write.mode("overwrite").json(path)
+    return files.agg(F.count("*").alias("total"), F.count_if(F.coalesce("included", F.lit(True))).alias("included"), F.count_if(F.col("state") == "ready").alias("ready"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doclattice.functions import text as T
-from doclattice.operators import chunking, dml, identity, insight, motor, quality, reports, retrieval
+from doclattice.operators import answers, assets, chunking, dml, identity, insight, limits, motor, ocr, quality, reports, retrieval
 from doclattice.sources import readers, sinks
 from doclattice.streaming import streams
 
@@ -30,7 +30,7 @@ def test_titles_and_tags(spark):
 
 
 def test_longest_run_counts_neighbours(spark):
-    df = spark.createDataFrame([(["a", "b", "c", "d"], ["b", "c", "x"])], "q array<string>, t array<string>")
+    df = spark.createDataFrame([(["aa", "bb", "cc", "dd"], "the bbs and cc")], "q array<string>, t string")
     assert one(df.select(T.longest_run(F.col("q"), F.col("t")).alias("n")))["n"] == 2
 
 
@@ -99,8 +99,8 @@ def test_upserts_patch_and_sessions(spark):
 
 def test_limits_and_facts(spark):
     readings = spark.createDataFrame([(1, "TE-401A", "°C", 98.0, 80.0), (2, "FT-405", "L/min", 50.0, 100.0), (3, "XX-1", "bar", 1.0, None)], "reading_id int, tag string, unit string, value double, nominal double")
-    limits = spark.createDataFrame([(1, "max_temp", 95.0, "°C", "TE-401A"), (2, "generic_limit", 90.0, "°C", None), (3, "nominal_flow", 100.0, "L/min", None)], "limit_id int, kind string, limit_value double, limit_unit string, limit_tag string")
-    rows = motor.match_limits(readings, limits).withColumn("over", motor.exceeded(F.col("kind"), F.col("value"), F.col("limit_value"), F.col("nominal"))).collect()
+    documented = spark.createDataFrame([(1, "max_temp", 95.0, "°C", "TE-401A"), (2, "generic_limit", 90.0, "°C", None), (3, "nominal_flow", 100.0, "L/min", None)], "limit_id int, kind string, limit_value double, limit_unit string, limit_tag string")
+    rows = limits.match_limits(readings, documented).withColumn("over", motor.exceeded(F.col("kind"), F.col("value"), F.col("limit_value"), F.col("nominal"))).collect()
     got = {r["reading_id"]: (r["limit_id"], r["over"]) for r in rows}
     assert got == {1: (1, True), 2: (3, True), 3: (None, None)}
 
@@ -115,8 +115,8 @@ def test_rules(spark):
 def test_conflicts(spark):
     rows = spark.createDataFrame([("k", 1, "temperatura 12 c y 85 °C RPN: 120"), ("k", 2, "RPN 240 límite de alarma 95 °C")], "document_key string, doc_id int, text string")
     values = {(r["metric"], r["value"]) for r in insight.metrics(rows).collect()}
-    assert {("temperature", 12.0), ("temperature", 85.0), ("rpn", 120.0), ("rpn", 240.0), ("limit", 95.0)} <= values
-    assert {r["metric"] for r in insight.numeric_conflicts(insight.metrics(rows)).collect()} == {"temperature", "rpn"}
+    assert {("temp_c", 12.0), ("temp_c", 85.0), ("rpn", 120.0), ("rpn", 240.0), ("limit_c", 95.0)} <= values
+    assert {r["metric"] for r in insight.numeric_conflicts(insight.metrics(rows)).collect()} == {"temp_c", "rpn"}
     v = spark.createDataFrame([("k", "Rev 5"), ("k", "Rev 6"), ("j", "Rev 1")], "document_key string, version_label string")
     assert [r["versions"] for r in insight.version_conflicts(v).collect()] == ["Rev 5, Rev 6"]
 
@@ -138,10 +138,90 @@ def test_ocr_and_drawings(spark):
 
 
 def test_grid_header(spark):
-    rows = [(1, 0, ["Reporte", None, None]), (1, 1, ["Tag", "Valor", None]), (1, 2, ["P-1", "3", "x"]), (1, 3, [None, "", None])]
+    rows = [(1, 0, ["Reporte", None, None]), (1, 1, ["Tag", "Valor", None]), (1, 2, ["PUMP-100", "33333", None]), (1, 3, [None, "", None]), (1, 4, ["PUMP-200", "", "extra"])]
+    rows += [(2, 0, ["Grupo A", None, "Grupo B", None]), (2, 1, ["Tag", "Valor", "Tag", "Otro"]), (2, 2, ["S", "O", "D", ""]), (2, 3, ["largo uno", "v", "largo dos", ""])]
+    rows += [(3, 0, ["x", None])]
     df = spark.createDataFrame(rows, "sheet_id int, row_no int, cells array<string>")
-    got = readers.grid_records(df.where("row_no < 2 OR row_no = 3").unionByName(df.where("row_no = 2").withColumn("cells", F.array(F.lit("P-1"), F.lit("3"), F.lit(None))))).collect()
-    assert [r["text_line"] for r in got] == ["Tag: P-1 | Valor: 3"]
+    got = {(r["sheet_id"], r["row_no"]): r["text_line"] for r in readers.grid_records(df).collect()}
+    assert got[1, 2] == "Tag: PUMP-100 | Valor: 33333 | Valor_2: null" and got[1, 4] == "Tag: PUMP-200 | Valor: null | Valor_2: extra"
+    assert got[2, 3] == "Grupo A > Tag > S: largo uno | Grupo A > Valor > O: v | Grupo B > Tag > D: largo dos | Grupo B > Otro: null" and len(got) == 3
+    assert {r["sheet_id"]: r["status"] for r in readers.sheet_states(df).collect()} == {1: "ok", 2: "ok", 3: "no_table"}
+
+
+def test_limits_in_texts():
+    text = "Bomba P-101: límite de alarma 85,5 °C. Vibración máxima 7.1 mm/s; caudal nominal 120 L/min. Presión umbral 6 bar"
+    found = {(kind, value, unit, tag) for _, kind, value, unit, tag, _ in limits.limits_in(text)}
+    assert {("max_temp", 85.5, "°C", "P-101"), ("generic_limit", 85.5, "°C", "P-101"), ("max_vibration", 7.1, "mm/s", "P-101"), ("nominal_flow", 120.0, "L/min", "P-101"), ("generic_limit", 6.0, "bar", "P-101")} <= found
+    assert limits.limits_in(None) == [] and len(limits.limits_in("límite 90 °C, límite 90 °C")) == 2
+
+
+def test_limits_fit_units_either_way(spark):
+    readings = spark.createDataFrame([(1, "A-1", "C"), (2, "A-1", ""), (3, "B-1", "kPa"), (4, "B-1", "mm / s")], "reading_id int, tag string, unit string")
+    documented = spark.createDataFrame([(1, "max_temp", 9.0, "°C", None), (2, "generic_limit", 9.0, "", None), (3, "max_vibration", 9.0, "mm/s", None), (4, "max_temp", 9.0, "°C", "A-2")], "limit_id int, kind string, limit_value double, limit_unit string, limit_tag string")
+    got = {r["reading_id"]: (r["limit_id"], r["match_score"]) for r in limits.match_limits(readings, documented).collect()}
+    assert got == {1: (1, 2), 2: (1, 0), 3: (2, 0), 4: (3, 1)}
+
+
+def test_diagnosis_cases(spark):
+    readings = spark.createDataFrame([(1, 1, "TE-401", "Temp", "°C", 98.0, None), (2, 2, "FT-405", "Flow", "L/min", 50.0, 100.0)], "case_id int, reading_id int, tag string, description string, unit string, value double, nominal double")
+    hits = spark.createDataFrame([(1, 10, "TE-401 límite 95 °C"), (3, 11, "no figure")], "case_id int, hit_id int, text string")
+    sources = spark.createDataFrame([(10, 1, "Manual, p. 3", "d1")], "hit_id int, citation_index int, citation string, document_id string")
+    got = {r["case_id"]: (r["n_facts"], r["n_exceeded"], r["n_documented"], r["label"]) for r in limits.analyze(readings, hits, sources).collect()}
+    assert got == {1: (1, 1, 1, "alta"), 2: (1, 1, 0, "media"), 3: (0, 0, 0, "baja")}
+
+
+def test_chunkers(spark):
+    assert chunking.cut_points([10] * 10, [False] * 10, [False] * 10, 35, 0.3) == [(0, 3), (2, 5), (4, 7), (6, 9), (8, 10)]
+    assert chunking.cut_points([10] * 4, [False, False, True, False], [False] * 4, 40) == [(0, 2), (2, 4)] and chunking.cut_points([], [], [], 5) == []
+    long = "h1\nh2\nh3\nh4\nh5\n" + "\n\n".join(f"word{i} " * 300 for i in range(8))
+    rows = [(1, 0, long, "s", False), (1, 1, "tiny", "s", False), (1, 2, "  ", "s", False), (2, 0, "peligro " * 100, None, True)]
+    got = chunking.document_block_chunks(spark.createDataFrame(rows, "doc_id long, block_no int, text string, section string, whole boolean")).orderBy("doc_id", "chunk_index").collect()
+    mine = [r for r in got if r["doc_id"] == 1]
+    assert len(mine) == 3 and all(r["content"].startswith("h1\nh2") for r in mine) and mine[-1]["content"].endswith("tiny") and all(r["tokens"] <= 1000 for r in mine)
+    assert [r["safety"] for r in got if r["doc_id"] == 2] == [True]
+    many = spark.createDataFrame([(1, i, "w " * 50, "s", True) for i in range(400)], "doc_id long, block_no int, text string, section string, whole boolean")
+    assert max(r["tokens"] for r in chunking.block_chunks(many, 4, 60, 500).collect()) <= chunking.MOST
+    sheets = spark.createDataFrame([(1, s, i, "cell " * 50) for s in ("a", "b") for i in range(10)], "doc_id long, sheet string, row_no int, text_line string")
+    assert [(r["section"], r["tokens"]) for r in chunking.chunk_any(".xlsx", sheets).orderBy("chunk_index").collect()] == [("a", 350), ("a", 150), ("b", 350), ("b", 150)]
+    slides = spark.createDataFrame([(1, 1, "T", "S", "n", ["a", "b"]), (1, 2, "U", "S", None, ["x " * 300, "y " * 300])], "doc_id long, slide int, title string, section string, notes string, elements array<string>")
+    texts = [r["text"] for r in chunking.slide_context(slides).orderBy("block_no").collect()]
+    assert texts[0] == "S | Slide 1: T\na\nb\nNotas: n" and len(texts) == 3
+    blocks = spark.createDataFrame([(1, 0, "paragraph", "A", "One two. " * 300), (1, 1, "table", "A", "x")], "doc_id long, block_no int, kind string, section string, text string")
+    assert chunking.block_context(blocks).count() == 301
+
+
+def test_recognised_text(spark):
+    blocks = spark.createDataFrame([(1, 1, 0, "see PMP-2040 and ifc_12 IFC 1234 on 12/03/2021 at 3,5 bar", "IFC1234", 0.8), (1, 1, 1, "PMP-2040 99 rpm", "", None)], "doc_id int, page int, block int, text string, document_key string, confidence double")
+    catalog = spark.createDataFrame([("pmp-2040", True), ("OLD-11", False)], "tag string, current boolean")
+    assert {(r["block"], r["value"], r["status"]) for r in ocr.tag_findings(blocks, catalog).collect()} == {(0, "PMP-2040", "review"), (1, "PMP-2040", "pass")}
+    assert {(r["block"], r["rule"], r["value"], r["status"]) for r in ocr.field_findings(blocks).collect()} == {(0, "date_field", "12/03/2021", "review"), (0, "unit_field", "3,5 bar", "review"), (1, "unit_field", "99 rpm", "pass")}
+
+
+def test_asset_tables(spark):
+    m = spark.createDataFrame([(1, "C:/A/x.pdf", "x", "native_pdf", None), (2, "C:/A/y.docx", "y", "structured_docx", None), (3, "C:/A/z.docx", "z", "structured_docx", None)], "file_id int, path string, slug string, stage string, included boolean")
+    x = spark.createDataFrame([("c:\\a\\Y.docx", None, "reject", "pass"), (None, "z", "review", None)], "path string, slug string, quality string, quality_override string")
+    assert {r["file_id"] for r in assets.indexable(assets.with_extract(m, x)).collect()} == {1, 2}
+    old = spark.createDataFrame([("a", "ok", 1), ("b", "ok", 2)], "name string, state string, seq int")
+    new = spark.createDataFrame([("b", "error", 0)], "name string, state string, seq int")
+    assert {r["name"]: r["state"] for r in assets.later_wins(old, new, "name").collect()} == {"a": "ok", "b": "error"}
+    assert {r["name"]: r["state"] for r in assets.reconcile(old, new).collect()} == {"a": "ok", "b": "error"}
+
+
+def test_answers(spark):
+    queries = spark.createDataFrame([(1, "q"), (2, "none")], "q_id int, q_text string")
+    hits = spark.createDataFrame([(1, 10, 0.9, "text one", "", "T"), (1, 11, 0.5, "text two", "cited", "U")], "q_id int, hit_id long, score double, content string, citation string, title string")
+    got = {r["q_id"]: r for r in answers.ask(queries, hits).collect()}
+    assert got[1]["cited"] == [1, 2] and got[2]["answer"] == answers.NO_EVIDENCE and got[2]["cited"] == []
+    told = answers.ask(queries, hits, lambda q, e: e.map(lambda t: "see [2] and [9]"))
+    refs = answers.references(told, hits)
+    assert [(r["nth"], r["hit_id"]) for r in refs.collect()] == [(2, 11)]
+    assert '"index":2' in one(answers.payload(told, refs).where("q_id = 1"))["payload"]
+
+
+def test_rerank_boosts(spark):
+    df = spark.createDataFrame([("mantenimiento bomba TE-401 aceite", "Mantenimiento de bombas, aceite", "TE-401 text", ["te-401"])], "q string, title string, content string, codes array<string>")
+    r = one(df.select(retrieval.title_boost(T.tokenize(F.col("q")), F.col("title")).alias("t"), retrieval.tag_boost(F.col("q"), F.col("title"), F.col("content"), F.lit(""), F.col("codes")).alias("g")))
+    assert r["t"] == 0.1 and round(r["g"], 6) == 0.4
 
 
 def test_sources_and_sinks(spark, tmp_path):
