@@ -26,7 +26,8 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, term, tf, dl of (doc_id, text), for the given terms (term) alone: they are matched before anything is counted."""
-    words = docs.select("doc_id", token_count(F.col("text")).alias("dl"), F.explode(token_rows(F.col("text"))).alias("term")).where(is_token(F.col("term")))
+    counted = docs.select("doc_id", token_count(F.col("text")).alias("dl"), token_rows(F.col("text")).alias("t"))  # before the explode, or dl is counted for each word
+    words = counted.select("doc_id", "dl", F.explode("t").alias("term")).where(is_token(F.col("term")))
     return words.join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
