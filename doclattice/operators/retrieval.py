@@ -165,8 +165,9 @@ def title_boost(query: Column, title: Column) -> Column:
 
 def rerank_score(base: Column, query: Column, text: Column, title: Column, tags: Column) -> Column:
     """0.35 base + 0.45 overlap + tag boost (0.8 at most) + title boost; query is the token array."""
-    words = tokenize(text)
-    overlap = F.size(F.filter(query, lambda t: F.array_contains(words, t))) / F.greatest(F.size(query), F.lit(1))
+    # the text's tokens are bound by a transform of one element, so that they are made once and not for each query token
+    matched = F.transform(F.array(tokenize(text)), lambda words: F.size(F.filter(query, lambda t: F.array_contains(words, t))))
+    overlap = F.element_at(matched, 1) / F.greatest(F.size(query), F.lit(1))
     return 0.35 * base + 0.45 * overlap + F.least(tags, F.lit(0.8)) + title_boost(query, title)
 
 
