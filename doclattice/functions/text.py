@@ -119,6 +119,11 @@ def slug(name: Column, size: int = 60) -> Column:
     return F.substring(F.replace(F.regexp_replace(name, r"\.[A-Za-z0-9]{1,5}$", ""), F.lit(" "), F.lit("_")), 1, size)
 
 
+def extract_slug(name: Column, size: int = 60) -> Column:
+    """The slug under which extractions are kept: without full stops, underscores and blanks at its end."""
+    return F.regexp_replace(slug(name, size), r"[._ ]+$", "")
+
+
 def concept_slug(text: Column, size: int = 48) -> Column:
     return F.substring(F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9áéíóúüñ \-]", "")), r"\s+", "-"), 1, size)
 
@@ -127,15 +132,20 @@ def decimal_comma(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
 
 
-def cited_indices(answer: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), 1), lambda x: x.cast("int")))
+def cited_indices(answer: Column, n: Column | None = None) -> Column:
+    """Distinct numbers cited as [n], in order; those beyond n hits are dropped where n is given."""
+    every = F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), 1), lambda x: x.cast("int")))
+    return every if n is None else F.filter(every, lambda i: (i >= 1) & (i <= n))
 
 
-def citation(title: Column, version: Column, page_start: Column, page_end: Column, section: Column, index: Column) -> Column:
-    """Title (version), then pages, else section, else fragment number."""
-    head = F.concat(title, F.when(F.nullif(version, F.lit("")).isNotNull(), F.concat(F.lit(" ("), version, F.lit(")"))).otherwise(""))
-    pages = F.when(F.coalesce(page_start, F.lit(0)) > 0, F.when(F.coalesce(page_end, page_start) > page_start, F.concat(F.lit("p. "), page_start.cast("string"), F.lit("-"), page_end.cast("string"))).otherwise(F.concat(F.lit("p. "), page_start.cast("string"))))
-    return F.concat(head, F.lit(", "), F.coalesce(pages, F.nullif(section, F.lit("")), F.concat(F.lit("fragment "), (index + 1).cast("string"))))
+def citation(title: Column, version: Column, page_start: Column, page_end: Column, section: Column, index: Column, kind: Column | None = None) -> Column:
+    """Title (version), then pages, else section (sheet and row of a table), else fragment number."""
+    blank = lambda c: F.nullif(c, F.lit(""))
+    head = F.concat(F.coalesce(blank(title), F.lit("Documento")), F.coalesce(F.concat(F.lit(" ("), blank(version), F.lit(")")), F.lit("")))
+    several = (F.coalesce(page_end, F.lit(0)) != 0) & (page_end != page_start)
+    pages = F.when(several, F.concat(F.lit(" — págs. "), page_start.cast("string"), F.lit("–"), page_end.cast("string"))).otherwise(F.concat(F.lit(" — pág. "), page_start.cast("string")))
+    place = F.concat(F.when((F.lit("") if kind is None else kind) == "tabla", " — hoja/fila: ").otherwise(" — "), blank(section))
+    return F.concat(head, F.coalesce(pages, place, F.concat(F.lit(" — fragmento #"), (index + 1).cast("string")), F.lit("")))
 
 
 def uuid5_url(name: Column) -> Column:
@@ -196,6 +206,12 @@ def suggest_kind(name: Column, extension: Column) -> Column:
     )
 
 
+def picked_kind(name: Column, extension: Column) -> Column:
+    """The document type as the corpus picker guesses it: without the rules for word files, drawings and codes."""
+    plain = suggest_kind(name, F.when(extension == ".docx", ".other").otherwise(extension))
+    return F.when(plain == "plano", F.when(extension == ".pdf", "manual_oem").otherwise("otro")).otherwise(plain)
+
+
 def is_relevant(kind: Column, title: Column, content: Column, want_kind: Column, titles: Column, contents: Column, keywords: Column) -> Column:
     """Whether a hit answers a golden case: type, any title (in the title, else anywhere), any content, then keywords decide; false without criteria."""
     every = F.lower(F.concat_ws(" ", title, content))

@@ -71,7 +71,7 @@ def ask(queries: DataFrame, hits: DataFrame, answer: Callable[[pd.Series, pd.Ser
     told = F.pandas_udf(said, "string")
     rows = rows.withColumn("answer", F.when(F.col("evidence").isNull(), NO_EVIDENCE).otherwise(told("q_text", F.coalesce("evidence", F.lit("")))))
     n = F.coalesce("n_evidence", F.lit(0))
-    return rows.select("q_id", "answer", F.filter(cited_indices(F.col("answer")), lambda i: (i >= 1) & (i <= n)).alias("cited"), n.alias("n_evidence"))
+    return rows.select("q_id", "answer", cited_indices(F.col("answer"), n).alias("cited"), n.alias("n_evidence"))
 
 
 def references(answers: DataFrame, hits: DataFrame, limit: int = 6) -> DataFrame:

@@ -99,12 +99,13 @@ def point_ids(spark, d):
     return table(spark, d, "part").select("p_partkey", T.uuid5_url(F.concat(F.lit("d"), F.col("p_partkey").cast("string"), F.lit(":0"))).alias("point_id"))
 
 
-@query("""SELECT p_partkey, p_brand || ' (Rev ' || (p_size % 5) || '), ' || CASE WHEN p_size % 3 = 0 THEN 'p. ' || (p_size + 1) || '-' || (p_size + 3) WHEN p_size % 3 = 1 THEN 'p. ' || (p_size + 1) ELSE p_type END AS citation FROM part""")
+@query("""SELECT p_partkey, p_brand || ' (Rev ' || (p_size % 5) || ')' || CASE WHEN p_size % 3 = 0 THEN ' — págs. ' || (p_size + 1) || '–' || (p_size + 3) WHEN p_size % 3 = 1 THEN ' — pág. ' || (p_size + 1) WHEN p_size % 2 = 0 THEN ' — hoja/fila: ' || p_type WHEN p_size % 5 = 0 THEN ' — fragmento #' || (p_partkey + 1) ELSE ' — ' || p_type END AS citation FROM part""")
 def citations(spark, d):
     n = F.col("p_size")
-    start = F.when(n % 3 < 2, n + 1)
-    end = F.when(n % 3 == 0, n + 3)
-    return table(spark, d, "part").select("p_partkey", T.citation(F.col("p_brand"), F.concat(F.lit("Rev "), (n % 5).cast("string")), start, end, F.col("p_type"), F.lit(0)).alias("citation"))
+    start, end = F.when(n % 3 < 2, n + 1), F.when(n % 3 == 0, n + 3)
+    section = F.when((n % 2 == 1) & (n % 5 == 0), "").otherwise(F.col("p_type"))
+    kind = F.when(n % 2 == 0, "tabla").otherwise("guia")
+    return table(spark, d, "part").select("p_partkey", T.citation(F.col("p_brand"), F.concat(F.lit("Rev "), (n % 5).cast("string")), start, end, section, F.col("p_partkey"), kind).alias("citation"))
 
 
 @query("""SELECT c_custkey, k AS logical_key, CASE WHEN c_custkey % 4 = 0 THEN 'high' WHEN length(k) - length(replace(k, '|', '')) >= 3 OR c_custkey % 4 = 1 THEN 'medium' ELSE 'low' END AS confidence

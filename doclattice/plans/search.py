@@ -120,7 +120,7 @@ def rerank_score(spark, d):
     return reranked(spark, d).select("q_id", "doc_id", "final")
 
 
-@query(f"WITH {RERANK} SELECT q_id, pos AS rank, r.doc_id, final AS score, 'doc ' || r.doc_id || ', ' || source AS citation FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY final DESC, doc_id) AS pos FROM rr) r JOIN documents USING (doc_id) WHERE pos <= 5")
+@query(f"WITH {RERANK} SELECT q_id, pos AS rank, r.doc_id, final AS score, 'doc ' || r.doc_id || ' — ' || source AS citation FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY final DESC, doc_id) AS pos FROM rr) r JOIN documents USING (doc_id) WHERE pos <= 5")
 def hybrid_search(spark, d):
     best = retrieval.top(reranked(spark, d).drop("rank"), ["q_id"], [F.desc("final"), F.asc("doc_id")], 5)
     title = F.concat(F.lit("doc "), F.col("doc_id").cast("string"))

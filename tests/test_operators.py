@@ -29,6 +29,13 @@ def test_titles_and_tags(spark):
     assert r["k"] == "guia bomba" and r["g"] == "PMP-2040A" and r["s"].startswith("Guia_bomba_Rev") and r["c"] == "fuga-de-aceite"
 
 
+def test_names_and_citations(spark):
+    df = spark.createDataFrame([("Guia final ._.pdf", "see [3] [1] [9] [3]")], "n string, a string")
+    none = F.lit(None).cast("int")
+    r = one(df.select(T.slug(F.col("n")).alias("s"), T.extract_slug(F.col("n")).alias("e"), T.cited_indices(F.col("a"), F.lit(3)).alias("c"), T.picked_kind(F.lit("plano 1"), F.lit(".pdf")).alias("k"), T.citation(F.lit("T"), F.lit("v1"), none, none, F.lit("S"), F.lit(0), F.lit("tabla")).alias("t")))
+    assert (r["s"], r["e"], r["c"], r["k"], r["t"]) == ("Guia_final_._", "Guia_final", [3, 1], "manual_oem", "T (v1) — hoja/fila: S")
+
+
 def test_longest_run_counts_neighbours(spark):
     df = spark.createDataFrame([(["aa", "bb", "cc", "dd"], "the bbs and cc")], "q array<string>, t string")
     assert one(df.select(T.longest_run(F.col("q"), F.col("t")).alias("n")))["n"] == 2
