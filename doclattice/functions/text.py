@@ -65,9 +65,10 @@ def asset_tags(text: Column) -> Column:
 
 
 def exact_tags(text: Column) -> Column:
-    """Equipment tags, document codes and acronyms, upper-cased, distinct, in that order."""
+    """Equipment tags, document codes and acronyms in that order; of tags that differ in case only the first stays, as it is spelled."""
     every = F.concat(*[F.regexp_extract_all(text, F.lit(f"({p})"), 1) for p in (QUERY_TAG, DOC_CODE, ACRONYM)])
-    return F.array_distinct(F.transform(every, F.upper))
+    kept = F.transform(F.array(every), lambda tags: F.filter(tags, lambda t, i: F.array_position(F.transform(tags, F.upper), F.upper(t)) == i + 1))
+    return F.element_at(kept, 1)
 
 
 def is_safety(text: Column) -> Column:
@@ -101,6 +102,49 @@ def longest_tag(name: Column) -> Column:
     return F.element_at(F.array_sort(F.transform(found, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t")))), 1)["t"]
 
 
+# Forms of document codes, guide numbers and asset tags in names, module and vendor words, folders that name no module.
+NAME_CODE = r"(?i)\b([A-Z]{2,5}-\d{2}[A-Z0-9]{0,4}-[A-Z0-9-]{4,}|SGP-\d+MYC-[A-Z]+-\d+|NCC-\d+|IFC-\d+)\b"
+GUIDE_NUMBER = r"(?i)\b(GUIGS|GUIG|PROGS|SOP)[-_ ]?(\d+)\b"
+NAME_ASSET = r"\b([A-Z]{1,4}[-_ ]?\d{1,3}[-_ ]?[A-Z]{0,3}[-_ ]?\d{0,3})\b"
+MODULES = ("DCH", "MYC", "ENF", "MRI", "MSO", "SPCI", "DRT", "GPRO", "MC", "MC", "ELECTRICO", "MECANICO")
+VENDORS = ("siemens", "schneider", "abb", "honeywell", "emerson", "rockwell", "ge", "metso", "flsmidth")
+NO_MODULE = ("entregables", "anexos", "check list", "guia", "norma")
+
+
+def _first_filled(*found: Column) -> Column:
+    return F.coalesce(*[F.nullif(f, F.lit("")) for f in found], F.lit(""))
+
+
+def document_code(name: Column, path: Column) -> Column:
+    """The document code of a file's name, else of its relative path, upper-cased."""
+    return F.upper(_first_filled(*[F.regexp_extract(F.coalesce(c, F.lit("")), NAME_CODE, 1) for c in (name, path)]))
+
+
+def guide_number(name: Column, path: Column) -> Column:
+    of = lambda c: F.when(F.coalesce(c, F.lit("")).rlike(GUIDE_NUMBER), F.concat(F.upper(F.regexp_extract(c, GUIDE_NUMBER, 1)), F.lit("-"), F.regexp_extract(c, GUIDE_NUMBER, 2)))
+    return F.coalesce(of(name), of(path), F.lit(""))
+
+
+def module_of(name: Column, path: Column) -> Column:
+    """The first module word in path and name (ampersands apart), else the first telling folder, 40 characters at most."""
+    every = F.replace(F.upper(F.concat_ws(" ", path, name)), F.lit("&"), F.lit(""))
+    known = F.coalesce(*[F.when(F.contains(every, F.lit(m)), m) for m in MODULES])
+    folders = F.filter(F.transform(F.split(F.coalesce(path, F.lit("")), r"[\\/]"), key_part), lambda p: (F.length(p) >= 3) & ~p.isin(*NO_MODULE))
+    return F.coalesce(known, F.substring(F.try_element_at(folders, F.lit(1)), 1, 40), F.lit(""))
+
+
+def asset_of(name: Column, path: Column) -> Column:
+    """The longest tag-like part of path and name, four characters at least and no revision; the first of equals."""
+    found = F.transform(F.regexp_extract_all(F.upper(F.concat_ws(" ", path, name)), F.lit(NAME_ASSET), 1), lambda t: F.translate(t, " _", "--"))
+    fit = F.filter(found, lambda t: (F.length(t) >= 4) & ~t.startswith("REV"))
+    return F.coalesce(F.try_element_at(F.array_sort(F.transform(fit, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t")))), F.lit(1))["t"], F.lit(""))
+
+
+def vendor_of(name: Column, path: Column) -> Column:
+    every = F.lower(F.concat_ws(" ", path, name))
+    return F.coalesce(*[F.when(F.contains(every, F.lit(v)), v) for v in VENDORS], F.lit(""))
+
+
 def logical_key(tenant: Column, origin: Column, code: Column, asset: Column, kind: Column, module: Column, title: Column, hint: Column) -> Column:
     """Hint, else the full form if there is a code, else asset and module form, else title form."""
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))

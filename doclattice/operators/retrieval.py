@@ -150,7 +150,7 @@ def dedup_sections(hits: DataFrame) -> DataFrame:
 def tag_boost(query_text: Column, title: Column, content: Column, citation: Column, codes: Column) -> Column:
     """0.18 for every exact tag of the query in title, content or citation, 0.22 for every asset code of the hit in the query."""
     haystack = F.upper(F.concat_ws(" ", title, content, citation))
-    tags = F.size(F.filter(exact_tags(query_text), lambda t: F.contains(haystack, t)))
+    tags = F.size(F.filter(exact_tags(query_text), lambda t: F.contains(haystack, F.upper(t))))
     named = F.size(F.filter(F.coalesce(codes, F.array().cast("array<string>")), lambda c: (c != "") & F.contains(F.upper(query_text), F.upper(c))))
     return 0.18 * tags + 0.22 * named
 

@@ -531,3 +531,11 @@ def ocr_sync(spark, d):
 def point_lookup(spark, d):
     ids = table(spark, d, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("o_orderkey"))
     return readers.retrieve(table(spark, d, "orders"), ids, "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@query("""SELECT p_partkey, 'NCC-' || p_size AS code, CASE WHEN p_size % 2 = 0 THEN 'GUIGS-' || p_partkey ELSE '' END AS guide, CASE WHEN p_size % 3 = 0 THEN 'MYC' ELSE 'zona ' || lower(p_type) END AS module, CASE WHEN p_size % 5 = 0 THEN 'siemens' WHEN contains(lower(p_type), 'ge') THEN 'ge' ELSE '' END AS vendor FROM part""")
+def name_parts(spark, d):
+    n = F.col("p_size")
+    name = F.concat(F.lit("ncc-"), n.cast("string"), F.when(n % 2 == 0, F.concat(F.lit(" guigs_"), text_("p_partkey"))).otherwise(""), F.when(n % 3 == 0, " m&yc").otherwise(""), F.when(n % 5 == 0, " Siemens").otherwise(""), F.lit(" x.pdf"))
+    path = F.concat(F.lit("Anexos/Zona "), "p_type", F.lit("/b"))
+    return table(spark, d, "part").select("p_partkey", T.document_code(name, path).alias("code"), T.guide_number(name, path).alias("guide"), T.module_of(name, path).alias("module"), T.vendor_of(name, path).alias("vendor"))

@@ -36,6 +36,12 @@ def test_names_and_citations(spark):
     assert (r["s"], r["e"], r["c"], r["k"], r["t"]) == ("Guia_final_._", "Guia_final", [3, 1], "manual_oem", "T (v1) — hoja/fila: S")
 
 
+def test_parts_of_names(spark):
+    df = spark.createDataFrame([("guigs 12 PMP-20A-01 P-7 Rev-3 Guigs.pdf", "Entregables\\Planta Norte")], "n string, p string")
+    r = one(df.select(T.asset_of(F.col("n"), F.col("p")).alias("a"), T.guide_number(F.col("n"), F.col("p")).alias("g"), T.module_of(F.col("n"), F.col("p")).alias("m"), T.document_code(F.lit("x"), F.lit("sgp-12myc-ab-3")).alias("c"), T.exact_tags(F.col("n")).alias("x")))
+    assert (r["a"], r["g"], r["m"], r["c"]) == ("PMP-20A-01", "GUIGS-12", "planta norte", "SGP-12MYC-AB-3") and r["x"] == ["PMP-20A", "guigs"]
+
+
 def test_longest_run_counts_neighbours(spark):
     df = spark.createDataFrame([(["aa", "bb", "cc", "dd"], "the bbs and cc")], "q array<string>, t string")
     assert one(df.select(T.longest_run(F.col("q"), F.col("t")).alias("n")))["n"] == 2
