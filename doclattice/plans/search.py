@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import insight, limits, motor, reports, retrieval
 from ..streaming import streams
-from .corpus import STOP, TOKENS, part_texts, table, PART_TEXT
+from .corpus import TOKENS, part_texts, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
