@@ -329,6 +329,7 @@ def test_quality_keeps_clean_documents_held_out(spark):
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i, _ in [*clean, *bad] if i < 120], "doc_id long, quality int")
     kept = {r["doc_id"] for r in quality.quality_sample(docs, labels).collect()}
     assert len(kept & {i for i, _ in clean}) >= 98 and len(kept & {i for i, _ in bad}) <= 1
+    assert {r["doc_id"] for r in quality.quality_sample(docs, labels, label_block=7).collect()} == kept
     assert quality.quality_sample(docs, labels.limit(0)).count() == docs.count()
     assert quality.quality_sample(docs.limit(0), labels).count() == 0
 
