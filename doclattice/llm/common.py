@@ -114,9 +114,9 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and each document's first word (n + 1)."""
-    inside = ~_SPACE[buf]
+def word_spans(buf: np.ndarray, offs: np.ndarray, spaces: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and each document's first word (n + 1). ``spaces`` marks the bytes between words."""
+    inside = ~spaces[buf]
     n = len(buf)
     edge = np.zeros(n + 1, bool)
     edge[offs] = True

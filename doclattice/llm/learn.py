@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART = 1 << 16
+PART = 1 << 13
+WIDE = 32
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 50) -> np.ndarray:
@@ -52,27 +52,23 @@ def bounded_labels(labels: DataFrame, column: str, most: int) -> DataFrame:
 
 
 def gather_counts(rows: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray], None], shape: tuple[int, ...]) -> np.ndarray:
-    """Sum of per-task count arrays. count(batch, array) adds a batch; tasks send compressed pieces, which are added by piece."""
+    """Sum of per-task count arrays. count(batch, array) adds a batch; tasks send rows of ``WIDE`` cells, whose sums are
+    combined row by row, so no task holds more than its own array however many tasks there are. ``shape`` bounds the result."""
     total = int(np.prod(shape))
+    cells = [f"c{i}" for i in range(WIDE)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(shape, np.int64)
         for batch in batches:
             count(batch, own)
-        flat, z = own.ravel(), zstandard.ZstdCompressor(level=1)
-        for at in range(0, total, PART):
-            piece = flat[at : at + PART]
-            if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // PART], pa.int32()), pa.array([z.compress(piece.tobytes())], pa.binary())], ["piece", "data"])
-
-    def add(table: pa.Table) -> pa.Table:
-        z = zstandard.ZstdDecompressor()
-        out = sum(np.frombuffer(z.decompress(x.as_py()), np.int64) for x in table["data"])
-        return pa.table([pa.array([table["piece"][0].as_py()], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(out.tobytes())], pa.binary())], names=["piece", "data"])
-
-    pieces = rows.mapInArrow(scan, "piece int, data binary").groupBy("piece").applyInArrow(add, "piece int, data binary").collect()
-    flat = np.zeros(total, np.int64)
-    for p in pieces:
-        got = np.frombuffer(zstandard.ZstdDecompressor().decompress(p["data"]), np.int64)
-        flat[p["piece"] * PART : p["piece"] * PART + len(got)] = got
-    return flat.reshape(shape)
+        flat = own.ravel()
+        table = np.concatenate([flat, np.zeros(-total % WIDE, np.int64)]).reshape(-1, WIDE)
+        some = np.flatnonzero(table.any(axis=1))
+        for at in range(0, len(some), PART):
+            part = some[at : at + PART]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(np.ascontiguousarray(table[part, i])) for i in range(WIDE))], ["at", *cells])
+
+    sums = rows.mapInArrow(scan, ", ".join(f"{c} long" for c in ["at", *cells])).groupBy("at").agg(*[F.sum(c).alias(c) for c in cells]).toArrow()
+    flat = np.zeros((-(-total // WIDE), WIDE), np.int64)
+    flat[sums["at"].to_numpy()] = np.column_stack([sums[c].to_numpy() for c in cells])
+    return flat.ravel()[:total].reshape(shape)

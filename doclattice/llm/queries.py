@@ -9,10 +9,13 @@ from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
 from .fm_dedup import substring_dedup
 from .jaccard_join import jaccard_classes
+from .language import identify
 from .mixing import mix_plan
 from .pii import find_pii
+from .prefix_trie import prefix_trie
 from .quality import quality_sample
 from .suffix_dedup import suffix_dedup
+from .target_resampling import target_resample
 from .token_output import token_output
 from .toxicity import toxicity
 
@@ -80,6 +83,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    found = identify(docs.select("doc_id", "text"), docs.where(~held_out).select("text", "lang"))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = target_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -91,6 +110,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_output": op9_token_output,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_language_id": op11_language_id,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_target_resampling": op13_target_resampling,
 }
 
 ORACLE_SQL = {
