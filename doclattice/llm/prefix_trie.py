@@ -7,7 +7,8 @@
   two of which are neighbours: those with bit r of their depth set, in round r, where their child has it unset,
   and by a hash of the round once depths have no more bits. A round leaves a fraction of a chain, so there are about
   log(depth) rounds; each is a few joins of what is left, written to the shared folder. ``totals`` re-expands the
-  rounds from the last to the first: a spliced node's total is its own sum and its child's total.
+  rounds from the last to the first: a spliced node's total is its own sum, its child's total, and the sums of the nodes
+  spliced out between the two before (which the child carries as its edge).
 * The digest of the conversations that end in a node reads their ids in order as a stream; its memory does not grow with
   them (SHA-256 itself goes on from byte to byte).
 
@@ -141,11 +142,11 @@ def contract(tree: DataFrame, sums: list[str]) -> DataFrame:
         done.append(leaves.select("id", *sums))
         raked = leaves.groupBy(F.col("parent").alias("r_parent")).agg(*[F.sum(F.col(s) + F.col(e)).alias(f"r_{s}") for s, e in zip(sums, edges, strict=True)])
         inner = alive.where("kids > 0").join(raked, F.col("id") == F.col("r_parent"), "left").select("id", "parent", "depth", *[(F.col(s) + F.coalesce(f"r_{s}", F.lit(0))).alias(s) for s in sums], *edges)
-        below = inner.where("parent IS NOT NULL").groupBy(F.col("parent").alias("b_parent")).agg(F.count("*").alias("b_kids"), F.max(F.struct("id", "depth")).alias("child"))
+        below = inner.where("parent IS NOT NULL").groupBy(F.col("parent").alias("b_parent")).agg(F.count("*").alias("b_kids"), F.max(F.struct("id", "depth", *edges)).alias("child"))
         seen = stash(inner.join(below, F.col("id") == F.col("b_parent"), "left").select("id", "parent", "depth", F.coalesce("b_kids", F.lit(0)).alias("kids"), "child", *sums, *edges), "trie-seen")
         coin = (lambda i, d, r=r: F.shiftright(d, r).bitwiseAND(F.lit(1))) if r < bits else (lambda i, d, r=r: F.xxhash64(i, F.lit(r)).bitwiseAND(F.lit(1)))
         out = F.coalesce((F.col("kids") == 1) & F.col("parent").isNotNull() & (coin(F.col("id"), F.col("depth")) == 1) & (coin(F.col("child.id"), F.col("child.depth")) == 0), F.lit(False))
-        gone = seen.where(out).select(F.col("id").alias("u"), F.col("child.id").alias("w"), F.col("parent").alias("u_parent"), *[F.col(s).alias(f"u_{s}") for s in sums], *[F.col(e).alias(f"u_{e}") for e in edges])
+        gone = seen.where(out).select(F.col("id").alias("u"), F.col("child.id").alias("w"), F.col("parent").alias("u_parent"), *[F.col(s).alias(f"u_{s}") for s in sums], *[F.col(e).alias(f"u_{e}") for e in edges], *[F.col(f"child.{e}").alias(f"w_{e}") for e in edges])
         spliced.append(gone)
         linked = F.col("w").isNotNull()
         after = seen.where(~out).join(gone, F.col("id") == F.col("w"), "left")
@@ -156,7 +157,7 @@ def contract(tree: DataFrame, sums: list[str]) -> DataFrame:
             known = leaves
             continue
         later = known.select(F.col("id").alias("k_id"), *[F.col(s).alias(f"k_{s}") for s in sums])
-        opened = stash(gone.join(later, F.col("w") == F.col("k_id")).select(F.col("u").alias("id"), *[(F.col(f"u_{s}") + F.col(f"k_{s}")).alias(s) for s in sums]), "trie-opened")
+        opened = stash(gone.join(later, F.col("w") == F.col("k_id")).select(F.col("u").alias("id"), *[(F.col(f"u_{s}") + F.col(f"w_{e}") + F.col(f"k_{s}")).alias(s) for s, e in zip(sums, edges, strict=True)]), "trie-opened")
         known = known.unionByName(opened).unionByName(leaves)
     return alive.select("id", *sums) if known is None else known
 

@@ -115,10 +115,65 @@ QUERIES = {
     "op13_target_resampling": op13_target_resampling,
 }
 
+#: The CRC-32 byte table, and a function of it for the UTF-8 bytes of x.
+CRC_TABLE = """steps AS (
+            SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS n FROM range(256) t(i)
+            UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM steps WHERE n < 8
+        ), crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE n = 8)"""
+
+
+def crc_sql(x: str) -> str:
+    byte = f"('0x' || substr(hex(encode({x})), 2 * k::INT + 1, 2))::BIGINT"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode({x}))), lambda k: {byte})), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 ORACLE_SQL = {
     "op4_exact_dedup": f"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len, translate(coalesce(text, ''), {SPACES}, '') AS norm FROM documents),
         k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY len DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM n)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM k
     """,
+    "op12_prefix_trie": f"""
+        WITH RECURSIVE {CRC_TABLE},
+        o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (SELECT conv_id, {crc_sql("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM o), crc),
+        built AS (
+            SELECT i.conv_id, 0 AS part, o.pos, o.role, o.text FROM ids i JOIN o ON o.conv_id = i.conv_id - i.conv_id % 20 AND o.pos <= i.h
+            UNION ALL SELECT i.conv_id, 1, o.pos, o.role, o.text FROM ids i JOIN o ON o.conv_id = i.conv_id AND o.pos > i.h
+        ),
+        paths AS (
+            SELECT conv_id, row_number() OVER w AS depth, list(struct_pack(r := role, t := text)) OVER w AS path, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words
+            FROM built WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)
+            UNION ALL SELECT conv_id, 0, [], 0 FROM ids
+        ),
+        nodes AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM paths GROUP BY ALL),
+        named AS (SELECT p.conv_id AS member, p.depth, n.conv_id FROM paths p JOIN nodes n USING (depth, path)),
+        kids AS (SELECT n.conv_id, n.depth, n.n_convs, n.words, u.conv_id AS parent_conv_id FROM nodes n LEFT JOIN named u ON u.member = n.conv_id AND u.depth = n.depth - 1),
+        counts AS (SELECT k.*, count(c.depth) AS n_children FROM kids k LEFT JOIN kids c ON c.parent_conv_id = k.conv_id AND c.depth = k.depth + 1 GROUP BY ALL),
+        totals AS (SELECT a.conv_id, a.depth, sum((c.n_children = 0)::BIGINT) AS n_leaves, sum((c.n_convs - 1) * c.words) AS saved_tokens FROM counts c JOIN named a ON a.member = c.conv_id AND a.depth <= c.depth GROUP BY ALL),
+        ends AS (SELECT conv_id, depth, string_agg(member::VARCHAR, ',' ORDER BY member) AS ids FROM (SELECT member, depth, conv_id, max(depth) OVER (PARTITION BY member) AS deepest FROM named) WHERE depth = deepest GROUP BY ALL)
+        SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM counts JOIN totals USING (conv_id, depth) LEFT JOIN ends USING (conv_id, depth)
+    """,
+    "op13_target_resampling": f"""
+        WITH RECURSIVE {CRC_TABLE},
+        texts AS (SELECT 0 AS target, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+        words AS (SELECT target, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts),
+        places AS (SELECT target, r, unnest(w) AS w1, unnest(range(len(w))) AS i FROM words),
+        grams AS (SELECT target, r, w1, w1 || ' ' || lead(w1) OVER o AS w2, w1 || ' ' || lead(w1) OVER o || ' ' || lead(w1, 2) OVER o AS w3 FROM places WINDOW o AS (PARTITION BY target, r ORDER BY i)),
+        features AS (SELECT target, r, unnest([w1, w2, w3]) AS f FROM grams),
+        counted AS (SELECT target, r, f, count(*) AS n FROM features WHERE f IS NOT NULL GROUP BY ALL),
+        buckets AS (SELECT f, {crc_sql("f")} % 10000 AS b FROM (SELECT DISTINCT f FROM counted), crc),
+        sums AS (SELECT b, sum(n) FILTER (target = 0) AS s, sum(n) FILTER (target = 1) AS t FROM counted JOIN buckets USING (f) GROUP BY b),
+        whole AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM sums),
+        gains AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain FROM sums, whole),
+        weighed AS (SELECT r, sum(n) AS n_features, sum(n * gain) AS weight FROM counted JOIN buckets USING (f) JOIN gains USING (b) WHERE target = 0 GROUP BY r),
+        scored AS (
+            SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM words LEFT JOIN weighed USING (r) WHERE target = 0
+        ),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM ranked
+    """,
 }
