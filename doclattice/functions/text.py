@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,21 +81,54 @@ def is_safety_query(text: Column) -> Column:
     return text.rlike("(?iu)" + SAFETY_QUERY)
 
 
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """Of all characters of the basic plane whose compatibility form differs: what is left without combining marks, as one
+    character or none, and as several of which one is a letter or digit of ASCII."""
+    one, several = {}, {}
+    for code in range(0xA0, 0xFFFF):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000 or (plain := unicodedata.normalize("NFKD", c)) == c and not unicodedata.combining(c):
+            continue
+        left = "".join(x for x in plain if not unicodedata.combining(x))
+        if len(left) < 2:
+            one[c] = left
+        elif any(x.isascii() and x.isalnum() for x in left):
+            several[c] = left
+    return one, several
+
+
 def strip_accents(text: Column) -> Column:
-    return F.translate(text, "áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ", "aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC")
+    """Compatibility decomposition without combining marks, as far as letters and digits of ASCII come of it."""
+    one, several = _decompositions()
+    gone = [c for c, x in one.items() if not x]
+    kept = {c: x for c, x in one.items() if x}
+    plain = F.translate(text, "".join(kept) + "".join(gone), "".join(kept.values()))
+    table = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
+    spelled = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    ascii_only = ~text.rlike(r"[^\x00-\x7F]")
+    return F.when(ascii_only, text).when(plain.rlike("[" + "".join(several) + "]"), spelled).otherwise(plain)
 
 
 def key_part(text: Column) -> Column:
-    """Accents off, lower case, other than letters and digits as one space."""
-    return F.trim(F.regexp_replace(F.lower(strip_accents(text)), "[^a-z0-9]+", " "))
+    """Accents off, lower case, other than letters and digits as one space; null as empty."""
+    return F.coalesce(F.trim(F.regexp_replace(F.lower(strip_accents(text)), "[^a-z0-9]+", " ")), F.lit(""))
+
+
+# Forms of revisions and dates in file names.
+NAME_REVISION = r"(?iU)\b(rev\.?\s*[a-z0-9]+|revision\s*[a-z0-9]+)\b"
+NAME_DATE = r"(?U)\b(20\d{2}[-_/]?\d{2}[-_/]?\d{2}|\d{2}[-_/]\d{2}[-_/]20\d{2})\b"
+
+
+def stem_of(name: Column) -> Column:
+    """The last part of a path without its last suffix; a name that only starts with a full stop has none."""
+    last = F.regexp_extract(name, r"([^/]*)/*$", 1)
+    return F.regexp_replace(last, r"(?s)^(.+)\.[^.]+$", "$1")
 
 
 def title_key(name: Column) -> Column:
     """File stem without revision and date parts."""
-    stem = F.regexp_replace(name, r"\.[A-Za-z0-9]{1,5}$", "")
-    stem = F.regexp_replace(stem, r"(?i)(^|[ _.-])(rev|version|ver|v)[ _.]*[0-9a-z]{1,3}(?=$|[ _.-])", " ")
-    stem = F.regexp_replace(stem, r"\d{4}[-_.]\d{2}[-_.]\d{2}", " ")
-    return key_part(stem)
+    bare = F.regexp_replace(F.regexp_replace(stem_of(name), NAME_REVISION, " "), NAME_DATE, " ")
+    return key_part(bare)
 
 
 def longest_tag(name: Column) -> Column:
@@ -106,7 +141,7 @@ def longest_tag(name: Column) -> Column:
 NAME_CODE = r"(?i)\b([A-Z]{2,5}-\d{2}[A-Z0-9]{0,4}-[A-Z0-9-]{4,}|SGP-\d+MYC-[A-Z]+-\d+|NCC-\d+|IFC-\d+)\b"
 GUIDE_NUMBER = r"(?i)\b(GUIGS|GUIG|PROGS|SOP)[-_ ]?(\d+)\b"
 NAME_ASSET = r"\b([A-Z]{1,4}[-_ ]?\d{1,3}[-_ ]?[A-Z]{0,3}[-_ ]?\d{0,3})\b"
-MODULES = ("DCH", "MYC", "ENF", "MRI", "MSO", "SPCI", "DRT", "GPRO", "MC", "MC", "ELECTRICO", "MECANICO")
+MODULES = ("DCH", "MYC", "ENF", "MRI", "MSO", "SPCI", "DRT", "GPRO", "M&C", "MC", "ELECTRICO", "MECANICO")
 VENDORS = ("siemens", "schneider", "abb", "honeywell", "emerson", "rockwell", "ge", "metso", "flsmidth")
 NO_MODULE = ("entregables", "anexos", "check list", "guia", "norma")
 
@@ -128,7 +163,7 @@ def guide_number(name: Column, path: Column) -> Column:
 def module_of(name: Column, path: Column) -> Column:
     """The first module word in path and name (ampersands apart), else the first telling folder, 40 characters at most."""
     every = F.replace(F.upper(F.concat_ws(" ", path, name)), F.lit("&"), F.lit(""))
-    known = F.coalesce(*[F.when(F.contains(every, F.lit(m)), m) for m in MODULES])
+    known = F.coalesce(*[F.when(F.contains(every, F.lit(m.replace("&", ""))), m.replace("&", "")) for m in MODULES])
     folders = F.filter(F.transform(F.split(F.coalesce(path, F.lit("")), r"[\\/]"), key_part), lambda p: (F.length(p) >= 3) & ~p.isin(*NO_MODULE))
     return F.coalesce(known, F.substring(F.try_element_at(folders, F.lit(1)), 1, 40), F.lit(""))
 
@@ -145,18 +180,33 @@ def vendor_of(name: Column, path: Column) -> Column:
     return F.coalesce(*[F.when(F.contains(every, F.lit(v)), v) for v in VENDORS], F.lit(""))
 
 
-def logical_key(tenant: Column, origin: Column, code: Column, asset: Column, kind: Column, module: Column, title: Column, hint: Column) -> Column:
-    """Hint, else the full form if there is a code, else asset and module form, else title form."""
-    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    full = F.when(blank(code).isNotNull(), F.concat_ws("|", tenant, origin, key_part(code), key_part(asset), kind, key_part(module)))
-    guide = F.when(blank(asset).isNotNull() & blank(module).isNotNull(), F.concat_ws("|", tenant, key_part(asset), key_part(module)))
-    return F.coalesce(blank(hint), full, guide, F.concat_ws("|", tenant, kind, title_key(title)))
+def _filled(*parts: Column) -> Column:
+    """The parts that aren't empty, between bars."""
+    return F.array_join(F.filter(F.array(*parts), lambda x: x != ""), "|")
+
+
+def _bars(key: Column) -> Column:
+    return F.length(key) - F.length(F.replace(key, F.lit("|"), F.lit("")))
+
+
+def logical_key(tenant: Column, origin: Column, kind: Column, name: Column, hint: Column | None = None, code: Column | None = None, guide: Column | None = None, asset: Column | None = None, module: Column | None = None, maker: Column | None = None, model: Column | None = None) -> Column:
+    """The hint; else tenant, origin, code, asset, kind, module if there is a code; else the same with the guide number, if two of
+    the others are there; else tenant, title, asset, maker, model, module. Empty parts are left out."""
+    part = lambda c, default="": F.lit(default) if c is None else F.coalesce(F.nullif(key_part(c), F.lit("")), F.lit(default))
+    who, source, what = part(tenant), part(origin, "ods1"), part(kind, "otro")
+    tag, area, number, guide_no = part(asset), part(module), part(code), part(guide)
+    titled = F.nullif(title_key(name), F.lit(""))
+    by_code = F.when(number != "", _filled(who, source, number, tag, what, area))
+    by_guide = _filled(who, source, guide_no, tag, what, area)
+    by_title = _filled(who, F.coalesce(titled, part(name)), tag, part(maker), part(model), area)
+    given = F.lit(None).cast("string") if hint is None else F.nullif(F.trim(hint), F.lit(""))
+    return F.coalesce(given, by_code, F.when((guide_no != "") & (_bars(by_guide) >= 2), by_guide), F.nullif(by_title, F.lit("")), F.nullif(key_part(stem_of(name)), F.lit("")), F.lit("unknown"))
 
 
-def identity_confidence(hint: Column, code: Column, asset: Column, module: Column, key: Column) -> Column:
+def identity_confidence(hint: Column, code: Column, guide: Column, asset: Column, module: Column, key: Column) -> Column:
+    """high with a hint, a code, or guide number and asset; medium with guide number and module, or three bars in the key; else low."""
     has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
-    pipes = F.length(key) - F.length(F.replace(key, F.lit("|"), F.lit("")))
-    return F.when(has(hint) | has(code), "high").when(has(asset) & has(module) | (pipes >= 3), "medium").otherwise("low")
+    return F.when(has(hint) | has(code) | (has(guide) & has(asset)), "high").when((has(guide) & has(module)) | (_bars(key) >= 3), "medium").otherwise("low")
 
 
 def slug(name: Column, size: int = 60) -> Column:

@@ -108,14 +108,56 @@ def citations(spark, d):
     return table(spark, d, "part").select("p_partkey", T.citation(F.col("p_brand"), F.concat(F.lit("Rev "), (n % 5).cast("string")), start, end, section, F.col("p_partkey"), kind).alias("citation"))
 
 
-@query("""SELECT c_custkey, k AS logical_key, CASE WHEN c_custkey % 4 = 0 THEN 'high' WHEN length(k) - length(replace(k, '|', '')) >= 3 OR c_custkey % 4 = 1 THEN 'medium' ELSE 'low' END AS confidence
-FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 't1|local|' || lower(replace(c_name, '#', ' ')) || '|' || lower(c_mktsegment) || '|sop|m1' WHEN c_custkey % 4 = 1 THEN 't1|' || lower(c_mktsegment) || '|m1' ELSE 't1|sop|' || lower(replace(c_name, '#', ' ')) END AS k FROM customer)""")
+#: Columns of a catalogue of files made of customers, in SQL that both engines read: revisions, dates, codes, guide numbers, equal names
+#: and titles, assets, hints, repeated files and contents.
+CATALOGUE = {
+    "tenant": "'T' || c_nationkey",
+    "origin": "CASE WHEN c_custkey % 2 = 0 THEN 'Local' END",
+    "kind": "CASE WHEN c_custkey % 3 = 0 THEN 'Guía' WHEN c_custkey % 3 = 1 THEN 'manual_oem' END",
+    "name": "CASE c_custkey % 8 WHEN 0 THEN 'Manual ' || c_mktsegment || ' Rev ' || (c_custkey % 3) || '.pdf' WHEN 1 THEN 'NCC-' || (c_custkey % 4) || ' ' || lower(c_mktsegment) || '_v2.pdf'"
+    " WHEN 2 THEN 'GUIGS-' || (c_custkey % 5) || ' guía ' || c_mktsegment || ' 2024-01-1' || (c_custkey % 7) || '.docx' WHEN 3 THEN 'MANUAL ' || c_mktsegment || '.pdf' WHEN 4 THEN 'Informe ' || (c_custkey % 2) || '.xlsx'"
+    " WHEN 5 THEN 'Plano revision b ' || lower(c_mktsegment) || ' siemens.dwg' WHEN 6 THEN 'informe ' || (c_custkey % 2) || '.XLSX' ELSE 'Bomba 20240115 rev. ' || (c_custkey % 2) || ' 15-01-2024.pdf' END",
+    "path": "CASE c_custkey % 5 WHEN 0 THEN 'Entregables/MYC' WHEN 1 THEN 'Anexos/Planta Norte' WHEN 2 THEN 'M&C' ELSE '' END",
+    "hint": "CASE WHEN c_custkey % 29 = 0 THEN ' hint ' || (c_custkey % 2) END",
+    "asset": "CASE WHEN c_custkey % 4 = 1 THEN 'FT-' || (100 + c_custkey % 3) END",
+    "model": "CASE WHEN c_custkey % 6 = 0 THEN 'S7 ' || (c_custkey % 2) END",
+    "file_hash": "'h' || c_mktsegment || (c_custkey % 60)",
+    "content_hash": "CASE WHEN c_custkey % 5 <> 0 THEN 'c' || c_mktsegment || (c_custkey % 3) END",
+}
+
+
+def catalogue_files(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer")
+    return rows.select(F.col("c_custkey").alias("file_id"), F.col("c_custkey").alias("arrival"), *[F.expr(x).alias(c) for c, x in CATALOGUE.items()])
+
+
+def _sql_part(x: str) -> str:
+    return f"trim(regexp_replace(lower(strip_accents({x})), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _re2(pattern: str) -> str:
+    return pattern.replace("(?iU)", "(?i)").replace("(?U)", "")
+
+
+_LONGEST = "list_filter(tags, lambda t: length(t) = list_max(list_transform(tags, lambda u: length(u))))[1]"
+_MODULE = "coalesce(" + ", ".join(f"CASE WHEN contains(upper(path || ' ' || name).replace('&', ''), '{m.replace('&', '')}') THEN '{m.replace('&', '')}' END" for m in T.MODULES) + f", list_filter(list_transform(string_split(path, '/'), lambda p: {_sql_part('p')}), lambda p: length(p) >= 3 AND p NOT IN {T.NO_MODULE})[1][:40], '')"
+_VENDOR = "coalesce(" + ", ".join(f"CASE WHEN contains(lower(path || ' ' || name), '{v}') THEN '{v}' END" for v in T.VENDORS) + ", '')"
+KEYED_FILES = f"""f AS (SELECT c_custkey AS file_id, {', '.join(f'{x} AS {c}' for c, x in CATALOGUE.items() if c not in ('origin', 'kind', 'hint', 'asset', 'model'))}, lower(coalesce({CATALOGUE['origin']}, 'ods1')) AS origin, lower(coalesce({CATALOGUE['kind']}, 'otro')) AS kind,
+    trim(coalesce({CATALOGUE['hint']}, '')) AS hint, coalesce({CATALOGUE['asset']}, '') AS own, coalesce({CATALOGUE['model']}, '') AS model FROM customer),
+g AS (SELECT *, upper(coalesce(nullif(regexp_extract(name, '{T.NAME_CODE}', 1), ''), regexp_extract(path, '{T.NAME_CODE}', 1))) AS code,
+    CASE WHEN regexp_matches(name, '{T.GUIDE_NUMBER}') THEN upper(regexp_extract(name, '{T.GUIDE_NUMBER}', 1)) || '-' || regexp_extract(name, '{T.GUIDE_NUMBER}', 2) ELSE '' END AS guide,
+    {_MODULE} AS module, {_VENDOR} AS maker, list_filter(list_transform(regexp_extract_all(upper(path || ' ' || name), '{T.NAME_ASSET}'), lambda t: translate(t, ' _', '--')), lambda t: length(t) >= 4 AND NOT starts_with(t, 'REV')) AS tags,
+    {_sql_part(f"regexp_replace(regexp_replace(regexp_replace(name, '^(.+)[.][^.]+$', '\\1'), '{_re2(T.NAME_REVISION)}', ' ', 'g'), '{_re2(T.NAME_DATE)}', ' ', 'g')")} AS title FROM f),
+p AS (SELECT *, coalesce(nullif(own, ''), {_LONGEST}, '') AS asset FROM g),
+q AS (SELECT *, list_filter([{_sql_part('tenant')}, {_sql_part('origin')}, {_sql_part('code')}, {_sql_part('asset')}, {_sql_part('kind')}, {_sql_part('module')}], lambda y: y <> '') AS by_code, list_filter([{_sql_part('tenant')}, {_sql_part('origin')}, {_sql_part('guide')}, {_sql_part('asset')}, {_sql_part('kind')}, {_sql_part('module')}], lambda y: y <> '') AS by_guide,
+    list_filter([{_sql_part('tenant')}, title, {_sql_part('asset')}, {_sql_part('maker')}, {_sql_part('model')}, {_sql_part('module')}], lambda y: y <> '') AS by_title FROM p),
+k AS (SELECT *, CASE WHEN hint <> '' THEN hint WHEN code <> '' THEN array_to_string(by_code, '|') WHEN guide <> '' AND len(by_guide) >= 3 THEN array_to_string(by_guide, '|') ELSE array_to_string(by_title, '|') END AS logical_key FROM q),
+keyed AS (SELECT *, CASE WHEN hint <> '' OR code <> '' OR (guide <> '' AND asset <> '') THEN 'high' WHEN (guide <> '' AND module <> '') OR length(logical_key) - length(replace(logical_key, '|', '')) >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM k)"""
+
+
+@query(f"WITH {KEYED_FILES} SELECT file_id, logical_key, title, code, guide, module, asset, maker, confidence FROM keyed")
 def logical_keys(spark, d):
-    m = F.col("c_custkey") % 4
-    code, asset, module = F.when(m == 0, F.col("c_name")), F.when(m <= 1, F.col("c_mktsegment")), F.when(m <= 1, F.lit("m1"))
-    none = F.lit(None).cast("string")
-    key = T.logical_key(F.lit("t1"), F.lit("local"), code, asset, F.lit("sop"), module, F.col("c_name"), none)
-    return table(spark, d, "customer").withColumn("logical_key", key).select("c_custkey", "logical_key", T.identity_confidence(none, code, asset, module, F.col("logical_key")).alias("confidence"))
+    return identity.with_identity(catalogue_files(spark, d)).select("file_id", "logical_key", T.title_key(F.col("name")).alias("title"), "code", "guide", "module", "asset", "maker", "confidence")
 
 
 def identity_files(spark, d):
@@ -133,15 +175,26 @@ def identity_decisions(spark, d):
     return identity.decisions(identity_files(spark, d))
 
 
-@query(f"""WITH f AS (SELECT doc_id, doc_id // 100 AS tenant, source, sha256({NORM}) AS h FROM documents),
-n AS (SELECT *, row_number() OVER (PARTITION BY tenant, h ORDER BY doc_id) AS nth FROM f),
-r AS (SELECT *, lag(h) OVER (PARTITION BY tenant, source ORDER BY doc_id) AS before, row_number() OVER (PARTITION BY tenant, source ORDER BY doc_id) AS key_nth FROM n WHERE nth = 1)
-SELECT doc_id AS file_id, source AS logical_key, CASE WHEN key_nth = 1 THEN 'new_document' WHEN before = h THEN 'same_content' ELSE 'new_version' END AS decision FROM r
-UNION ALL SELECT doc_id, source, 'duplicate' FROM n WHERE nth > 1""")
+_REC = "struct_pack(key := logical_key, h := file_hash, content := content_hash, name := lower(name), title := title, code := code, asset := asset, low := low, latest := true)"
+_CLASH = "x.latest AND x.key <> logical_key"
+
+
+@query(f"""WITH RECURSIVE {KEYED_FILES},
+o AS (SELECT *, confidence = 'low' AS low, row_number() OVER (PARTITION BY tenant ORDER BY file_id) AS i FROM keyed),
+r AS (SELECT tenant, 0::BIGINT AS i, [{_REC}][1:0] AS reg, 0::BIGINT AS file_id, '' AS logical_key, '' AS decision, '' AS rule FROM o WHERE i = 1
+UNION ALL SELECT tenant, i, CASE WHEN decision NOT IN ('new_document', 'new_version') THEN reg
+    WHEN known IS NULL OR (content_hash IS NOT NULL AND known.content IS DISTINCT FROM content_hash) THEN list_append(list_transform(reg, lambda x: struct_pack(key := x.key, h := x.h, content := x.content, name := x.name, title := x.title, code := x.code, asset := x.asset, low := x.low, latest := x.latest AND x.key <> logical_key)), rec)
+    ELSE list_append(reg, struct_pack(key := rec.key, h := rec.h, content := rec.content, name := rec.name, title := rec.title, code := rec.code, asset := rec.asset, low := rec.low, latest := false)) END, file_id, logical_key, decision, rule
+  FROM (SELECT *, CASE WHEN rule = 'file_hash' THEN 'duplicate' WHEN rule IN ('code', 'name', 'title') THEN 'review' WHEN rule = 'new_key' THEN 'new_document' WHEN rule = 'content_hash' THEN CASE WHEN known.content = content_hash THEN 'same_content' ELSE 'new_version' END WHEN low THEN 'review' ELSE 'new_version' END AS decision
+    FROM (SELECT *, CASE WHEN list_contains(list_transform(reg, lambda x: x.h), file_hash) THEN 'file_hash'
+        WHEN code <> '' AND len(list_filter(reg, lambda x: {_CLASH} AND x.code = code AND ((asset <> '' AND x.asset <> '' AND x.asset <> asset) OR low OR x.low))) > 0 THEN 'code'
+        WHEN low AND len(list_filter(reg, lambda x: x.key <> logical_key AND x.name = lower(name))) > 0 THEN 'name' WHEN low AND title <> '' AND len(list_filter(reg, lambda x: {_CLASH} AND x.title = title)) > 0 THEN 'title'
+        WHEN known IS NULL THEN 'new_key' WHEN content_hash IS NOT NULL AND known.content IS NOT NULL THEN 'content_hash' ELSE 'no_content_hash' END AS rule
+      FROM (SELECT o.*, r.reg, {_REC.replace(':= ', ':= o.').replace('o.lower(name)', 'lower(o.name)').replace('o.true', 'true')} AS rec, list_filter(r.reg, lambda x: x.latest AND x.key = o.logical_key)[1] AS known FROM r JOIN o ON o.tenant = r.tenant AND o.i = r.i + 1))))
+SELECT file_id, logical_key, decision, rule FROM r WHERE i > 0""")
 def identity_replay(spark, d):
-    """A tenant for every hundred documents: histories are replayed side by side."""
-    rows = identity_files(spark, d).withColumns({"tenant": F.floor(F.col("file_id") / 100), "name": F.col("file_id").cast("string"), "code": F.lit(""), "asset": F.lit(""), "confidence": F.lit("high")})
-    return identity.replay(rows).select("file_id", "logical_key", "decision")
+    """Nations are the tenants of the catalogue."""
+    return identity.replay(identity.with_identity(catalogue_files(spark, d))).select("file_id", "logical_key", "decision", "rule")
 
 
 @query(f"SELECT decision, count(*) AS n, count(*) FILTER (decision IN ('new_document', 'new_version')) AS indexable FROM ({ORACLE_SQL['identity_decisions']}) GROUP BY ROLLUP (decision)")

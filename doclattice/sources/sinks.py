@@ -19,6 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs nothing."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append(df: DataFrame, path: str, by: list[str]) -> None:
     """Append rows, a folder for each value of ``by``; one writer a value, so that files stay large."""
     df.repartition(*[F.col(c) for c in by]).write.mode("append").partitionBy(*by).parquet(path)

@@ -56,11 +56,13 @@ def test_replay_rules(spark):
         ("t", 5, 5, "k9", "h5", "c5", "b.pdf", "C1", "P-2", "high"),
         ("t", 6, 6, "k1", "h6", None, "a.pdf", "C1", "P-1", "low"),
         ("t", 7, 7, "k1", "h7", "c1", "a.pdf", "C1", "P-1", "high"),
-        ("t", 8, 8, "k8", "h8", "c8", "a.pdf", "", "", "high"),
+        ("t", 8, 8, "k8", "h8", "c8", "a.pdf", "", "", "high"),  # the same name is a conflict for an unsure file only
+        ("t", 9, 9, "k7", "h9", "c9", "c.pdf", "C1", "", "high"),  # one asset is blank
+        ("t", 10, 10, "k6", "h10", "c9", "A.pdf", "", "", "low"),
     ]
     df = spark.createDataFrame(rows, "tenant string, file_id long, arrival long, logical_key string, file_hash string, content_hash string, name string, code string, asset string, confidence string")
     got = {r["file_id"]: r["decision"] for r in identity.replay(df).collect()}
-    assert got == {1: "new_document", 2: "duplicate", 3: "same_content", 4: "new_version", 5: "review", 6: "review", 7: "new_version", 8: "review"}
+    assert got == {1: "new_document", 2: "duplicate", 3: "same_content", 4: "new_version", 5: "review", 6: "review", 7: "new_version", 8: "new_document", 9: "new_document", 10: "review"}
 
 
 def test_best_registered_and_activation(spark):
