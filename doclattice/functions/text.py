@@ -30,6 +30,11 @@ def content_hash(text: Column) -> Column:
     return F.sha2(normalize_text(text), 256)
 
 
+def file_hash(content: Column) -> Column:
+    """SHA-256 of a file's bytes; a text counts as UTF-8."""
+    return F.sha2(content.cast("binary"), 256)
+
+
 def block_hash(kind: Column, raw: Column, markdown: Column, headers: Column, rows: Column) -> Column:
     """Hash of a typed block; rows is an array of arrays."""
     return F.sha2(F.concat_ws("\n", kind, F.coalesce(raw, F.lit("")), F.coalesce(markdown, F.lit("")), F.array_join(headers, "|"), F.array_join(F.transform(rows, lambda r: F.array_join(r, "|")), "\n")), 256)
@@ -327,7 +332,7 @@ INDEX_LABELS = {"active": "Indexado", "indexed": "Indexado", "indexado": "Indexa
 STATUS_LABELS = {"pendiente": "Pendiente", "pendiente_extractor": "Pendiente extractor", "pass": "OK — listo", "review": "Revisar", "reject": "Rechazado", "error": "Error extracción", "excluido": "Excluido"}
 
 
-def looked_up(key: Column, table: dict[str, str]) -> Column:
+def looked_up(key: Column, table: dict) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from itertools import accumulate, groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Target tokens by document type, overlap, and the least and greatest chunk.
@@ -80,22 +80,26 @@ def fold(rows: list[tuple[str, bool, bool, str | None]], target: int, count=coun
 
 
 def split_oversize(text: str, most: int = MOST, count=count_tokens) -> list[str]:
-    """By paragraphs, then sentences, then fixed slices of words."""
+    """Parts of at most ``most`` tokens, in order: whole paragraphs with the empty lines between them; of longer paragraphs whole sentences; of longer sentences slices of words."""
     if count(text) <= most:
         return [text]
-    for pattern in (r"\n\s*\n", SENTENCE):
-        parts = [p for p in re.split(pattern, text) if p.strip()]
-        if len(parts) > 1:
-            out, held = [], ""
-            for p in parts:
-                if held and count(held) + count(p) > most:
-                    out.append(held)
-                    held = p
-                else:
-                    held = f"{held} {p}" if held else p
-            return [x for part in [*out, held] for x in (split_oversize(part, most, count) if count(part) > most and part != text else [part])]
-    words = text.split()
-    return [" ".join(words[i : i + most]) for i in range(0, len(words), most)]
+    units: list[tuple[str, str, int]] = []  # text, what stands before it in a part, tokens
+    for paragraph in filter(None, (p.strip() for p in text.split("\n\n"))):
+        whole = count(paragraph) <= most
+        for i, sentence in enumerate([paragraph] if whole else filter(None, (x.strip() for x in re.split(SENTENCE, paragraph)))):
+            words = [sentence] if whole or count(sentence) <= most else _slices(sentence, most, count)
+            units += [(w, " " if i or j else "\n\n", count(w)) for j, w in enumerate(words)]
+    sizes = [n for _, _, n in units]
+    none = [False] * len(units)
+    parts = [units[a:b] for a, b in cut_points(sizes, none, none, most)]
+    return ["".join(x if k == 0 else gap + x for k, (x, gap, _) in enumerate(part)) for part in parts] or [text]
+
+
+def _slices(sentence: str, most: int, count) -> list[str]:
+    """Words in runs of at most ``most`` tokens; a longer word is cut by characters, as a character is a token at most."""
+    words = [w[i : i + most] for w in sentence.split() for i in range(0, len(w), most if count(w) > most else len(w))]
+    none = [False] * len(words)
+    return [" ".join(words[a:b]) for a, b in cut_points([count(w) for w in words], none, none, most)]
 
 
 def per_document(rows: DataFrame, order: list[str], made: Callable[[int, list[tuple]], list[tuple]], schema: str) -> DataFrame:
@@ -122,16 +126,20 @@ def per_document(rows: DataFrame, order: list[str], made: Callable[[int, list[tu
 
 def chunk(docs: DataFrame, kind: str = "otro") -> DataFrame:
     """Chunks of (doc_id, text) by the greedy fold, none over the greatest size."""
-    from ..functions.text import is_safety
+    return fold_segments(segments(docs), F.lit(kind))
+
 
-    target = TARGETS[kind]
+def fold_segments(rows: DataFrame, kind: Column) -> DataFrame:
+    """Chunks of ``segments``; ``kind`` is the document type that sets the target of a document's chunks."""
+    from ..functions.text import is_safety, looked_up
 
     def made(doc_id: int, rows: list[tuple]) -> list[tuple]:
-        parts = [(c, s, f) for text, _, s, f in fold(rows, target) for c in split_oversize(text)]
+        parts = [(c, s, f) for text, _, s, f in fold([r[:-1] for r in rows], rows[0][-1]) for c in split_oversize(text)]
         return [(doc_id, i, c, count_tokens(c), s, bool(f)) for i, (c, s, f) in enumerate(parts)]
 
-    rows = segments(docs).withColumn("safety", is_safety(F.col("segment")))
-    return per_document(rows.select("doc_id", "line_no", "part", "segment", "is_heading", "safety", "section"), ["line_no", "part"], made, CHUNKS)
+    target = F.coalesce(looked_up(kind, TARGETS), F.lit(TARGETS["otro"]))
+    rows = rows.withColumns({"safety": is_safety(F.col("segment")), "target": target})
+    return per_document(rows.select("doc_id", "line_no", "part", "segment", "is_heading", "safety", "section", "target"), ["line_no", "part"], made, CHUNKS)
 
 
 def sheet_chunks(rows: DataFrame, kind: str = "tabla") -> DataFrame:

@@ -15,6 +15,8 @@ def roots(edges: DataFrame) -> DataFrame:
     rounds are written, and end when nothing changes. About the logarithm of the longest path of them are needed.
     """
     both = written(edges.where("u <> v").select("u", "v").unionByName(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    if both.isEmpty():
+        return both.select(F.col("u").alias("node"), F.col("v").alias("root"))
     known = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("root")))
     while True:
         near = both.join(known, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("least"))

@@ -88,6 +88,22 @@ def dense_ranked(vectors: DataFrame, queries: DataFrame, k: int, block: int = 10
 
 
 DIMS = 64
+
+
+def slot_of(term: Column) -> Column:
+    """The slot of a term's hashed vector: the first four hex digits of its MD5."""
+    return F.conv(F.substring(F.md5(term), 1, 4), 16, 10).cast("int") % DIMS
+
+
+def slot_vectors(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, vector) of texts: a deterministic stand-in for an embedding service, token counts by slot."""
+    words = texts.select(*keys, F.explode_outer(token_rows(F.coalesce("text", F.lit("")))).alias("term"))
+    counts = words.groupBy(*keys, F.when(is_token(F.col("term")), slot_of(F.col("term"))).alias("slot")).agg(F.count("*").cast("double").alias("n"))
+    # one sum for each slot: no group is held as a whole
+    sums = counts.groupBy(*keys).agg(*[F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0.0)).alias(f"s{i}") for i in range(DIMS)])
+    return sums.select(*keys, F.array(*[f"s{i}" for i in range(DIMS)]).alias("vector"))
+
+
 _TOKENS = re.compile(TOKEN)
 
 

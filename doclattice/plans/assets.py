@@ -466,24 +466,6 @@ def stage_progress(spark, d):
     return streams.next_stages(stage_runs(spark, d))
 
 
-@query("""WITH s AS (SELECT o_orderkey AS doc_id, o_custkey AS c, o_totalprice AS p FROM orders) SELECT stage, state, count(*) AS n FROM (SELECT CASE WHEN c % 7 = 0 THEN 'validate' WHEN p < 50000 THEN 'chunk' ELSE 'index' END AS stage, CASE WHEN c % 7 = 0 THEN 'error' WHEN p < 50000 THEN 'review' ELSE 'ok' END AS state FROM s) GROUP BY ALL""")
-def stage_pipeline(spark, d):
-    """Three of the stages over all orders, each over what the one before let pass."""
-    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey", "o_totalprice", F.lit("validate").alias("next_stage"))
-    stages = {
-        "validate": lambda df: df.withColumn("state", F.when(F.col("o_custkey") % 7 == 0, "error").otherwise("ok")),
-        "chunk": lambda df: df.withColumn("state", F.when(F.col("o_totalprice") < 50000, "review").otherwise("ok")),
-        "index": lambda df: df.withColumn("state", F.lit("ok")),
-    }
-    base = sinks.shared_folder(spark)
-
-    def keep(df, name):
-        df.write.parquet(f"{base}-{name}")
-        return spark.read.schema(df.schema).parquet(f"{base}-{name}")
-
-    return streams.run_stages(docs, stages, keep).groupBy("stage", "state").agg(F.count("*").alias("n"))
-
-
 @query("""WITH c AS (SELECT l_orderkey AS doc_id, count(*) AS chunks, count(*) FILTER (l_returnflag <> 'R') AS points FROM lineitem WHERE l_orderkey % 5 > 0 GROUP BY l_orderkey)
 SELECT o_orderkey AS doc_id, CASE WHEN chunks IS NULL THEN 'extract' WHEN points < chunks THEN 'embed' ELSE 'validate_index' END AS resume_at FROM orders LEFT JOIN c ON doc_id = o_orderkey WHERE o_orderstatus = 'F'""")
 def failed_hydrated(spark, d):

@@ -1,4 +1,4 @@
-"""Incremental forms: staged ingestion by batches, replay-safe inputs, windowed counts."""
+"""Incremental forms: where documents go on, replay-safe inputs, windowed counts."""
 
 from __future__ import annotations
 
@@ -47,25 +47,6 @@ def next_stages(runs: DataFrame) -> DataFrame:
     return g.select("doc_id", F.size("done").alias("n_done"), "stopped", F.when(~F.col("stopped"), F.try_element_at(todo, F.lit(1))).alias("next_stage"))
 
 
-def run_stages(docs: DataFrame, stages: dict[str, Callable[[DataFrame], DataFrame]], keep: Callable[[DataFrame, str], DataFrame], until: str | None = None) -> DataFrame:
-    """Documents (doc_id, next_stage, ...) through the stages in order, each over all documents that have come to it: a stage returns its rows with ``state``; those that are done go on,
-    others stop. ``keep`` writes a stage's rows (a name is given) and reads them back, so a lost executor costs one stage. Returns (doc_id, stage, state) of where each document stands."""
-    at, out = docs, None
-    for name in STAGES:
-        if name not in stages:
-            continue
-        waiting = at.where((F.col("next_stage") == name) | F.col("next_stage").isNull() if out is None else F.col("next_stage") == name)
-        ran = keep(stages[name](waiting), name)
-        stopped = ran.where(~F.col("state").isin(*DONE)).select("doc_id", F.lit(name).alias("stage"), "state")
-        out = stopped if out is None else out.unionByName(stopped)
-        later = [s for s in STAGES[STAGES.index(name) + 1 :] if s in stages]
-        if name == until or not later:
-            return out.unionByName(ran.where(F.col("state").isin(*DONE)).select("doc_id", F.lit(name).alias("stage"), "state"))
-        passed = ran.where(F.col("state").isin(*DONE)).drop("state").withColumn("next_stage", F.lit(later[0]))
-        at = passed.unionByName(at.where(F.col("next_stage") != name), allowMissingColumns=True)
-    return out
-
-
 def hydrate(failed: DataFrame, chunks: DataFrame) -> DataFrame:
     """Failed documents (doc_id, status) with the chunks and points that the store has of them, and where they go on."""
     n = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count("point_id").alias("points"))
