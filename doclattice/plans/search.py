@@ -347,17 +347,3 @@ def checks_prioritized(spark, d):
 def resume_stages(spark, d):
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("chunks"), F.count_if(F.col("role") == "assistant").alias("points"))
     return streams.resume_stage(rows).select("conv_id", "resume_at")
-
-
-@query()
-def stream_event_counts(spark, d):
-    """Daily counts of the events, read as a stream until what is there is used up; the last window stays open and isn't emitted."""
-    from ..sources.sinks import shared_folder
-
-    schema = table(spark, d, "events").schema
-    folder = shared_folder(spark)
-    stream = streams.read_folder(spark, d, "events.parquet", schema)
-    out = f"{folder}/out"
-    flat = streams.windowed_counts(stream).select(F.col("w.start").alias("day"), "event_type", "n", "total")
-    flat.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(flat.schema).parquet(out)
