@@ -87,9 +87,3 @@ def pilot(scanned: DataFrame, by: str, pages: int = 12) -> DataFrame:
 def result_rows(hits: DataFrame, columns: list[str], snippet: int = 280) -> DataFrame:
     """Hits as an interface shows them: the named columns, score to four places, the head of the content."""
     return hits.select(*columns, F.round("score", 4).alias("score"), F.trim(F.substring("content", 1, snippet)).alias("snippet"))
-
-
-def pool_sizes(k: int, prefetch: int = 0, rerank_pool: int = 0) -> tuple[int, int]:
-    """(rerank pool, prefetch) of a search for k hits."""
-    pool = rerank_pool or max(prefetch, 4 * k)
-    return pool, max(pool, prefetch)

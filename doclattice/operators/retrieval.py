@@ -6,15 +6,13 @@ the side of the queries is small by nature, but the planner decides whether to b
 
 from __future__ import annotations
 
-import hashlib
-import re
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, TOKEN, exact_tags, is_token, longest_run, token_count, token_rows, tokenize
+from ..functions.text import exact_tags, is_token, longest_run, token_rows, tokenize
+from ..sources.sinks import written
 
 K1, B, RRF_K = 1.2, 0.75, 60
 SAFETY_BOOST, CURRENT_BOOST = 1.5, 1.1
@@ -24,22 +22,61 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, term, tf, dl of (doc_id, text), for the given terms (term) alone: they are matched before anything is counted."""
-    counted = docs.select("doc_id", token_count(F.col("text")).alias("dl"), token_rows(F.col("text")).alias("t"))  # before the explode, or dl is counted for each word
-    words = counted.select("doc_id", "dl", F.explode("t").alias("term")).where(is_token(F.col("term")))
-    return words.join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+class Postings:
+    """The token counts of a corpus (doc_id, text), written once: ``table`` has term, doc_id, tf, dl; ``n`` documents of ``avgdl`` tokens."""
+
+    def __init__(self, docs: DataFrame):
+        words = token_rows(F.coalesce("text", F.lit("")))
+        counted = docs.select("doc_id", F.size(F.filter(words, is_token)).alias("dl"), words.alias("t"))  # before the explode, or dl is counted for each word
+        tokens = counted.select("doc_id", "dl", F.explode("t").alias("term")).where(is_token(F.col("term")))
+        self.table = written(tokens.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl"))
+        lengths = self.table.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.sum("dl")).first()[0]
+        self.n = docs.count()
+        self.avgdl = (lengths or 0) / max(self.n, 1)
+
+    def impacts(self, terms: DataFrame) -> DataFrame:
+        """term, doc_id, w: the BM25 weight of every posting of the given terms (term)."""
+        post = self.table.join(terms, "term", "left_semi")
+        idf = post.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        return post.join(idf, "term").select("term", "doc_id", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl)))).alias("w"))
+
+    def vectors(self) -> DataFrame:
+        """doc_id, vec: token counts by slot; documents without tokens have none."""
+        slots = self.table.groupBy("doc_id", slot_of(F.col("term")).alias("slot")).agg(F.sum("tf").cast("double").alias("n"))
+        return _slot_sums(slots, ["doc_id"]).withColumnRenamed("vector", "vec")
+
+
+SLACK = 1e-6
+
+
+def bm25_candidates(impacts: DataFrame, terms: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """q_id, doc_id, part: pairs that may be among the k best, with what their essential terms add up to.
+
+    impacts: term, doc_id, w; terms: q_id, term. The k documents of greatest weight for each term are scored in full; a query's k-th best of them is a
+    score that the result can't fall below. Terms that can't reach it together, at their greatest weights, are not essential: a document that holds none but
+    those is no candidate, so that a frequent term makes no row for every document. The second result has the other terms (q_id, term)."""
+    most = impacts.groupBy("term").agg(F.max("w").alias("mx"))
+    heads = top(impacts, ["term"], [F.desc("w"), F.asc("doc_id")], k).select("term", "doc_id")
+    tried = terms.join(heads, "term").select("q_id", "doc_id").distinct()
+    full = tried.join(terms, "q_id").join(impacts, ["term", "doc_id"]).groupBy("q_id", "doc_id").agg(F.sum("w").alias("score"))
+    floor = top(full, ["q_id"], [F.desc("score"), F.asc("doc_id")], k).where(F.col("rank") == k).select("q_id", (F.col("score") - SLACK).alias("floor"))
+    bounds = terms.join(most, "term").join(floor, "q_id", "left")
+    upto = F.sum("mx").over(Window.partitionBy("q_id").orderBy("mx", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bounds = bounds.withColumn("upto", upto).withColumn("essential", F.col("floor").isNull() | (F.col("upto") >= F.col("floor")))
+    rest = bounds.groupBy("q_id").agg(F.coalesce(F.max(F.when(~F.col("essential"), F.col("upto"))), F.lit(0.0)).alias("rest"), F.max("floor").alias("floor"))
+    part = bounds.where("essential").select("q_id", "term").join(impacts, "term").groupBy("q_id", "doc_id").agg(F.sum("w").alias("part"))
+    kept = part.join(rest, "q_id").where(F.col("floor").isNull() | (F.col("part") + F.col("rest") >= F.col("floor"))).select("q_id", "doc_id", "part")
+    return kept, bounds.where(~F.col("essential")).select("q_id", "term")
 
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """q_id, doc_id, score of every pair that shares a term. Only the queries' terms are counted and weighted."""
-    terms = queries.select("q_id", F.explode(F.array_distinct(tokenize(F.col("q_text")))).alias("term"))
-    post = postings(docs, terms.select("term").distinct())
-    stats = docs.agg(F.count("*").alias("n"), F.avg(token_count(F.col("text"))).alias("avgdl")).first()
-    n, avgdl = F.lit(stats["n"]), F.lit(stats["avgdl"])
-    idf = post.groupBy("term").agg(F.log(1 + (n - F.count("*") + 0.5) / (F.count("*") + 0.5)).alias("idf"))
-    weighted = post.join(idf, "term").select("term", "doc_id", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))).alias("w"))
-    return terms.join(weighted, "term").groupBy("q_id", "doc_id").agg(F.sum("w").alias("score"))
+def bm25_top(post: Postings, queries: DataFrame, k: int) -> DataFrame:
+    """q_id, doc_id, score, rank: the k best documents of every query (q_id, q_text) by BM25."""
+    terms = written(queries.select("q_id", F.explode(F.array_distinct(tokenize(F.col("q_text")))).alias("term")))
+    impacts = written(post.impacts(terms.select("term").distinct()))
+    found, others = bm25_candidates(impacts, terms, k)
+    found = written(found)
+    more = found.select("q_id", "doc_id").join(others, "q_id").join(impacts, ["term", "doc_id"]).groupBy("q_id", "doc_id").agg(F.sum("w").alias("more"))
+    return ranked(found.join(more, ["q_id", "doc_id"], "left").select("q_id", "doc_id", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score")), k)
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -49,18 +86,30 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
 RANKED = "q_id long, doc_id long, score double"
 
 
-def _best(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, others: bool) -> list[pd.DataFrame]:
-    """The k most similar rows of x for every query; ``others`` leaves out the query's own id."""
+MATRIX_BYTES = 64 << 20
+
+
+def _best(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, others: bool, met: np.ndarray | None = None) -> pa.RecordBatch:
+    """The k most similar rows of x for every query; ``others`` leaves out the query's own id, ``met`` (rows, queries) tells which pairs count. Similarities are made in blocks of a fixed size."""
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    sim, out = np.round(unit(x) @ unit(q).T, 6), []
-    for j, q_id in enumerate(q_ids):
-        s = sim[:, j]
-        mine = np.flatnonzero(ids != q_id) if others else np.arange(len(ids))
-        if len(mine) > 4 * k:
-            mine = mine[s[mine] >= np.partition(s[mine], -k)[-k]]
-        mine = mine[np.lexsort((ids[mine], -s[mine]))][:k]
-        out.append(pd.DataFrame({"q_id": q_id, "doc_id": ids[mine], "score": s[mine]}))
-    return out
+    x, q, out = unit(x), unit(q), []
+    step = max(1, MATRIX_BYTES // (8 * max(1, len(ids))))
+    for a in range(0, len(q_ids), step):
+        sim = np.round(x @ q[a : a + step].T, 6)
+        for j in range(sim.shape[1]):
+            s, q_id = sim[:, j], q_ids[a + j]
+            mine = np.flatnonzero((ids != q_id if others else np.ones(len(ids), bool)) & (met[:, a + j] if met is not None else True))
+            if len(mine) > 4 * k:
+                mine = mine[s[mine] >= np.partition(s[mine], -k)[-k]]
+            mine = mine[np.lexsort((ids[mine], -s[mine]))][:k]
+            out.append((np.full(len(mine), q_id), ids[mine], s[mine]))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q_id", "doc_id", "score"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column without nulls as a matrix; all have one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
 def _blocks(queries: DataFrame, block: int):
@@ -78,15 +127,73 @@ def dense_ranked(vectors: DataFrame, queries: DataFrame, k: int, block: int = 10
         q_ids, qm = q["q_id"].to_numpy(), np.array([np.asarray(v, float) for v in q["qvec"]])
 
         def run(batches, q_ids=q_ids, qm=qm):
-            for pdf in batches:
-                if len(q_ids) and len(pdf):
-                    yield pd.concat(_best(pdf["doc_id"].to_numpy(), np.array([np.asarray(v, float) for v in pdf["vec"]]), q_ids, qm, k, others))
+            for batch in batches:
+                if len(q_ids) and batch.num_rows:
+                    yield _best(batch.column(0).to_numpy(), _matrix(batch.column(1)), q_ids, qm, k, others)
 
-        found = vectors.select(F.col("doc_id").cast("long"), "vec").mapInPandas(run, RANKED)
+        found = vectors.select(F.col("doc_id").cast("long"), "vec").mapInArrow(run, RANKED)
         out = found if out is None else out.unionByName(found)
     return top(out, ["q_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
+class Projections:
+    """Signs of random projections: ``tables`` buckets of ``bits`` bits for each vector; a query also probes the buckets that differ in one of its ``probes`` least certain bits."""
+
+    def __init__(self, dims: int, tables: int, bits: int, probes: int, seed: int = 17):
+        self.planes = np.random.default_rng(seed).normal(size=(dims, tables * bits))
+        self.tables, self.bits, self.probes = tables, bits, probes
+
+    def sides(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.planes).reshape(len(x), self.tables, self.bits)
+
+    def buckets(self, sides: np.ndarray) -> np.ndarray:
+        return (sides > 0) @ (1 << np.arange(self.bits))
+
+    def probed(self, q: np.ndarray) -> np.ndarray:
+        """(tables, buckets, queries): whether a query looks into a bucket."""
+        sides = self.sides(q)
+        own, weak = self.buckets(sides), np.argsort(np.abs(sides), axis=2)[:, :, : self.probes]
+        out = np.zeros((self.tables, 1 << self.bits, len(q)), bool)
+        each, at = np.arange(len(q)), np.arange(self.tables)[:, None]
+        out[at, own.T, each] = True
+        for p in range(self.probes):
+            out[at, (own ^ (1 << weak[:, :, p])).T, each] = True
+        return out
+
+    def met(self, x: np.ndarray, probed: np.ndarray) -> np.ndarray:
+        """(rows, queries): pairs that share a probed bucket in some table."""
+        own = self.buckets(self.sides(x))
+        out = np.zeros((len(x), probed.shape[2]), bool)
+        for t in range(self.tables):
+            out |= probed[t, own[:, t]]
+        return out
+
+
+def projected_ranked(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 12, bits: int = 8, probes: int = 2, block: int = 2_000, others: bool = True) -> DataFrame:
+    """As ``dense_ranked``, but a vector is compared only with the queries that probe one of its buckets: one scan of the vectors, no shuffle of them and no row for a pair.
+    Rows of a batch are sorted into buckets first, and only those that some query probes are scored."""
+    out = None
+    for q in _blocks(queries, block):
+        if not len(q):
+            continue
+        q_ids, qm = q["q_id"].to_numpy(), np.array([np.asarray(v, float) for v in q["qvec"]])
+        planes = Projections(qm.shape[1], tables, bits, probes)
+        probed = planes.probed(qm)
+
+        def run(batches, q_ids=q_ids, qm=qm, planes=planes, probed=probed):
+            for batch in batches:
+                ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+                step = max(1, MATRIX_BYTES // (8 * len(q_ids)))
+                for a in range(0, len(ids), step):
+                    met = planes.met(x[a : a + step], probed)
+                    some = met.any(axis=1)
+                    yield _best(ids[a : a + step][some], x[a : a + step][some], q_ids, qm, k, others, met[some])
+
+        found = vectors.select(F.col("doc_id").cast("long"), "vec").mapInArrow(run, RANKED)
+        out = found if out is None else out.unionByName(found)
+    return dense_ranked(vectors, queries, k) if out is None else top(out, ["q_id"], [F.desc("score"), F.asc("doc_id")], k)
+
+
 DIMS = 64
 
 
@@ -98,48 +205,20 @@ def slot_of(term: Column) -> Column:
 def slot_vectors(texts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, vector) of texts: a deterministic stand-in for an embedding service, token counts by slot."""
     words = texts.select(*keys, F.explode_outer(token_rows(F.coalesce("text", F.lit("")))).alias("term"))
-    counts = words.groupBy(*keys, F.when(is_token(F.col("term")), slot_of(F.col("term"))).alias("slot")).agg(F.count("*").cast("double").alias("n"))
-    # one sum for each slot: no group is held as a whole
-    sums = counts.groupBy(*keys).agg(*[F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0.0)).alias(f"s{i}") for i in range(DIMS)])
-    return sums.select(*keys, F.array(*[f"s{i}" for i in range(DIMS)]).alias("vector"))
-
+    return _slot_sums(words.groupBy(*keys, F.when(is_token(F.col("term")), slot_of(F.col("term"))).alias("slot")).agg(F.count("*").cast("double").alias("n")), keys)
 
-_TOKENS = re.compile(TOKEN)
 
-
-def hashed_vectors(texts: list[str], slots: dict[str, int]) -> np.ndarray:
-    """A deterministic stand-in for an embedding service: token counts by the first four hex digits of MD5. ``slots`` remembers tokens."""
-    out = np.zeros((len(texts), DIMS))
-    if len(slots) > 200_000:
-        slots.clear()
-    for i, text in enumerate(texts):
-        for t in _TOKENS.findall((text or "").lower()):
-            if len(t) > 2 and t not in STOPWORDS:
-                if t not in slots:
-                    slots[t] = int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % DIMS
-                out[i, slots[t]] += 1
-    return out
+def _slot_sums(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, slot, n) to one vector of sums; no group is held as a whole."""
+    sums = counts.groupBy(*keys).agg(*[F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0.0)).alias(f"s{i}") for i in range(DIMS)])
+    return sums.select(*keys, F.array(*[f"s{i}" for i in range(DIMS)]).alias("vector"))
 
 
-def hashed_ranked(docs: DataFrame, queries: DataFrame, k: int, block: int = 10_000) -> DataFrame:
-    """The dense ranking of (doc_id, text) for (q_id, q_text) by hashed vectors; texts without tokens aren't ranked."""
-    out = None
-    for q in _blocks(queries.select("q_id", "q_text"), block):
-        q_ids, qm = q["q_id"].to_numpy(), hashed_vectors(q["q_text"].tolist(), {})
-        some = qm.any(axis=1)
-
-        def run(batches, q_ids=q_ids[some], qm=qm[some]):
-            slots: dict[str, int] = {}
-            for pdf in batches:
-                x = hashed_vectors(pdf["text"].tolist(), slots)
-                full = x.any(axis=1)
-                if len(q_ids) and full.any():
-                    for found in _best(pdf["doc_id"].to_numpy()[full], x[full], q_ids, qm, k, False):
-                        yield found[found["score"] > 0]
-
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, RANKED)
-        out = found if out is None else out.unionByName(found)
-    return top(out, ["q_id"], [F.desc("score"), F.asc("doc_id")], k)
+def hashed_ranked(post: Postings, queries: DataFrame, k: int) -> DataFrame:
+    """The dense ranking of a corpus for (q_id, q_text) by hashed vectors; texts without tokens aren't ranked, nor are those without a common slot."""
+    asked = slot_vectors(queries.select("q_id", F.col("q_text").alias("text")), ["q_id"]).withColumnRenamed("vector", "qvec")
+    found = dense_ranked(post.vectors(), asked.where(F.exists("qvec", lambda x: x > 0)), k, others=False)
+    return found.where("score > 0")
 
 
 def rrf(first: DataFrame, second: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -158,9 +237,15 @@ def active_only(hits: DataFrame) -> DataFrame:
     return hits.where("coalesce(is_current, true) AND coalesce(nullif(version_status, ''), 'active') = 'active'")
 
 
-def dedup_sections(hits: DataFrame) -> DataFrame:
+def dedup_sections(hits: DataFrame, keys: tuple | list = ("q_id", "doc_id", "section")) -> DataFrame:
     """The first hit of each document and section in retrieval order; a null section is one section."""
-    return top(hits, ["q_id", "doc_id", "section"], [F.asc("rank"), F.asc("hit_id")], 1, "_rn").drop("_rn")
+    return top(hits, list(keys), [F.asc("rank"), F.asc("hit_id")], 1, "_rn").drop("_rn")
+
+
+def pool_sizes(k: int, prefetch: int = 0, rerank_pool: int = 0) -> tuple[int, int]:
+    """(rerank pool, prefetch) of a search for k hits."""
+    pool = rerank_pool or max(prefetch, 4 * k)
+    return pool, max(pool, prefetch)
 
 
 def tag_boost(query_text: Column, title: Column, content: Column, citation: Column, codes: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import insight, limits, motor, reports, retrieval
+from ..sources.sinks import written
 from ..streaming import streams
 from .corpus import TOKENS, part_texts, table
 
@@ -24,22 +25,48 @@ def query(sql: str | None = None):
     return add
 
 
-# Every benchmark passage is a query; documents that hold its head are the relevant ones.
-ASK = "q AS (SELECT item_id AS q_id, text FROM benchmark)"
+# Every benchmark passage is a query, some with a hazard and an asset code or with a guide number; documents that hold its head are the relevant ones.
+Q_TEXT = "text || CASE item_id % 4 WHEN 0 THEN ' riesgo FT-' || (100 + item_id % 5) WHEN 1 THEN ' GUIGS-' || (item_id % 9) ELSE '' END"
+ASK = f"q AS (SELECT item_id AS q_id, {Q_TEXT} AS text, text AS passage FROM benchmark)"
 HEAD = 60
-BM25 = f"""{ASK}, terms AS (SELECT DISTINCT q_id, unnest({TOKENS}) AS term FROM q), d AS (SELECT doc_id, {TOKENS} AS t FROM documents),
+
+# Documents as points of an index: those of superseded or unknown currency are no hits. Columns are SQL that both engines read.
+POINT = {
+    "document": "source",
+    "section": "'S' || (n_chars % 5)",
+    "title": "coalesce(source, '') || ' GUIGS-' || (doc_id % 9) || ' ' || substr(text, 1, 40)",
+    "code": "'FT-' || (100 + doc_id % 5)",
+    "criticality": "CASE WHEN doc_id % 3 = 0 THEN 'seguridad' ELSE 'normal' END",
+    "version_status": "CASE WHEN doc_id % 11 = 0 THEN 'superseded' WHEN doc_id % 2 = 0 THEN 'active' END",
+    "is_current": "CASE WHEN doc_id % 17 <> 0 THEN doc_id % 13 <> 0 END",
+    "version_label": "'Rev ' || (doc_id % 3)",
+    "page_start": "CASE WHEN doc_id % 2 = 0 THEN doc_id % 40 + 1 END",
+}
+POINTS = f"pt AS (SELECT doc_id, text, {', '.join(f'{x} AS {c}' for c, x in POINT.items())} FROM documents)"
+
+
+def bm25_sql(of: str) -> str:
+    return f"""{ASK}, {POINTS}, terms AS (SELECT DISTINCT q_id, unnest({TOKENS}) AS term FROM q), d AS (SELECT doc_id, {TOKENS} AS t FROM {of}),
 stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d), post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY ALL),
 idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post, stats GROUP BY term, n),
 bm AS (SELECT q_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM terms JOIN post USING (term) JOIN idf USING (term), stats GROUP BY q_id, doc_id)"""
 
 
+BM25 = bm25_sql("documents")
+BM25_CURRENT = bm25_sql("(SELECT * FROM pt WHERE is_current)")
+
+
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("q_text"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.expr(Q_TEXT).alias("q_text"), F.col("text").alias("passage"))
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text", *[F.expr(x).alias(c) for c, x in POINT.items()])
 
 
 @query(f"WITH {BM25} SELECT q_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return retrieval.ranked(retrieval.bm25(table(spark, d, "documents"), asked(spark, d)), 10)
+    return retrieval.bm25_top(retrieval.Postings(table(spark, d, "documents")), asked(spark, d), 10)
 
 
 def vectors(spark, d):
@@ -70,49 +97,57 @@ SLOT = "CAST('0x' || substr(md5(term), 1, 4) AS INT) % 64"
 OVERLAP = f"""qv AS (SELECT q_id, {SLOT} AS slot, count(*)::DOUBLE AS c FROM (SELECT q_id, unnest({TOKENS}) AS term FROM q) GROUP BY ALL), dv AS (SELECT doc_id, {SLOT} AS slot, sum(tf)::DOUBLE AS c FROM post GROUP BY ALL),
 qn AS (SELECT q_id, sqrt(sum(c * c)) AS n FROM qv GROUP BY q_id), dn AS (SELECT doc_id, sqrt(sum(c * c)) AS n FROM dv GROUP BY doc_id),
 ov AS (SELECT q_id, doc_id, round(sum(qv.c * dv.c) / (any_value(qn.n) * any_value(dn.n)), 6) AS score FROM qv JOIN dv USING (slot) JOIN qn USING (q_id) JOIN dn USING (doc_id) GROUP BY q_id, doc_id)"""
-RANKS = f"""{BM25}, {OVERLAP}, r1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 20), r2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM ov) WHERE rank <= 20),
+def ranks_sql(bm25: str) -> str:
+    return f"""{bm25}, {OVERLAP}, r1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 20), r2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM ov) WHERE rank <= 20),
 fused AS (SELECT q_id, doc_id, round(coalesce(1.0::DOUBLE / (60 + r1.rank), 0) + coalesce(1.0::DOUBLE / (60 + r2.rank), 0), 9) AS score FROM r1 FULL JOIN r2 USING (q_id, doc_id))"""
 
 
-def fused(spark, d):
-    docs, q = table(spark, d, "documents"), asked(spark, d)
-    return retrieval.rrf(retrieval.ranked(retrieval.bm25(docs, q), 20), retrieval.hashed_ranked(docs, q, 20))
+def fused(spark, d, docs, n):
+    post, q = retrieval.Postings(docs), asked(spark, d)
+    return retrieval.rrf(retrieval.bm25_top(post, q, n), retrieval.hashed_ranked(post, q, n))
 
 
-@query(f"WITH {RANKS} SELECT q_id, doc_id, score FROM fused")
+@query(f"WITH {ranks_sql(BM25)} SELECT q_id, doc_id, score FROM fused")
 def rrf_fusion(spark, d):
-    return fused(spark, d)
+    return fused(spark, d, table(spark, d, "documents"), 20)
 
 
-HITS = f"""{RANKS}, hits AS (SELECT q_id, f.doc_id, f.score * 1.1 AS score, source AS section, doc_id AS hit_id, row_number() OVER (PARTITION BY q_id ORDER BY f.score DESC, doc_id) AS rank FROM fused f JOIN documents d USING (doc_id)),
-kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id, section ORDER BY rank) AS rn FROM hits) WHERE rn = 1)"""
+LIMIT = 5
+HITS = f"""{ranks_sql(BM25_CURRENT)}, pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= 20),
+hits AS (SELECT q_id, f.doc_id, f.rank, pt.* EXCLUDE (doc_id), f.score * CASE WHEN regexp_matches(q.text, '(?i){T.SAFETY_QUERY}') AND criticality = 'seguridad' THEN 1.5 ELSE 1 END * 1.1 AS score FROM pool f JOIN pt USING (doc_id) JOIN q USING (q_id) WHERE coalesce(version_status, 'active') = 'active'),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id, document, section ORDER BY rank) AS rn FROM hits) WHERE rn = 1)"""
 
 
 def hits(spark, d):
-    """Fused hits with their source as the section; every document is current and active."""
-    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("section"))
-    rows = retrieval.top(fused(spark, d), ["q_id"], [F.desc("score"), F.asc("doc_id")], 1 << 30).join(docs, "doc_id")
-    rows = rows.withColumns({"hit_id": F.col("doc_id"), "is_current": F.lit(True), "version_status": F.lit("active")})
-    score = retrieval.boost(F.col("score"), F.lit(False), F.lit(False), F.col("is_current"))
-    return retrieval.active_only(rows).withColumn("score", score)
+    """Hits of all queries over current points: the pool of the fused lists, without versions that aren't active, boosted; the first of each document and section in retrieval order."""
+    pool, prefetch = retrieval.pool_sizes(LIMIT, 20)
+    docs = points(spark, d)
+    best = written(retrieval.top(fused(spark, d, docs.where("is_current").select("doc_id", "text"), prefetch), ["q_id"], [F.desc("score"), F.asc("doc_id")], pool))
+    rows = retrieval.active_only(best.join(docs, "doc_id")).join(asked(spark, d), "q_id").withColumn("hit_id", F.col("doc_id"))
+    score = retrieval.boost(F.col("score"), T.is_safety_query(F.col("q_text")), F.col("criticality") == "seguridad", F.coalesce("is_current", F.lit(False)))
+    return retrieval.dedup_sections(rows.withColumn("score", score), ["q_id", "document", "section"])
 
 
-@query(f"WITH {HITS} SELECT q_id, section, min_by(doc_id, rank) AS doc_id, round(max_by(score, -rank), 6) AS score FROM hits GROUP BY q_id, section")
+@query(f"WITH {HITS} SELECT q_id, document, section, doc_id, round(score, 6) AS score FROM kept")
 def boost_dedup(spark, d):
-    by_source = hits(spark, d).withColumn("doc", F.col("doc_id")).withColumn("doc_id", F.lit(0))
-    return retrieval.dedup_sections(by_source).select("q_id", "section", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+    return hits(spark, d).select("q_id", "document", "section", "doc_id", F.round("score", 6).alias("score"))
 
 
-RERANK = f"""{HITS}, qt AS (SELECT q_id, {TOKENS} AS qt FROM q), rr AS (SELECT q_id, doc_id, kept.rank, section, round(0.35 * score + 0.45 * (len(list_filter(qt, lambda t: list_contains(x.t, t))) / greatest(len(qt), 1)), 6) AS final FROM kept JOIN qt USING (q_id) JOIN d x USING (doc_id))"""
+_FLAGS = "array_to_string(list_transform(qt, lambda t: CASE WHEN contains(lower(title), t) THEN '1' ELSE '0' END), '')"
+_TAGS = "list_distinct(list_transform(" + " || ".join(f"regexp_extract_all(qtext, '{p}')" for p in (T.QUERY_TAG, T.DOC_CODE, T.ACRONYM)) + ", lambda t: upper(t)))"
+RERANK = f"""{HITS}, qt AS (SELECT q_id, text AS qtext, {TOKENS} AS qt FROM q),
+parts AS (SELECT kept.*, qt, {_FLAGS} AS flags, len(list_filter(qt, lambda t: list_contains(x.t, t))) / greatest(len(qt), 1) AS overlap, len(list_filter({_TAGS}, lambda t: contains(upper(concat_ws(' ', title, kept.text)), t))) AS n_tags, CASE WHEN contains(upper(qtext), upper(code)) THEN 1 ELSE 0 END AS n_codes FROM kept JOIN qt USING (q_id) JOIN d x USING (doc_id)),
+rr AS (SELECT *, round(0.35 * score + 0.45 * overlap + least(0.18 * n_tags + 0.22 * n_codes, 0.8) + CASE WHEN len(qt) < 2 THEN 0 WHEN contains(lower(title), substr(array_to_string(qt, ' '), 1, 24)) THEN 0.25 WHEN contains(flags, '111') THEN 0.2 WHEN contains(flags, '11') THEN 0.1 ELSE 0 END, 6)::DOUBLE AS final FROM parts)"""
 
 
 def reranked(spark, d):
-    by_source = hits(spark, d).withColumn("doc", F.col("doc_id")).withColumn("doc_id", F.lit(0))
-    kept = retrieval.dedup_sections(by_source).withColumn("doc_id", F.col("doc")).drop("doc")
-    texts = table(spark, d, "documents").select("doc_id", "text")
-    q = asked(spark, d).select("q_id", T.tokenize(F.col("q_text")).alias("qt"))
-    score = retrieval.rerank_score(F.col("score"), F.col("qt"), F.col("text"), F.lit(""), F.lit(0))
-    return kept.join(q, "q_id").join(texts, "doc_id").select("q_id", "doc_id", "rank", "section", F.round(score, 6).alias("final"))
+    """All hits with their final score, written once."""
+    query_tokens, none = T.tokenize(F.col("q_text")), F.lit("")
+    tags = retrieval.tag_boost(F.col("q_text"), F.col("title"), F.col("text"), none, F.array("code"))
+    score = retrieval.rerank_score(F.col("score"), query_tokens, F.col("text"), F.col("title"), tags)
+    relevant = F.contains("text", F.substring("passage", 1, HEAD))
+    rows = hits(spark, d).withColumns({"final": F.round(score, 6), "relevant": relevant, "n_text": F.length("text").cast("long")})
+    return written(rows.drop("text", "q_text", "passage"))
 
 
 @query(f"WITH {RERANK} SELECT q_id, doc_id, final FROM rr")
@@ -120,29 +155,33 @@ def rerank_score(spark, d):
     return reranked(spark, d).select("q_id", "doc_id", "final")
 
 
-@query(f"WITH {RERANK} SELECT q_id, pos AS rank, r.doc_id, final AS score, 'doc ' || r.doc_id || ' — ' || source AS citation FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY final DESC, doc_id) AS pos FROM rr) r JOIN documents USING (doc_id) WHERE pos <= 5")
+BEST = f"best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY final DESC, doc_id) AS pos FROM rr) WHERE pos <= {LIMIT})"
+
+
+def best_hits(spark, d):
+    return retrieval.top(reranked(spark, d).drop("rank"), ["q_id"], [F.desc("final"), F.asc("doc_id")], LIMIT)
+
+
+@query(f"WITH {RERANK}, {BEST} SELECT q_id, pos AS rank, doc_id, final AS score, title || ' (' || version_label || ') — ' || CASE WHEN page_start IS NOT NULL THEN 'pág. ' || page_start ELSE section END AS citation FROM best")
 def hybrid_search(spark, d):
-    best = retrieval.top(reranked(spark, d).drop("rank"), ["q_id"], [F.desc("final"), F.asc("doc_id")], 5)
-    title = F.concat(F.lit("doc "), F.col("doc_id").cast("string"))
-    none = F.lit(None)
-    return best.select("q_id", "rank", "doc_id", F.col("final").alias("score"), T.citation(title, none.cast("string"), none.cast("int"), none.cast("int"), F.col("section"), F.lit(0)).alias("citation"))
+    none = F.lit(None).cast("int")
+    return best_hits(spark, d).select("q_id", "rank", "doc_id", F.col("final").alias("score"), T.citation(F.col("title"), F.col("version_label"), F.col("page_start"), none, F.col("section"), F.lit(0)).alias("citation"))
 
 
-@query(f"WITH {RERANK} SELECT q_id, r.doc_id, lang, coalesce(quality, -1) AS quality, length(text) AS n_text FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY final DESC, doc_id) AS pos FROM rr) r JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id) WHERE pos <= 5")
+@query(f"WITH {RERANK}, {BEST} SELECT q_id, doc_id, lang, coalesce(quality, -1) AS quality, length(best.text) AS n_text, criticality FROM best JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id)")
 def search_enriched(spark, d):
-    best = hybrid_search(spark, d).select("q_id", "doc_id")
-    docs = table(spark, d, "documents").select("doc_id", "lang", F.length("text").cast("long").alias("n_text"))
-    return best.join(docs, "doc_id", "left").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("q_id", "doc_id", "lang", F.coalesce("quality", F.lit(-1)).alias("quality"), "n_text")
+    best = best_hits(spark, d).select("q_id", "doc_id", "n_text", "criticality")
+    enriched = best.join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "left").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return enriched.select("q_id", "doc_id", "lang", F.coalesce("quality", F.lit(-1)).alias("quality"), "n_text", "criticality")
 
 
-JUDGED = "j AS (SELECT r.q_id, pos AS rank, contains(x.text, substr(q.text, 1, 60)) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY {by}, doc_id) AS pos FROM rr) r JOIN documents x USING (doc_id) JOIN q USING (q_id)), per AS (SELECT q_id, min(rank) FILTER (relevant) AS best, count(*) FILTER (relevant AND rank <= 1) AS n1, count(*) FILTER (relevant AND rank <= 3) AS n3, count(*) FILTER (relevant AND rank <= 5) AS n5, count(*) FILTER (relevant AND rank <= 8) AS n8 FROM j GROUP BY q_id)"
+JUDGED = "j AS (SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY {by}, doc_id) AS rank, contains(rr.text, substr(passage, 1, 60)) AS relevant FROM rr JOIN (SELECT q_id, passage FROM q) USING (q_id)), per AS (SELECT q_id, min(rank) FILTER (relevant) AS best, count(*) FILTER (relevant AND rank <= 1) AS n1, count(*) FILTER (relevant AND rank <= 3) AS n3, count(*) FILTER (relevant AND rank <= 5) AS n5, count(*) FILTER (relevant AND rank <= 8) AS n8 FROM j GROUP BY q_id)"
 METRICS = "count(*) AS n_cases, round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr, " + ", ".join(f"round(avg(CASE WHEN best <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate_at_{k}, round(avg(coalesce(n{k}, 0) / {k}.0::DOUBLE), 6) AS precision_at_{k}" for k in (1, 3, 5, 8))
 
 
-def judged(spark, d, order):
-    rows = retrieval.top(reranked(spark, d).withColumnRenamed("rank", "first_rank"), ["q_id"], [order, F.asc("doc_id")], 1 << 30)
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return rows.join(docs, "doc_id").join(asked(spark, d), "q_id").select("q_id", "rank", F.contains("text", F.substring("q_text", 1, HEAD)).alias("relevant"))
+def judged(rows, order):
+    """Places of all hits of a query by an order; a pool has at most 20 of them."""
+    return retrieval.top(rows.withColumnRenamed("rank", "first_rank"), ["q_id"], [order, F.asc("doc_id")], 20).select("q_id", "rank", "relevant")
 
 
 def cases(spark, d):
@@ -151,14 +190,18 @@ def cases(spark, d):
 
 @query(f"WITH {RERANK}, {JUDGED.format(by='final DESC')} SELECT q_id % 4 AS category, {METRICS} FROM q LEFT JOIN per USING (q_id) GROUP BY ROLLUP (q_id % 4)")
 def golden_metrics(spark, d):
-    return reports.retrieval_metrics(judged(spark, d, F.desc("final")), cases(spark, d), "category")
+    return reports.retrieval_metrics(judged(reranked(spark, d), F.desc("final")), cases(spark, d), "category")
 
 
-@query(f"WITH {RERANK}, {JUDGED.format(by='r_rank').replace('PARTITION BY q_id ORDER BY r_rank', 'PARTITION BY q_id ORDER BY rr.rank')}, a AS (SELECT {METRICS} FROM q LEFT JOIN per USING (q_id)), {JUDGED.format(by='final DESC').replace('j AS', 'j2 AS', 1).replace('per AS', 'per2 AS').replace('FROM j GROUP', 'FROM j2 GROUP')}, b AS (SELECT {METRICS} FROM q LEFT JOIN per2 USING (q_id)) SELECT a.mrr AS mrr_off, b.mrr AS mrr_on, round(b.mrr - a.mrr, 6) AS delta FROM a, b")
+@query(f"WITH {RERANK}, {JUDGED.format(by='rr.rank')}, a AS (SELECT {METRICS} FROM q LEFT JOIN per USING (q_id)), {JUDGED.format(by='final DESC').replace('j AS', 'j2 AS', 1).replace('per AS', 'per2 AS').replace('FROM j GROUP', 'FROM j2 GROUP')}, b AS (SELECT {METRICS} FROM q LEFT JOIN per2 USING (q_id)) SELECT a.mrr AS mrr_off, b.mrr AS mrr_on, round(b.mrr - a.mrr, 6) AS delta FROM a, b")
 def rerank_delta(spark, d):
-    off = reports.retrieval_metrics(judged(spark, d, F.asc("first_rank")), cases(spark, d)).select(F.col("mrr").alias("mrr_off"))
-    on = reports.retrieval_metrics(judged(spark, d, F.desc("final")), cases(spark, d)).select(F.col("mrr").alias("mrr_on"))
-    return off.crossJoin(on).withColumn("delta", F.round(F.col("mrr_on") - F.col("mrr_off"), 6))
+    """The mean reciprocal rank without and with the rerank, from one run of the search."""
+    rows, asked_ = reranked(spark, d), cases(spark, d)
+    both = judged(rows, F.asc("first_rank")).withColumn("category", F.lit("off")).unionByName(judged(rows, F.desc("final")).withColumn("category", F.lit("on")))
+    per = both.groupBy("category", "q_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("best"))
+    wide = asked_.join(per.groupBy("q_id").agg(*[F.max(F.when(F.col("category") == c, F.col("best"))).alias(c) for c in ("off", "on")]), "q_id", "left")
+    means = wide.agg(*[F.round(F.avg(F.coalesce(1.0 / F.col(c), F.lit(0.0))), 6).alias(f"mrr_{c}") for c in ("off", "on")])
+    return means.withColumn("delta", F.round(F.col("mrr_on") - F.col("mrr_off"), 6))
 
 
 @query(f"SELECT document_key, count(DISTINCT v) AS n_versions, string_agg(DISTINCT v, ', ' ORDER BY v) AS versions FROM (SELECT p_brand AS document_key, 'Rev ' || (p_size % 5) AS v FROM part) GROUP BY document_key HAVING count(DISTINCT v) >= 2")
