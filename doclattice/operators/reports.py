@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import written
 
 def status_summary(files: DataFrame) -> DataFrame:
     """All counters of the corpus in one pass: (status, indexed, n_tokens)."""
@@ -44,11 +45,43 @@ def folder_tree(paths: DataFrame) -> DataFrame:
     return paths.where(F.contains("path", F.lit("/"))).select(F.explode(prefixes).alias("folder")).groupBy("folder").agg(F.count("*").alias("n_files"))
 
 
-def latency(requests: DataFrame, by: str, value: str = "ms", ok: Column | None = None) -> DataFrame:
-    """Count, errors, extremes, mean and linearly interpolated percentiles."""
-    good = F.lit(True) if ok is None else ok
+def exact_percentiles(rows: DataFrame, by: str, value: str, ps: tuple[float, ...], accuracy: int = 10_000) -> DataFrame:
+    """(by, p, x): linearly interpolated percentiles of every group, without a group's values in one task.
+
+    A quantile sketch proposes a bracket of values around each percentile; rows below it are counted and those within it are counted by value. The counts tell whether the
+    two values that a percentile lies between are in the bracket; if not, brackets are made wider. Null values are left out."""
+    rows = rows.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    slack = 2.0 / accuracy
+    while True:
+        ends = [min(1.0, max(0.0, p + side * slack)) for p in ps for side in (-1, 1)]
+        sketch = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile_approx("v", ends, accuracy).alias("q"))
+        low = [F.col("lo") if p <= slack else F.col("q")[2 * i] for i, p in enumerate(ps)]
+        high = [F.col("hi") if p + slack >= 1 else F.col("q")[2 * i + 1] for i, p in enumerate(ps)]
+        parts = F.array(*[F.struct(F.lit(p).alias("p"), a.alias("lo"), b.alias("hi"), (F.lit(p) * (F.col("n") - 1)).alias("at")) for p, a, b in zip(ps, low, high, strict=True)])
+        brackets = written(sketch.select(F.col("g").alias("b_g"), F.explode(parts).alias("b")).select("b_g", "b.*"))
+        met = rows.join(brackets, F.col("g").eqNullSafe(F.col("b_g"))).where(F.col("v") <= F.col("hi"))
+        counts = met.groupBy("b_g", "p", "at", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("x")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("b_g", "p").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        placed = counts.withColumn("to", upto)
+        holds = lambda k: F.max(F.when((k < F.col("to")) & (k >= F.col("to") - F.col("n")), F.col("x")))
+        found = written(placed.groupBy("b_g", "p", "at").agg(holds(F.floor("at")).alias("x0"), holds(F.ceil("at")).alias("x1")))
+        if slack >= 1 or not found.where("x0 IS NULL OR x1 IS NULL").limit(1).count():
+            return found.select(F.col("b_g").alias(by), "p", (F.col("x0") + (F.col("x1") - F.col("x0")) * (F.col("at") - F.floor("at"))).alias("x"))
+        slack *= 8
+
+
+def latency(requests: DataFrame, by: str, value: str = "ms", ok: Column | None = None, wall_ms: float | None = None) -> DataFrame:
+    """Count, errors and their share in percent, extremes, mean, linearly interpolated percentiles, total time (``wall_ms`` if given, else the sum) and good requests a second."""
+    good = F.col(value) >= 0 if ok is None else ok
+    good = F.coalesce(good, F.lit(False))
     v = F.when(good, F.col(value))
-    return requests.groupBy(by).agg(F.count("*").alias("n"), F.count_if(~good).alias("errors"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.round(F.avg(v), 6).alias("mean"), *[F.round(F.percentile(v, p), 6).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    total = F.coalesce(F.sum(v), F.lit(0.0)) if wall_ms is None else F.lit(wall_ms)
+    base = requests.groupBy(by).agg(F.count("*").alias("n"), F.count_if(~good).alias("errors"), F.round(100.0 * F.count_if(~good) / F.count("*"), 2).alias("error_pct"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.round(F.avg(v), 6).alias("mean"), F.round(total, 4).alias("total"), F.count(v).alias("ok"))
+    names = {0.5: "p50", 0.95: "p95", 0.99: "p99"}
+    found = exact_percentiles(requests.withColumn("_v", v), by, "_v", tuple(names))
+    wide = found.groupBy(F.col(by).alias("p_by")).agg(*[F.round(F.max(F.when(F.col("p") == p, F.col("x"))), 6).alias(n) for p, n in names.items()])
+    rps = F.when(F.col("total") > 0, F.round(F.col("ok") / (F.col("total") / 1000), 6)).otherwise(0.0)
+    return base.join(wide, F.col(by).eqNullSafe(F.col("p_by")), "left").withColumn("rps", rps).drop("ok", "p_by")
 
 
 def retrieval_metrics(judged: DataFrame, cases: DataFrame, by: str | None = None, cuts: tuple[int, ...] = (1, 3, 5, 8)) -> DataFrame:

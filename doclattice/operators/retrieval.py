@@ -22,27 +22,35 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
-class Postings:
-    """The token counts of a corpus (doc_id, text), written once: ``table`` has term, doc_id, tf, dl; ``n`` documents of ``avgdl`` tokens."""
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer parts than there are, as a small file does; a large input is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+class Tokens:
+    """The tokens of a corpus (doc_id, text), made and written once: ``table`` has doc_id, t (all tokens, with repeats); ``n`` documents of ``avgdl`` tokens."""
 
     def __init__(self, docs: DataFrame):
-        words = token_rows(F.coalesce("text", F.lit("")))
-        counted = docs.select("doc_id", F.size(F.filter(words, is_token)).alias("dl"), words.alias("t"))  # before the explode, or dl is counted for each word
-        tokens = counted.select("doc_id", "dl", F.explode("t").alias("term")).where(is_token(F.col("term")))
-        self.table = written(tokens.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl"))
-        lengths = self.table.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.sum("dl")).first()[0]
-        self.n = docs.count()
+        words = spread(docs.select("doc_id", "text")).select("doc_id", F.filter(token_rows(F.coalesce("text", F.lit(""))), is_token).alias("t"))
+        self.table = written(words)
+        self.n, lengths = self.table.agg(F.count("*"), F.sum(F.size("t"))).first()
         self.avgdl = (lengths or 0) / max(self.n, 1)
 
+    def postings(self, terms: DataFrame) -> DataFrame:
+        """term, doc_id, tf, dl for the given terms (term) alone: they are matched before anything is counted."""
+        words = self.table.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms, "term", "left_semi")
+        return words.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+
     def impacts(self, terms: DataFrame) -> DataFrame:
-        """term, doc_id, w: the BM25 weight of every posting of the given terms (term)."""
-        post = self.table.join(terms, "term", "left_semi")
+        """term, doc_id, w: the BM25 weight of every posting of the given terms, written."""
+        post = written(self.postings(terms))
         idf = post.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
         return post.join(idf, "term").select("term", "doc_id", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl)))).alias("w"))
 
     def vectors(self) -> DataFrame:
         """doc_id, vec: token counts by slot; documents without tokens have none."""
-        slots = self.table.groupBy("doc_id", slot_of(F.col("term")).alias("slot")).agg(F.sum("tf").cast("double").alias("n"))
+        slots = self.table.select("doc_id", F.explode("t").alias("term")).groupBy("doc_id", slot_of(F.col("term")).alias("slot")).agg(F.count("*").cast("double").alias("n"))
         return _slot_sums(slots, ["doc_id"]).withColumnRenamed("vector", "vec")
 
 
@@ -69,10 +77,10 @@ def bm25_candidates(impacts: DataFrame, terms: DataFrame, k: int) -> tuple[DataF
     return kept, bounds.where(~F.col("essential")).select("q_id", "term")
 
 
-def bm25_top(post: Postings, queries: DataFrame, k: int) -> DataFrame:
+def bm25_top(corpus: Tokens, queries: DataFrame, k: int) -> DataFrame:
     """q_id, doc_id, score, rank: the k best documents of every query (q_id, q_text) by BM25."""
     terms = written(queries.select("q_id", F.explode(F.array_distinct(tokenize(F.col("q_text")))).alias("term")))
-    impacts = written(post.impacts(terms.select("term").distinct()))
+    impacts = corpus.impacts(terms.select("term").distinct())
     found, others = bm25_candidates(impacts, terms, k)
     found = written(found)
     more = found.select("q_id", "doc_id").join(others, "q_id").join(impacts, ["term", "doc_id"]).groupBy("q_id", "doc_id").agg(F.sum("w").alias("more"))
@@ -214,10 +222,10 @@ def _slot_sums(counts: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, F.array(*[f"s{i}" for i in range(DIMS)]).alias("vector"))
 
 
-def hashed_ranked(post: Postings, queries: DataFrame, k: int) -> DataFrame:
+def hashed_ranked(corpus: Tokens, queries: DataFrame, k: int) -> DataFrame:
     """The dense ranking of a corpus for (q_id, q_text) by hashed vectors; texts without tokens aren't ranked, nor are those without a common slot."""
     asked = slot_vectors(queries.select("q_id", F.col("q_text").alias("text")), ["q_id"]).withColumnRenamed("vector", "qvec")
-    found = dense_ranked(post.vectors(), asked.where(F.exists("qvec", lambda x: x > 0)), k, others=False)
+    found = dense_ranked(corpus.vectors(), asked.where(F.exists("qvec", lambda x: x > 0)), k, others=False)
     return found.where("score > 0")
 
 

@@ -337,7 +337,7 @@ def report_recommendations(spark, d):
     return reports.recommendations(folder_coverage(spark, d))
 
 
-@query("SELECT event_type, count(*) AS n, count(*) FILTER (value <= 0) AS errors, min(value) FILTER (value > 0) AS lo, max(value) FILTER (value > 0) AS hi, round(avg(value) FILTER (value > 0), 6) AS mean, round(quantile_cont(value, 0.5) FILTER (value > 0), 6) AS p50, round(quantile_cont(value, 0.95) FILTER (value > 0), 6) AS p95, round(quantile_cont(value, 0.99) FILTER (value > 0), 6) AS p99 FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (value <= 0) AS errors, min(value) FILTER (value > 0) AS lo, max(value) FILTER (value > 0) AS hi, round(avg(value) FILTER (value > 0), 6) AS mean, round(quantile_cont(value, 0.5) FILTER (value > 0), 6) AS p50, round(quantile_cont(value, 0.95) FILTER (value > 0), 6) AS p95, round(quantile_cont(value, 0.99) FILTER (value > 0), 6) AS p99, round(100.0 * count(*) FILTER (value <= 0) / count(*), 2) AS error_pct, round(sum(value) FILTER (value > 0), 4) AS total, round(count(*) FILTER (value > 0) / (round(sum(value) FILTER (value > 0), 4) / 1000), 6) AS rps FROM events GROUP BY event_type")
 def latency_stats(spark, d):
     return reports.latency(table(spark, d, "events"), "event_type", "value", F.col("value") > 0)
 

@@ -66,7 +66,7 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {BM25} SELECT q_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return retrieval.bm25_top(retrieval.Postings(table(spark, d, "documents")), asked(spark, d), 10)
+    return retrieval.bm25_top(retrieval.Tokens(table(spark, d, "documents")), asked(spark, d), 10)
 
 
 def vectors(spark, d):
@@ -92,6 +92,12 @@ def neighbours_threshold(spark, d):
     return retrieval.neighbours(vectors(spark, d), seeds(spark, d), 0.3, 12).select("q_id", "doc_id", "score")
 
 
+@query()
+def neighbours_projected(spark, d):
+    """The nearest vectors of every seed among those that share a bucket of random projections with it; the vectors have no structure, so buckets are wide."""
+    return retrieval.projected_ranked(vectors(spark, d), seeds(spark, d), 10, tables=24, bits=4, probes=1)
+
+
 # The dense ranking: cosine of hashed token counts, a stand-in for an embedding service.
 SLOT = "CAST('0x' || substr(md5(term), 1, 4) AS INT) % 64"
 OVERLAP = f"""qv AS (SELECT q_id, {SLOT} AS slot, count(*)::DOUBLE AS c FROM (SELECT q_id, unnest({TOKENS}) AS term FROM q) GROUP BY ALL), dv AS (SELECT doc_id, {SLOT} AS slot, sum(tf)::DOUBLE AS c FROM post GROUP BY ALL),
@@ -103,8 +109,8 @@ fused AS (SELECT q_id, doc_id, round(coalesce(1.0::DOUBLE / (60 + r1.rank), 0) +
 
 
 def fused(spark, d, docs, n):
-    post, q = retrieval.Postings(docs), asked(spark, d)
-    return retrieval.rrf(retrieval.bm25_top(post, q, n), retrieval.hashed_ranked(post, q, n))
+    corpus, q = retrieval.Tokens(docs), asked(spark, d)
+    return retrieval.rrf(retrieval.bm25_top(corpus, q, n), retrieval.hashed_ranked(corpus, q, n))
 
 
 @query(f"WITH {ranks_sql(BM25)} SELECT q_id, doc_id, score FROM fused")
@@ -308,7 +314,7 @@ m AS (SELECT r.*, limit_id, CASE WHEN event_type < 'd' THEN 'max_temp' ELSE 'min
 
 def matched(spark, d):
     e = table(spark, d, "events")
-    found = e.groupBy(F.col("event_type").alias("limit_tag")).agg(F.min("event_id").alias("limit_id"), F.percentile("value", 0.9).alias("limit_value"))
+    found = e.groupBy(F.col("event_type").alias("limit_tag")).agg(F.min("event_id").alias("limit_id")).join(reports.exact_percentiles(e, "event_type", "value", (0.9,)).select(F.col("event_type").alias("limit_tag"), F.col("x").alias("limit_value")), "limit_tag")
     found = found.withColumns({"limit_unit": F.lit("°C"), "kind": F.when(F.col("limit_tag") < "d", "max_temp").otherwise("min_flow")})
     readings = e.select(F.col("event_id").alias("reading_id"), F.col("event_type").alias("tag"), F.lit("°C").alias("unit"), "value", F.when(F.col("event_id") % 2 == 0, 20.0).alias("nominal"))
     return limits.match_limits(readings, found)
