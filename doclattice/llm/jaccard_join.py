@@ -19,13 +19,11 @@ Method (token-combination prefixes):
 
 Hash buckets hold about ``BUCKET`` hashes each, from the measured number of all shingles, so that a worker's memory
 doesn't grow with the corpus; tasks send more at once where there are many buckets. Shingles of more than a thousandth of all
-documents are found first (a mean set size times a thousand at most, which is checked), are
-broadcast, and don't enter the buckets.
+documents, the ``MAX_HOT`` most frequent of them at most, are found first, are broadcast, and don't enter the buckets.
 
 Edge cases: null and blank texts have an empty set and link with nothing; fewer than five words
 make one shingle of the whole sequence; words are lower-cased for A-Z only; repeated rows
-of a document get the same result; a doc_id that comes with different texts links with nothing
-(component: itself), but other documents with one of its texts link as usual; a null doc_id gets a null component; empty tables give no rows; other
+of a document get the same result; a doc_id that comes with different texts is one document that links by each of them; a null doc_id gets a null component; empty tables give no rows; other
 columns are ignored.
 """
 
@@ -47,7 +45,8 @@ from .components import components
 _U = np.uint64
 FLUSH = 1 << 19  # hashes held by a task before they are sorted and sent
 BUCKET = 1 << 20  # hashes of a bucket
-MAX_HOT = 4_000_000
+MAX_HOT = 4_000_000  # 32 MB of hashes
+OWN_IDS = -(1 << 62)  # ids of rows whose doc_id has several texts go down from here
 
 
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -419,26 +418,34 @@ def jaccard_classes(docs: DataFrame, rare: int = 16) -> DataFrame:
     parts = max(partitions(spark), (n_shingles or 0) // BUCKET)
     buckets = 2 * parts
     floor = max(1000, n_rows / 1000)
-    hot = found.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).select("d1").limit(MAX_HOT + 1).collect()
-    if len(hot) > MAX_HOT:
-        raise ValueError("sets are too large for the broadcast of frequent shingles")
+    hot = found.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).orderBy(F.desc("n"), "d1").select("d1").limit(MAX_HOT).collect()
     hot = np.sort(np.array([r[0] for r in hot], np.int64).view(_U))
 
-    # ids of several texts stand aside; the least of the others stands for all of one set
     many = stash(rows.where("id IS NOT NULL").groupBy("id").agg(F.min("d1").alias("a1"), F.max("d1").alias("b1"), F.min("d2").alias("a2"), F.max("d2").alias("b2")).where("a1 <> b1 OR a2 <> b2").select("id"), "jaccard-aside")
-    some = not many.isEmpty()
-    aside = (lambda df: df.join(many, "id", "left_anti")) if some else (lambda df: df)
-    named = aside(rows.where("id IS NOT NULL AND n > 0")).groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    classes = stash(named.select("rep", "d1", "d2", "n"), "jaccard-reps")
-    linking = docs.where("doc_id IS NOT NULL")
-    if some:
-        linking = linking.join(many.withColumnRenamed("id", "doc_id"), "doc_id", "left_anti").select("doc_id", "text")
-    shared = shared_shingles(linking, hot, buckets, parts)
+    if not many.isEmpty():
+        return repeated_ids(docs, many, rare)
+    discard(many)
+
+    # the least id stands for all of one set
+    classes = stash(rows.where("id IS NOT NULL AND n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")).select("rep", "d1", "d2", "n"), "jaccard-reps")
+    shared = shared_shingles(docs.where("doc_id IS NOT NULL"), hot, buckets, parts)
     sets = stash(candidates(shared, classes.where("n >= 4").select(F.col("rep").alias("id"), "n"), parts, rare), "jaccard-sets")
     stars = link_components(sets, buckets)
     named = stash(classes.join(stars.select(F.col("u").alias("rep"), "v"), "rep", "left").select("d1", "d2", "n", F.coalesce("v", "rep").alias("component")), "jaccard-named")
     discard(sets, stars, classes)
-    out = aside(rows).join(named, ["d1", "d2", "n"], "left").select("id", "n", "component")
-    if some:
-        out = out.unionByName(rows.join(many, "id").select("id", "n", F.col("id").alias("component")))
+    out = rows.join(named, ["d1", "d2", "n"], "left").select("id", "n", "component")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+
+
+def repeated_ids(docs: DataFrame, many: DataFrame, rare: int) -> DataFrame:
+    """The classes where ids (``many``) come with several texts: their rows are joined under ids of their own, and the components that a document's rows are in become one."""
+    own = stash(docs.join(many, F.col("doc_id") == F.col("id")).select("doc_id", "text", (F.lit(OWN_IDS) - F.monotonically_increasing_id()).alias("own_id")), "jaccard-own")
+    apart = docs.join(many, F.col("doc_id") == F.col("id"), "left_anti").unionByName(own.select(F.col("own_id").alias("doc_id"), "text"))
+    names = own.select("own_id", F.col("doc_id").alias("real_id"))
+    found = jaccard_classes(apart, rare).join(names, F.col("doc_id") == F.col("own_id"), "left")
+    found = stash(found.select(F.coalesce("real_id", "doc_id").alias("doc_id"), "n_shingles", F.col("component_id").alias("c"), F.col("real_id").isNotNull().alias("again")), "jaccard-apart")
+    pairs = found.where("again").groupBy("doc_id").agg(F.min("c").alias("v")).join(found.where("again").select("doc_id", "c"), "doc_id")
+    roots = components(pairs.select(F.col("c").alias("u"), "v"))
+    joined = found.join(roots.select(F.col("u").alias("c"), "v"), "c", "left").withColumn("c", F.coalesce("v", "c"))
+    least = joined.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return joined.join(least, "c", "left").select("doc_id", "n_shingles", "component_id")

@@ -79,9 +79,9 @@ llámame al [contact 600 123 456] mañana
 mail [contact root@localhost] when done
 email: [contact admin@server] for access
 we met at the bar at noon and at night
-Released under the MIT License. see the file
-Licensed under CC BY-SA 3.0. for everyone
-GNU Lesser General Public License, version 2.1. or later
+the code may be copied under the terms of licence 2.0 or any later one
+all texts are shared under a Free Art licence, 1.3 unported
+distributed under the Mozilla terms, edition 1.1. see COPYING
 in 1987 there were 230 people and 12 cars
 chapter 4 page 77 of 320
 tickets cost 45 euro or 19.99 dollars

@@ -32,8 +32,8 @@ RECENT = 125
 
 
 def byte_buckets(n_bytes: int) -> int:
-    """2**16 buckets up to 100 MB, then as the square root of the corpus, as the number of different n-grams grows slower than it."""
-    return 1 << (16 + max(0, (max(1, n_bytes) // 100_000_000).bit_length()) // 2)
+    """2**16 buckets up to 100 MB, then as the square root of the corpus, as the number of different n-grams grows slower than it; 2**22 at most, as tasks and driver hold them all."""
+    return 1 << min(22, 16 + max(0, (max(1, n_bytes) // 100_000_000).bit_length()) // 2)
 
 
 def features(column: pa.Array, buckets: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -133,7 +133,7 @@ def order_key(x: Column) -> Column:
     return (F.greatest(F.lit(-2000.0), F.least(F.lit(2000.0), x)) * F.lit(float(1 << 40)) + F.lit(2001.0 * (1 << 40))).cast("long")
 
 
-def quality_sample(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000, label_block: int = 2_000_000, sharpness: float = 4.0, seed: int = 11) -> DataFrame:
+def quality_sample(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000, most_broadcast: int = 2_000_000, sharpness: float = 4.0, seed: int = 11) -> DataFrame:
     """The rows drawn: doc_id, log_odds, probability."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -141,14 +141,10 @@ def quality_sample(docs: DataFrame, labels: DataFrame, most_labels: int = 200_00
     every = stash(distinct_labels(labels, "quality"), "quality-labels")
     known = stash(bounded(every, most_labels), "quality-sample")
     buckets = byte_buckets(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    # labels go out in blocks of a bounded size, each with one scan of the documents, which are never shuffled; the first scan counts the raw model too
-    n_blocks = max(1, -(-every.count() // label_block))
-    counts = np.zeros((2, buckets + RECENT), np.int64)
-    for b in range(n_blocks):
-        some = every.where(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)) == b) if n_blocks > 1 else every
-        got = gather_counts(docs.join(F.broadcast(some), "doc_id", "inner" if b else "left").select("text", "label"), _counter(buckets), counts.shape)
-        counts[1] += got[1]
-        counts[0] += 0 if b else got[0]
+    # few labels are broadcast and the documents stay where they are; more are joined by a shuffle, and either way one scan counts both models
+    few = every.count() <= most_broadcast
+    marked = docs.join(F.broadcast(every) if few else every, "doc_id", "left").select("text", "label")
+    counts = gather_counts(marked, _counter(buckets), (2, buckets + RECENT))
     scores = stash(importance(docs, log_ratio(counts)), "quality-scores")
     sample = scores.join(F.broadcast(known), "doc_id").where("n > 0").select("bytes_mean", "recent_mean", "n", "label").toPandas()
     x = sample[["bytes_mean", "recent_mean"]].to_numpy(float)

@@ -121,7 +121,10 @@ def test_jaccard_links_sets_of_four_and_texts_of_ids_set_aside(spark):
     clash = [(1, long), (1, "some other text of seven words"), (2, long), (3, long), (4, long + " more"), (5, "a b"), (5, "c d"), (6, "a b"), (7, "a b")]
     for parts in (1, 9):
         table = spark.createDataFrame(clash, "doc_id long, text string").repartition(parts)
-        assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_classes(table).collect()} == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 5), (6, 6), (7, 6)}
+        assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_classes(table).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 5)}
+    chain = [(10, long), (10, "one two three four five six"), (11, long), (12, "one two three four five six"), (9, "one two three four five six seven"), (8, None), (8, "one two three four five six seven"), (13, ""), (13, None)]
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(chain, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(8, 8), (8, 8), (9, 8), (10, 10), (10, 10), (11, 10), (12, 10), (13, 13), (13, 13)]
 
 
 def test_suffix_dedup_equals_brute_force(spark):
@@ -319,7 +322,7 @@ def test_log_ratio_equals_plain_counts(spark):
         for c in cells:
             want[0, c] += 1
             want[1, c] += y == 1
-    assert (counts == want).all() and [quality.byte_buckets(n) for n in (0, 10**8, 4 * 10**8, 10**14)] == [1 << 16, 1 << 16, 1 << 17, 1 << 26]
+    assert (counts == want).all() and [quality.byte_buckets(n) for n in (0, 10**8, 4 * 10**8, 10**14)] == [1 << 16, 1 << 16, 1 << 17, 1 << 22]
 
 
 def test_quality_keeps_clean_documents_held_out(spark):
@@ -329,7 +332,7 @@ def test_quality_keeps_clean_documents_held_out(spark):
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i, _ in [*clean, *bad] if i < 120], "doc_id long, quality int")
     kept = {r["doc_id"] for r in quality.quality_sample(docs, labels).collect()}
     assert len(kept & {i for i, _ in clean}) >= 98 and len(kept & {i for i, _ in bad}) <= 1
-    assert {r["doc_id"] for r in quality.quality_sample(docs, labels, label_block=7).collect()} == kept
+    assert {r["doc_id"] for r in quality.quality_sample(docs, labels, most_broadcast=7).collect()} == kept
     assert quality.quality_sample(docs, labels.limit(0)).count() == docs.count()
     assert quality.quality_sample(docs.limit(0), labels).count() == 0
 
@@ -519,6 +522,9 @@ def test_training_lines_are_not_of_the_tables(spark):
     docs = " ".join(r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect())
     marked = re.findall(r"\[(?:number|secret|contact|ip|email|phone|card) ([^\]]+)\]", pii.LABELLED)
     assert len(marked) > 30 and not [m for m in marked if len(m) > 8 and m.strip('"') in docs]
+    plain = [re.sub(r"\[\w+ ([^\]]+)\]", r"\1", line) for line in pii.LABELLED.splitlines()]
+    runs = {" ".join(w[i : i + 5]) for w in map(str.split, plain) for i in range(len(w) - 4)} | {line for line in plain if len(line) > 12}
+    assert not [r for r in runs if r in docs]  # whole lines, and any five words of one
 
 
 def test_viterbi_equals_the_whole_path():
