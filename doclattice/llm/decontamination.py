@@ -13,6 +13,8 @@ k = n // 5 word edits (insert, delete, substitute).
    k edits are met with a recall of 0.95 or more (measured in the tests at the limit: random edits, evenly spread
    substitutions).
 3. Verification: exact semi-global edit distance of item and window with k words of margin, so nothing but recall depends on chance.
+   A window that holds half of the item's words and is beyond k is compared once more, now with words of four letters or more equal that are
+   within one letter of each other; this finds items of ``SHORT`` words or more with a letter changed in many words (measured: one in four).
 
 Items of fewer than ``SHORT`` words leave too few steps to sample: they are cut into k + 1 pieces, of which one must stand
 unchanged, and any window with a piece is verified: exact, with nothing left to chance. Items under 5 words match exactly only.
@@ -28,7 +30,7 @@ doc_id or item_id is reported as null; empty tables give no rows; other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,7 @@ from .common import SpanHash, blocks, lower_ascii, mix, small_batches, stash, te
 _U = np.uint64
 MATCHES = "doc_id long, item_id long, distance int, item_words int, end_word int"
 SHORT = 10
+LONGEST = 64  # letters of a word that is compared letter by letter
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -152,7 +155,8 @@ class Items:
 
     def __init__(self, rows: list, walks: int = 4, tables: int = 8, steps: int = 15, least: int = 4, seed: int = 5):
         self.ids = [r[0] for r in rows]
-        raw = [(r[1] or "").encode() for r in rows]
+        self.raw = raw = [(r[1] or "").encode() for r in rows]
+        self.spelled: dict[int, tuple[list[str], dict[str, set[int]]]] = {}
         words, begin = word_sequences(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
         self.words, self.begin, self.sizes = words, begin, np.diff(begin) - 1
         self.walks, self.least = Walks(walks, tables, steps, seed), least
@@ -191,8 +195,32 @@ class Items:
         key = key[(hits >= self.least) | (self.sizes[key >> 40] < SHORT)]
         return key >> 40, (key & ((1 << 40) - 1)) - (1 << 39)
 
-    def matches(self, words: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """text, item, distance, end word of every verified window of texts that begin at ``begin``."""
+    def letters(self, item: int) -> tuple[list[str], dict[str, set[int]]]:
+        """Words of an item, and the places of those that are one deletion from a spelling."""
+        if item not in self.spelled:
+            spelled, near = spell(np.frombuffer(self.raw[item], np.uint8)), {}
+            for i, w in enumerate(spelled):
+                for v in spellings(w):
+                    near.setdefault(v, set()).add(i)
+            self.spelled[item] = spelled, near
+        return self.spelled[item]
+
+    def near_misses(self, words: np.ndarray, item: int, lo: int, hi: int, window: Callable[[], list[str]]) -> tuple[int, int]:
+        """Distance and end of a window whose words are off by a letter here and there; only windows with half of the item's words are looked at."""
+        n = int(self.sizes[item])
+        own = self.words[self.begin[item] : self.begin[item] + n]
+        if 2 * np.count_nonzero(np.isin(own, words[lo:hi])) < n:
+            return 1 << 30, 0
+        spelled, near = self.letters(item)
+        equal = own[:, None] == words[None, lo:hi]
+        for j, w in enumerate(window()):
+            for i in set().union(*(near.get(v, ()) for v in spellings(w))):
+                equal[i, j] = equal[i, j] or one_letter(spelled[i], w)
+        best, end = semiglobal(np.arange(1, n + 1)[None], np.array([n]), equal, np.array([n // 5]))
+        return int(best[0]), int(end[0])
+
+    def matches(self, words: np.ndarray, begin: np.ndarray, window: Callable[[int, int, int], list[str]]) -> Iterator[tuple[np.ndarray, ...]]:
+        """text, item, distance, end word of every verified window of texts that begin at ``begin``; window(text, lo, hi) spells the words there."""
         item, start = self.candidates(words)
         n = self.sizes[item]
         k = n // 5
@@ -217,23 +245,49 @@ class Items:
             cells = self.begin[item[pick]][:, None] + np.arange(width)
             patterns = self.words[np.minimum(cells, len(self.words) - 1)]
             best, end = semiglobal(patterns, n[pick], rows, k[pick])
+            for c in np.flatnonzero((best > k[pick]) & (n[pick] >= SHORT)).tolist():
+                p = pick[c]
+                best[c], end[c] = self.near_misses(words, int(item[p]), int(lo[p]), int(hi[p]), lambda: window(int(text[p]), int(lo[p]), int(hi[p])))  # noqa: B023
             near = best <= k[pick]
             pick = pick[near]
             yield text[pick], item[pick], best[near], lo[pick] + end[near] - begin[text[pick]]
 
 
+def spell(buf: np.ndarray, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> list[str]:
+    """Words as lower-case strings: all of a text, or those of the given spans of bytes that are lower case already."""
+    if starts is None:
+        buf, starts, ends, _ = word_spans(buf, np.array([0, len(buf)])) if len(buf) else (buf, np.zeros(0, np.int64), np.zeros(0, np.int64), None)
+    return [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts, ends, strict=True)]
+
+
+def spellings(word: str) -> list[str]:
+    """A word and what is left of it without one letter: two words within one letter share one of them. Words under four letters have none."""
+    return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))] if 4 <= len(word) <= LONGEST else []
+
+
+def one_letter(a: str, b: str) -> bool:
+    """Whether one insertion, deletion or substitution of a letter at most makes b of a."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[i + (len(a) == len(b)) :] == b[i + 1 :]
+
+
 def semiglobal(patterns: np.ndarray, sizes: np.ndarray, rows: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least edit distance of each pattern (of ``sizes``) to any part of its row, and where the first such part ends; any value above
-    ``most`` where it is greater. A 0 in a row equals nothing.
+    ``most`` where it is greater. A 0 in a row equals nothing. With one pattern, ``rows`` may be a table of which of its words equals which.
     """
-    m, width = rows.shape
+    table = rows if rows.dtype == bool else None
+    m, width = (1, rows.shape[1]) if table is not None else rows.shape
     ramp = np.arange(width + 1, dtype=np.int16 if width < 1 << 14 else np.int32)
     live, prev = np.arange(m), np.zeros((m, width + 1), ramp.dtype)
     best, end = np.full(m, 1 << 30), np.zeros(m, np.int64)
     for i in range(1, int(sizes.max(initial=0)) + 1):
         now = np.empty_like(prev)
         now[:, 0] = i
-        np.minimum(prev[:, :-1] + (rows != patterns[:, i - 1 : i]), prev[:, 1:] + ramp.dtype.type(1), out=now[:, 1:])
+        np.minimum(prev[:, :-1] + (rows != patterns[:, i - 1 : i] if table is None else ~table[i - 1 : i]), prev[:, 1:] + ramp.dtype.type(1), out=now[:, 1:])
         now -= ramp
         prev = np.minimum.accumulate(now, axis=1, out=now)
         prev += ramp
@@ -242,7 +296,8 @@ def semiglobal(patterns: np.ndarray, sizes: np.ndarray, rows: np.ndarray, most:
             best[live[done]], end[live[done]] = prev[done].min(axis=1), prev[done].argmin(axis=1)
         if done.any() or i % 6 == 0:  # the least value of a row never falls
             keep = ~done & (prev.min(axis=1) <= most)
-            live, prev, rows, patterns, sizes, most = live[keep], prev[keep], rows[keep], patterns[keep], sizes[keep], most[keep]
+            live, prev, patterns, sizes, most = live[keep], prev[keep], patterns[keep], sizes[keep], most[keep]
+            rows = rows[keep] if table is None else rows
             if not len(live):
                 break
     return best, end
@@ -274,8 +329,16 @@ def _scanner(shared):
             buf, offs = text_arrays(batch.column(1))
             best: dict[tuple[int, int], tuple[int, int]] = {}
             for i, j in blocks(offs):
-                words, begin = word_sequences(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                for doc, item, distance, end in known.matches(words, begin):
+                part, at = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                words, begin = word_sequences(part, at)
+                spans: list = []
+
+                def window(text: int, lo: int, hi: int) -> list[str]:
+                    if not spans:
+                        spans.extend(word_spans(part, at))  # noqa: B023
+                    return spell(spans[0], spans[1][lo - text : hi - text], spans[2][lo - text : hi - text])  # noqa: B023
+
+                for doc, item, distance, end in known.matches(words, begin, window):
                     for d, t, e, p in zip((doc + i).tolist(), item.tolist(), distance.tolist(), end.tolist(), strict=True):
                         best[d, t] = min(best.get((d, t), (1 << 30, 0)), (e, p))
             if best:

@@ -337,6 +337,52 @@ def test_quality_keeps_clean_documents_held_out(spark):
     assert quality.quality_sample(docs.limit(0), labels).count() == 0
 
 
+def test_one_letter():
+    import itertools
+
+    words = ["".join(w) for n in range(4) for w in itertools.product("abc", repeat=n)]
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row = step(row, i, x, b)
+        return row[-1]
+
+    def step(row, i, x, b):
+        out = [i + 1]
+        for j, y in enumerate(b):
+            out.append(min(row[j] + (x != y), row[j + 1] + 1, out[j] + 1))
+        return out
+
+    assert all(decontamination.one_letter(a, b) == (apart(a, b) <= 1) for a in words for b in words)
+
+
+def test_leaks_with_edited_letters(spark):
+    """One letter changed in every fourth word, a letter added to five of twenty words; other texts of the same words stay."""
+    rng = np.random.default_rng(12)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda: "".join(rng.choice(letters, int(rng.integers(4, 9))))
+    vocabulary = [word() for _ in range(1500)]
+    say = lambda n: [vocabulary[i] for i in rng.integers(0, 1500, n)]
+
+    def changed(w, add):
+        i, x = int(rng.integers(len(w))), letters[int(rng.integers(26))]
+        return w[:i] + x + w[i + (0 if add else 1) :]
+
+    items = [(k, say(40)) for k in range(150)] + [(1000 + k, say(20)) for k in range(100)]
+    rows = []
+    for k, w in items:
+        add = k >= 1000
+        edited = [changed(x, add) if i % 4 == 1 else x for i, x in enumerate(w)]
+        rows.append((k, " ".join(say(30) + edited + say(30))))
+    clean = [(5000 + k, " ".join(say(300))) for k in range(100)]
+    docs = spark.createDataFrame(rows + clean, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert not [d for d, _ in got if d >= 5000] and all(d == i for d, i in got)
+    assert len([d for d, _ in got if d < 1000]) >= 0.9 * 150 and len([d for d, _ in got if d >= 1000]) >= 0.9 * 100, (len([d for d, _ in got if d < 1000]), len(got))
+
+
 def test_leaks_exact_edited_and_clean(spark):
     rng = np.random.default_rng(8)
     letters = list("abcdefghijklmnopqrstuvwxyz")
