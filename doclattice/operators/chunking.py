@@ -129,33 +129,44 @@ def chunk(docs: DataFrame, kind: str = "otro") -> DataFrame:
     return fold_segments(segments(docs), F.lit(kind))
 
 
+def numbered(doc_id: int, chunks: list[tuple]) -> list[tuple]:
+    return [(doc_id, i, *c) for i, c in enumerate(chunks)]
+
+
+def segment_chunks(rows: list[tuple], target: int) -> list[tuple]:
+    """(content, tokens, section, safety) of one document's segments (segment, is_heading, is_safety, section)."""
+    return [(c, count_tokens(c), s, bool(f)) for text, _, s, f in fold(rows, target) for c in split_oversize(text)]
+
+
 def fold_segments(rows: DataFrame, kind: Column) -> DataFrame:
     """Chunks of ``segments``; ``kind`` is the document type that sets the target of a document's chunks."""
     from ..functions.text import is_safety, looked_up
 
     def made(doc_id: int, rows: list[tuple]) -> list[tuple]:
-        parts = [(c, s, f) for text, _, s, f in fold([r[:-1] for r in rows], rows[0][-1]) for c in split_oversize(text)]
-        return [(doc_id, i, c, count_tokens(c), s, bool(f)) for i, (c, s, f) in enumerate(parts)]
+        return numbered(doc_id, segment_chunks([r[:-1] for r in rows], rows[0][-1]))
 
     target = F.coalesce(looked_up(kind, TARGETS), F.lit(TARGETS["otro"]))
     rows = rows.withColumns({"safety": is_safety(F.col("segment")), "target": target})
     return per_document(rows.select("doc_id", "line_no", "part", "segment", "is_heading", "safety", "section", "target"), ["line_no", "part"], made, CHUNKS)
 
 
-def sheet_chunks(rows: DataFrame, kind: str = "tabla") -> DataFrame:
-    """Rows of sheets (doc_id, sheet, row_no, text_line), greedily up to the target; a chunk holds rows of one sheet, which is its section."""
+def sheet_line_chunks(rows: list[tuple], target: int) -> list[tuple]:
+    """(content, tokens, section, safety) of one document's lines (sheet, text) in order: greedily up to the target, of one sheet each."""
+    out = []
+    for sheet, group in groupby(rows, key=lambda r: r[0]):
+        texts = [r[1] for r in group]
+        none = [False] * len(texts)
+        for a, b in cut_points([count_tokens(t) for t in texts], none, none, target):
+            text = "\n".join(texts[a:b])
+            out.append((text, count_tokens(text), sheet, False))
+    return out
 
-    def made(doc_id: int, lines_: list[tuple]) -> list[tuple]:
-        out = []
-        for sheet, group in groupby(lines_, key=lambda r: r[0]):
-            texts = [r[1] for r in group]
-            for a, b in cut_points([count_tokens(t) for t in texts], [False] * len(texts), [False] * len(texts), TARGETS[kind]):
-                text = "\n".join(texts[a:b])
-                out.append((doc_id, len(out), text, count_tokens(text), sheet, False))
-        return out
 
-    ordered = rows.select("doc_id", F.col("sheet").alias("by"), "row_no", "sheet", "text_line")
-    return per_document(ordered, ["by", "row_no"], made, CHUNKS)
+def sheet_chunks(rows: DataFrame, kind: str = "tabla") -> DataFrame:
+    """Rows of sheets (doc_id, sheet, row_no, text_line), greedily up to the target; a chunk holds rows of one sheet, which is its section."""
+    target = TARGETS[kind]
+    ordered = rows.select("doc_id", F.col("sheet").alias("by"), "row_no", F.col("text_line").alias("tie"), "sheet", "text_line")
+    return per_document(ordered, ["by", "row_no", "tie"], lambda doc_id, lines_: numbered(doc_id, sheet_line_chunks(lines_, target)), CHUNKS)
 
 
 def split_block(text: str, header_lines: int, target: int, count=count_tokens) -> list[str]:
@@ -168,30 +179,59 @@ def split_block(text: str, header_lines: int, target: int, count=count_tokens) -
     return [f"{head}\n\n" + "\n\n".join(paragraphs[a:b]) for a, b in cut_points([count(p) for p in paragraphs], none, none, target)] or [text]
 
 
+def block_piece_chunks(rows: list[tuple], header_lines: int, least: int, target: int, most: int = MOST, count=count_tokens) -> list[tuple]:
+    """(content, tokens, section) of one document's blocks (text, section, whole) in order."""
+    out: list[list] = []
+    for text, section, whole in rows:
+        if not text or not text.strip():
+            continue
+        for piece in [text] if whole and count(text) <= most else split_block(text, header_lines, target, count):
+            n = count(piece)
+            if out and n < least and out[-1][1] + n <= most:
+                out[-1][0] += "\n\n" + piece
+                out[-1][1] = count(out[-1][0])
+            else:
+                out += [[part, count(part), section] for part in split_oversize(piece, most, count)]
+    return [tuple(x) for x in out]
+
+
 def block_chunks(blocks: DataFrame, header_lines: int, least: int, target: int, most: int = MOST, count=count_tokens) -> DataFrame:
     """Chunks of document or slide blocks (doc_id, block_no, text, section, whole): a block is one chunk if it fits the target, or is ``whole`` and fits
     ``most``; longer ones are split with their header repeated. A chunk under ``least`` tokens joins the one before while that stays within ``most``."""
-
-    def made(doc_id: int, rows: list[tuple]) -> list[tuple]:
-        out: list[list] = []
-        for text, section, whole in rows:
-            if not text or not text.strip():
-                continue
-            for piece in [text] if whole and count(text) <= most else split_block(text, header_lines, target, count):
-                n = count(piece)
-                if out and n < least and out[-1][1] + n <= most:
-                    out[-1][0] += "\n\n" + piece
-                    out[-1][1] = count(out[-1][0])
-                else:
-                    out += [[part, count(part), section] for part in split_oversize(piece, most, count)]
-        return [(doc_id, i, text, n, section, False) for i, (text, n, section) in enumerate(out)]
-
-    chunks = per_document(blocks.select("doc_id", "block_no", "text", "section", "whole"), ["block_no"], made, CHUNKS)
     from ..functions.text import is_safety
 
+    made = lambda doc_id, rows: numbered(doc_id, [(*c, False) for c in block_piece_chunks(rows, header_lines, least, target, most, count)])
+    chunks = per_document(blocks.select("doc_id", "block_no", "text", "section", "whole"), ["block_no"], made, CHUNKS)
     return chunks.withColumn("safety", is_safety(F.col("content")))
 
 
+LEVELS = 9
+
+
+def heading_paths(blocks: DataFrame) -> DataFrame:
+    """Blocks (doc_id, block_no, kind, level, text) with ``section``: the headings they stand under, "A | B".
+
+    A heading of level n stands n deep, or one deeper than the heading before it if that is less deep: its depth is i + the least of (level of heading j - j)
+    over the headings up to it, the i-th. A block stands under the last heading of each depth down to that of the last heading; levels go to ``LEVELS``."""
+    w = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    head = (F.col("kind") == "heading") & F.col("level").isNotNull()
+    nth = F.count(F.when(head, 1)).over(w)
+    rows = blocks.withColumns({"_i": nth, "_head": F.coalesce(head, F.lit(False))})
+    least = F.min(F.when(F.col("_head"), F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.col("level"))) - F.col("_i"))).over(w)
+    rows = rows.withColumn("_depth", F.when(F.col("_head"), F.col("_i") + F.least(F.lit(0), least)))
+    stands = F.coalesce(F.last("_depth", ignorenulls=True).over(w), F.lit(0))
+    last = [F.when(stands >= d, F.last(F.when(F.col("_depth") == d, F.col("text")), ignorenulls=True).over(w)) for d in range(1, LEVELS + 1)]
+    return rows.withColumn("section", F.concat_ws(" | ", *last)).drop("_i", "_head", "_depth")
+
+
+def document_blocks(blocks: DataFrame, least_blocks: int = 3) -> DataFrame:
+    """The context blocks of a document and, after them, the text of each of its sections that has so many blocks: what is cut into chunks."""
+    own = block_context(blocks)
+    rows = section_text(blocks, least_blocks)
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("section"))
+    return own.unionByName(rows.select("doc_id", (nth + F.lit(1 << 40)).alias("block_no"), F.concat("section", F.lit("\n"), "content").alias("text"), "section", F.lit(True).alias("whole")))
+
+
 def document_block_chunks(blocks: DataFrame, kind: str = "guia") -> DataFrame:
     return block_chunks(blocks, 5, 60, TARGETS[kind])
 

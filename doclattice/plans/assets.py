@@ -310,7 +310,10 @@ def ocr_chunks(spark, d):
     return chunking.ocr_chunks(blocks, pages, "doc_id").select("doc_id", "chunk_index", F.element_at(F.split("content", "\n\n", 2), 2).alias("body"), "section")
 
 
-@query()
+@query(r"""WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sheet ORDER BY row_no, line) AS i, len(regexp_extract_all(line, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS n FROM (SELECT l_orderkey AS doc_id, l_returnflag AS sheet, l_linenumber AS row_no, concat_ws(' | ', l_partkey, l_suppkey, l_quantity) AS line FROM lineitem)),
+f AS (SELECT doc_id, sheet, i, n AS held, 0 AS c FROM l WHERE i = 1 UNION ALL SELECT l.doc_id, l.sheet, l.i, CASE WHEN held + n > 350 THEN n ELSE held + n END, CASE WHEN held + n > 350 THEN c + 1 ELSE c END FROM f JOIN l ON l.doc_id = f.doc_id AND l.sheet = f.sheet AND l.i = f.i + 1),
+g AS (SELECT doc_id, sheet, c, string_agg(line, chr(10) ORDER BY i) AS content, sum(n)::INT AS tokens FROM f JOIN l USING (doc_id, sheet, i) GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sheet, c) - 1 AS chunk_index, content, tokens, sheet AS section, false AS safety FROM g""")
 def sheet_row_chunks(spark, d):
     """Order lines of every order as rows of one sheet."""
     li = table(spark, d, "lineitem")
