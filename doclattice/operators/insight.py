@@ -41,12 +41,12 @@ def version_conflicts(hits: DataFrame) -> DataFrame:
 
 
 def merge_findings(groups: list[DataFrame]) -> DataFrame:
-    """Findings (severity, kind, text) of rule groups; of equal texts the earlier group's stays; warnings first, then by kind."""
+    """Findings (severity, kind, text) of rule groups; of texts that are equal in lower case the earlier group's stays; warnings first, then by kind."""
     every = None
     for i, g in enumerate(groups):
         g = g.select("severity", "kind", "text", F.lit(i).alias("grp"))
         every = g if every is None else every.unionByName(g)
-    w = Window.partitionBy("text").orderBy("grp", "kind")
+    w = Window.partitionBy(F.lower("text")).orderBy("grp", "kind", "text")
     kept = every.withColumn("rn", F.row_number().over(w)).where("rn = 1")
     return kept.select("severity", "kind", "text", F.when(F.col("severity") == "warn", 0).otherwise(1).alias("urgency"))
 

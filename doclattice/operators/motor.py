@@ -69,11 +69,6 @@ def rank_hypotheses(candidates: DataFrame, by: str, keep: int = 3) -> DataFrame:
     return valid.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= keep).withColumn("code", F.concat(F.lit("H"), F.col("nth").cast("string")))
 
 
-def fallback_hypothesis(temp: Column, flow: Column, vibration: Column) -> Column:
-    """Confidence of the rule that fires on exceeded temperature, flow and vibration."""
-    return F.when(temp & flow, 88).when(flow & vibration, 65).when(temp, 72).otherwise(55)
-
-
 def prioritise_checks(checks: DataFrame, by: str, least: int = 3) -> DataFrame:
     """Checks of several origins (origin 0 first) until there are ``least``; equal lower-cased texts once; urgent first, then by text.
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doclattice.functions import text as T
-from doclattice.operators import answers, assets, chunking, dml, identity, insight, limits, motor, ocr, quality, reports, retrieval
+from doclattice.operators import answers, assets, chunking, diagnosis, dml, identity, insight, limits, motor, ocr, quality, reports, retrieval
 from doclattice.sources import readers, sinks
 from doclattice.streaming import streams
 
@@ -121,8 +121,10 @@ def test_limits_and_facts(spark):
 
 
 def test_rules(spark):
-    r = one(spark.range(1).select(motor.fallback_hypothesis(F.lit(True), F.lit(True), F.lit(False)).alias("a"), motor.fact_confidence(F.lit(True), F.lit(True), F.lit(True)).alias("b"), motor.confidence_label(F.lit(60)).alias("c")))
-    assert (r["a"], r["b"], r["c"]) == (88, 95, "media")
+    r = one(spark.range(1).select(motor.fact_confidence(F.lit(True), F.lit(True), F.lit(True)).alias("b"), motor.confidence_label(F.lit(60)).alias("c")))
+    assert (r["b"], r["c"]) == (95, "media")
+    facts = spark.createDataFrame([(1, 1, "te-401a", True), (1, 2, "FT-405", True), (1, 3, "TE-401A", False), (2, 1, "X", None), (3, 1, "TE-401A", False), (3, 2, "TE-401A", True), (4, 1, "VE-402X", True), (4, 2, "FT-405", True), (4, 3, "TE-401A", True), (5, 1, "TE-401A", True)], "case_id long, nth int, tag string, exceeded boolean")
+    assert sorted((x["case_id"], x["confidence"], x["facts"]) for x in diagnosis.fallback_hypotheses(facts).collect()) == [(1, 88, [1, 2]), (2, 55, [1]), (3, 55, [1, 2]), (4, 65, [2, 1]), (4, 88, [3, 2]), (5, 72, [1])]
     cal = spark.createDataFrame([("2024-08-15", 365, 5.0, 5.2)], "last string, interval_days int, tolerance_pct double, drift_pct double").withColumn("last_calibration", F.to_date("last"))
     assert one(motor.calibration_findings(cal, F.lit("2026-09-01").cast("date")))["severity"] == "warn"
 
