@@ -13,8 +13,9 @@ k = n // 5 word edits (insert, delete, substitute).
    k edits are met with a recall of 0.95 or more (measured in the tests at the limit: random edits, evenly spread
    substitutions).
 3. Verification: exact semi-global edit distance of item and window with k words of margin, so nothing but recall depends on chance.
-   A window that holds half of the item's words and is beyond k is compared once more, now with words of four letters or more equal that are
-   within one letter of each other; this finds items of ``SHORT`` words or more with a letter changed in many words (measured: one in four).
+   A window beyond k that shares a key for each word of the item, and half of its words, is compared once more, now with words of four letters or more equal that are
+   within one letter of each other; this finds items of ``SHORT`` words or more with a letter changed in many words (measured: one in four; such windows
+   share more than a key a word, others a handful by chance).
 
 Items of fewer than ``SHORT`` words leave too few steps to sample: they are cut into k + 1 pieces, of which one must stand
 unchanged, and any window with a piece is verified: exact, with nothing left to chance. Items under 5 words match exactly only.
@@ -176,8 +177,8 @@ class Items:
                     pieces.setdefault(b - a, []).append((int(spans(begin[i : i + 1] + a, begin[i : i + 1] + b)[0]), i, a))
         self.pieces = {size: Table(*(lambda key, i, a: ((key >> _U(32)).astype(np.uint32), key, i, a))(*(np.array(c, t) for c, t in zip(zip(*rows, strict=True), (_U, np.int64, np.int64), strict=True)))) for size, rows in pieces.items()}
 
-    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """item and start (place in ``words`` that meets the item's first word) of distinct candidate windows."""
+    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """item, start (place in ``words`` that meets the item's first word) and number of shared keys of distinct candidate windows."""
         low, found = (words >> _U(32)).astype(np.uint32), []
         if self.tables:
             for number, samples in self.walks.keys(words):
@@ -189,11 +190,12 @@ class Items:
             at, item, offset = table.find((key >> _U(32)).astype(np.uint32), lambda p: key[p])  # noqa: B023
             found.append((item.astype(np.int64), at - offset))
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         item, start = (np.concatenate(c) for c in zip(*found, strict=True))
         key, hits = np.unique(item * (1 << 40) + start + (1 << 39), return_counts=True)
-        key = key[(hits >= self.least) | (self.sizes[key >> 40] < SHORT)]
-        return key >> 40, (key & ((1 << 40) - 1)) - (1 << 39)
+        some = (hits >= self.least) | (self.sizes[key >> 40] < SHORT)
+        key, hits = key[some], hits[some]
+        return key >> 40, (key & ((1 << 40) - 1)) - (1 << 39), hits
 
     def letters(self, item: int) -> tuple[list[str], dict[str, set[int]]]:
         """Words of an item, and the places of those that are one deletion from a spelling."""
@@ -221,7 +223,7 @@ class Items:
 
     def matches(self, words: np.ndarray, begin: np.ndarray, window: Callable[[int, int, int], list[str]]) -> Iterator[tuple[np.ndarray, ...]]:
         """text, item, distance, end word of every verified window of texts that begin at ``begin``; window(text, lo, hi) spells the words there."""
-        item, start = self.candidates(words)
+        item, start, hits = self.candidates(words)
         n = self.sizes[item]
         k = n // 5
         # the text of a candidate: that of the window's middle, which lies inside any match
@@ -245,7 +247,7 @@ class Items:
             cells = self.begin[item[pick]][:, None] + np.arange(width)
             patterns = self.words[np.minimum(cells, len(self.words) - 1)]
             best, end = semiglobal(patterns, n[pick], rows, k[pick])
-            for c in np.flatnonzero((best > k[pick]) & (n[pick] >= SHORT)).tolist():
+            for c in np.flatnonzero((best > k[pick]) & (n[pick] >= SHORT) & (hits[pick] >= n[pick])).tolist():  # others share a few keys by chance
                 p = pick[c]
                 best[c], end[c] = self.near_misses(words, int(item[p]), int(lo[p]), int(hi[p]), lambda: window(int(text[p]), int(lo[p]), int(hi[p])))  # noqa: B023
             near = best <= k[pick]
