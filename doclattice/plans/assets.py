@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import answers, assets, chunking, insight, limits, ocr, reports
 from ..sources import readers, sinks
 from ..streaming import streams
-from .corpus import PART_TEXT, part_texts, table
+from .corpus import LINES, PART_TEXT, order_lines, part_texts, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -328,13 +328,12 @@ def answer_validity(spark, d):
     return ocr.answer_validity(table(spark, d, "conversations").select(F.col("conv_id").alias("case_id"), text.alias("answer")))
 
 
-HITS = "h AS (SELECT l_orderkey AS q_id, l_orderkey * 10 + l_linenumber AS hit_id, min(l_extendedprice) AS score, min(l_shipdate)::VARCHAR AS content FROM lineitem GROUP BY l_orderkey, l_linenumber), r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, hit_id) AS nth FROM h)"
+HITS = f"h AS (SELECT l_orderkey AS q_id, line_id AS hit_id, l_extendedprice AS score, 'line ' || l_linenumber AS title FROM {LINES}), r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, hit_id) AS nth FROM h)"
 
 
 def order_hits(spark, d):
-    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_extendedprice").alias("score"), F.min("l_shipdate").alias("s"))
-    hit = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("hit_id")
-    return li.select(F.col("l_orderkey").alias("q_id"), hit, "score", F.date_format("s", "yyyy-MM-dd").alias("content"), F.lit("").alias("citation"), F.concat(F.lit("line "), text_("l_linenumber")).alias("title"))
+    """Every order line as a hit of its order."""
+    return order_lines(spark, d).select(F.col("l_orderkey").alias("q_id"), F.col("line_id").alias("hit_id"), F.col("l_extendedprice").alias("score"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("content"), F.lit("").alias("citation"), F.concat(F.lit("line "), text_("l_linenumber")).alias("title"))
 
 
 @query(f"WITH {HITS} SELECT o_orderkey AS q_id, coalesce(n, 0) AS n_evidence, CASE WHEN n IS NULL THEN 'No encontré evidencia en el corpus para responder esta consulta.' ELSE '## Resumen' || chr(10) || s END AS answer FROM orders LEFT JOIN (SELECT q_id, count(*) AS n, string_agg('[' || nth || ']', ' ' ORDER BY nth) AS s FROM r WHERE nth <= 6 GROUP BY q_id) ON q_id = o_orderkey")
@@ -352,10 +351,10 @@ def ask_references(spark, d):
     return answers.references(told, hits.join(chosen.distinct(), "hit_id", "left_semi")).select("q_id", "nth", "hit_id", "score")
 
 
-@query("""WITH d AS (SELECT p_partkey AS document_id, p_name AS title, p_type AS kind FROM part), c AS (SELECT l_orderkey * 10 + l_linenumber AS hit_id, min(l_partkey) AS document_id, min(l_returnflag) AS section FROM lineitem GROUP BY l_orderkey, l_linenumber)
+@query(f"""WITH d AS (SELECT p_partkey AS document_id, p_name AS title, p_type AS kind FROM part), c AS (SELECT line_id AS hit_id, l_partkey AS document_id, l_returnflag AS section FROM {LINES})
 SELECT hit_id, CASE WHEN hit_id % 2 = 0 THEN 'own' ELSE d.title END AS title, CASE WHEN hit_id % 3 = 0 THEN 'sec' ELSE c.section END AS section, d.kind, CASE WHEN hit_id % 5 = 0 THEN 'a long chunk text' ELSE 'short' END AS content FROM c LEFT JOIN d USING (document_id)""")
 def hit_enrichment(spark, d):
-    c = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("hit_id")).agg(F.min("l_partkey").alias("document_id"), F.min("l_returnflag").alias("section"))
+    c = order_lines(spark, d).select(F.col("line_id").alias("hit_id"), F.col("l_partkey").alias("document_id"), F.col("l_returnflag").alias("section"))
     k = F.col("hit_id")
     hits = c.select("hit_id", "document_id", F.when(k % 2 == 0, "own").otherwise("").alias("title"), F.when(k % 3 == 0, "sec").otherwise("").alias("section"), F.lit("short").alias("content"))
     chunks = c.select("hit_id", F.when(k % 5 == 0, "a long chunk text").otherwise("x").alias("content"), "section", F.lit(1).alias("page_start"), F.lit(2).alias("page_end"))
@@ -370,7 +369,7 @@ def facet_filters(spark, d):
     return answers.facet_filter(hits, asset="TAG-7", kind="LARGE", document_key="brand").select("p_partkey")
 
 
-@query(f"""WITH {HITS} SELECT q_id, count(*) AS n, string_agg('line ' || (hit_id % 10), ', ' ORDER BY score DESC, hit_id) FILTER (k <= 3) AS titles FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, hit_id) AS k FROM r WHERE hit_id % 3 = 0 OR hit_id % 7 = 0) GROUP BY q_id""")
+@query(f"""WITH {HITS} SELECT q_id, count(*) AS n, string_agg(title, ', ' ORDER BY score DESC, hit_id) FILTER (k <= 3) AS titles FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, hit_id) AS k FROM r WHERE hit_id % 3 = 0 OR hit_id % 7 = 0) GROUP BY q_id""")
 def superseded_leaks(spark, d):
     k = F.col("hit_id")
     hits = order_hits(spark, d).withColumns({"version_status": F.when(k % 3 == 0, "Superseded").otherwise("active"), "is_current": F.when(k % 7 == 0, False)})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -27,6 +27,16 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+_LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
+#: Order lines with a number of their own in their order and over all (line numbers repeat).
+LINES = f"(SELECT *, nth_line + 1000 * l_orderkey AS line_id FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_LINE_ORDER)}) AS nth_line FROM lineitem))"
+
+
+def order_lines(spark: SparkSession, d: str) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER))
+    return table(spark, d, "lineitem").withColumn("nth_line", nth).withColumn("line_id", F.col("l_orderkey") * 1000 + F.col("nth_line"))
+
+
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 NORM = r"trim(regexp_replace(lower(text), '[ \t\n\v\f\r]+', ' ', 'g'))"
 TOKENS = f"list_filter(regexp_extract_all(lower(text), '{T.TOKEN}'), lambda x: length(x) > 2 AND x NOT IN ({STOP}))"
@@ -206,8 +216,6 @@ def decision_counts(spark, d):
 SELECT doc_id, catalog_id, CASE WHEN broken THEN 'indexed' WHEN version_no = newest THEN 'active' WHEN version_no < newest THEN 'superseded' ELSE 'indexed' END AS status, NOT broken AND version_no = newest AS is_current
 FROM (SELECT *, max(CASE WHEN NOT broken THEN version_no END) OVER (PARTITION BY catalog_id) AS newest FROM v)""")
 def active_versions(spark, d):
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     points = F.when(F.col("n_chars") % 11 == 0, 0).otherwise(1)
     rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("catalog_id"), nth.alias("version_no"), F.lit(1).alias("chunks"), points.alias("points"), F.lit(1).alias("expected"))
@@ -422,11 +430,11 @@ def json_props(spark, d):
     return keys.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("k").alias("n_keys"))
 
 
-@query("""SELECT l_orderkey AS doc_id, l_linenumber AS page, CASE WHEN l_linenumber % 2 = 0 THEN 'ocr ' || l_returnflag ELSE 'native ' || l_linestatus END AS text, l_linenumber % 2 = 0 AS from_ocr FROM (SELECT DISTINCT l_orderkey, l_linenumber, first_value(l_returnflag) OVER w AS l_returnflag, first_value(l_linestatus) OVER w AS l_linestatus FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_returnflag, l_linestatus))""")
+@query(f"SELECT l_orderkey AS doc_id, nth_line AS page, CASE WHEN nth_line % 2 = 0 THEN 'ocr ' || l_returnflag ELSE 'native ' || l_linestatus END AS text, nth_line % 2 = 0 AS from_ocr FROM {LINES}")
 def hybrid_pages(spark, d):
-    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page")).agg(F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")).alias("x"))
-    native = li.select("doc_id", "page", F.when(F.col("page") % 2 == 0, "").otherwise(F.concat(F.lit("native "), "x.l_linestatus")).alias("text"))
-    ocr = li.select("doc_id", "page", F.concat(F.lit("ocr "), "x.l_returnflag").alias("text"))
+    li = order_lines(spark, d).select(F.col("l_orderkey").alias("doc_id"), F.col("nth_line").alias("page"), "l_returnflag", "l_linestatus")
+    native = li.select("doc_id", "page", F.when(F.col("page") % 2 == 0, "").otherwise(F.concat(F.lit("native "), "l_linestatus")).alias("text"))
+    ocr = li.select("doc_id", "page", F.concat(F.lit("ocr "), "l_returnflag").alias("text"))
     return readers.merge_ocr_pages(native, ocr)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import tables
 from ..functions import text as T
 from ..operators import chunking
-from .corpus import query, table
+from .corpus import order_lines, query, table
 
 #: Blocks of a page: tag and text up to the next tag.
 TAG = r"<(h1|p|li)[^>]*>([^<]*)"
@@ -54,8 +54,7 @@ def mixed_rows(spark, d):
     talks = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     slides = talks.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("long").alias("seq"), "text", F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("section"), (F.col("turn") % 2 == 0).alias("mark"), no.alias("safety"))
     word = chunking.document_blocks(chunking.heading_paths(page_blocks(spark, d))).select("doc_id", F.col("block_no").alias("seq"), "text", "section", F.col("whole").alias("mark"), no.alias("safety"))
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_comment" if "l_comment" in table(spark, d, "lineitem").columns else "l_returnflag").alias("c"))
-    sheet = lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("seq"), F.concat_ws(" | ", F.col("p").cast("string"), "c").alias("text"), F.lit("Hoja 1").alias("section"), no.alias("mark"), no.alias("safety"))
+    sheet = order_lines(spark, d).select(F.col("l_orderkey").alias("doc_id"), F.col("nth_line").cast("long").alias("seq"), F.concat_ws(" | ", F.col("l_partkey").cast("string"), "l_returnflag").alias("text"), F.lit("Hoja 1").alias("section"), no.alias("mark"), no.alias("safety"))
     return cut(pdf, 0, "pdf", "otro").unionByName(cut(slides, 1, "pptx", "presentacion")).unionByName(cut(word, 2, ".DOCX", "guia")).unionByName(cut(sheet, 3, "xlsx", "tabla"))
 
 

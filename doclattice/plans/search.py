@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import insight, limits, motor, reports, retrieval
 from ..sources.sinks import written
 from ..streaming import streams
-from .corpus import TOKENS, part_texts, table
+from .corpus import LINES, TOKENS, order_lines, part_texts, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -322,7 +322,7 @@ def matched(spark, d):
 
 # Limits of suppliers with and without tags, with equal, partial, blank and other units, against readings of several units; the oracle tries every pair.
 UNITS = ["°C", "C", "mm/s", "mm", "L/min", "l/min", "bar", ""]
-LIMIT_PAIRS = f"""u AS (SELECT {UNITS} AS u), r AS (SELECT l_orderkey * 10 + l_linenumber AS reading_id, 'T-' || (l_suppkey % 23) AS tag, u[1 + l_partkey % 8] AS unit FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL), u),
+LIMIT_PAIRS = f"""u AS (SELECT {UNITS} AS u), r AS (SELECT line_id AS reading_id, 'T-' || (l_suppkey % 23) AS tag, u[1 + l_partkey % 8] AS unit FROM {LINES}, u),
 m AS (SELECT s_suppkey AS limit_id, CASE WHEN s_suppkey % 2 = 0 THEN 't-' || (s_suppkey % 31) END AS limit_tag, u[1 + s_suppkey % 8] AS limit_unit, ['max_temp', 'max_vibration', 'nominal_flow', 'generic_limit'][1 + s_suppkey % 4] AS kind FROM supplier, u),
 rr AS (SELECT DISTINCT tag, unit FROM r), j AS (SELECT rr.tag, rr.unit, m.*, CASE WHEN limit_tag IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN unit <> '' AND limit_unit <> '' AND contains(lower(limit_unit), lower(unit)) THEN 2 ELSE 0 END + CASE WHEN contains(unit, '°') AND kind = 'max_temp' THEN 1 WHEN contains(lower(unit), 'l/min') AND kind = 'nominal_flow' THEN 1 WHEN contains(lower(unit), 'mm') AND kind = 'max_vibration' THEN 1 ELSE 0 END AS match_score
 FROM rr JOIN m ON (limit_tag IS NULL OR upper(limit_tag) = upper(tag)) AND (contains(lower(limit_unit), lower(unit)) OR contains(lower(unit), lower(limit_unit))))"""
@@ -331,8 +331,7 @@ FROM rr JOIN m ON (limit_tag IS NULL OR upper(limit_tag) = upper(tag)) AND (cont
 @query(f"WITH {LIMIT_PAIRS} SELECT reading_id, limit_id, match_score FROM r LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY tag, unit ORDER BY match_score DESC, limit_id) AS rn FROM j) b ON b.tag = r.tag AND b.unit = r.unit AND rn = 1")
 def limit_match(spark, d):
     u = F.array(*[F.lit(x) for x in UNITS])
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey"))
-    readings = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("reading_id"), F.concat(F.lit("T-"), (F.col("l_suppkey") % 23).cast("string")).alias("tag"), F.element_at(u, (1 + F.col("l_partkey") % 8).cast("int")).alias("unit"))
+    readings = order_lines(spark, d).select(F.col("line_id").alias("reading_id"), F.concat(F.lit("T-"), (F.col("l_suppkey") % 23).cast("string")).alias("tag"), F.element_at(u, (1 + F.col("l_partkey") % 8).cast("int")).alias("unit"))
     k = F.col("s_suppkey")
     kinds = F.array(*[F.lit(x) for x in ("max_temp", "max_vibration", "nominal_flow", "generic_limit")])
     found = table(spark, d, "supplier").select(k.alias("limit_id"), F.when(k % 2 == 0, F.concat(F.lit("t-"), (k % 31).cast("string"))).alias("limit_tag"), F.element_at(u, (1 + k % 8).cast("int")).alias("limit_unit"), F.element_at(kinds, (1 + k % 4).cast("int")).alias("kind"), F.lit(1.0).alias("limit_value"))
