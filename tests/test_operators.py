@@ -20,7 +20,7 @@ def test_text_functions(spark):
     assert r["a"] == ["FT-405"] or "FT-405" in r["a"]
     assert {"TE-401A", "FT-405", "GUIGS-12"} <= set(r["x"]) and r["s"]
     assert r["u"] == "791801af-e45e-5dbb-83fc-55d61fb2d301" == str(uuid.uuid5(uuid.NAMESPACE_URL, "d1:0"))
-    assert r["h"] == hashlib.sha256(b"a b").hexdigest() and r["k"] == "guia n 3" and r["d"] == 3.5 and r["c"] == [2, 1]
+    assert r["h"] == hashlib.sha256(b"a b").hexdigest() and r["k"] == "guia no 3" and r["d"] == 3.5 and r["c"] == [2, 1]
 
 
 def test_titles_and_tags(spark):
