@@ -14,17 +14,33 @@ from ..sources import sinks as tables
 from . import components
 
 
+def in_history(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """``rows`` with ``nth`` (from 1) and ``before`` (the value of the row before) in the history of their key.
+
+    Histories are cut into ranges of (key, order), so that one key may hold any share of the rows; a range takes over count and last value from the ranges before."""
+    cut = tables.written(rows.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()))
+    own = Window.partitionBy("_range", key).orderBy(*order)
+    local = cut.withColumn("_nth", F.row_number().over(own)).withColumn("_before", F.lag(value).over(own))
+    ends = cut.groupBy("_range", key).agg(F.count("*").alias("n"), F.max_by(F.struct(value), F.struct(*order)).alias("last"))
+    several = ends.groupBy(key).agg(F.count("*").alias("ranges")).where("ranges > 1").select(F.col(key).alias("k"))
+    over = Window.partitionBy("k").orderBy("r")
+    carried = ends.join(several, F.col(key).eqNullSafe(F.col("k"))).select("k", F.col("_range").alias("r"), "n", "last")
+    carried = carried.select("k", "r", F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("c_n"), F.lag("last").over(over).alias("c_last"))
+    whole = local.join(carried, F.col(key).eqNullSafe(F.col("k")) & (F.col("_range") == F.col("r")), "left")
+    before = F.when(F.col("_nth") > 1, F.col("_before")).otherwise(F.col(f"c_last.{value}"))
+    return whole.withColumns({"nth": F.col("_nth") + F.coalesce("c_n", F.lit(0)), "before": before}).drop("_range", "_nth", "_before", "k", "r", "c_n", "c_last")
+
+
 def decisions(files: DataFrame) -> DataFrame:
     """Set form for (file_id, arrival, logical_key, file_hash, content_hash): duplicate, new_document, same_content or new_version.
 
     It equals the sequential replay when no file conflicts or waits for review and skipped contents don't come again.
     """
-    arrival = [F.asc("arrival"), F.asc("file_id")]
-    first = F.row_number().over(Window.partitionBy("file_hash").orderBy(*arrival))
-    fresh = files.withColumn("nth", first)
-    registered = fresh.where("nth = 1").withColumn("before", F.lag("content_hash").over(Window.partitionBy("logical_key").orderBy(*arrival))).withColumn("key_nth", F.row_number().over(Window.partitionBy("logical_key").orderBy(*arrival)))
-    kind = F.when(F.col("key_nth") == 1, "new_document").when(F.col("before") == F.col("content_hash"), "same_content").otherwise("new_version")
-    return registered.select("file_id", "logical_key", kind.alias("decision")).unionByName(fresh.where("nth > 1").select("file_id", "logical_key", F.lit("duplicate").alias("decision")))
+    firsts = files.groupBy(F.col("file_hash").alias("h")).agg(F.min(F.struct("arrival", "file_id")).alias("first"))
+    fresh = files.join(firsts, F.col("file_hash").eqNullSafe(F.col("h"))).withColumn("again", F.struct("arrival", "file_id") != F.col("first")).drop("h", "first")
+    registered = in_history(fresh.where("NOT again"), "logical_key", ["arrival", "file_id"], "content_hash")
+    kind = F.when(F.col("nth") == 1, "new_document").when(F.col("before") == F.col("content_hash"), "same_content").otherwise("new_version")
+    return registered.select("file_id", "logical_key", kind.alias("decision")).unionByName(fresh.where("again").select("file_id", "logical_key", F.lit("duplicate").alias("decision")))
 
 
 def with_identity(files: DataFrame) -> DataFrame:

@@ -142,3 +142,22 @@ def test_content_of_extractions(spark):
 
     want = "\n".join(["xlsx", "pass", "sheet_count:2"] + ["S1", "t" * 500] * 50)
     assert got == {1: hashlib.sha256(b"some text").hexdigest(), 2: hashlib.sha256(" ".join(want.lower().split()).encode()).hexdigest(), 3: None}
+
+
+def test_histories_over_many_ranges(spark):
+    """A key with half of all rows, null keys and null values, in one range and in many."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", "b", None, f"k{i % 50}"]), rng.randrange(100), i, rng.choice([None, "x", "y"])) for i in range(2000)]
+    want, last = {}, {}
+    for key, at, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        n, before = last.get(key, (0, None))
+        want[i] = (n + 1, before)
+        last[key] = (n + 1, v)
+    table = spark.createDataFrame(rows, "k string, at int, id int, v string").repartition(6)
+    for coalesce in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        try:
+            got = identity.in_history(table.withColumnRenamed("k", "key"), "key", ["at", "id"], "v").collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert {r["id"]: (r["nth"], r["before"]) for r in got} == want
