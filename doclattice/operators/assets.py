@@ -145,3 +145,9 @@ def union_inventories(inventories: list[DataFrame]) -> DataFrame:
         every = one if every is None else every.unionByName(one)
     rows = every.groupBy(F.lower("path").alias("k_")).agg(F.min_by(F.struct("path", "origin"), F.struct("turn_", "path")).alias("x"))
     return rows.select("x.*", F.when(F.col("x.origin") == "local", 0).otherwise(1).alias("origin_order"))
+
+
+def missing_metadata(tenant: Column, key: Column, kind: Column) -> Column:
+    """The first of tenant, document key and document type that an ingestion lacks; null if all are there."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    return F.when(blank(tenant), "tenant is missing").when(blank(key), "document key is missing").when(blank(kind), "document type is missing")
