@@ -6,9 +6,11 @@ the regular expression ``[^\\x20\\x09-\\x0D]+`` over code points.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,41 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return memory that the last task has freed to the system: workers live on between tasks, and what they keep counts for their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(scan: Callable) -> Callable:
+    """A scan of batches that gives its memory back when it ends."""
+
+    @wraps(scan)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from scan(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def tidy_group(made: Callable) -> Callable:
+    """As ``tidy``, for a function of one group."""
+
+    @wraps(made)
+    def run(*tables: pa.Table) -> pa.Table:
+        try:
+            return made(*tables)
+        finally:
+            give_back()
+
+    return run
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, blocks, lower_ascii, mix, small_batches, stash, text_arrays, text_of, word_hashes
+from .common import SpanHash, blocks, lower_ascii, mix, small_batches, stash, text_arrays, text_of, tidy, word_hashes
 
 _U = np.uint64
 MATCHES = "doc_id long, item_id long, distance int, item_words int, end_word int"
@@ -316,7 +316,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, walks: int = 4, tables: in
     for b in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).orderBy("item_id", "text").collect()
         shared = docs.sparkSession.sparkContext.broadcast(Items(rows, walks, tables, steps, least, seed))
-        found = docs.mapInArrow(_scanner(shared), MATCHES)
+        found = docs.mapInArrow(tidy(_scanner(shared)), MATCHES)
         if n_blocks > 1:  # one block at a time
             found = stash(found, "leaks")
             shared.unpersist()

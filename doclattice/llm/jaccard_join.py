@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, blocks, discard, lower_ascii, mix, partitions, small_batches, stash, text_arrays, text_of, word_hashes, word_spans
+from .common import SpanHash, blocks, discard, lower_ascii, mix, partitions, small_batches, stash, text_arrays, text_of, tidy, tidy_group, word_hashes, word_spans
 from .components import components
 
 _U = np.uint64
@@ -106,7 +106,7 @@ def summary(docs: DataFrame) -> DataFrame:
         if held:
             yield from counts()
 
-    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(scan, "kind byte, id long, n long, d1 long, d2 long")
+    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(tidy(scan), "kind byte, id long, n long, d1 long, d2 long")
 
 
 def _pack(ids: np.ndarray, counts: np.ndarray, h: np.ndarray, extra: np.ndarray | None = None) -> bytes:
@@ -208,8 +208,8 @@ def shared_shingles(docs: DataFrame, hot: np.ndarray, buckets: int, parts: int)
         schema = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("data", pa.binary())])
         return pa.Table.from_batches(out, schema) if out else schema.empty_table()
 
-    rows = docs.select("doc_id", "text").mapInArrow(scan, "bucket int, kind byte, data binary")
-    return rows.groupBy("bucket").applyInArrow(count, "part int, kind byte, data binary")
+    rows = docs.select("doc_id", "text").mapInArrow(tidy(scan), "bucket int, kind byte, data binary")
+    return rows.groupBy("bucket").applyInArrow(tidy_group(count), "part int, kind byte, data binary")
 
 
 def band(n: int) -> int:
@@ -276,7 +276,7 @@ def candidates(shared: DataFrame, reps: DataFrame, buckets: int, rare: int) -> D
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     keyed = reps.select("id", "n", F.lit(None).cast("int").alias("part")).mapInArrow(lambda it: _with_part(it, buckets), "part int, id long, n long")
-    return shared.groupBy("part").cogroup(keyed.groupBy("part")).applyInArrow(build, "id long, n int, shingles binary, ones array<long>, pairs array<long>")
+    return shared.groupBy("part").cogroup(keyed.groupBy("part")).applyInArrow(tidy_group(build), "id long, n int, shingles binary, ones array<long>, pairs array<long>")
 
 
 def _with_part(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -299,7 +299,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) that link, by exact overlap."""
     side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
-    return both.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_overlaps, "u long, v long")
+    return both.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(tidy(_overlaps), "u long, v long")
 
 
 def _fits(a: str, b: str) -> str:
@@ -356,7 +356,7 @@ def rest_links(postings: DataFrame, stars: DataFrame, sets: DataFrame, buckets:
         u, v = zip(*sorted(found), strict=True) if found else ((), ())
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    links = stash(rows.groupBy("bucket").applyInArrow(compare, "u long, v long").distinct(), "jaccard-links")
+    links = stash(rows.groupBy("bucket").applyInArrow(tidy_group(compare), "u long, v long").distinct(), "jaccard-links")
     discard(member, groups, docs)
     return links
 

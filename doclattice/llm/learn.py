@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 PART = 1 << 13
 WIDE = 32
 
@@ -68,7 +70,7 @@ def gather_counts(rows: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray],
             part = some[at : at + PART]
             yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(np.ascontiguousarray(table[part, i])) for i in range(WIDE))], ["at", *cells])
 
-    sums = rows.mapInArrow(scan, ", ".join(f"{c} long" for c in ["at", *cells])).groupBy("at").agg(*[F.sum(c).alias(c) for c in cells]).toArrow()
+    sums = rows.mapInArrow(tidy(scan), ", ".join(f"{c} long" for c in ["at", *cells])).groupBy("at").agg(*[F.sum(c).alias(c) for c in cells]).toArrow()
     flat = np.zeros((-(-total // WIDE), WIDE), np.int64)
     flat[sums["at"].to_numpy()] = np.column_stack([sums[c].to_numpy() for c in cells])
     return flat.ravel()[:total].reshape(shape)

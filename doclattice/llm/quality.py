@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, small_batches, stash, text_arrays, text_of, word_hashes, word_spans
+from .common import blocks, small_batches, stash, text_arrays, text_of, tidy, word_hashes, word_spans
 from .learn import bounded, distinct_labels, fit_logistic, gather_counts
 
 _U = np.uint64
@@ -96,7 +96,7 @@ def importance(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 b = np.bincount(wdoc, w[buckets + recent], j - i) / np.maximum(m, 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(a), pa.array(b), pa.array(n)], ["doc_id", "bytes_mean", "recent_mean", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, SCORES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(scan), SCORES)
 
 
 def uniform(doc_id: Column, seed: int) -> Column:
