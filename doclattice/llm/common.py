@@ -91,10 +91,21 @@ def tidy(scan: Callable) -> Callable:
 def tidy_group(made: Callable) -> Callable:
     """As ``tidy``, for a function of one group."""
 
-    @wraps(made)
-    def run(*tables: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
         try:
-            return made(*tables)
+            return made(table)
+        finally:
+            give_back()
+
+    return run
+
+
+def tidy_groups(made: Callable) -> Callable:
+    """As ``tidy``, for a function of two groups."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return made(left, right)
         finally:
             give_back()
 

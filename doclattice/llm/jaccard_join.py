@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, blocks, discard, lower_ascii, mix, partitions, small_batches, stash, text_arrays, text_of, tidy, tidy_group, word_hashes, word_spans
+from .common import SpanHash, blocks, discard, lower_ascii, mix, partitions, small_batches, stash, text_arrays, text_of, tidy, tidy_group, tidy_groups, word_hashes, word_spans
 from .components import components
 
 _U = np.uint64
@@ -276,7 +276,7 @@ def candidates(shared: DataFrame, reps: DataFrame, buckets: int, rare: int) -> D
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     keyed = reps.select("id", "n", F.lit(None).cast("int").alias("part")).mapInArrow(lambda it: _with_part(it, buckets), "part int, id long, n long")
-    return shared.groupBy("part").cogroup(keyed.groupBy("part")).applyInArrow(tidy_group(build), "id long, n int, shingles binary, ones array<long>, pairs array<long>")
+    return shared.groupBy("part").cogroup(keyed.groupBy("part")).applyInArrow(tidy_groups(build), "id long, n int, shingles binary, ones array<long>, pairs array<long>")
 
 
 def _with_part(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
