@@ -58,7 +58,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("tokens", tokens)]
 
-#: SQL can't express the classifier, the edit-distance search or the tokenizer; tests/llm holds brute-force versions.
+#: SQL can't express the classifier, the edit-distance search or the tokenizer; tests/llm/test_whole_results.py compares what survives with plain rules.
 ORACLE_SQL = None
 
 
