@@ -67,6 +67,19 @@ def nodes_and_edges(hits: DataFrame, least: float = 0.72) -> tuple[DataFrame, Da
     return nodes, edges
 
 
+# What a graph view may be filtered by.
+FILTERS = {"domain": ("mantenibilidad", "confiabilidad", "seguridad", "ingenieria"), "kind": ("norma", "guia", "sop", "manual_oem", "tabla", "presentacion", "plano", "otro"), "version_label": ("vigente", "Rev 6", "REV02", "Rev 15"), "view": ("global", "documents", "concepts")}
+
+
+def found_nodes(ids: DataFrame, hits: DataFrame) -> DataFrame:
+    """(node_id, kind, label, doc_id) of the asked node ids: a chunk if there is a hit of it (chunk_id, doc_id, title), a document or an asset by its name; others aren't found."""
+    name = lambda prefix: F.substring("node_id", len(prefix) + 1, 1 << 20)
+    asked = ids.select("node_id").distinct()
+    chunks = asked.where(F.col("node_id").startswith("chunk:")).join(hits, name("chunk:") == F.col("chunk_id").cast("string")).select("node_id", F.lit("chunk").alias("kind"), F.col("title").alias("label"), F.col("doc_id").cast("string").alias("doc_id"))
+    named = F.when(F.col("node_id").startswith("doc:"), F.struct(F.lit("document").alias("kind"), F.substring(name("doc:"), 1, 48).alias("label"), name("doc:").alias("doc_id"))).when(F.col("node_id").startswith("asset:"), F.struct(F.lit("asset").alias("kind"), F.upper(name("asset:")).alias("label"), F.lit(None).cast("string").alias("doc_id")))
+    return chunks.unionByName(asked.withColumn("x", named).where("x IS NOT NULL").select("node_id", "x.*"))
+
+
 def rank_band_edges(hits: DataFrame, least: float, reach: int = 3) -> DataFrame:
     """similar_to edges between hits of different documents at most ``reach`` ranks apart, weighted by the lesser score."""
     a = hits.select("q_id", F.col("rank").alias("ra"), F.col("doc_id").alias("da"), F.col("score").alias("sa"))

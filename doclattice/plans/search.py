@@ -264,6 +264,16 @@ def graph_edges(spark, d):
     return insight.nodes_and_edges(mention_hits(spark, d))[1]
 
 
+ASKED_NODE = "CASE o_orderkey % 4 WHEN 0 THEN 'chunk:' || (o_orderkey * 1000 + 1 + o_orderkey % 3) WHEN 1 THEN 'doc:' || o_orderkey || ' ' || o_orderpriority WHEN 2 THEN 'asset:p-' || (o_custkey % 90) ELSE 'page:' || o_orderkey END"
+
+
+@query(f"""WITH a AS (SELECT DISTINCT {ASKED_NODE} AS node_id FROM orders), h AS (SELECT line_id, l_orderkey, 'line ' || l_linenumber AS title FROM {LINES})
+SELECT node_id, 'chunk' AS kind, title AS label, l_orderkey::VARCHAR AS doc_id FROM a JOIN h ON node_id = 'chunk:' || line_id UNION ALL SELECT node_id, 'document', substr(node_id, 5, 48), substr(node_id, 5) FROM a WHERE starts_with(node_id, 'doc:') UNION ALL SELECT node_id, 'asset', upper(substr(node_id, 7)), NULL FROM a WHERE starts_with(node_id, 'asset:')""")
+def node_lookup(spark, d):
+    hits_ = order_lines(spark, d).select(F.col("line_id").alias("chunk_id"), F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("title"))
+    return insight.found_nodes(table(spark, d, "orders").select(F.expr(ASKED_NODE).alias("node_id")), hits_)
+
+
 @query(f"WITH {GRAPH} SELECT kind, count(*) AS n_edges FROM (SELECT DISTINCT 'part_of' AS kind, chunk_id, doc_id::VARCHAR AS t FROM kept WHERE doc_id % 2 = 0) GROUP BY kind")
 def graph_views(spark, d):
     nodes, edges = insight.nodes_and_edges(mention_hits(spark, d))
