@@ -2,9 +2,10 @@
 
 * For each language a tree of byte contexts of up to ``ORDER`` bytes is counted over all texts of that language: in tasks,
   by strings of ORDER + 1 bytes, whose counts Spark adds up; shorter contexts' counts follow from them.
-* A context stays in the tree if it was seen often enough in its language; the least count is the smallest power of two
-  that keeps ``tree_room`` entries or fewer. The room grows with the logarithm of the corpus, so the tree that is broadcast has a
-  known size. A context stays or goes with all its symbols, and a longer context never outlives its suffix.
+* Contexts seen often enough in some language are broadcast, for all languages and with all their symbols; the least count is the
+  smallest in steps of an eighth of a doubling that keeps ``tree_room`` entries or fewer, so the broadcast has a known size, and a longer context never
+  outlives its suffix. No other context is lost: a string whose longest context isn't broadcast meets the counted strings under the
+  same rare context in a shuffle (``rare_costs``), where its cost comes from the whole tree, and the difference goes back to its text.
 * A symbol costs -log2 of its probability in the longest context there is; a symbol not seen there costs the escape
   (method C: as many escapes as different symbols) and is looked for in the next shorter context, from which the symbols
   of the longer one are excluded. What no context knows is one of the bytes left. The statistics are frozen: scoring
@@ -20,25 +21,31 @@ are predicted too; repeated rows count and are predicted each; other columns are
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, stash, text_arrays
+from .common import discard, give_back, small_batches, stash, text_arrays, tidy, tidy_group
 
 ORDER = 5
 GROUP = 4
 CHUNK = 1 << 20
 FLUSH = 1 << 21
+FEW = 1 << 16
 ENTRY_BITS = 17
+BUCKET = 1 << 20
+SCORED = ["row", "doc_id", "letters", "bits", "key", "first", "times"]
+PLACE = f"shiftleft(shiftright(key, 8 * ({ORDER + 1} - first)), 3) | first"
+STEP = 1 << 24  # differences of costs are whole numbers of 1 / STEP bits, so that their sums don't depend on order
 
 
 def tree_room(n_bytes: int) -> int:
-    """Entries kept of all trees together: 2**17 for each doubling of the labelled text beyond 1 MB, at least 2**17."""
-    return max(1, int(math.log2(max(2, n_bytes))) - 19) << ENTRY_BITS
+    """Entries broadcast of all trees together: 2**17 for each doubling of the labelled text, 20 times 2**17 up to 1 MB."""
+    return max(20, int(math.log2(max(2, n_bytes)))) << ENTRY_BITS
 
 
 def byte_strings(buf: np.ndarray, offs: np.ndarray, order: int = ORDER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -98,22 +105,24 @@ def string_counts(rows: DataFrame) -> DataFrame:
                             held, size = {}, 0
         yield from emit()
 
-    counted = rows.select("language", "text").mapInArrow(scan, "language int, key long, n long")
+    counted = rows.select("language", "text").mapInArrow(tidy(scan), "language int, key long, n long")
     return counted.groupBy("language", "key").agg(F.sum("n").alias("n"))
 
 
 def context_nodes(strings: DataFrame) -> DataFrame:
-    """(language, depth, context, seen, kinds, symbols, counts) of every context of 0 to ORDER bytes."""
+    """(language, depth, context, seen, kinds, symbols, counts, most) of every context of 0 to ORDER bytes; most is the greatest ``seen`` of any language."""
     entries = strings.select("language", F.explode(F.lit(list(range(ORDER + 1)))).alias("depth"), "key", "n")
     entries = entries.groupBy("language", "depth", F.expr(f"shiftleft(shiftright(key, 8 * ({ORDER + 1} - depth)), 8) | (key & 255)").alias("key")).agg(F.sum("n").alias("n"))
     symbol = F.struct(F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "n")
-    nodes = entries.groupBy("language", "depth", F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("seen"), F.count("*").alias("kinds"), F.array_sort(F.collect_list(symbol)).alias("of"))
-    return nodes.select("language", "depth", "context", "seen", "kinds", F.col("of.symbol").alias("symbols"), F.col("of.n").alias("counts"))
+    entries = entries.withColumn("context", F.shiftright("key", 8)).repartition("depth", "context")  # one shuffle for both of the following
+    nodes = entries.groupBy("language", "depth", "context").agg(F.sum("n").alias("seen"), F.count("*").alias("kinds"), F.array_sort(F.collect_list(symbol)).alias("of"))
+    most = F.max("seen").over(Window.partitionBy("depth", "context"))
+    return nodes.select("language", "depth", "context", "seen", "kinds", F.col("of.symbol").alias("symbols"), F.col("of.n").alias("counts"), most.alias("most"))
 
 
 def kept_nodes(nodes: DataFrame, room: int) -> DataFrame:
-    """Nodes seen at least as often as the smallest power of two that leaves at most ``room`` entries; roots always stay."""
-    level = F.floor(F.log2("seen")).cast("int")
+    """Nodes of contexts that some language saw at least as often as the smallest count, in steps of an eighth of a doubling, that leaves at most ``room`` entries; roots always stay."""
+    level = F.floor(8 * F.log2("most")).cast("int")
     sizes = {r["level"]: r["size"] for r in nodes.groupBy(level.alias("level")).agg(F.sum("kinds").alias("size")).collect()}
     least, size = max(sizes, default=0) + 1, 0
     while least > 0 and size + sizes.get(least - 1, 0) <= room:
@@ -142,39 +151,74 @@ class Group:
     node's own symbols are excluded (0 where a language has no such node); and entries (context and symbol) with counts.
     The costs of all entries of the greatest depth are worked out beforehand."""
 
-    def __init__(self, nodes: pa.Table, languages: list[int]):
-        self.width, self.depths = len(languages), []
-        language, depth = nodes["language"].to_numpy(), nodes["depth"].to_numpy()
-        for d in range(ORDER + 1):
-            level = self._level([nodes.filter(pa.array((language == l) & (depth == d))) for l in languages])
-            if d:
-                self._exclude(level, self.depths[-1], d)
-            self.depths.append(level)
-        top = self.depths[-1]
-        top["cost"] = self._costs(top["key"]).astype(np.float32)  # at this depth the whole key
-        top["n"] = None
-        for level in self.depths:
-            del level["node"]
-            level |= {c: level[c].astype(np.int16) for c in ("kinds", "up_kinds") if c in level}
-            level |= {c: level[c].astype(np.int32) for c in ("seen", "up_total", "n") if level.get(c) is not None and level[c].max(initial=0) < 1 << 31}
-
-    def _level(self, tables: list[pa.Table]) -> dict[str, np.ndarray]:
-        parts = []
-        for rows in tables:
+    def __init__(self, width: int):
+        self.width, self.depths = width, []
+
+    def add(self, parts: list[tuple[np.ndarray, ...]]) -> None:
+        """The next depth: for each language contexts, ``seen``, ``kinds``, and entries with counts."""
+        level = self._level(parts)
+        if self.depths:
+            self._exclude(level, self.depths[-1])
+        del level["node"]
+        self.depths.append(level)
+        if len(self.depths) > ORDER:  # at this depth an entry is the whole key
+            level["cost"] = np.concatenate([np.zeros((0, self.width), np.float32), *(self._costs(level["key"][a : a + FEW]).astype(np.float32) for a in range(0, len(level["key"]), FEW))])
+            level["n"] = None
+
+    def add_nodes(self, nodes: pa.Table, languages: list[int]) -> None:
+        language = nodes["language"].to_numpy()
+
+        def part(rows: pa.Table) -> tuple[np.ndarray, ...]:
             rows = rows.combine_chunks()
-            flat = lambda name: np.concatenate([x.flatten().to_numpy() for x in rows[name].chunks] or [np.zeros(0, np.int64)]).astype(np.int64)  # noqa: E731, B023
+            flat = lambda name: np.concatenate([x.flatten().to_numpy() for x in rows[name].chunks] or [np.zeros(0, np.int64)]).astype(np.int64)
             context, kinds = rows["context"].to_numpy(), rows["kinds"].to_numpy().astype(np.int64)
-            parts.append((context, rows["seen"].to_numpy().astype(np.int64), kinds, (np.repeat(context, kinds) << 8) | flat("symbols"), flat("counts")))
+            return context, rows["seen"].to_numpy().astype(np.int64), kinds, (np.repeat(context, kinds) << 8) | flat("symbols"), flat("counts")
+
+        self.add([part(nodes.filter(pa.array(language == l))) for l in languages])
+
+    def below(self, keys: np.ndarray, counts: np.ndarray, language: np.ndarray, first: np.ndarray) -> Group:
+        """The whole trees over the contexts of ``keys``: strings with their counts in a language of this group, complete under every
+        context of the depth ``first`` or more; shorter contexts are those of this group."""
+
+        def parts(d: int) -> list[tuple[np.ndarray, ...]]:
+            context, entry = _entry(keys, d)
+            own, here = self.depths[d], first > d
+            at = _find(own["context"], np.unique(context[here]))
+            at = at[at >= 0]
+            ranges = [np.searchsorted(own["key"], (own["context"][at] + k) << 8) for k in (0, 1)]
+            size = ranges[1] - ranges[0]
+            entries = np.repeat(ranges[0] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            out = []
+            for l in range(self.width):
+                mine = ~here & (language == l)
+                key, n = _pairs(entry[mine], counts[mine])
+                new, begin, kinds = np.unique(key >> 8, return_index=True, return_counts=True)
+                seen = np.add.reduceat(n, begin) if len(begin) else n
+                if len(at):  # no context is in both
+                    node, known = at[own["seen"][at, l] > 0], entries[own["n"][entries, l] > 0]
+                    new, seen, kinds = (np.concatenate(x) for x in ((new, own["context"][node]), (seen, own["seen"][node, l]), (kinds, own["kinds"][node, l])))
+                    key, n = np.concatenate([key, own["key"][known]]), np.concatenate([n, own["n"][known, l]])
+                out.append((new, seen, kinds, key, n))
+            return out
+
+        whole = Group(self.width)
+        for d in range(ORDER + 1):
+            whole.add(parts(d))
+        return whole
+
+    def _level(self, parts: list[tuple[np.ndarray, ...]]) -> dict[str, np.ndarray]:
         context = np.unique(np.concatenate([x[0] for x in parts]))
         key = np.unique(np.concatenate([x[3] for x in parts]))
-        out = {"context": context, "key": key, "node": np.searchsorted(context, key >> 8)} | {name: np.zeros((len(context), self.width), np.int64) for name in ("seen", "kinds")} | {"n": np.zeros((len(key), self.width), np.int64)}
+        kind = np.int32 if max((x[1].max(initial=0) for x in parts)) < 1 << 30 else np.int64
+        out = {"context": context, "key": key, "node": np.searchsorted(context, key >> 8)}
+        out |= {name: np.zeros((size, self.width), of) for name, size, of in (("seen", len(context), kind), ("kinds", len(context), np.int16), ("n", len(key), kind))}
         for i, (c, seen, kinds, k, n) in enumerate(parts):
             at = np.searchsorted(context, c)
             out["seen"][at, i], out["kinds"][at, i], out["n"][np.searchsorted(key, k), i] = seen, kinds, n
         return out
 
     @staticmethod
-    def _exclude(own: dict[str, np.ndarray], up: dict[str, np.ndarray], depth: int) -> None:
+    def _exclude(own: dict[str, np.ndarray], up: dict[str, np.ndarray]) -> None:
         if not len(own["key"]):
             own["up_kinds"] = own["up_total"] = own["kinds"]
             return
@@ -225,30 +269,93 @@ class Group:
 class Trees:
     """Context trees of all languages, in groups, so that a node takes no more room than ``GROUP`` languages need."""
 
-    def __init__(self, nodes: pa.Table, languages: int):
+    def __init__(self, nodes: Callable[[int], pa.Table], languages: int):
+        """nodes(depth): those of all languages; one depth at a time, as the driver builds the trees."""
         self.languages = languages
-        self.groups = [Group(nodes, list(range(l, min(l + GROUP, languages)))) for l in range(0, languages, GROUP)]
+        members = [list(range(l, min(l + GROUP, languages))) for l in range(0, languages, GROUP)]
+        self.groups = [Group(len(m)) for m in members]
+        for d in range(ORDER + 1):
+            rows = nodes(d)
+            for group, m in zip(self.groups, members, strict=True):
+                group.add_nodes(rows, m)
+            del rows
+            give_back()
+        self.contexts = [self.groups[0].depths[d]["context"] if len(self.groups) == 1 else np.unique(np.concatenate([g.depths[d]["context"] for g in self.groups])) for d in range(ORDER + 1)]
 
     def costs(self, keys: np.ndarray) -> np.ndarray:
-        """(keys, languages) bits of the last byte of each string after the bytes before it."""
-        order = np.argsort(keys)
-        out = np.empty((len(keys), self.languages))
-        out[order] = np.hstack([g.costs(keys[order]) for g in self.groups])
+        """(keys, languages) bits of the last byte of each string after the bytes before it; keys are in order."""
+        return np.hstack([g.costs(keys) for g in self.groups])
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """-1 for strings whose longest context is in the trees; for others a number of the shortest of its contexts that isn't, its depth in the last three bits."""
+        out = np.full(len(keys), -1, np.int64)
+        left = np.arange(len(keys))
+        for d in range(ORDER, 0, -1):
+            context = _entry(keys[left], d)[0]
+            rare = _find(self.contexts[d], context) < 0
+            left = left[rare]
+            out[left] = (context[rare] << 3) | d
         return out
 
+    def whole_costs(self, asked: np.ndarray, keys: np.ndarray, counts: np.ndarray, language: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """``costs`` of ``asked`` from whole trees, where keys are all counted strings under the same places; first: the place's depth."""
+        out, start = [], 0
+        for group in self.groups:
+            out.append(group.below(keys, counts, language - start, first).costs(asked))
+            start += group.width
+        return np.hstack(out)
+
 
-def code_lengths(column: pa.Array, trees: Trees) -> np.ndarray:
-    """(texts, languages) bits of whole texts."""
+def code_lengths(column: pa.Array, trees: Trees, whole: bool) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """(texts, languages) bits of whole texts by the broadcast trees; unless these are whole, the strings whose longest context isn't in them: text, key, depth of the first context that isn't, how often."""
     buf, offs = text_arrays(column)
-    out = np.zeros((len(offs) - 1, trees.languages))
+    out, rare = np.zeros((len(offs) - 1, trees.languages)), []
     for first, doc, key in byte_strings(buf, offs):
         found = pa.array(key).dictionary_encode()
-        bits = trees.costs(found.dictionary.to_numpy())
-        at = found.indices.to_numpy()
+        keys = found.dictionary.to_numpy()
+        order = np.argsort(keys)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        keys, at = keys[order], rank[found.indices.to_numpy()]
+        bits = trees.costs(keys)
         n = int(doc[-1]) + 1
         for l in range(trees.languages):
             out[first : first + n, l] += np.bincount(doc, bits[at, l], n)
-    return out
+        if not whole:
+            places = trees.places(keys)
+            pick = np.flatnonzero((places >= 0)[at])
+            both, times = np.unique(doc[pick] * len(keys) + at[pick], return_counts=True)
+            of = both % len(keys)
+            rare.append((first + both // len(keys), keys[of], (places[of] & 7).astype(np.int8), times.astype(np.int32)))
+    return out, rare
+
+
+def rare_costs(asked: DataFrame, strings: DataFrame, trees: Broadcast, size: int) -> DataFrame:
+    """(key, more): by how many 1 / STEP bits each language's cost of ``asked`` strings (key, first: the depth of the first rare context) is above that of the broadcast trees.
+
+    Rows of one place meet in a bucket, which holds about ``BUCKET`` of the ``size`` rows. A context that isn't broadcast was seen less often than the
+    least count in every language, so no place has many strings. Strings at places without counted ones cost what the broadcast trees say, and give no row."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(1).to_numpy()
+            order = np.argsort(keys)
+            place = np.empty(len(keys), np.int64)
+            place[order] = trees.value.places(keys[order])
+            rare = pa.array(place >= 0)
+            yield pa.RecordBatch.from_arrays([c.filter(rare) for c in (batch.column(1), pa.array(place), batch.column(0), batch.column(2))], ["key", "place", "language", "n"])
+
+    def settle(table: pa.Table) -> pa.Table:
+        key, place, language, n = (table[c].to_numpy() for c in ("key", "place", "language", "n"))
+        known = language >= 0
+        ask = np.sort(key[~known & np.isin(place, place[known])])
+        cost = trees.value.whole_costs(ask, key[known], n[known], language[known], place[known] & 7) - trees.value.costs(ask) if len(ask) else np.zeros((0, trees.value.languages))
+        more = pa.ListArray.from_arrays(np.arange(len(ask) + 1, dtype=np.int32) * trees.value.languages, pa.array(np.rint(cost * STEP).astype(np.int64).ravel()))
+        return pa.table({"key": pa.array(ask, pa.int64()), "more": more})
+
+    known = strings.select("language", "key", "n").mapInArrow(tidy(scan), "key long, place long, language int, n long")
+    rows = known.unionByName(asked.select("key", F.expr(PLACE).alias("place"), F.lit(-1).alias("language"), F.lit(0).cast("long").alias("n")))
+    return rows.groupBy(F.pmod(F.xxhash64("place"), F.lit(1 + size // BUCKET)).alias("bucket")).applyInArrow(tidy_group(settle), "key long, more array<long>")
 
 
 def identify(docs: DataFrame, labelled: DataFrame, temper: float = 8.0, und: str = "und") -> DataFrame:
@@ -260,24 +367,46 @@ def identify(docs: DataFrame, labelled: DataFrame, temper: float = 8.0, und: str
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND octet_length(text) > 0")
-    found = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).collect()
+    found = known.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("size")).collect()
     names = sorted((r["lang"] for r in found), key=lambda x: x.encode())
     if not names:
         return docs.select("doc_id", F.lit(und).alias("lang_pred"), F.lit(0.0).alias("score"), F.create_map().cast("map<string,double>").alias("bits"))
     number = F.broadcast(spark.createDataFrame(list(enumerate(names)), "language int, name string"))
     strings = stash(string_counts(known.join(number, F.col("lang") == F.col("name"))), "language-strings")
     nodes = stash(context_nodes(strings), "language-nodes")
-    trees = spark.sparkContext.broadcast(Trees(kept_nodes(nodes, tree_room(sum(r["size"] for r in found))).toArrow(), len(names)))
-    discard(strings, nodes)
+    kept = kept_nodes(nodes, tree_room(sum(r["size"] for r in found))).drop("most")
+    whole = kept.count() == nodes.count()
+    trees = spark.sparkContext.broadcast(Trees(lambda d: kept.where(F.col("depth") == d).toArrow(), len(names)))
+    give_back()
+    discard(nodes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            bits = code_lengths(batch.column(1), trees.value)
-            best = bits.argmin(axis=1)
-            share = 1 / np.exp2((bits.min(axis=1, keepdims=True) - bits) / temper).sum(axis=1)
-            mapped = pa.MapArray.from_arrays(np.arange(len(bits) + 1) * len(names), pa.array(names * len(bits), pa.string()), pa.array(bits.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([names[b] for b in best], pa.string()), pa.array(share), mapped], ["doc_id", "letters", "lang_pred", "score", "bits"])
+            bits, rare = code_lengths(batch.column(1), trees.value, whole)
+            n = len(bits)
+            lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * len(names), pa.array(bits.ravel()))
+            of = [pa.nulls(n, t) for t in (pa.int64(), pa.int8(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column(0), batch.column(2), lists, *of], SCORED)
+            for text, *of in rare:
+                n = len(text)
+                yield pa.RecordBatch.from_arrays([pa.array(row + text), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, lists.type), *map(pa.array, of)], SCORED)
+            row += len(bits)
 
     letters: Column = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    scored = docs.select("doc_id", "text", letters.alias("letters")).mapInArrow(scan, "doc_id long, letters boolean, lang_pred string, score double, bits map<string,double>")
-    return scored.select("doc_id", F.when(F.col("letters"), F.col("lang_pred")).otherwise(und).alias("lang_pred"), F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"), "bits")
+    scored = docs.select("doc_id", "text", letters.alias("letters")).mapInArrow(tidy(scan), "row long, doc_id long, letters boolean, bits array<double>, key long, first byte, times int")
+    if whole:
+        discard(strings)
+    else:
+        scored = stash(scored, "language-scored")
+        rare = scored.where("key IS NOT NULL").select("row", "key", "first", "times")
+        more = rare_costs(rare.select("key", "first").distinct(), strings, trees, rare.count() + strings.count())
+        more = rare.join(more, "key").groupBy("row").agg(F.array(*[F.sum(F.col("more")[l] * F.col("times")) for l in range(len(names))]).alias("more"))
+        more = stash(more, "language-rare")
+        discard(strings)
+        scored = scored.where("key IS NULL").drop("key").join(more, "row", "left")
+        scored = scored.withColumn("bits", F.when(F.col("more").isNull(), F.col("bits")).otherwise(F.zip_with("bits", "more", lambda b, m: b + m / STEP)))
+    scored = scored.withColumn("least", F.array_min("bits"))
+    share = 1 / F.aggregate("bits", F.lit(0.0), lambda a, b: a + F.pow(F.lit(2.0), (F.col("least") - b) / temper))
+    name = F.element_at(F.array(*map(F.lit, names)), F.array_position("bits", F.col("least")).cast("int"))
+    return scored.select("doc_id", F.when(F.col("letters"), name).otherwise(und).alias("lang_pred"), F.when(F.col("letters"), share).otherwise(0.0).alias("score"), F.map_from_arrays(F.array(*map(F.lit, names)), F.col("bits")).alias("bits"))

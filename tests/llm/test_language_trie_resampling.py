@@ -79,6 +79,22 @@ def test_code_lengths_equal_brute_force(spark, monkeypatch):
     assert language.identify(asked.limit(0), taught).count() == 0
 
 
+@pytest.mark.parametrize(("room", "group", "bucket"), [(0, 4, 1 << 20), (20, 2, 5), (60, 4, 50), (200, 2, 1 << 20)])
+def test_contexts_beyond_the_room_count_too(spark, monkeypatch, room, group, bucket):
+    """Code lengths are those of whole trees, however few contexts are broadcast."""
+    monkeypatch.setattr(language, "GROUP", group)
+    monkeypatch.setattr(language, "BUCKET", bucket)
+    monkeypatch.setattr(language, "tree_room", lambda n: room)
+    taught = spark.createDataFrame([(t, lang) for lang, t in TAUGHT], "text string, lang string")
+    rows = language.identify(spark.createDataFrame(ASKED[:-1], "doc_id long, text string"), taught).collect()
+    assert len(rows) == len(ASKED) - 1
+    for r in rows:
+        text = next(t for i, t in ASKED if i == r["doc_id"]) or ""
+        want = {g: ppm_bits([t for lang, t in TAUGHT if lang == g and t], text) for g in ("de", "en", "fr")}
+        assert r["bits"] == pytest.approx(want, abs=1e-4)
+        assert r["lang_pred"] == (min(want, key=want.get) if LETTERS.search(text) else "und")
+
+
 def test_trees_keep_whole_contexts_within_their_room(spark):
     taught = spark.createDataFrame([(0, t) for lang, t in TAUGHT if lang == "en"], "language int, text string")
     nodes = language.context_nodes(language.string_counts(taught))
