@@ -9,7 +9,7 @@ bit planes of the wavelet matrix, and their rank directory, so that access, coun
 also names partition, shard and sizes: billions of small objects would not serve a store. Task retries are safe, as Spark commits
 each partition's file once. Reading back takes all positions of a shard at once, plane by plane (``decode``).
 
-``by_word=True`` encodes each distinct word once per worker. It holds for tokenizers whose
+``by_word=True`` encodes each distinct word's letters once per worker. It holds for tokenizers whose
 pre-tokenizer cuts at every ASCII blank and between letters or digits and signs, and whose normaliser is NFC and
 lower case, as for word_bpe_49k; other tokenizers take ``by_word=False``.
 
@@ -43,14 +43,21 @@ MAGIC = b"TSH1"
 _tokenizers: dict = {}
 
 
-PUNCTUATION = ".,;:!?()[]\"*-"  # ends a word's letters in every pre-tokenizer that cuts between letters and signs
+SIGNS = ".,;:!?()[]{}\"*-#$%&+=/@~"  # end a word's letters in every pre-tokenizer that cuts between letters and signs
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` that begin at starts, one after another."""
+    total = int(sizes.sum())
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    return values[np.repeat((starts - np.cumsum(sizes) + sizes).astype(kind), sizes) + np.arange(total, dtype=kind)]
 
 
 class WordEncoder:
-    """ids of texts, with a bounded memory of words already encoded.
+    """ids of texts, with a bounded memory of parts of words already encoded.
 
-    A new word is cut into signs, core and signs, as the pre-tokenizer does. A core of Latin letters goes straight to the
-    tokenizer's model in lower case, as normaliser and pre-tokenizer leave it whole; all else takes the full path.
+    A word of Latin letters between signs is cut into signs, letters and signs, as the pre-tokenizer does. The letters go straight to the
+    tokenizer's model in lower case, as normaliser and pre-tokenizer leave them whole; signs and other words, uncut, take the full path.
     """
 
     def __init__(self, path: str, by_word: bool, limit: int = 500_000):
@@ -62,71 +69,66 @@ class WordEncoder:
         letters = [chr(c) for c in range(256) if chr(c).isalpha() and chr(c) == chr(c).lower() and c not in (0xAA, 0xB5, 0xBA)]
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.table = str.maketrans({c: as_bytes.pre_tokenize_str(c)[0][0] for c in letters})
-        self.plain = re.compile(f"[{''.join(letters)}]+").fullmatch
+        self.letters = re.compile(f"[{''.join(letters)}]+").fullmatch
+        signs = f"[{re.escape(SIGNS)}]{{0,8}}"
+        self.plain = f"^{signs}[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+{signs}$"
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.first, self.ids = array("q", [0]), array("I")
-
-    def learn(self, words: list[str]) -> None:
-        """Encode ``words`` (distinct and new) and remember them."""
-        cut, slow, tokenize, plain, table = [], {}, self.tokenizer.model.tokenize, self.plain, self.table
-        parts: dict[str, list[int]] = {"": []}
-
-        def take(part: str) -> str:
-            low = part.lower()
-            if low in parts:
-                return low
-            if plain(low):
-                parts[low] = [t.id for t in tokenize(low if low.isascii() else low.translate(table))]
-                return low
-            slow[part] = None
-            return part
-
-        for w in words:
-            core = w.strip(PUNCTUATION)
-            if len(core) == len(w) or not core or not (core[0].isalnum() and core[-1].isalnum()):
-                cut.append((take(w),))
-            else:
-                at = w.index(core)
-                cut.append((take(w[:at]), take(core), take(w[at + len(core) :])))
-        new = [w for w in slow if w not in parts]
-        parts.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        base, ids, first = len(self.known), self.ids, self.first
-        self.known.update(zip(words, range(base, base + len(words)), strict=True))
-        for c in cut:
-            for part in c:
-                ids.extend(parts[part])
-            first.append(len(ids))
+        self.known: dict[str, int] = {"": 0}
+        self.first, self.ids = array("q", [0, 0]), array("I")
+
+    def rows(self, parts: pa.Array) -> np.ndarray:
+        """Where the parts' ids are; new parts are encoded and remembered."""
+        parts = parts.dictionary_encode()
+        values, known = parts.dictionary.to_pylist(), self.known
+        new = [w for w in values if w not in known]
+        if new:
+            tokenize, letters, table, ids, first = self.tokenizer.model.tokenize, self.letters, self.table, self.ids, self.first
+            other = [w for w in new if not letters(w)]
+            slow = dict(zip(other, (e.ids for e in self.tokenizer.encode_batch(other, add_special_tokens=False)), strict=True))
+            for w in new:
+                ids.extend(slow[w] if w in slow else [t.id for t in tokenize(w if w.isascii() else w.translate(table))])
+                first.append(len(ids))
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        row = np.fromiter(map(known.__getitem__, values), np.int64, len(values))
+        return row[parts.indices.to_numpy(zero_copy_only=False)] if len(values) else row
+
+    def cut(self, words: pa.Array) -> np.ndarray:
+        """(words, 3) rows of the parts of distinct words."""
+        plain = pc.match_substring_regex(words, self.plain)
+        out = np.zeros((len(words), 3), np.int64)
+        out[:, 1] = self.rows(pc.if_else(plain, pc.utf8_lower(pc.utf8_trim(words, SIGNS)), words))
+        whole, plain = pc.binary_length(words).to_numpy(zero_copy_only=False), plain.to_numpy(zero_copy_only=False)
+        for column, trim in ((0, pc.utf8_ltrim), (2, pc.utf8_rtrim)):
+            n = np.where(plain, whole - pc.binary_length(trim(words, SIGNS)).to_numpy(zero_copy_only=False), 0)
+            for k in range(1, int(n.max(initial=0)) + 1):
+                some = words.filter(pa.array(n == k))
+                out[n == k, column] = self.rows(pc.utf8_slice_codeunits(some, -k) if column else pc.utf8_slice_codeunits(some, 0, k))
+        return out
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by end_id, and the number of ids of each text."""
         if not self.by_word:
             each = [np.array([*e.ids, end_id], np.uint32) for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
+        if len(self.known) > self.limit:
+            self.clear()
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
-        values = words.dictionary.to_pylist()
-        new = [w for w in values if w not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.clear()
-            new = values
-        if new:
-            self.learn(new)
-        first, known = np.array(self.first, np.int64), np.array(self.ids, np.uint32)
-        row = np.fromiter(map(self.known.__getitem__, values), np.int64, len(values))[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
-        sizes = first[row + 1] - first[row]
-        before = np.concatenate([[0], np.cumsum(sizes)])
-        ends = before[np.asarray(lists.offsets)[1:] - np.asarray(lists.offsets)[0]]  # ids up to each text's end
-        n = np.arange(1, len(texts) + 1)
-        out = np.empty(int(before[-1]) + len(texts), np.uint32)
-        mask = np.ones(len(out), bool)
-        mask[ends + n - 1] = False
-        out[~mask] = end_id
-        at = np.repeat(first[row] - before[:-1], sizes) + np.arange(int(before[-1]))
-        out[mask] = known[at]
-        return out, np.diff(ends + n, prepend=0)
+        parts = self.cut(words.dictionary)
+        first, ids = np.array(self.first, np.int64), np.array(self.ids, np.uint32)
+        size = np.diff(first)[parts]
+        vocabulary = np.append(_gather(ids, first[parts].ravel(), size.ravel()), np.uint32(end_id))
+        size = np.append(size.sum(axis=1), 1)  # the end id is the last word
+        offsets = np.asarray(lists.offsets)
+        ends = (offsets[1:] - offsets[0]).astype(np.int64) + np.arange(len(texts))
+        mask = np.ones(len(words) + len(texts), bool)
+        mask[ends] = False
+        word = np.full(len(mask), len(parts), np.int64)
+        word[mask] = words.indices.to_numpy(zero_copy_only=False)
+        sizes = size[word]
+        return _gather(vocabulary, (np.cumsum(size) - size)[word], sizes), np.diff(np.cumsum(sizes)[ends], prepend=0)
 
 
 def _encoder(path: str, by_word: bool) -> WordEncoder:

@@ -255,6 +255,22 @@ def test_token_output_round_trip(spark):
     assert sorted(r["start"] for r in twice) == [0, 2, 4] and [r["start"] for r in twice if r["doc_id"] is None] == [0]
 
 
+def test_words_are_cut_as_whole_texts_are():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(word_tokenizer())
+    texts = ["Xİ, İ. (heed) Heed$$$ heed&&& \"Éa-b\" don't, 'S x='s ==a== a\u0338= =\u0338a 12, ½. ª, µ. K, ßÿ×÷; <a> |b| <|endoftext|>, --- " + "-" * 9 + "a" + "." * 300, "", "heed", " \t"]
+    encoder = token_output.WordEncoder(word_tokenizer(), True, limit=5)
+    for batch in (texts, texts[1:], [], texts[::-1]):
+        ids, sizes = encoder.encode(pa.array(batch, pa.string()), 2)
+        want = [[*coder.encode(t, add_special_tokens=False).ids, 2] for t in batch]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+    encoder = token_output.WordEncoder(word_tokenizer(), True)
+    encoder.encode(pa.array(["heed Heed, heed. HEED### (heed)"]), 2)
+    assert sum("heed" in w.lower() for w in encoder.known) == 1  # one part for all of them
+
+
 def test_mixing_meets_targets_and_repeats(spark):
     rng = np.random.default_rng(6)
     rows = [(i, " ".join(["w"] * int(n)), "abcde"[i % 5] if i % 11 else None) for i, n in enumerate(rng.integers(0, 40, 2000))]
