@@ -221,8 +221,8 @@ class Items:
         best, end = semiglobal(np.arange(1, n + 1)[None], np.array([n]), equal, np.array([n // 5]))
         return int(best[0]), int(end[0])
 
-    def matches(self, words: np.ndarray, begin: np.ndarray, window: Callable[[int, int, int], list[str]]) -> Iterator[tuple[np.ndarray, ...]]:
-        """text, item, distance, end word of every verified window of texts that begin at ``begin``; window(text, lo, hi) spells the words there."""
+    def matches(self, words: np.ndarray, begin: np.ndarray, window: Callable[[int, int, int], list[str]] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+        """text, item, distance, end word of every verified window of texts that begin at ``begin``; window(text, lo, hi) spells the words there; without it words are equal or not, and none are compared letter by letter."""
         item, start, hits = self.candidates(words)
         n = self.sizes[item]
         k = n // 5
@@ -247,7 +247,7 @@ class Items:
             cells = self.begin[item[pick]][:, None] + np.arange(width)
             patterns = self.words[np.minimum(cells, len(self.words) - 1)]
             best, end = semiglobal(patterns, n[pick], rows, k[pick])
-            for c in np.flatnonzero((best > k[pick]) & (n[pick] >= SHORT) & (hits[pick] >= n[pick])).tolist():  # others share a few keys by chance
+            for c in np.flatnonzero((best > k[pick]) & (n[pick] >= SHORT) & (hits[pick] >= n[pick])).tolist() if window else []:  # others share a few keys by chance
                 p = pick[c]
                 best[c], end[c] = self.near_misses(words, int(item[p]), int(lo[p]), int(hi[p]), lambda: window(int(text[p]), int(lo[p]), int(hi[p])))  # noqa: B023
             near = best <= k[pick]
