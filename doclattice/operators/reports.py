@@ -111,10 +111,13 @@ def kind_counts(scanned: DataFrame) -> DataFrame:
     return scanned.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("block_ocr").alias("blocked"))
 
 
-def pilot(scanned: DataFrame, by: str, pages: int = 12) -> DataFrame:
-    """The best candidate of each group for a pilot: greatest confidence less 0.01 a page, of at most so many pages."""
+def pilot(scanned: DataFrame, by: str, pages: int = 12, rank: Column | None = None) -> DataFrame:
+    """The best candidate of each group for a pilot, of at most so many pages, and the group's greatest score (confidence less 0.01 a page). ``rank`` over file_id and
+    pilot_score decides, by default the score; of equal ones the least file_id does. A group without a score has no candidate."""
     kept = scanned.where(F.col("pages") <= pages).withColumn("pilot_score", F.round(F.col("confidence") - 0.01 * F.col("pages"), 6))
-    return kept.groupBy(by).agg(F.max_by(F.struct("file_id", "pilot_score"), F.struct("pilot_score", -F.col("file_id"))).alias("x")).select(by, "x.*")
+    rank = F.col("pilot_score") if rank is None else rank
+    best = F.max_by(F.when(rank.isNotNull(), F.col("file_id")), F.struct(rank, -F.col("file_id")))
+    return kept.groupBy(by).agg(best.alias("file_id"), F.max("pilot_score").alias("pilot_score"))
 
 
 def result_rows(hits: DataFrame, columns: list[str], snippet: int = 280) -> DataFrame:
