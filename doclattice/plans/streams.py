@@ -12,7 +12,11 @@ from .corpus import query, table
 
 
 def event_stream(spark, d, name="events"):
-    return streams.read_folder(spark, d, f"{name}.parquet", table(spark, d, name).schema)
+    """The files of a table as a stream, whether it is one file or a folder of them."""
+    path = f"{d}/{name}.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory()
+    return streams.read_folder(spark, path if folder else d, "*.parquet" if folder else f"{name}.parquet", table(spark, d, name).schema)
 
 
 LAST = "(SELECT max(ts) FROM events)"

@@ -17,3 +17,12 @@ def test_pilot_goes_by_the_rank_of_its_sql(spark):
     assert by_score == {"a": (90_000, 0.5), "b": (5, 0.19), "c": (None, None)}
     ranked = {r["folder"]: (r["file_id"], r["pilot_score"]) for r in reports.pilot(rows, "folder", rank=F.col("pilot_score") * 1000000 - F.col("file_id")).collect()}
     assert ranked == {"a": (1, 0.5), "b": (5, 0.19), "c": (None, None)}
+
+
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{SF}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert len(list((tmp_path / "documents.parquet").glob("part-*"))) == 3
+    for name in ("replay_safe_files", "stream_event_counts", "live_activity"):
+        whole, parts = (sorted(map(tuple, catalogue.QUERIES[name](spark, d).collect())) for d in (SF, str(tmp_path)))
+        assert whole and parts == whole
