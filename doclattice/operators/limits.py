@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import written
 from .motor import aggregate_confidence, confidence_label, exceeded, fact_confidence
 
 # Kinds of limits with their patterns and units, and the form of a tag.
@@ -80,27 +81,29 @@ def match_limits(readings: DataFrame, limits: DataFrame, by: tuple[str, ...] = (
     """Best limit of each reading: equal tag +3, unit +2, kind that suits +1; another tag, or a unit that neither holds nor lies in the reading's,
     excludes; the first limit on ties. ``by`` names columns that both sides share.
 
-    readings: reading_id, tag, unit, value, nominal; limits: limit_id, kind, limit_value, limit_unit, limit_tag. Tagged limits join by tag. What an
-    untagged one scores depends on the reading's unit alone, so the best is found for each unit (by joins on parts of their names), not for each reading.
+    readings: reading_id, tag, unit, value, nominal; limits: limit_id, kind, limit_value, limit_unit, limit_tag. What a limit scores depends on tag and unit of the
+    reading alone, and of limits with one tag, unit and kind the first is the best. So the best is found for each tag and unit: tagged limits join by tag, others by
+    parts of the units' names, and a reading meets one row.
     """
     by = list(by)
+    unit, tag = F.coalesce("unit", F.lit("")), F.upper(F.coalesce("tag", F.lit("")))
     clean = limits.select(*by, "limit_id", "kind", "limit_value", F.coalesce("limit_unit", F.lit("")).alias("limit_unit"), F.nullif(F.upper(F.coalesce("limit_tag", F.lit(""))), F.lit("")).alias("limit_tag"))
-    rows = readings.select(*by, "reading_id", F.upper("tag").alias("limit_tag"), F.coalesce("unit", F.lit("")).alias("unit_"))
+    firsts = written(clean.groupBy(*by, "limit_tag", "limit_unit", "kind").agg(F.min(F.struct("limit_id", "limit_value")).alias("x")).select(*by, "limit_tag", "limit_unit", "kind", "x.*"))
+    asked = written(readings.select(*by, tag.alias("tag_"), unit.alias("unit_")).distinct())
     a, b = _bare(F.col("unit_")), _bare(F.col("limit_unit"))
-    tagged = rows.join(clean.where("limit_tag IS NOT NULL"), [*by, "limit_tag"]).where(F.contains(a, b) | F.contains(b, a)).withColumn("score", unit_score(F.col("unit_"), F.col("limit_unit"), F.col("kind")) + 3)
-    general = clean.where("limit_tag IS NULL").groupBy(*by, "limit_unit", "kind").agg(F.min_by(F.struct("limit_id", "limit_value"), "limit_id").alias("x"))
-    general = general.select(*by, "limit_unit", "kind", "x.*").withColumn("m", b)
-    units = rows.select(*by, "unit_").distinct().withColumn("r", a)
+    tagged = asked.join(firsts, [F.col("tag_") == F.col("limit_tag"), *[asked[c] == firsts[c] for c in by]]).where(F.contains(a, b) | F.contains(b, a))
+    tagged = tagged.select(*[asked[c] for c in by], "tag_", "unit_", "limit_id", "kind", "limit_value", "limit_unit", (unit_score(F.col("unit_"), F.col("limit_unit"), F.col("kind")) + 3).alias("score"))
+    general = firsts.where("limit_tag IS NULL").drop("limit_tag").withColumn("m", b)
+    units = asked.select(*by, "unit_").distinct().withColumn("r", a)
     wanted = [*by, "unit_", "limit_id", "kind", "limit_value", "limit_unit"]
     pairs = units.select(*by, "unit_", F.explode(_parts(F.col("r"))).alias("m")).join(general, [*by, "m"]).select(*wanted)
     pairs = pairs.union(general.withColumn("r", F.explode(_parts(F.col("m")))).join(units, [*by, "r"]).select(*wanted))
-    order = [F.desc("score"), F.asc("limit_id")]
-    best_of = lambda df, keys: df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("rn = 1").drop("rn")
+    row = F.struct((-F.col("score")).alias("worse"), "limit_id", "kind", "limit_value", "limit_unit", "score")
+    best_of = lambda df, keys: df.groupBy(*keys).agg(F.min(row).alias("x")).select(*keys, "x.*").drop("worse")
     pairs = best_of(pairs.withColumn("score", unit_score(F.col("unit_"), F.col("limit_unit"), F.col("kind"))), [*by, "unit_"])
-    columns = ["reading_id", "limit_id", "kind", "limit_value", "limit_unit", "score"]
-    every = tagged.select(*columns).unionByName(rows.select(*by, "reading_id", "unit_").join(pairs, [*by, "unit_"]).select(*columns))
-    found = best_of(every, ["reading_id"]).withColumnRenamed("score", "match_score")
-    return readings.join(found, "reading_id", "left")
+    every = tagged.unionByName(asked.join(pairs, [*by, "unit_"]).select(*tagged.columns))
+    found = written(best_of(every, [*by, "tag_", "unit_"]).withColumnRenamed("score", "match_score"))  # its size is known, so that readings need no shuffle while it is small
+    return readings.withColumns({"tag_": tag, "unit_": unit}).join(found, [*by, "tag_", "unit_"], "left").select(*readings.columns, "limit_id", "kind", "limit_value", "limit_unit", "match_score")
 
 
 def plain(x: Column) -> Column:

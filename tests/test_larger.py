@@ -3,13 +3,31 @@
 from pyspark.sql import functions as F
 
 from doclattice import catalogue
-from doclattice.operators import reports
+from doclattice.operators import limits, reports
 
 from .oracle import same
 
 SF, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
 
+def most_rows(spark, run):
+    """What ``run`` gives, and the most rows that an operator of its queries made."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    out = run()
+    bus.waitUntilEmpty()
+    most, runs = 0, store.executionsList()
+    for i in range(before, runs.size()):
+        key = runs.apply(i).executionId()
+        values, nodes = store.executionMetrics(key), store.planGraph(key).allNodes()
+        for j in range(nodes.size()):
+            metrics = nodes.apply(j).metrics()
+            found = [metrics.apply(k) for k in range(metrics.size())]
+            most = max([most, *[int(values.get(m.accumulatorId()).get().replace(",", "")) for m in found if m.name() == "number of output rows" and values.contains(m.accumulatorId())]])
+    return out, most
+
+
 def test_pilot_goes_by_the_rank_of_its_sql(spark):
     same(catalogue.QUERIES["pilot_pick"](spark, LARGE), LARGE, catalogue.ORACLE_SQL["pilot_pick"])
     rows = spark.createDataFrame([("a", 1, 1, 0.5), ("a", 90_000, 1, 0.51), ("a", 3, 13, 0.9), ("b", 7, 1, 0.2), ("b", 5, 1, 0.2), ("c", 1, 1, None)], "folder string, file_id long, pages int, confidence double")
@@ -26,3 +44,12 @@ def test_streams_read_tables_of_several_files(spark, tmp_path):
     for name in ("replay_safe_files", "stream_event_counts", "live_activity"):
         whole, parts = (sorted(map(tuple, catalogue.QUERIES[name](spark, d).collect())) for d in (SF, str(tmp_path)))
         assert whole and parts == whole
+
+
+def test_readings_do_not_meet_every_limit_of_their_tag(spark):
+    n = 1000
+    readings = spark.range(n).select(F.col("id").alias("reading_id"), F.lit("T-1").alias("tag"), F.when(F.col("id") % 2 == 0, "bar").otherwise("mm").alias("unit"))
+    documented = spark.range(n).select(F.col("id").alias("limit_id"), F.lit("t-1").alias("limit_tag"), F.when(F.col("id") % 3 == 0, "bar").otherwise("mm/s").alias("limit_unit"), F.lit("max_vibration").alias("kind"), F.col("id").cast("double").alias("limit_value"))
+    rows, most = most_rows(spark, lambda: limits.match_limits(readings, documented).collect())
+    assert {(r["unit"], r["limit_id"], r["limit_value"], r["match_score"]) for r in rows} == {("bar", 0, 0.0, 5), ("mm", 1, 1.0, 6)} and len(rows) == n
+    assert most <= 2 * n  # 500,000 before
