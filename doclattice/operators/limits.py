@@ -49,13 +49,42 @@ def extract_limits(hits: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "x.nth", "x.kind", F.col("x.value").alias("limit_value"), F.col("x.unit").alias("limit_unit"), "x.near_tag", "x.context")
 
 
+#: Characters of a text whose parts are looked at together, and of a tag by which a part is taken at all.
+BLOCK, HEAD = 256, 3
+
+
+def _key(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def tags_in_texts(texts: DataFrame, tags: DataFrame) -> DataFrame:
+    """(case_id, key, tag): the tags (case_id, tag) that stand in the texts (case_id, text) of their case, as any part of them; ``key`` is the text's ``_key``.
+
+    Of every text the parts that are as long as some tag and begin as it does are joined with the tags, so that no text is held against all tags of its case."""
+    tags = written(tags.where("case_id IS NOT NULL AND tag IS NOT NULL").select("case_id", "tag").distinct())
+    sizes = F.length("tag").alias("n")
+    heads = written(tags.select(F.substring("tag", 1, HEAD).alias("head"), sizes).distinct())
+    longest, own = heads.agg(F.max("n"), F.collect_set(F.length("head"))).first()
+    if longest is None:
+        return texts.select("case_id", _key(F.col("text")).alias("key"), F.col("text").alias("tag")).where(F.lit(False))
+    rows = texts.where("case_id IS NOT NULL AND text IS NOT NULL").select("case_id", "text").distinct()
+    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(BLOCK))
+    blocks = rows.select("case_id", _key(F.col("text")).alias("key"), F.explode(F.transform(starts, lambda i: F.substr("text", i, F.lit(BLOCK + longest)))).alias("block"))
+    places = F.sequence(F.lit(1), F.least(F.greatest(F.length("block"), F.lit(1)), F.lit(BLOCK)))
+    # a tag shorter than HEAD is its own head
+    begin = lambda k: F.transform(places, lambda i: F.struct(i.alias("at"), F.substr("block", i, F.lit(k)).alias("head")))
+    begins = F.flatten(F.array(*[begin(k) for k in sorted(own)]))
+    met = blocks.select("case_id", "key", "block", F.explode(begins).alias("b")).select("case_id", "key", "block", "b.*").join(heads, "head")
+    parts = met.select("case_id", "key", F.substr("block", F.col("at"), F.col("n")).alias("tag")).distinct()
+    return parts.join(tags, ["case_id", "tag"], "left_semi").select("case_id", "key", "tag")
+
+
 def limits_of_hits(hits: DataFrame, tags: DataFrame) -> DataFrame:
-    """Limits of hits (case_id, hit_id, text) for the reading tags (case_id, tag): tags that a hit names own its limits, in order of tag; else the nearest tag does."""
-    asked = tags.select("case_id", F.upper("tag").alias("tag")).groupBy("case_id").agg(F.array_sort(F.collect_set("tag")).alias("asked"))
-    named = hits.join(asked, "case_id", "left").withColumn("named", F.filter(F.coalesce("asked", F.array().cast("array<string>")), lambda t: F.contains(F.upper("text"), t)))
-    found = extract_limits(named, ["case_id", "hit_id", "named"])
-    owner = F.when(F.size("named") > 0, F.col("named")).otherwise(F.array("near_tag"))
-    return found.withColumn("limit_tag", F.explode(owner)).drop("named", "near_tag")
+    """Limits of hits (case_id, hit_id, text) for the reading tags (case_id, tag): tags that a hit names own its limits; else the nearest tag does."""
+    named = tags_in_texts(hits.select("case_id", F.upper("text").alias("text")), tags.select("case_id", F.upper("tag").alias("tag")))
+    found = extract_limits(hits.withColumn("key", _key(F.upper("text"))), ["case_id", "hit_id", "key"])
+    rows = found.join(named, ["case_id", "key"], "left")
+    return rows.withColumn("limit_tag", F.coalesce("tag", "near_tag")).drop("tag", "key", "near_tag")
 
 
 def _bare(unit: Column) -> Column:
@@ -135,8 +164,9 @@ def measurement_facts(matched: DataFrame, sources: DataFrame) -> DataFrame:
 
 def merge_facts(structured: DataFrame, told: DataFrame) -> DataFrame:
     """Measured facts, and told ones (case_id, text) whose text names none of the measured tags of the case."""
-    tags = structured.groupBy("case_id").agg(F.collect_set(F.upper("tag")).alias("tags"))
-    fresh = told.join(tags, "case_id", "left").where(~F.exists(F.coalesce("tags", F.array().cast("array<string>")), lambda t: (t != "") & F.contains(F.upper("text"), t)))
+    text = F.upper("text")
+    named = tags_in_texts(told.select("case_id", text.alias("text")), structured.select("case_id", F.upper("tag").alias("tag")).where("tag <> ''")).select("case_id", "key").distinct()
+    fresh = told.withColumn("key", _key(text)).join(named, ["case_id", "key"], "left_anti")
     return structured.select("case_id", "text", F.lit("measurement").alias("kind")).unionByName(fresh.select("case_id", "text", F.lit("told").alias("kind")))
 
 

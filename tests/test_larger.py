@@ -53,3 +53,22 @@ def test_readings_do_not_meet_every_limit_of_their_tag(spark):
     rows, most = most_rows(spark, lambda: limits.match_limits(readings, documented).collect())
     assert {(r["unit"], r["limit_id"], r["limit_value"], r["match_score"]) for r in rows} == {("bar", 0, 0.0, 5), ("mm", 1, 1.0, 6)} and len(rows) == n
     assert most <= 2 * n  # 500,000 before
+
+
+def test_texts_are_not_held_against_all_tags_of_their_case(spark):
+    tags = [("a", "T-123"), ("a", "t-5"), ("a", "T-1"), ("b", "T-99"), ("b", "Ñ"), ("b", ""), (None, "T-1"), ("b", None), ("c", "Q-" + "7" * 300)]
+    told = [("a", "seen at t-1239"), ("a", "seen at T-77 today"), ("a", "T-1"), ("b", "x " * 400 + "t-99"), ("b", "mañana"), ("b", "T-123"), ("d", "T-1"), (None, "T-1"), ("a", None), ("a", ""), ("c", "z" * 200 + "q-" + "7" * 301)]
+    structured = spark.createDataFrame([(c, "measured", t) for c, t in tags], "case_id string, text string, tag string")
+    df = limits.merge_facts(structured, spark.createDataFrame(told, "case_id string, text string"))
+    fresh = [(r["case_id"], r["text"]) for r in df.where("kind = 'told'").collect()]
+    named = lambda c, x: any(c == d and t and x and t.upper() in x.upper() for d, t in tags)
+    assert sorted(fresh, key=str) == sorted([(c, x) for c, x in told if c is None or not named(c, x)], key=str)
+    assert "collect_set" not in df._jdf.queryExecution().toString()  # no row holds the tags of a case
+
+
+def test_a_hit_owns_the_tags_it_names(spark):
+    tags = spark.createDataFrame([(1, "TE-401"), (1, "te-4"), (1, "FT-9"), (2, "FT-9")], "case_id int, tag string")
+    hits = spark.createDataFrame([(1, 10, "te-401 límite 95 °C"), (1, 11, "ZZ-77 límite 95 °C"), (2, 12, "límite 95 °C"), (3, 13, "FT-9 límite 95 °C")], "case_id int, hit_id int, text string")
+    found = limits.limits_of_hits(hits, tags)
+    assert {(r["hit_id"], r["limit_tag"]) for r in found.where("kind = 'max_temp'").collect()} == {(10, "TE-401"), (10, "TE-4"), (11, "ZZ-77"), (12, None), (13, None)}
+    assert "collect_set" not in found._jdf.queryExecution().toString()
