@@ -229,6 +229,7 @@ def analyze(readings: DataFrame, hits: DataFrame, sources: DataFrame) -> DataFra
     (hit_id, citation_index, citation, document_id). With readings and hits the limits of the case are matched; with readings alone their nominal values decide; with hits alone
     a case has no fact and the least confidence."""
     found = limits_of_hits(hits, readings.select("case_id", "tag")).withColumn("limit_id", F.concat_ws(":", F.col("case_id").cast("string"), F.col("hit_id").cast("string"), F.lpad(F.col("nth").cast("string"), 4, "0"), "limit_tag"))
+    found = written(found.select("case_id", "hit_id", "limit_id", "kind", "limit_value", "limit_unit", "limit_tag"))  # texts are scanned once
     matched = match_limits(readings, found.drop("hit_id"), ("case_id",))
     cited = found.select("limit_id", "hit_id").join(sources, "hit_id", "left").drop("hit_id")
     facts = measurement_facts(matched, cited)

@@ -72,3 +72,13 @@ def test_a_hit_owns_the_tags_it_names(spark):
     found = limits.limits_of_hits(hits, tags)
     assert {(r["hit_id"], r["limit_tag"]) for r in found.where("kind = 'max_temp'").collect()} == {(10, "TE-401"), (10, "TE-4"), (11, "ZZ-77"), (12, None), (13, None)}
     assert "collect_set" not in found._jdf.queryExecution().toString()
+
+
+def test_a_diagnosis_grows_with_its_readings_and_hits(spark):
+    n = 300
+    readings = spark.range(n).select(F.lit(1).alias("case_id"), F.col("id").alias("reading_id"), F.lit("TE-401").alias("tag"), F.lit("T").alias("description"), F.lit("°C").alias("unit"), (F.col("id") % 2 * 10 + 90.0).alias("value"), F.lit(None).cast("double").alias("nominal"))
+    hits = spark.range(n).select(F.lit(1).alias("case_id"), F.col("id").alias("hit_id"), F.concat(F.lit("TE-401 límite 95 °C en "), F.col("id").cast("string")).alias("text"))
+    sources = hits.select("hit_id", F.lit(1).alias("citation_index"), F.lit("c").alias("citation"), F.col("hit_id").cast("string").alias("document_id"))
+    rows, most = most_rows(spark, lambda: limits.analyze(readings, hits, sources).collect())
+    assert [(r["case_id"], r["n_facts"], r["n_exceeded"], r["n_documented"]) for r in rows] == [(1, n, n // 2, n)]
+    assert most <= 100 * n  # places in texts at most; n * 2 * n pairs before
