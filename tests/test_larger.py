@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from doclattice import catalogue
-from doclattice.operators import limits, reports
+from doclattice.operators import limits, reports, retrieval
 
 from .oracle import same
 
@@ -82,3 +82,14 @@ def test_a_diagnosis_grows_with_its_readings_and_hits(spark):
     rows, most = most_rows(spark, lambda: limits.analyze(readings, hits, sources).collect())
     assert [(r["case_id"], r["n_facts"], r["n_exceeded"], r["n_documented"]) for r in rows] == [(1, n, n // 2, n)]
     assert most <= 100 * n  # places in texts at most; n * 2 * n pairs before
+
+
+def test_pairs_of_equal_texts_are_scored_once(spark):
+    queries = spark.createDataFrame([(i, "b", "bomba azul FT-101" if i % 2 else "x") for i in range(40)] + [(99, None, "x")], "q_id long, brand string, q_text string")
+    hits = spark.createDataFrame([(i, "b", "Bomba Azul ft-101" if i % 3 else "valve", "FT-101" if i % 3 else None) for i in range(60)] + [(None, "b", "valve", None), (7, "c", "x", "x")], "hit_id long, brand string, title string, content string")
+    df = retrieval.pair_boosts(queries, hits, "brand")
+    got = sorted(map(tuple, df.collect()), key=str)
+    want = [(q, h, 0.2 if q % 2 and h is not None and h % 3 else 0.0, 0.18 if q % 2 and h is not None and h % 3 else 0.0) for q in range(40) for h in [*range(60), None]]
+    assert got == sorted(want, key=str)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("regexp") or "regexp" not in plan  # scored before the ids come apart
