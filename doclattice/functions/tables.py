@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import udtf
 
 from ..operators import chunking
@@ -31,8 +33,48 @@ def register_parsers(spark: SparkSession, parsers: dict[str, Callable[[str, byte
 BLOCK_FORMATS = {"docx": (5, 60, None), "pptx": (4, 40, "presentacion")}
 
 
+def document_chunks(rows: list[tuple]) -> list[tuple]:
+    """(content, tokens, section, safety) of one document's rows in order, (format, kind, text, section, mark, safety): segments of a pdf (mark: heading), lines of a spreadsheet (section: sheet), blocks of docx and pptx (mark: kept whole)."""
+    form, kind = (rows[0][0] or "").lower().lstrip("."), rows[0][1]
+    target = chunking.TARGETS.get(kind, chunking.TARGETS["otro"])
+    if form == "pdf":
+        return chunking.segment_chunks([(text, mark, safety, section) for _, _, text, section, mark, safety in rows], target)
+    if form in ("xlsx", "xls", "csv"):
+        return chunking.sheet_line_chunks([(section, text) for _, _, text, section, _, _ in rows], target)
+    if form in BLOCK_FORMATS:
+        head, least, fixed = BLOCK_FORMATS[form]
+        return [(*c, False) for c in chunking.block_piece_chunks([(text, section, mark) for _, _, text, section, mark, _ in rows], head, least, chunking.TARGETS[fixed] if fixed else target)]
+    raise ValueError(f"no chunker for {form!r}")
+
+
+COLUMNS = ("doc_id", "format", "kind", "text", "section", "mark", "safety")
+MADE = pa.schema([("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("content", pa.string()), ("tokens", pa.int32()), ("section", pa.string()), ("safety", pa.bool_())])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of rows that are sorted by document; a document's rows follow each other, over batches too."""
+    last, held = None, []
+    for batch in itertools.chain(batches, [None]):
+        out: list[tuple] = []
+        for doc_id, *row in [] if batch is None else zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held and doc_id != last:
+                out += chunking.numbered(last, document_chunks(held))
+                held = []
+            last = doc_id
+            held.append(row)
+        if batch is None and held:
+            out += chunking.numbered(last, document_chunks(held))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), MADE, strict=True)], schema=MADE)
+
+
+def cut_rows(rows: DataFrame, *order: str) -> DataFrame:
+    """What ``cut_chunks`` gives for ``rows`` partitioned by document and in order: a task runs through its sorted rows instead of a call for each row and document."""
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", *order).select(*COLUMNS).mapInArrow(_cut, chunking.CHUNKS)
+
+
 class CutChunks:
-    """Rows of one document in order, (doc_id, format, kind, text, section, mark, safety): segments of a pdf (mark: heading), lines of a spreadsheet (section: sheet), blocks of docx and pptx (mark: kept whole)."""
+    """The rows of one document in order, with the columns of ``COLUMNS``."""
 
     def __init__(self) -> None:
         self.rows: list = []
@@ -41,22 +83,8 @@ class CutChunks:
         self.rows.append(row)
 
     def terminate(self) -> Iterator[tuple]:
-        if not self.rows:
-            return
-        first = self.rows[0]
-        form, kind = (first["format"] or "").lower().lstrip("."), first["kind"]
-        target = chunking.TARGETS.get(kind, chunking.TARGETS["otro"])
-        if form == "pdf":
-            made = chunking.segment_chunks([(r["text"], r["mark"], r["safety"], r["section"]) for r in self.rows], target)
-        elif form in ("xlsx", "xls", "csv"):
-            made = chunking.sheet_line_chunks([(r["section"], r["text"]) for r in self.rows], target)
-        elif form in BLOCK_FORMATS:
-            head, least, fixed = BLOCK_FORMATS[form]
-            made = [(*c, False) for c in chunking.block_piece_chunks([(r["text"], r["section"], r["mark"]) for r in self.rows], head, least, chunking.TARGETS[fixed] if fixed else target)]
-        else:
-            raise ValueError(f"no chunker for {form!r}")
-        for i, (content, tokens, section, safety) in enumerate(made):
-            yield first["doc_id"], i, content, tokens, section, safety
+        if self.rows:
+            yield from chunking.numbered(self.rows[0]["doc_id"], document_chunks([tuple(r[c] for c in COLUMNS[1:]) for r in self.rows]))
 
 
 def register_chunkers(spark: SparkSession, name: str = "cut_chunks") -> None:

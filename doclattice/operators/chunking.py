@@ -155,6 +155,10 @@ def sheet_line_chunks(rows: list[tuple], target: int) -> list[tuple]:
     out = []
     for sheet, group in groupby(rows, key=lambda r: r[0]):
         texts = [r[1] for r in group]
+        whole = "\n".join(texts)
+        if (n := count_tokens(whole)) <= target:  # no token goes over a line's end
+            out.append((whole, n, sheet, False))
+            continue
         none = [False] * len(texts)
         for a, b in cut_points([count_tokens(t) for t in texts], none, none, target):
             text = "\n".join(texts[a:b])

@@ -60,7 +60,5 @@ def mixed_rows(spark, d):
 
 @query()
 def chunks_by_format(spark, d):
-    """Chunks of documents of four formats by one table function, partitioned by document and in order."""
-    tables.register_chunkers(spark)
-    mixed_rows(spark, d).createOrReplaceTempView("mixed_rows")
-    return spark.sql("SELECT * FROM cut_chunks(TABLE(mixed_rows) PARTITION BY doc_id ORDER BY seq)")
+    """Chunks of documents of four formats, each cut through its rows in order."""
+    return tables.cut_rows(mixed_rows(spark, d), "seq")

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from doclattice import catalogue
+from doclattice.functions import tables
 from doclattice.operators import limits, reports, retrieval
+from doclattice.plans import formats
 
 from .oracle import same
 
@@ -93,3 +95,20 @@ def test_pairs_of_equal_texts_are_scored_once(spark):
     assert got == sorted(want, key=str)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("regexp") or "regexp" not in plan  # scored before the ids come apart
+
+
+def test_rows_are_cut_as_by_the_table_function(spark):
+    rows = formats.mixed_rows(spark, SF).where("floor(doc_id / 4) % 5 = 0")
+    sheets = [(i * 4 + 3, n, "xlsx", "tabla", f"{n * 37} | ñ_x - {'w ' * (n % 3) * 90}", f"Hoja {n // 8}", False, False) for i in (10_000, 10_005) for n in range(20)]
+    rows = rows.unionByName(spark.createDataFrame([*sheets, (None, 1, "csv", None, "a b", None, False, False)], "doc_id long, seq long, format string, kind string, text string, section string, mark boolean, safety boolean"))
+    tables.register_chunkers(spark, "cut_again")
+    rows.createOrReplaceTempView("rows_again")
+    want = spark.sql("SELECT * FROM cut_again(TABLE(rows_again) PARTITION BY doc_id ORDER BY seq)")
+    got = tables.cut_rows(rows, "seq")
+    assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # documents go over batches
+    assert sorted(map(str, tables.cut_rows(rows, "seq").collect())) == sorted(map(str, want.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    plan = formats.chunks_by_format(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "UDTF" not in plan
