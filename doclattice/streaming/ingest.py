@@ -167,12 +167,12 @@ def ingest(files: DataFrame, number: int, store: str, after: Callable[[int, str]
     """One batch of files (``FILES``) through all stages. ``after`` is called when a stage has been committed."""
     b = Batch(files.sparkSession, store, number)
     b.put("files", lambda: files.dropDuplicates(["doc_id"]))
-    alive = b.own("files", FILES)
+    every = alive = b.own("files", FILES)
     for name, step in STEPS.items():
         b.put(f"runs/stage={name}", lambda step=step, alive=alive: step(b, alive))
         after(number, name)
         passed = b.own(f"runs/stage={name}", OUTCOME).where("state = 'ok'").select("doc_id")
-        alive = alive.join(passed, "doc_id", "left_semi")
+        alive = every.join(passed, "doc_id", "left_semi")  # a stage has outcomes only for those that passed the stages before
 
 
 def stages_of(spark: SparkSession, store: str) -> DataFrame:

@@ -6,6 +6,7 @@ from doclattice import catalogue
 from doclattice.functions import tables
 from doclattice.operators import limits, reports, retrieval
 from doclattice.plans import formats
+from doclattice.streaming import ingest
 
 from .oracle import same
 
@@ -112,3 +113,17 @@ def test_rows_are_cut_as_by_the_table_function(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     plan = formats.chunks_by_format(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "UDTF" not in plan
+
+
+def test_documents_alive_meet_one_stage_and_not_all_before(spark, tmp_path):
+    files = spark.createDataFrame([(1, "t", "a.pdf", "", "local", "guia", None, "", "Rev 1", "Some text. More of it.")], ingest.FILES)
+    plans = []
+    store = str(tmp_path / "store")
+    steps = dict(ingest.STEPS)
+    try:
+        for name, step in steps.items():
+            ingest.STEPS[name] = lambda b, alive, step=step: plans.append(alive._jdf.queryExecution().optimizedPlan().toString()) or step(b, alive)
+        ingest.ingest(files, 0, store)
+    finally:
+        ingest.STEPS.update(steps)
+    assert len(plans) == 9 and max(p.count("Join LeftSemi") for p in plans) == 1
